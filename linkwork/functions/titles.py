@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import WS, split_ws, strip_ws
@@ -33,25 +33,54 @@ def _sub(c: Column, pattern: str, repl: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(repl))
 
 
-def clean_title(c: Column, max_length: int = DEFAULT_TITLE_MAX) -> Column:
-    """Strip tags/entities, cut site suffixes, drop junk prefixes, shorten; never empty."""
-    raw = c.cast("string")
-    base = _sub(_sub(raw, r"<[^>]*>"), r"&[a-zA-Z0-9#]+;", " ")
+def _title_base(raw: Column) -> Column:
+    return _sub(_sub(raw, r"<[^>]*>"), r"&[a-zA-Z0-9#]+;", " ")
+
+
+def _title_cut(base: Column) -> Column:
     cut = base
     for pat in _CUTS:
         cut = _sub(cut, pat)
-    cut = strip_ws(cut)
-    cut = F.when((F.length(cut) < 3) & (F.length(base) > F.length(cut)), strip_ws(base)).otherwise(cut)
+    return strip_ws(cut)
+
+
+def _title_restore(base: Column, cut: Column) -> Column:
+    return F.when((F.length(cut) < 3) & (F.length(base) > F.length(cut)), strip_ws(base)).otherwise(cut)
+
+
+def _title_finish(raw: Column, restored: Column, max_length: int) -> Column:
     # The text is stripped here, so "drop each phrase in turn if it leads, then strip" is one
     # anchored pattern of optional groups, tried in order.
-    cut = _sub(cut, _JUNK_RE)
-    cut = _sub(cut, r"(?d)[.,;:]+$")
+    cut = _sub(_sub(restored, _JUNK_RE), r"(?d)[.,;:]+$")
     cut = F.when(
         F.length(cut) > max_length, F.concat(F.substring(cut, 1, max_length - 3), F.lit("..."))
     ).otherwise(cut)
     return F.when(raw.isNull() | (raw == "") | (cut == ""), F.lit(UNTITLED)).otherwise(cut)
 
 
+def clean_title(c: Column, max_length: int = DEFAULT_TITLE_MAX) -> Column:
+    """Strip tags/entities, cut site suffixes, drop junk prefixes, shorten; never empty."""
+    raw = c.cast("string")
+    base = _title_base(raw)
+    return _title_finish(raw, _title_restore(base, _title_cut(base)), max_length)
+
+
+def with_clean_title(df: DataFrame, src: str, out: str = "clean_title",
+                     max_length: int = DEFAULT_TITLE_MAX) -> DataFrame:
+    """P3 as staged projections (same result as ``clean_title``)."""
+    t = f"_{out}_tmp"
+    df = df.withColumn(t + "r", F.col(src).cast("string"))
+    df = df.withColumn(t + "b", _title_base(F.col(t + "r")))
+    df = df.withColumn(t + "c", _title_cut(F.col(t + "b")))
+    df = df.withColumn(t + "d", _title_restore(F.col(t + "b"), F.col(t + "c")))
+    df = df.withColumn(t + "e", _sub(_sub(F.col(t + "d"), _JUNK_RE), r"(?d)[.,;:]+$"))
+    e = F.col(t + "e")
+    short = F.when(F.length(e) > max_length, F.concat(F.substring(e, 1, max_length - 3), F.lit("..."))).otherwise(e)
+    raw = F.col(t + "r")
+    out_col = F.when(raw.isNull() | (raw == "") | (short == ""), F.lit(UNTITLED)).otherwise(short)
+    return df.withColumn(out, out_col).drop(*[t + x for x in "rbcde"])
+
+
 def token_set(c: Column) -> Column:
     """Distinct lower-cased white-space tokens, sorted (a canonical set)."""
     return F.array_sort(F.array_distinct(split_ws(F.lower(F.coalesce(c, F.lit(""))))))

@@ -8,7 +8,7 @@ one RFC 3986 style regular expression that follows ``urllib.parse.urlsplit``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import py_title, strip_ws
@@ -63,17 +63,18 @@ def is_dangerous_url(c: Column) -> Column:
     return F.coalesce(strip_ws(c.cast("string")).rlike(_DANGER), F.lit(False))
 
 
-def sanitize_url(c: Column) -> Column:
-    """P1: '' for null, empty, dangerous or host-less URLs; else a re-serialised http(s) URL."""
-    s = strip_ws(F.coalesce(c.cast("string"), F.lit("")))
+def _fix_scheme(s: Column) -> Column:
     low = F.lower(s)
     fixed = (
         F.when(low.startswith("http://") | low.startswith("https://"), s)
         .when(s.startswith("//"), F.concat(F.lit("https:"), s))
         .otherwise(F.concat(F.lit("https://"), s))
     )
-    u = _unsafe_removed(fixed)
-    scheme, netloc, path, query, frag = (_part(u, i) for i in range(1, 6))
+    return _unsafe_removed(fixed)
+
+
+def _sanitized_from_parts(s: Column, scheme: Column, netloc: Column, path: Column, query: Column,
+                          frag: Column) -> Column:
     bad_brackets = netloc.contains("[") != netloc.contains("]")
     rebuilt = F.concat(
         F.lower(scheme), F.lit("://"), netloc, _drop_empty_params(path),
@@ -87,6 +88,23 @@ def sanitize_url(c: Column) -> Column:
     )
 
 
+def sanitize_url(c: Column) -> Column:
+    """P1: '' for null, empty, dangerous or host-less URLs; else a re-serialised http(s) URL."""
+    s = strip_ws(F.coalesce(c.cast("string"), F.lit("")))
+    u = _fix_scheme(s)
+    return _sanitized_from_parts(s, *(_part(u, i) for i in range(1, 6)))
+
+
+def with_sanitized_url(df: DataFrame, src: str, out: str = "url") -> DataFrame:
+    """P1 as staged projections: each intermediate is computed once (same result as ``sanitize_url``)."""
+    t = f"_{out}_tmp"
+    df = df.withColumn(t + "s", strip_ws(F.coalesce(F.col(src).cast("string"), F.lit(""))))
+    df = df.withColumn(t + "u", _fix_scheme(F.col(t + "s")))
+    df = df.withColumn(t + "p", F.struct(*[_part(F.col(t + "u"), i).alias(f"p{i}") for i in range(1, 6)]))
+    parts = [F.col(t + "p")[f"p{i}"] for i in range(1, 6)]
+    return df.withColumn(out, _sanitized_from_parts(F.col(t + "s"), *parts)).drop(t + "s", t + "u", t + "p")
+
+
 def host_of(sanitized: Column) -> Column:
     """Network location of an already sanitised URL."""
     return F.regexp_extract(sanitized, r"(?s)^[^:]+://([^/?#]*)", 1)
@@ -119,14 +137,18 @@ def _encode_form(x: Column) -> Column:
     return F.replace(F.replace(enc, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def normalize_url(c: Column) -> Column:
-    """Duplicate-detection key (lower-case, default port, www, slashes, tracking keys)."""
+def _normalize_prep(c: Column) -> Column:
     s = strip_ws(F.lower(F.coalesce(c.cast("string"), F.lit(""))))
-    u = _unsafe_removed(F.regexp_replace(s, F.lit(r"^[\x00-\x20]+"), F.lit("")))
-    scheme, netloc, rawpath, query, frag = (_part(u, i) for i in range(1, 6))
-    netloc = F.when((scheme == "http") & netloc.endswith(":80"), F.regexp_replace(netloc, F.lit(r":80$"), F.lit(""))) \
-        .when((scheme == "https") & netloc.endswith(":443"), F.regexp_replace(netloc, F.lit(r":443$"), F.lit(""))) \
+    return _unsafe_removed(F.regexp_replace(s, F.lit(r"^[\x00-\x20]+"), F.lit("")))
+
+
+def _normalized_from_parts(scheme: Column, netloc: Column, rawpath: Column, query: Column,
+                           frag: Column) -> Column:
+    netloc = (
+        F.when((scheme == "http") & netloc.endswith(":80"), F.regexp_replace(netloc, F.lit(r":80$"), F.lit("")))
+        .when((scheme == "https") & netloc.endswith(":443"), F.regexp_replace(netloc, F.lit(r":443$"), F.lit("")))
         .otherwise(netloc)
+    )
     netloc = F.regexp_replace(netloc, F.lit(r"^www\."), F.lit(""))
     # split ';params' off the last segment, as urlparse does
     path = F.regexp_replace(rawpath, F.lit(r"^((?:.*/)?[^/;]*);[^/]*$"), F.lit("$1"))
@@ -162,6 +184,23 @@ def normalize_url(c: Column) -> Column:
     return F.regexp_replace(full, F.lit(r"/+$"), F.lit(""))
 
 
+def normalize_url(c: Column) -> Column:
+    """Duplicate-detection key (lower-case, default port, www, slashes, tracking keys)."""
+    u = _normalize_prep(c)
+    return _normalized_from_parts(*(_part(u, i) for i in range(1, 6)))
+
+
+def with_normalized_url(df: DataFrame, src: str, out: str = "normalized_url") -> DataFrame:
+    """P4 as staged projections (same result as ``normalize_url``)."""
+    t = f"_{out}_tmp"
+    df = df.withColumn(t + "u", _normalize_prep(F.col(src)))
+    df = df.withColumn(t + "p", F.struct(*[_part(F.col(t + "u"), i).alias(f"p{i}") for i in range(1, 6)]))
+    df = df.withColumn(t + "n", F.col(t + "p")["p2"])
+    df = df.withColumn(t + "q", F.col(t + "p")["p4"])
+    parts = [F.col(t + "p")["p1"], F.col(t + "n"), F.col(t + "p")["p3"], F.col(t + "q"), F.col(t + "p")["p5"]]
+    return df.withColumn(out, _normalized_from_parts(*parts)).drop(t + "u", t + "p", t + "n", t + "q")
+
+
 def path_identifier(sanitized_url: Column) -> Column:
     """P5: label candidate from the URL path (before the title fallback of the labeller)."""
     path = F.regexp_replace(path_of_sanitized(sanitized_url), F.lit(r"^/+|/+$"), F.lit(""))

@@ -44,3 +44,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_KEY, conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir
+
+
+def materialize(df, how: str = "cache"):
+    """Make a reused intermediate computed once.
+
+    ``cache``: ``persist(MEMORY_AND_DISK)`` -- lost blocks are recomputed from lineage.
+    ``checkpoint``: reliable checkpoint into ``spark.checkpoint.dir`` (cuts lineage).
+    ``none``: leave the plan as is.
+    """
+    from pyspark import StorageLevel
+
+    if how == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        # persisted first so the checkpoint write does not compute the plan a second time
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    return df
