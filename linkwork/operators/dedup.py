@@ -35,7 +35,8 @@ class DedupConfig:
     similarity_threshold: float = 0.85
     keep_strategy: str = "first"
     grouping: str = "pairwise"          # 'pairwise' (the tool) or 'whole' (one survivor per group)
-    label_col: str = "formatted_label"  # compared by 'title' and used for lengths
+    label_col: str = "formatted_label"  # compared by 'title' (and word sets of 'fuzzy')
+    length_col: str = "formatted_label"  # lengths for the 'shortest'/'longest' keep strategies
 
 
 def _label_len(label_col: str) -> Column:
@@ -68,7 +69,7 @@ def _keep_removed(keep: str, pos: Column, ln: Column, f: Column, lenf: Column, m
 def mark_key_duplicates(links: DataFrame, cfg: DedupConfig) -> DataFrame:
     """All rows with ``dup_first`` (first position of the key, null if the key is unique) and ``removed``."""
     df, keys = with_dedup_keys(links, cfg.strategy, cfg.label_col)
-    df = df.withColumn("_len", _label_len(cfg.label_col))
+    df = df.withColumn("_len", _label_len(cfg.length_col))
     gk = ["collection_id", *keys]
     stats = (
         df.filter(F.col(keys[-1]).isNotNull())

@@ -173,7 +173,7 @@ def mark_fuzzy_duplicates(links: DataFrame, cfg) -> DataFrame:
         state = leaders_in_rounds(nodes, edges, cliques)
         groups = assign_groups(state, edges, cliques)
     g = rows.join(groups, ["collection_id", "node"])
-    g = g.withColumn("_len", F.length(F.coalesce(F.col(cfg.label_col), F.lit(""))).cast("bigint"))
+    g = g.withColumn("_len", F.length(F.coalesce(F.col(cfg.length_col), F.lit(""))).cast("bigint"))
     stats = g.groupBy("collection_id", "group_node").agg(
         F.count(F.lit(1)).alias("dup_size"), F.min("pos").alias("_first"), F.max("pos").alias("_last"),
         F.min_by("pos", F.struct("_len", "pos")).alias("_short"),
