@@ -271,6 +271,19 @@ s AS (
 SELECT collection_id, pos_a, pos_b, round(score, 6) AS score FROM s WHERE score >= {threshold!r}::DOUBLE"""
 
 
+DOCS = """docs AS (
+  SELECT collection_id || '/' || CAST(floor(pos / 500) AS BIGINT) AS doc, split_part(href, '/', 3) AS host,
+         pos, href, text
+  FROM b0),
+doc_entries AS (
+  SELECT doc AS collection_id, 'folder' AS type, host AS name, NULL AS url, NULL AS title, host AS path, 0 AS depth,
+         NULL AS add_date, host AS _host, -1 AS _pos FROM (SELECT DISTINCT doc, host FROM docs)
+  UNION ALL
+  SELECT doc, 'bookmark', NULL, href, """ + strip("text") + """, host, 1, CAST(pos AS VARCHAR), host, pos FROM docs),
+entries AS (
+  SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY _host, _pos) - 1 AS seq FROM doc_entries)"""
+
+
 def statements() -> dict[str, str]:
     s: dict[str, str] = {}
     s["sanitize_urls"] = _with(B0, BV, sanitize_ctes("bv", "san")) + """
@@ -327,4 +340,29 @@ GROUP BY k.collection_id""")
     s["strategy_comparison"] = "\nUNION ALL\n".join(parts)
     s["fuzzy_pairs_085"] = fuzzy_pairs_sql(0.85)
     s["fuzzy_pairs_060"] = fuzzy_pairs_sql(0.60)
+    anchor = "'<a href=\"([^\"]*)\">([^<]*)</a>'"
+    s["link_scan"] = f"""WITH a AS (
+  SELECT page_id, regexp_extract_all(html, {anchor}, 1) AS hs, regexp_extract_all(html, {anchor}, 2) AS ts FROM pages),
+scan AS (
+  SELECT page_id, unnest(generate_series(0, len(hs) - 1)) AS anchor_no, unnest(hs) AS href0, unnest(ts) AS text0 FROM a),
+src AS (SELECT page_id, anchor_no, {strip("href0")} AS href, {strip(unescape("text0"))} AS text FROM scan),
+{sanitize_ctes("src", "san")}
+SELECT page_id, anchor_no, href, text, url FROM san"""
+    s["folder_entries"] = _with(B0, DOCS) + """
+SELECT collection_id, seq, type, name, url, title, path, CAST(depth AS INTEGER) AS depth, add_date FROM entries"""
+    s["folder_summary"] = _with(B0, DOCS) + """
+SELECT collection_id, path, count(*) AS n_links FROM entries WHERE type = 'bookmark' GROUP BY collection_id, path"""
+    doc_links = """doc_src AS (
+  SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY _host, _pos) - 1 AS pos, url AS href,
+         title AS text FROM entries WHERE type = 'bookmark')"""
+    s["export_structured"] = _with(B0, DOCS, doc_links) + links_ctes("doc_src", "links") + f""",
+lookup AS (SELECT collection_id, url, arg_max(formatted_label, pos) AS _label FROM links GROUP BY collection_id, url),
+ent AS (SELECT e.*, l._label, e.url AS href FROM entries e LEFT JOIN lookup l ON l.collection_id = e.collection_id AND l.url = e.url),
+{sanitize_ctes("ent", "es")},
+{clean_title_ctes("es", "title", "ec", "_ct")}
+SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT collection_id, 0 AS line_no, '# Bookmarks with Original Structure Preserved' AS line FROM (SELECT DISTINCT collection_id FROM entries)
+  UNION ALL SELECT collection_id, 1, '' FROM (SELECT DISTINCT collection_id FROM entries)
+  UNION ALL SELECT collection_id, seq + 2, repeat('  ', depth) || CASE WHEN type = 'folder' THEN 'FOLDER: ' || name
+      ELSE coalesce(_label, {domain_expr('url')} || ' | ' || _ct) END FROM ec)"""
     return s

@@ -13,7 +13,9 @@ from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_u
 from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates
 from ..operators.fuzzy import fuzzy_pairs
 from ..operators.labels import build_links
-from ..sources.tables import page_link_variants, page_links
+from ..sources.html import anchors_as_links, scan_anchors, scan_folders
+from ..sources.tables import page_bookmark_documents, page_link_variants, page_links, read_table
+from ..sinks.export import structured_export
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +117,36 @@ def q_fuzzy_pairs(threshold: float) -> Query:
     return lambda spark, sf: fuzzy_pairs(_links(spark, sf), threshold)
 
 
+def q_link_scan(spark, sf):
+    """S2 + P1 over the raw pages: every anchor, its sanitised URL ('' when rejected)."""
+    pages = read_table(spark, sf, "pages")
+    docs = pages.select(F.col("page_id").cast("string").alias("collection_id"), "html")
+    a = with_sanitized_url(scan_anchors(docs), "href", "url")
+    return a.select(F.col("collection_id").cast("bigint").alias("page_id"), "anchor_no", "href", "text", "url")
+
+
+def _doc_entries(spark, sf):
+    return scan_folders(page_bookmark_documents(spark, sf))
+
+
+def q_folder_entries(spark, sf):
+    return _doc_entries(spark, sf).select("collection_id", "seq", "type", "name", "url", "title", "path", "depth",
+                                          "add_date")
+
+
+def q_folder_summary(spark, sf):
+    """Bookmarks per folder path of each document."""
+    e = _doc_entries(spark, sf).filter(F.col("type") == "bookmark")
+    return e.groupBy("collection_id", "path").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def q_export_structured(spark, sf):
+    """K6: the folder tree as indented text lines, labels looked up by URL."""
+    docs = page_bookmark_documents(spark, sf).cache()
+    links = build_links(anchors_as_links(scan_anchors(docs)))
+    return structured_export(scan_folders(docs), links)
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "sanitize_urls": q_sanitize_urls,
@@ -142,4 +174,8 @@ def registry() -> dict[str, Query]:
     q["dedup_fuzzy_085"] = q_dedup("fuzzy", "first", threshold=0.85)
     q["dedup_fuzzy_060"] = q_dedup("fuzzy", "first", threshold=0.60)
     q["dedup_fuzzy_030_longest"] = q_dedup("fuzzy", "longest", threshold=0.30)
+    q["link_scan"] = q_link_scan
+    q["folder_entries"] = q_folder_entries
+    q["folder_summary"] = q_folder_summary
+    q["export_structured"] = q_export_structured
     return q

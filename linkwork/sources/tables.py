@@ -78,3 +78,50 @@ def link_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 0, F.lit("Request timeout")).otherwise(F.lit(None).cast("string")).alias("error"),
         F.col("page_id").alias("checked_seq"),
     )
+
+
+DOC_CHUNK = 500  # pages per generated bookmark document; keeps every document bounded
+# nesting shape of generated documents per collection (all three shapes browsers write)
+DOC_SHAPES = {"de": "dd", "fr": "dt"}  # others: bare Netscape
+
+
+def page_bookmark_documents(spark: SparkSession, sf_dir: str, chunk: int = DOC_CHUNK) -> DataFrame:
+    """Netscape bookmark files built from ``pages``: ``(collection_id, html)``.
+
+    One document per (language, block of ``chunk`` page ids); inside it one folder per
+    host (sorted) holding that host's pages in id order.  Titles and URLs are escaped.
+    """
+    from ..functions.text import html_escape
+
+    b0 = page_links(spark, sf_dir)
+    doc = F.concat(F.col("collection_id"), F.lit("/"), F.floor(F.col("pos") / F.lit(chunk)).cast("string"))
+    shape = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DOC_SHAPES.items() for x in kv]),
+                                    F.col("collection_id")), F.lit("bare"))
+    pages = b0.select(doc.alias("doc"), shape.alias("shape"), F.split_part(F.col("href"), F.lit("/"), F.lit(3)).alias("host"),
+                      "pos", "href", "text")
+    link = F.concat(F.lit("<DT><A HREF=\""), html_escape(F.col("href")), F.lit("\" ADD_DATE=\""),
+                    F.col("pos").cast("string"), F.lit("\">"), html_escape(F.col("text"), quote=False), F.lit("</A>"))
+    body = pages.select("doc", F.lit(1).alias("sec"), "host", F.lit(1).alias("phase"), "pos", link.alias("line"))
+    hosts = pages.select("doc", "shape", "host").distinct()
+    h = html_escape(F.col("host"), quote=False)
+    opens = F.when(F.col("shape") == "dd", F.array(F.concat(F.lit("<DT><H3>"), h, F.lit("</H3></DT>")), F.lit("<DD><DL><p>"))) \
+        .otherwise(F.array(F.concat(F.lit("<DT><H3>"), h, F.lit("</H3>")), F.lit("<DL><p>")))
+    closes = F.when(F.col("shape") == "dd", F.array(F.lit("</DL></DD>"))) \
+        .when(F.col("shape") == "dt", F.array(F.lit("</DL></DT>"))).otherwise(F.array(F.lit("</DL><p>")))
+    heads = hosts.select("doc", F.lit(1).alias("sec"), "host", F.lit(0).alias("phase"),
+                         F.posexplode(opens).alias("pos", "line"))
+    tails = hosts.select("doc", F.lit(1).alias("sec"), "host", F.lit(2).alias("phase"),
+                         F.posexplode(closes).alias("pos", "line"))
+    header = ["<!DOCTYPE NETSCAPE-Bookmark-file-1>",
+              "<META HTTP-EQUIV=\"Content-Type\" CONTENT=\"text/html; charset=UTF-8\">",
+              "<TITLE>Bookmarks</TITLE>", "<H1>Bookmarks</H1>", "<DL><p>"]
+    docs = hosts.select("doc").distinct()
+    top = docs.select("doc", F.lit(0).alias("sec"), F.lit("").alias("host"), F.lit(0).alias("phase"),
+                      F.posexplode(F.array(*[F.lit(x) for x in header])).alias("pos", "line"))
+    bottom = docs.select("doc", F.lit(2).alias("sec"), F.lit("").alias("host"), F.lit(0).alias("phase"),
+                         F.lit(0).cast("bigint").alias("pos"), F.lit("</DL><p>").alias("line"))
+    lines = top.unionByName(heads.withColumn("pos", F.col("pos").cast("bigint"))) \
+        .unionByName(body).unionByName(tails.withColumn("pos", F.col("pos").cast("bigint"))).unionByName(bottom)
+    ordered = F.array_sort(F.collect_list(F.struct("sec", "host", "phase", "pos", "line")))
+    return lines.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("html")) \
+        .select(F.col("doc").alias("collection_id"), "html")
