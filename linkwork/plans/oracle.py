@@ -9,6 +9,7 @@ blocked join.  Column names equal the Spark query's.
 from __future__ import annotations
 
 from ..functions.titles import JUNK_PREFIXES
+from ..sinks.export import DEFAULT_INSTRUCTIONS
 from ..functions.urls import TRACKING_PARAMS, USES_NETLOC
 from ..operators.labels import FALLBACK_PARTS, GENERIC_TITLES, STOP_WORDS
 
@@ -284,6 +285,22 @@ entries AS (
   SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY _host, _pos) - 1 AS seq FROM doc_entries)"""
 
 
+STATUS = """status AS (
+  SELECT url, CASE WHEN page_id % 5 <> 2 THEN page_id % 5 <> 0 END AS is_valid,
+         CASE WHEN page_id % 5 = 1 THEN 404 WHEN page_id % 5 NOT IN (0, 2) THEN 200 END AS status_code,
+         CASE WHEN page_id % 5 = 0 THEN 'Request timeout' END AS error, page_id AS checked_seq
+  FROM pages),
+latest AS (
+  SELECT url, arg_max({'v': is_valid, 's': status_code, 'e': error}, checked_seq) AS st FROM status GROUP BY url),
+checked AS (
+  SELECT l.*, CASE WHEN l.url = '' THEN false ELSE st.v END AS is_valid,
+         CASE WHEN l.url = '' THEN NULL ELSE st.s END AS status_code,
+         CASE WHEN l.url = '' THEN 'Invalid or dangerous URL' ELSE st.e END AS error
+  FROM links l LEFT JOIN latest t ON t.url = l.url)"""
+
+JOB_ID = "job_20260101_000000_pages"
+
+
 def statements() -> dict[str, str]:
     s: dict[str, str] = {}
     s["sanitize_urls"] = _with(B0, BV, sanitize_ctes("bv", "san")) + """
@@ -365,4 +382,66 @@ SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
   UNION ALL SELECT collection_id, 1, '' FROM (SELECT DISTINCT collection_id FROM entries)
   UNION ALL SELECT collection_id, seq + 2, repeat('  ', depth) || CASE WHEN type = 'folder' THEN 'FOLDER: ' || name
       ELSE coalesce(_label, {domain_expr('url')} || ' | ' || _ct) END FROM ec)"""
+    s["link_health"] = with_links("b0") + ",\n" + STATUS + """
+SELECT collection_id, pos, url, is_valid, status_code, error FROM checked"""
+    s["health_summary"] = with_links("b0") + ",\n" + STATUS + """,
+agg AS (
+  SELECT collection_id, count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid,
+         count(*) FILTER (WHERE NOT is_valid) AS invalid, count(*) FILTER (WHERE is_valid IS NULL) AS unchecked
+  FROM checked GROUP BY collection_id)
+SELECT *, CASE WHEN valid + invalid > 0 THEN round(valid::DOUBLE / (valid + invalid)::DOUBLE * 100.0, 1) END AS success_rate
+FROM agg"""
+    s["broken_links"] = with_links("b0") + ",\n" + STATUS + """,
+broken AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY pos) AS rn,
+                  count(*) OVER (PARTITION BY collection_id) AS n FROM checked WHERE is_valid = false)
+SELECT collection_id, pos, substr(formatted_label, 1, 60) || '...' AS label_preview, error,
+       greatest(n - 10, 0) AS more_broken
+FROM broken WHERE rn <= 10"""
+    s["report_rows"] = with_links("b0") + ",\n" + STATUS + f"""
+SELECT '{JOB_ID}' AS job_id, collection_id, pos, original_title, clean_title, formatted_label, domain, url,
+       is_valid, status_code FROM checked"""
+    s["report_summary"] = dedup_sql("url", "first", select=f"""
+SELECT '{JOB_ID}' AS job_id, k.collection_id, count(*) AS total_bookmarks, true AS original_structure_preserved,
+       true AS labels_cleaned, true AS duplicates_handled
+FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.collection_id = k.collection_id AND r.rpos = k.pos)
+GROUP BY k.collection_id""")
+    s["dup_report"] = dedup_sql("url", "first", select="""
+, grp AS (
+  SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY ipos) AS g, fpos, ipos FROM pairs),
+meta AS (
+  SELECT k.collection_id, (SELECT count(*) FROM removed r WHERE r.collection_id = k.collection_id) AS nrem,
+         (SELECT count(*) FROM grp WHERE grp.collection_id = k.collection_id) AS ng
+  FROM (SELECT DISTINCT collection_id FROM keyed) k)
+SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT collection_id, 0 AS line_no, 'No duplicates found.' AS line FROM meta WHERE ng = 0
+  UNION ALL SELECT collection_id, i, CASE i WHEN 0 THEN 'Duplicate Analysis Report - Strategy: url'
+      WHEN 1 THEN 'Similarity Threshold: 0.85' WHEN 2 THEN 'Keep Strategy: first'
+      WHEN 3 THEN 'Total Duplicates Removed: ' || nrem WHEN 4 THEN 'Duplicate Groups Found: ' || ng
+      WHEN 5 THEN '' ELSE 'Duplicate Groups:' END
+    FROM meta, range(0, 7) t(i) WHERE ng > 0
+  UNION ALL SELECT collection_id, 7 + (g - 1) * 4 + i, CASE i WHEN 0 THEN '' WHEN 1 THEN 'Group ' || g || ': 2 duplicates'
+      WHEN 2 THEN '  - Index ' || fpos ELSE '  - Index ' || ipos END
+    FROM grp, range(0, 4) t(i))""").replace("removed AS (SELECT DISTINCT collection_id, ipos AS rpos FROM pairs)\n,",
+                                             "removed AS (SELECT DISTINCT collection_id, ipos AS rpos FROM pairs),")
+    kept = """
+, kept AS (SELECT k.* FROM keyed k
+           WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.collection_id = k.collection_id AND r.rpos = k.pos))
+"""
+    s["export_flat"] = dedup_sql("url", "first", select=kept + """
+SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT DISTINCT collection_id, 0 AS line_no, '# Flattened Bookmarks List' AS line FROM kept
+  UNION ALL SELECT DISTINCT collection_id, 1, '' FROM kept
+  UNION ALL SELECT collection_id, 1 + row_number() OVER (PARTITION BY collection_id ORDER BY pos), formatted_label FROM kept)
+""").replace("FROM pairs)\n\n,", "FROM pairs),")
+    head = DEFAULT_INSTRUCTIONS.split("\n")
+    head_rows = " UNION ALL ".join(f"SELECT {i} AS i, {_q(h)} AS h" for i, h in enumerate(head[:-1]))
+    s["export_instructions"] = dedup_sql("url", "first", select=kept + f"""
+, head AS ({head_rows}),
+numbered AS (SELECT collection_id, {len(head) - 2} + row_number() OVER (PARTITION BY collection_id ORDER BY pos) AS line_no,
+                    formatted_label FROM kept)
+SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT c.collection_id, h.i AS line_no, h.h AS line FROM (SELECT DISTINCT collection_id FROM kept) c, head h
+  UNION ALL SELECT collection_id, line_no,
+      CASE WHEN line_no = {len(head) - 1} THEN {_q(head[-1])} || formatted_label ELSE formatted_label END FROM numbered)
+""").replace("FROM pairs)\n\n,", "FROM pairs),")
     return s

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.text import html_unescape_basic
 from ..functions.titles import levenshtein_ratio, preview, title_similarity, with_clean_title
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
-from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates
+from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates
+from ..operators.health import attach_status, broken_links, health_summary
+from ..sinks.export import flat_export, instructions_export
+from ..sinks.report import duplicate_report_lines, report_rows, report_summary
 from ..operators.fuzzy import fuzzy_pairs
 from ..operators.labels import build_links
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
-from ..sources.tables import page_bookmark_documents, page_link_variants, page_links, read_table
+from ..sources.tables import (
+    link_status_view, page_bookmark_documents, page_link_variants, page_links, read_table,
+)
 from ..sinks.export import structured_export
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +152,47 @@ def q_export_structured(spark, sf):
     return structured_export(scan_folders(docs), links)
 
 
+JOB_ID = "job_20260101_000000_pages"
+
+
+def _checked(spark, sf):
+    return attach_status(_links(spark, sf, variants=False), link_status_view(spark, sf))
+
+
+def q_link_health(spark, sf):
+    return _checked(spark, sf).select("collection_id", "pos", "url", "is_valid", "status_code", "error")
+
+
+def q_health_summary(spark, sf):
+    return health_summary(_checked(spark, sf))
+
+
+def q_broken_links(spark, sf):
+    return broken_links(_checked(spark, sf))
+
+
+def q_report_rows(spark, sf):
+    return report_rows(_checked(spark, sf), JOB_ID)
+
+
+def q_report_summary(spark, sf):
+    kept = remove_duplicates(_links(spark, sf), DedupConfig(strategy="url"))
+    return report_summary(kept, JOB_ID)
+
+
+def q_dup_report(spark, sf):
+    marked = mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")).cache()
+    return duplicate_report_lines(duplicate_pairs(marked, "url"), duplicate_metrics(marked), "url", 0.85, "first")
+
+
+def q_export_flat(spark, sf):
+    return flat_export(remove_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
+
+
+def q_export_instructions(spark, sf):
+    return instructions_export(remove_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "sanitize_urls": q_sanitize_urls,
@@ -178,4 +224,12 @@ def registry() -> dict[str, Query]:
     q["folder_entries"] = q_folder_entries
     q["folder_summary"] = q_folder_summary
     q["export_structured"] = q_export_structured
+    q["link_health"] = q_link_health
+    q["health_summary"] = q_health_summary
+    q["broken_links"] = q_broken_links
+    q["report_rows"] = q_report_rows
+    q["report_summary"] = q_report_summary
+    q["dup_report"] = q_dup_report
+    q["export_flat"] = q_export_flat
+    q["export_instructions"] = q_export_instructions
     return q

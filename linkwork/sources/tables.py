@@ -66,16 +66,17 @@ def page_link_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V: a deterministic probe-result table over the page URLs.
 
-    ``page_id % 5``: 0 -> timeout, 1 -> 404 (a response, so valid), 2 -> never checked
-    (no row), else 200.  Stands in for the results of a separate probing job.
+    Status class ``page_id % 5``: 0 -> timeout, 1 -> 404 (a response, so valid), 2 -> not
+    checked (all nulls), else 200.  Stands in for the results of a separate probing job.
     """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     m = F.col("page_id") % 5
-    return pages.filter(m != 2).select(
+    checked = m != 2
+    return pages.select(
         F.col("url"),
-        (m != 0).alias("is_valid"),
-        F.when(m == 0, F.lit(None).cast("int")).when(m == 1, F.lit(404)).otherwise(F.lit(200)).alias("status_code"),
-        F.when(m == 0, F.lit("Request timeout")).otherwise(F.lit(None).cast("string")).alias("error"),
+        F.when(checked, m != 0).alias("is_valid"),
+        F.when(m == 1, F.lit(404)).when(checked & (m != 0), F.lit(200)).alias("status_code"),
+        F.when(m == 0, F.lit("Request timeout")).alias("error"),
         F.col("page_id").alias("checked_seq"),
     )
 
