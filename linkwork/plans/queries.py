@@ -12,13 +12,17 @@ from ..functions.titles import levenshtein_ratio, preview, title_similarity, wit
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
 from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates
 from ..operators.health import attach_status, broken_links, health_summary
+from ..operators.outline import match_outline, outline_entries
 from ..sinks.export import flat_export, instructions_export
+from ..sinks.render import relabel_html, render_netscape_lines
+from ..sources.outline import outline_lines
 from ..sinks.report import duplicate_report_lines, report_rows, report_summary
 from ..operators.fuzzy import fuzzy_pairs
 from ..operators.labels import build_links
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
 from ..sources.tables import (
-    link_status_view, page_bookmark_documents, page_link_variants, page_links, read_table,
+    link_status_view, page_bookmark_documents, page_link_variants, page_links, read_table, supplier_outline_links,
+    supplier_outlines,
 )
 from ..sinks.export import structured_export
 
@@ -193,6 +197,36 @@ def q_export_instructions(spark, sf):
     return instructions_export(remove_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
 
 
+def _outline_entries(spark, sf):
+    return outline_entries(outline_lines(supplier_outlines(spark, sf)))
+
+
+def q_outline_parse(spark, sf):
+    """S4 + F5 + W6: every folder and bookmark line of the generated outlines with its folder path."""
+    return _outline_entries(spark, sf)
+
+
+def q_organise_match(spark, sf):
+    """Outline bookmarks matched to the outline's original links."""
+    links = build_links(supplier_outline_links(spark, sf))
+    return match_outline(_outline_entries(spark, sf), links)
+
+
+def q_render_netscape(spark, sf):
+    """K3: organised bookmark files (as ordered lines) from the outlines."""
+    entries = _outline_entries(spark, sf).cache()
+    links = build_links(supplier_outline_links(spark, sf))
+    return render_netscape_lines(entries, match_outline(entries, links))
+
+
+def q_relabel_html(spark, sf):
+    """K2: generated bookmark files rewritten with clean labels and URL duplicates removed."""
+    docs = page_bookmark_documents(spark, sf).cache()
+    anchors = scan_anchors(docs).cache()
+    kept = remove_duplicates(build_links(anchors_as_links(anchors)), DedupConfig(strategy="url"))
+    return relabel_html(docs, anchors, kept)
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "sanitize_urls": q_sanitize_urls,
@@ -232,4 +266,8 @@ def registry() -> dict[str, Query]:
     q["dup_report"] = q_dup_report
     q["export_flat"] = q_export_flat
     q["export_instructions"] = q_export_instructions
+    q["outline_parse"] = q_outline_parse
+    q["organise_match"] = q_organise_match
+    q["render_netscape"] = q_render_netscape
+    q["relabel_html"] = q_relabel_html
     return q

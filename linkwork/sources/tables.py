@@ -126,3 +126,68 @@ def page_bookmark_documents(spark: SparkSession, sf_dir: str, chunk: int = DOC_C
     ordered = F.array_sort(F.collect_list(F.struct("sec", "host", "phase", "pos", "line")))
     return lines.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("html")) \
         .select(F.col("doc").alias("collection_id"), "html")
+
+
+OUTLINE_CHUNK = 500  # suppliers per generated outline; keeps every outline bounded
+
+
+def _supplier_geo(spark: SparkSession, sf_dir: str, chunk: int) -> DataFrame:
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    sup = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return sup.withColumn("collection_id", F.concat(F.col("r_name"), F.lit("#"),
+                                                    F.floor(F.col("s_suppkey") / F.lit(chunk)).cast("string")))
+
+
+def supplier_outlines(spark: SparkSession, sf_dir: str, chunk: int = OUTLINE_CHUNK) -> DataFrame:
+    """Organised outlines ``(collection_id, text)`` built from region -> nation -> supplier.
+
+    One outline per (region, block of ``chunk`` supplier keys)::
+
+        FOLDER: {region}
+          {nation lower}.example.org | {nation}        (every nation of the region)
+          FOLDER: {nation}
+            s{suppkey}.example.com | {supplier}      (" (closed)" appended when acctbal < 0)
+    """
+    sup = _supplier_geo(spark, sf_dir, chunk)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    outlines = sup.select("collection_id", "r_regionkey").distinct()
+    nations = outlines.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).join(region, "r_regionkey")
+    k = lambda a, b, c, d, line: F.struct(F.lit(a).alias("a"), b.cast("bigint").alias("b"), F.lit(c).alias("c"),
+                                          d.cast("bigint").alias("d"), line.alias("line"))
+    heads = nations.select("collection_id", k(0, F.lit(0), 0, F.lit(0),
+                                              F.concat(F.lit("FOLDER: "), F.col("r_name"))).alias("l")).distinct()
+    nat_links = nations.select("collection_id", k(1, F.col("n_nationkey"), 0, F.lit(0), F.concat(
+        F.lit("  "), F.lower(F.col("n_name")), F.lit(".example.org | "), F.col("n_name"))).alias("l"))
+    nat_folders = nations.select("collection_id", k(2, F.col("n_nationkey"), 0, F.lit(0), F.concat(
+        F.lit("  FOLDER: "), F.col("n_name"))).alias("l"))
+    title = F.when(F.col("s_acctbal") < 0, F.concat(F.col("s_name"), F.lit(" (closed)"))).otherwise(F.col("s_name"))
+    sups = sup.select("collection_id", k(2, F.col("n_nationkey"), 1, F.col("s_suppkey"), F.concat(
+        F.lit("    s"), F.col("s_suppkey").cast("string"), F.lit(".example.com | "), title)).alias("l"))
+    lines = heads.unionByName(nat_links).unionByName(nat_folders).unionByName(sups)
+    ordered = F.array_sort(F.collect_list("l"))
+    return lines.groupBy("collection_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+def supplier_outline_links(spark: SparkSession, sf_dir: str, chunk: int = OUTLINE_CHUNK) -> DataFrame:
+    """The original links each generated outline was organised from: ``(collection_id, pos, href, text)``.
+
+    Every nation of the outline's region has ``https://{nation lower}.example.org/``; every
+    supplier has a ``/contact`` page (title ``Contact``) and its home page (title = name).
+    """
+    sup = _supplier_geo(spark, sf_dir, chunk)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    outlines = sup.select("collection_id", "r_regionkey").distinct()
+    nat = outlines.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "collection_id", F.col("n_nationkey").cast("bigint").alias("pos"),
+        F.concat(F.lit("https://"), F.lower(F.col("n_name")), F.lit(".example.org/")).alias("href"),
+        F.col("n_name").alias("text"))
+    host = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com/"))
+    base = F.lit(1000) + F.col("s_suppkey").cast("bigint") * 2
+    contact = sup.select("collection_id", base.alias("pos"), F.concat(host, F.lit("contact")).alias("href"),
+                         F.lit("Contact").alias("text"))
+    home = sup.select("collection_id", (base + 1).alias("pos"), host.alias("href"), F.col("s_name").alias("text"))
+    return nat.unionByName(contact).unionByName(home)
