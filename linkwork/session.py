@@ -23,6 +23,9 @@ def get_spark(app: str = "linkwork", cpus: int | str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LINKWORK_DRIVER_MEMORY", "8g"))
+        # HotSpot does not JIT methods above 8000 bytes of bytecode; the regex-heavy cleaning
+        # stages would run interpreted, so let Spark split such stages instead (Spark's advice)
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
