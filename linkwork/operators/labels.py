@@ -61,12 +61,11 @@ def _family(part: F.Column) -> F.Column:
     return F.regexp_replace(part, r"( [0-9]+)+$", "")
 
 
-def label_links(links: DataFrame, repair: bool = True, reuse: str = "cache") -> DataFrame:
+def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint") -> DataFrame:
     """Add ``domain_links`` (A1), ``domain_ordinal`` (W5), ``part`` and ``formatted_label``.
 
     ``reuse`` says how intermediates read by several branches are kept (see ``materialize``).
     """
-    links = materialize(links, reuse)
     df = with_ordinal(links, ["collection_id", "domain"], "pos", "domain_ordinal", total="domain_links")
     part0 = path_identifier(F.col("url"))
     title_low = F.lower(F.col("clean_title"))
@@ -78,17 +77,17 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "cache") ->
         .otherwise(F.concat(F.lit("Page "), F.col("domain_ordinal").cast("string")))
     )
     df = df.withColumn("part", F.when(F.lower(part0).isin(*FALLBACK_PARTS), fallback).otherwise(part0))
-    single = df.filter(F.col("domain_links") == 1).withColumn("label_part", F.col("clean_title"))
-    multi = with_ordinal(df.filter(F.col("domain_links") > 1), ["collection_id", "domain", "part"], "pos", "part_rank")
-    multi = multi.withColumn(
+    # one pass over all rows: a single-link domain ranks its part 1 and is labelled by its title
+    df = with_ordinal(df, ["collection_id", "domain", "part"], "pos", "part_rank")
+    df = df.withColumn(
         "label_part",
-        F.when(F.col("part_rank") == 1, F.col("part"))
+        F.when(F.col("domain_links") == 1, F.col("clean_title"))
+        .when(F.col("part_rank") == 1, F.col("part"))
         .otherwise(F.concat(F.col("part"), F.lit(" "), F.col("part_rank").cast("string"))),
     ).drop("part_rank")
     if repair:
-        multi = _repair_collisions(materialize(multi, reuse))
-    out = single.unionByName(multi)
-    return out.withColumn("formatted_label", format_label(F.col("domain"), F.col("label_part"))).drop("label_part")
+        df = _repair_collisions(materialize(df, reuse))
+    return df.withColumn("formatted_label", format_label(F.col("domain"), F.col("label_part"))).drop("label_part")
 
 
 def _sequential_labels(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,10 +105,11 @@ def _sequential_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"collection_id": pdf["collection_id"].values, "pos": pdf["pos"].values, "label_part": out})
 
 
-def _repair_collisions(multi: DataFrame) -> DataFrame:
-    fam = multi.withColumn("_family", _family(F.col("part")))
+def _repair_collisions(df: DataFrame) -> DataFrame:
+    fam = df.withColumn("_family", _family(F.col("part")))
     clashes = (
-        fam.groupBy("collection_id", "domain", "label_part")
+        fam.filter(F.col("domain_links") > 1)
+        .groupBy("collection_id", "domain", "label_part")
         .agg(F.count(F.lit(1)).alias("_n"), F.first("_family").alias("_family"))
         .filter(F.col("_n") > 1)
         .select("collection_id", "domain", "_family")
@@ -118,8 +118,8 @@ def _repair_collisions(multi: DataFrame) -> DataFrame:
     keys = ["collection_id", "domain", "_family"]
     if clashes.isEmpty():
         # common case: the numbering by window is already the sequential result
-        return multi
-    affected = fam.join(clashes, keys, "left_semi")
+        return df
+    affected = fam.filter(F.col("domain_links") > 1).join(clashes, keys, "left_semi")
     fixed = (
         affected.select(*keys, "pos", "part")
         .groupBy(*keys)

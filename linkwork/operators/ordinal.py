@@ -30,18 +30,15 @@ def with_ordinal(
     ``order_col`` must be unique within the keys.  With ``total`` also adds the key's row count.
     """
     keys = list(keys)
-    d = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
-    counts = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    part = Window.partitionBy(*keys, "_bk")
+    # one shuffle by (keys, bucket): rank and size inside the bucket; the input is read once
+    d = (df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
+         .withColumn("_in", F.row_number().over(part.orderBy(order_col)))
+         .withColumn("_c", F.count(F.lit(1)).over(part)))
+    counts = d.groupBy(*keys, "_bk").agg(F.first("_c").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:
         counts = counts.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
-    out = d.join(counts.drop("_c"), [*keys, "_bk"])
-    rank = F.row_number().over(Window.partitionBy(*keys, "_bk").orderBy(order_col))
-    return out.withColumn(name, (F.col("_off") + rank).cast("bigint")).drop("_bk", "_off")
-
-
-def with_key_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Add the number of rows sharing ``keys`` (partial aggregation, then a join)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, list(keys))
+    out = d.drop("_c").join(counts.drop("_c"), [*keys, "_bk"])
+    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_bk", "_off", "_in")

@@ -18,6 +18,7 @@ from ..sinks.render import relabel_html, render_netscape_lines
 from ..sources.outline import outline_lines
 from ..sinks.report import duplicate_report_lines, report_rows, report_summary
 from ..operators.fuzzy import fuzzy_pairs
+from ..session import materialize
 from ..operators.labels import build_links
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
 from ..sources.tables import (
@@ -108,7 +109,7 @@ def q_dup_metrics(spark, sf):
 
 def q_strategy_comparison(spark, sf):
     """Rows left and removed per (strategy, keep strategy) over one cached link table."""
-    links = _links(spark, sf).cache()
+    links = materialize(_links(spark, sf))
     parts = []
     for strategy, label_col in (("url", "formatted_label"), ("title", "clean_title"), ("smart", "formatted_label")):
         for keep in ("first", "last", "shortest", "longest"):
@@ -151,7 +152,7 @@ def q_folder_summary(spark, sf):
 
 def q_export_structured(spark, sf):
     """K6: the folder tree as indented text lines, labels looked up by URL."""
-    docs = page_bookmark_documents(spark, sf).cache()
+    docs = materialize(page_bookmark_documents(spark, sf))
     links = build_links(anchors_as_links(scan_anchors(docs)))
     return structured_export(scan_folders(docs), links)
 
@@ -185,7 +186,7 @@ def q_report_summary(spark, sf):
 
 
 def q_dup_report(spark, sf):
-    marked = mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")).cache()
+    marked = materialize(mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
     return duplicate_report_lines(duplicate_pairs(marked, "url"), duplicate_metrics(marked), "url", 0.85, "first")
 
 
@@ -214,15 +215,15 @@ def q_organise_match(spark, sf):
 
 def q_render_netscape(spark, sf):
     """K3: organised bookmark files (as ordered lines) from the outlines."""
-    entries = _outline_entries(spark, sf).cache()
+    entries = materialize(_outline_entries(spark, sf))
     links = build_links(supplier_outline_links(spark, sf))
     return render_netscape_lines(entries, match_outline(entries, links))
 
 
 def q_relabel_html(spark, sf):
     """K2: generated bookmark files rewritten with clean labels and URL duplicates removed."""
-    docs = page_bookmark_documents(spark, sf).cache()
-    anchors = scan_anchors(docs).cache()
+    docs = materialize(page_bookmark_documents(spark, sf))
+    anchors = materialize(scan_anchors(docs))
     kept = remove_duplicates(build_links(anchors_as_links(anchors)), DedupConfig(strategy="url"))
     return relabel_html(docs, anchors, kept)
 

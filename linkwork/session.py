@@ -49,11 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
 
-def materialize(df, how: str = "cache"):
+def materialize(df, how: str = "checkpoint"):
     """Make a reused intermediate computed once.
 
-    ``cache``: ``persist(MEMORY_AND_DISK)`` -- lost blocks are recomputed from lineage.
-    ``checkpoint``: reliable checkpoint into ``spark.checkpoint.dir`` (cuts lineage).
+    ``checkpoint`` (default): reliable checkpoint into ``spark.checkpoint.dir``; the result is
+    a small plan over the written files, survives executor loss and leaves no cache entry
+    that later queries would have to match their plans against.
+    ``cache``: ``persist(MEMORY_AND_DISK)``; lost blocks are recomputed from lineage.
     ``none``: leave the plan as is.
     """
     from pyspark import StorageLevel
