@@ -26,6 +26,8 @@ def get_spark(app: str = "linkwork", cpus: int | str = "*", shuffle_partitions:
         # HotSpot does not JIT methods above 8000 bytes of bytecode; the regex-heavy cleaning
         # stages would run interpreted, so let Spark split such stages instead (Spark's advice)
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # remove checkpoint files of intermediates once they are no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,8 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        # local runs and tests only: a cluster names its shared folder in spark.checkpoint.dir
         conf_dir = tempfile.mkdtemp(prefix="linkwork-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
