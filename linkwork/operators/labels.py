@@ -6,8 +6,9 @@ numbered `` 2``, `` 3``... in position order.  The numbering is a row number per
 ``(collection, domain, part)``; it equals the sequential first-free-number rule unless a
 numbered label collides with another part (``X 2`` vs the second ``X``).  Only the
 *families* where that happens -- parts that share a root once trailing numbers are
-removed -- are re-run with the literal rule in ``applyInPandas``; families are
-independent because every label of a part shares the part's root.
+removed -- are repaired, and the repair never gathers their rows: each part's numbering is
+its rank plus a short skip list, worked out in ``applyInPandas`` from per-part counts, first
+positions and the positions of a few ranks, then joined back to the rows.
 """
 
 from __future__ import annotations
@@ -84,25 +85,77 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint"
         F.when(F.col("domain_links") == 1, F.col("clean_title"))
         .when(F.col("part_rank") == 1, F.col("part"))
         .otherwise(F.concat(F.col("part"), F.lit(" "), F.col("part_rank").cast("string"))),
-    ).drop("part_rank")
+    )
     if repair:
         df = _repair_collisions(materialize(df, reuse))
-    return df.withColumn("formatted_label", format_label(F.col("domain"), F.col("label_part"))).drop("label_part")
+    return (df.withColumn("formatted_label", format_label(F.col("domain"), F.col("label_part")))
+            .drop("label_part", "part_rank"))
 
 
-def _sequential_labels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The literal first-free-number rule over one family, in position order."""
-    pdf = pdf.sort_values("pos")
+def sequential_labels(parts: list[str]) -> list[str]:
+    """The literal first-free-number rule (reference statement, used by tests)."""
     used: set[str] = set()
     out = []
-    for part in pdf["part"]:
+    for part in parts:
         label, k = part, 1
         while label in used:
             k += 1
             label = f"{part} {k}"
         used.add(label)
         out.append(label)
-    return pd.DataFrame({"collection_id": pdf["collection_id"].values, "pos": pdf["pos"].values, "label_part": out})
+    return out
+
+
+# A part "b k" (k a canonical integer >= 2) is the only other part whose labels can meet b's:
+# its first label "b k" is b's k-th.  So b's rows take numbers 1, 2, 3 ... in order and skip
+# exactly the numbers k whose part "b k" showed up first; and "b" itself is skipped when b's
+# parent reached b's number before b's first row.  Each part's numbering is therefore its rank
+# plus the count of skips recorded at or before that rank -- a short list per part.
+_CHILD = r"^(.*) ([2-9]|[1-9][0-9]+)$"
+_SKIPS_SCHEMA = "collection_id string, domain string, _family string, part string, skip_at bigint"
+
+
+def _solve_family(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Skip lists of every part of one family from its metadata rows (no link rows)."""
+    key = pdf.iloc[0]
+    bases = pdf[pdf["kind"] == "base"]
+    probes = {(r.part, int(r.rank)): int(r.pos) for r in pdf[pdf["kind"] == "probe"].itertuples()}
+    info = {r.part: (int(r.n), int(r.first), r.parent, r.slot) for r in bases.itertuples()}
+    kids: dict[str, list[tuple[int, str]]] = {}
+    for part, (_, _, parent, slot) in info.items():
+        if isinstance(parent, str) and parent in info:
+            kids.setdefault(parent, []).append((int(slot), part))
+
+    def depth(part: str) -> int:
+        d, p = 0, info[part][2]
+        while isinstance(p, str) and p in info:
+            d, p = d + 1, info[p][2]
+        return d
+
+    blocked: set[str] = set()
+    out = []
+    for b in sorted(info, key=depth):
+        n = info[b][0]
+        i, k = 1, 1
+        if b in blocked:
+            out.append((b, 1))
+            k = 2
+        for slot, child in sorted(kids.get(b, [])):
+            if slot < k:
+                continue
+            i += slot - k
+            if i > n:
+                break
+            if info[child][1] < probes[(b, i)]:
+                out.append((b, i))          # the child took "b slot" first
+            else:
+                blocked.add(child)          # row i takes "b slot"; the child moves on
+                i += 1
+            k = slot + 1
+    return pd.DataFrame({"collection_id": key["collection_id"], "domain": key["domain"],
+                         "_family": key["_family"], "part": [b for b, _ in out],
+                         "skip_at": [x for _, x in out]},
+                        columns=["collection_id", "domain", "_family", "part", "skip_at"])
 
 
 def _repair_collisions(df: DataFrame) -> DataFrame:
@@ -119,15 +172,34 @@ def _repair_collisions(df: DataFrame) -> DataFrame:
     if clashes.isEmpty():
         # common case: the numbering by window is already the sequential result
         return df
-    affected = fam.filter(F.col("domain_links") > 1).join(clashes, keys, "left_semi")
-    fixed = (
-        affected.select(*keys, "pos", "part")
-        .groupBy(*keys)
-        .applyInPandas(_sequential_labels, "collection_id string, pos bigint, label_part string")
-    )
-    repaired = affected.drop("label_part").join(fixed, ["collection_id", "pos"])
+    rows = fam.filter(F.col("domain_links") > 1).join(clashes, keys, "left_semi")
+    bases = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    bases = bases.withColumn("parent", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 1))) \
+        .withColumn("slot", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 2).cast("bigint")))
+    kids = bases.filter(F.col("parent").isNotNull()).select(
+        *keys, F.col("parent").alias("part"), F.col("slot").alias("k"))
+    kids = kids.join(bases.select(*keys, "part", "n"), [*keys, "part"])
+    m = kids.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"))
+    # positions of the few ranks the solver can ask for: k - s for s in 0..m+1
+    wanted = kids.join(m, [*keys, "part"]).select(
+        *keys, "part", "n", F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("_s"), "k")
+    wanted = wanted.select(*keys, "part", (F.col("k") - F.col("_s")).alias("rank"), "n") \
+        .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("n"))).drop("n").distinct()
+    probes = wanted.join(rows.select(*keys, "part", F.col("part_rank").alias("rank"), "pos"), [*keys, "part", "rank"])
+    meta = bases.select(*keys, F.lit("base").alias("kind"), "part", "n", "first", "parent", "slot",
+                        F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("pos")) \
+        .unionByName(probes.select(*keys, F.lit("probe").alias("kind"), "part", F.lit(None).cast("bigint").alias("n"),
+                                   F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("string").alias("parent"),
+                                   F.lit(None).cast("bigint").alias("slot"), "rank", "pos"))
+    skips = meta.groupBy(*keys).applyInPandas(_solve_family, _SKIPS_SCHEMA)
+    skip_lists = skips.groupBy(*keys, "part").agg(F.collect_list("skip_at").alias("_skips"))
+    fixed = rows.join(skip_lists, [*keys, "part"], "left")
+    slot = F.col("part_rank") + F.size(F.filter(F.coalesce(F.col("_skips"), F.array().cast("array<bigint>")),
+                                                lambda x: x <= F.col("part_rank")))
+    fixed = fixed.withColumn("label_part", F.when(slot == 1, F.col("part"))
+                             .otherwise(F.concat(F.col("part"), F.lit(" "), slot.cast("string")))).drop("_skips")
     untouched = fam.join(clashes, keys, "left_anti")
-    return untouched.unionByName(repaired).drop("_family")
+    return untouched.unionByName(fixed).drop("_family")
 
 
 def build_links(src: DataFrame, title_col: str = "text") -> DataFrame:

@@ -43,3 +43,31 @@ def test_single_link_domain_uses_title(spark):
 def test_dangerous_links_dropped(spark):
     rows = [("https://example.com", "Safe"), ("javascript:alert(1)", "x"), ("data:text/html,hi", "y")]
     assert labels(spark, rows) == ["example.com | Safe"]
+
+
+def test_repair_matches_literal_rule_on_random_families(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from linkwork.operators.labels import label_links, sequential_labels
+
+    rng = random.Random(7)
+    choices = ["X", "X 2", "X 3", "X 2 2", "X 2 3", "X 4", "Y", "Y 2", "X 1", "X 02"]
+    rows, expect = [], {}
+    for c in range(40):
+        parts = [rng.choice(choices) for _ in range(rng.randint(2, 12))]
+        cid = f"c{c}"
+        for i, p in enumerate(parts):
+            rows.append((cid, i * 7 + c % 3, p))
+        want = sequential_labels(parts)
+        for i, lab in enumerate(want):
+            expect[(cid, i * 7 + c % 3)] = "d.com | " + lab
+    df = spark.createDataFrame(rows, "collection_id string, pos bigint, part string")
+    # a link row per part: the URL path carries the part so path_identifier gives it back
+    links = df.select("collection_id", "pos", F.concat(F.lit("https://d.com/s/"), F.replace("part", F.lit(" "), F.lit("_")))
+                      .alias("url"), F.lit("d.com").alias("domain"), F.lit("t").alias("original_title"),
+                      F.lit("t").alias("clean_title"), F.lit(None).cast("string").alias("icon"),
+                      F.lit(None).cast("string").alias("add_date"), F.lit("").alias("href"))
+    got = {(r.collection_id, r.pos): r.formatted_label for r in label_links(links).collect()}
+    assert got == expect
