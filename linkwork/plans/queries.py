@@ -221,8 +221,9 @@ def q_render_netscape(spark, sf):
 
 
 def q_relabel_html(spark, sf):
-    """K2: generated bookmark files rewritten with clean labels and URL duplicates removed."""
-    docs = materialize(page_bookmark_documents(spark, sf))
+    """K2: generated bookmark files (every page in four spellings) rewritten with clean labels and
+    URL duplicates removed."""
+    docs = materialize(page_bookmark_documents(spark, sf, variants=True))
     anchors = materialize(scan_anchors(docs))
     kept = remove_duplicates(build_links(anchors_as_links(anchors)), DedupConfig(strategy="url"))
     return relabel_html(docs, anchors, kept)

@@ -17,12 +17,18 @@ def job_id_for(stem: str, timestamp: str) -> str:
     return f"job_{timestamp}_{stem}"
 
 
+def _with_status(links: DataFrame) -> DataFrame:
+    """Validation fields are null when no status was attached."""
+    out = links
+    for c, t in (("is_valid", "boolean"), ("status_code", "int")):
+        if c not in links.columns:
+            out = out.withColumn(c, F.lit(None).cast(t))
+    return out
+
+
 def report_rows(links: DataFrame, job_id: str) -> DataFrame:
-    """K1 flat rows: one per link; validation fields are null when no status was attached."""
-    cols = set(links.columns)
-    extra = [F.col(c) if c in cols else F.lit(None).cast("boolean" if c == "is_valid" else "int").alias(c)
-             for c in ("is_valid", "status_code")]
-    return links.select(F.lit(job_id).alias("job_id"), "collection_id", "pos", *REPORT_FIELDS[:5], *extra)
+    """K1 flat rows: one per link."""
+    return _with_status(links).select(F.lit(job_id).alias("job_id"), "collection_id", "pos", *REPORT_FIELDS)
 
 
 def report_summary(links: DataFrame, job_id: str) -> DataFrame:
@@ -36,7 +42,7 @@ def report_summary(links: DataFrame, job_id: str) -> DataFrame:
 def report_documents(links: DataFrame, job_id: str, source: str = "") -> DataFrame:
     """K1 nested form per collection (for small collections): header, summary and the ordered link list."""
     items = F.array_sort(F.collect_list(F.struct("pos", *[F.col(c) for c in REPORT_FIELDS])))
-    return links.groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), items.alias("items")).select(
+    return _with_status(links).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), items.alias("items")).select(
         F.lit(source).alias("source_file"), F.lit(job_id).alias("job_id"), "collection_id",
         F.struct(F.col("n").alias("total_bookmarks"), F.lit(True).alias("original_structure_preserved"),
                  F.lit(True).alias("labels_cleaned"), F.lit(True).alias("duplicates_handled")).alias("summary"),

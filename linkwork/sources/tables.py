@@ -86,16 +86,20 @@ DOC_CHUNK = 500  # pages per generated bookmark document; keeps every document b
 DOC_SHAPES = {"de": "dd", "fr": "dt"}  # others: bare Netscape
 
 
-def page_bookmark_documents(spark: SparkSession, sf_dir: str, chunk: int = DOC_CHUNK) -> DataFrame:
+def page_bookmark_documents(spark: SparkSession, sf_dir: str, chunk: int = DOC_CHUNK,
+                            variants: bool = False) -> DataFrame:
     """Netscape bookmark files built from ``pages``: ``(collection_id, html)``.
 
     One document per (language, block of ``chunk`` page ids); inside it one folder per
     host (sorted) holding that host's pages in id order.  Titles and URLs are escaped.
+    With ``variants`` every page appears in its four spellings (``page_link_variants``).
     """
     from ..functions.text import html_escape
 
-    b0 = page_links(spark, sf_dir)
-    doc = F.concat(F.col("collection_id"), F.lit("/"), F.floor(F.col("pos") / F.lit(chunk)).cast("string"))
+    b0 = page_link_variants(spark, sf_dir) if variants else page_links(spark, sf_dir)
+    per_page = VARIANTS if variants else 1
+    doc = F.concat(F.col("collection_id"), F.lit("/"),
+                   F.floor(F.col("pos") / F.lit(chunk * per_page)).cast("string"))
     shape = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DOC_SHAPES.items() for x in kv]),
                                     F.col("collection_id")), F.lit("bare"))
     pages = b0.select(doc.alias("doc"), shape.alias("shape"), F.split_part(F.col("href"), F.lit("/"), F.lit(3)).alias("host"),

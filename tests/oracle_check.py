@@ -54,6 +54,12 @@ def main():
         rel = con.sql(sql[name])
         ocols, orows = rel.columns, rel.fetchall()
         ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and digest(cols, rows) == digest(ocols, orows)
+        st = dict(df.dtypes)
+        ot = {c: str(t) for c, t in zip(ocols, rel.types)}
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+        tbad = [(c, st[c], ot.get(c)) for c in cols if tmap.get(st[c], st[c]) != ot.get(c)]
+        if tbad:
+            print("   type differences:", tbad)
         bad += not ok
         print(f"{name:28s} rows={len(rows):6d}/{len(orows):6d} spark={el:6.2f}s {'OK' if ok else 'MISMATCH'}"
               + ("" if sorted(cols) == sorted(ocols) else f" cols {cols} vs {ocols}"), flush=True)
