@@ -22,6 +22,8 @@ def get_spark(app: str = "linkwork", cpus: int | str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # documents are large rows: keep Arrow batches into the HTML parser small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         .config("spark.driver.memory", os.environ.get("LINKWORK_DRIVER_MEMORY", "8g"))
         # HotSpot does not JIT methods above 8000 bytes of bytecode; the regex-heavy cleaning
         # stages would run interpreted, so let Spark split such stages instead (Spark's advice)

@@ -120,9 +120,10 @@ class _Spans(_LinkParser):
     def __init__(self, text: str) -> None:
         super().__init__()
         self._starts = [0]
-        for i, ch in enumerate(text):
-            if ch == "\n":
-                self._starts.append(i + 1)
+        at = text.find("\n")
+        while at >= 0:
+            self._starts.append(at + 1)
+            at = text.find("\n", at + 1)
         self.items: list[dict] = []   # per anchor: dt start, a text start/end, item end
         self._dt_at: int | None = None
         self._dt_folder = False
@@ -178,12 +179,15 @@ def rewrite_document(html: str, decisions: dict[int, str | None]) -> str:
             from html import escape
 
             edits.append((it["a_text"], it["a_end"], escape(label, quote=False)))
-    out = html
-    for start, end, rep in sorted(edits, reverse=True):
-        out = out[:start] + rep + out[end:]
     if p.meta_end is not None:
-        out = out[:p.meta_end] + COMMENT.format(n=removed) + out[p.meta_end:]
-    return out
+        edits.append((p.meta_end, p.meta_end, COMMENT.format(n=removed)))
+    pieces, at = [], 0
+    for start, end, rep in sorted(edits, key=lambda e: (e[0], e[1])):
+        pieces.append(html[at:start])
+        pieces.append(rep)
+        at = end
+    pieces.append(html[at:])
+    return "".join(pieces)
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

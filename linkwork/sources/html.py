@@ -148,9 +148,22 @@ def scan_folders(docs: DataFrame) -> DataFrame:
     return docs.select("collection_id", "html").mapInPandas(_entry_rows, ENTRY_SCHEMA)
 
 
+DOC_SCHEMA = "collection_id string, html string"
+
+
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """``(collection_id, html)`` per file; files that are not valid UTF-8 give no row."""
-    raw = spark.read.format("binaryFile").load(path)
+    """``(collection_id, html)`` per file; files that are not valid UTF-8 give no row.
+
+    A path that does not exist gives no rows (the tool logs and carries on), not an error.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.format("binaryFile").load(path)
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err) and "does not exist" not in str(err):
+            raise
+        return spark.createDataFrame([], DOC_SCHEMA)
     text = F.col("content").cast("string")
     return raw.filter(F.is_valid_utf8(text)).select(F.col("path").alias("collection_id"), text.alias("html"))
 
