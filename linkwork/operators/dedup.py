@@ -37,6 +37,8 @@ class DedupConfig:
     grouping: str = "pairwise"          # 'pairwise' (the tool) or 'whole' (one survivor per group)
     label_col: str = "formatted_label"  # compared by 'title' (and word sets of 'fuzzy')
     length_col: str = "formatted_label"  # lengths for the 'shortest'/'longest' keep strategies
+    dense_block: int = 256               # fuzzy: URL blocks above this many signatures are expanded
+    expansion_rounds: int = 4            # fuzzy: leader-expansion rounds before the edge rounds
 
 
 def _label_len(label_col: str) -> Column:

@@ -20,6 +20,12 @@ fixes the Jaccard index needed, ``need = (t - 0.5u - 0.2d) / 0.3``:
 
 Rows with the same (normalised url, domain, word set) score 1.0 with each other and
 alike with everyone else, so they are collapsed to one node first and expanded after.
+
+Above a threshold of 0.5 every edge joins equal normalised URLs.  A URL block with many
+signatures (copies of one page under numbered labels are mutually similar) is first
+settled by *leader expansion*: its first undecided node is a leader and claims the
+undecided nodes it reaches, one comparison per node per round, without producing pairs.
+What is left after a few rounds is an independent problem for the edge rounds.
 """
 
 from __future__ import annotations
@@ -157,6 +163,38 @@ def assign_groups(state: DataFrame, edges: DataFrame, cliques: list[list[str]])
     return st.select("collection_id", "node", group.alias("group_node"))
 
 
+def expand_leaders(nodes: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Leader expansion inside normalised-URL blocks (valid when every edge stays in its block).
+
+    In each block the first undecided node is a leader -- every earlier node is decided and no
+    earlier leader reaches it, or it would already be a member -- and the undecided nodes it
+    reaches become its members.  One round compares each undecided node with one leader, so a
+    block of mutually similar copies is settled without producing its pairs.  Returns the
+    decided ``(collection_id, node, group_node)`` and the nodes still undecided, which form an
+    independent problem (no decided leader reaches them).
+    """
+    cols = ["collection_id", "node", "_nurl", "_dom", "_toks"]
+    undecided = nodes.select(*cols)
+    decided = None
+    for _ in range(rounds):
+        lead = undecided.groupBy("collection_id", "_nurl").agg(F.min("node").alias("_l"))
+        lead = lead.join(undecided.select("collection_id", "_nurl", F.col("node").alias("_l"),
+                                          F.col("_dom").alias("_ldom"), F.col("_toks").alias("_ltoks")),
+                         ["collection_id", "_nurl", "_l"])
+        c = undecided.join(lead, ["collection_id", "_nurl"])
+        inter = F.size(F.array_intersect("_toks", "_ltoks")).cast("double")
+        union = F.size(F.array_union("_toks", "_ltoks")).cast("double")
+        score = _score(F.lit(1.0), inter / union, (F.col("_dom") == F.col("_ldom")).cast("double"))
+        group = F.when(F.col("node") == F.col("_l"), F.col("_l")).when(score >= F.lit(threshold), F.col("_l"))
+        step = materialize(c.select(*cols, group.alias("group_node")), "checkpoint")
+        done = step.filter(F.col("group_node").isNotNull()).select("collection_id", "node", "group_node")
+        decided = done if decided is None else decided.unionByName(done)
+        undecided = step.filter(F.col("group_node").isNull()).select(*cols)
+        if undecided.isEmpty():
+            break
+    return decided, undecided
+
+
 def mark_fuzzy_duplicates(links: DataFrame, cfg) -> DataFrame:
     """All rows with ``dup_first`` (group leader position, null when alone), ``dup_size`` and ``removed``."""
     t = float(cfg.similarity_threshold)
@@ -169,9 +207,22 @@ def mark_fuzzy_duplicates(links: DataFrame, cfg) -> DataFrame:
     else:
         cliques, joins = fuzzy_plan(t)
         nodes = materialize(nodes, "checkpoint")
+        expanded = None
+        if t > URL_W + EPS and getattr(cfg, "dense_block", 0) > 0:
+            # every edge joins equal normalised URLs: expand large URL blocks leader by leader
+            size = nodes.groupBy("collection_id", "_nurl").agg(F.count(F.lit(1)).alias("_bs"))
+            sized = nodes.join(size, ["collection_id", "_nurl"])
+            dense = sized.filter(F.col("_bs") > cfg.dense_block).drop("_bs")
+            if not dense.isEmpty():
+                expanded, rest = expand_leaders(dense, t, cfg.expansion_rounds)
+                keep = ["collection_id", "node", "_nurl", "_dom", "_toks"]
+                nodes = materialize(sized.filter(F.col("_bs") <= cfg.dense_block).select(*keep)
+                                    .unionByName(rest.select(*keep)), "checkpoint")
         edges = materialize(candidate_edges(nodes, t, joins), "checkpoint")
         state = leaders_in_rounds(nodes, edges, cliques)
         groups = assign_groups(state, edges, cliques)
+        if expanded is not None:
+            groups = groups.unionByName(expanded)
     g = rows.join(groups, ["collection_id", "node"])
     g = g.withColumn("_len", F.length(F.coalesce(F.col(cfg.length_col), F.lit(""))).cast("bigint"))
     stats = g.groupBy("collection_id", "group_node").agg(

@@ -121,3 +121,21 @@ def test_pair_listing_order(spark, strategy):
     pairs = duplicate_pairs(mark_duplicates(frame(spark, DEMO), DedupConfig(strategy=strategy)), strategy)
     got = [(r.group_no, r.first_pos, r.dup_pos) for r in pairs.orderBy("group_no").collect()]
     assert got == [(1, 0, 1), (2, 2, 3), (3, 4, 5)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("t", [0.95, 0.8, 0.6])
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_fuzzy_leader_expansion_matches_plain_loop(spark, seed, t, rounds):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    rows = []
+    for i in range(24):
+        host = rng.choice(["a.com", "www.a.com", "a.com:443"])
+        label = "a.com | " + " ".join(rng.sample(words, rng.randint(1, 3)))
+        rows.append((i * 2, "https://" + host + rng.choice(["/x", "/x/"]), label, pyref.domain("https://" + host)))
+    got = removed(spark, rows, strategy="fuzzy", similarity_threshold=t, dense_block=1, expansion_rounds=rounds)
+    recs = [(u, lab, d) for _, u, lab, d in rows]
+    lens = [len(lab) for _, _, lab, _ in rows]
+    exp = {rows[i][0] for i in pyref.keep_removed(pyref.fuzzy_groups(recs, t), lens, "first")}
+    assert got == exp
