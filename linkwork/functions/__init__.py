@@ -13,5 +13,5 @@ __all__ = [
     "clean_title", "default_url", "domain_of_sanitized", "extract_domain", "format_label", "html_escape",
     "html_unescape_basic", "is_dangerous_url", "jaccard", "levenshtein_ratio", "normalize_url",
     "path_identifier", "preview", "py_title", "sanitize_url", "split_ws", "strip_ws", "title_similarity",
-    "token_set",
+    "token_set", "with_clean_title", "with_normalized_url", "with_sanitized_url",
 ]

@@ -39,6 +39,35 @@ USES_NETLOC = [
     "git+ssh", "ws", "wss", "itms-services",
 ]
 
+def _ipv6_pattern(scope: str) -> str:
+    """Textual IPv6 addresses as Python's ``ipaddress`` accepts them: at most one ``::``, eight
+    16-bit groups in all (an IPv4 dotted quad may stand for the last two), optional ``%scope``."""
+    h = "[0-9a-fA-F]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = rf"{octet}(?:\.{octet}){{3}}"
+
+    def run(n: int) -> str:
+        return "" if n == 0 else (h if n == 1 else rf"{h}(?::{h}){{{n - 1}}}")
+
+    alts = [rf"(?:{h}:){{7}}{h}", rf"(?:{h}:){{6}}{v4}"]
+    alts += [run(left) + "::" + run(right) for left in range(8) for right in range(8 - left)]
+    alts += [run(left) + "::" + (rf"(?:{h}:){{{right}}}" if right else "") + v4
+             for left in range(6) for right in range(6 - left)]
+    return "(?:" + "|".join(alts) + ")" + scope
+
+
+# The text between the first '[' and the next ']' must be an IPv6 address or an IPvFuture
+# literal, or urllib rejects the URL (Python 3.13 rule).
+_BRACKET_HOST = rf"(?s)^(?:v[a-fA-F0-9]+\..+|{_ipv6_pattern('(?:%[^%]+)?')})$"
+
+
+def _netloc_ok(netloc: Column) -> Column:
+    """urlsplit's check of a network location that holds both '[' and ']'."""
+    inner = F.regexp_extract(netloc, r"(?s)^[^\[]*\[([^\]]*)", 1)
+    both = netloc.contains("[") & netloc.contains("]")
+    return F.when(~both, F.lit(True)).otherwise(inner.rlike(_BRACKET_HOST))
+
+
 # scheme, netloc, path, query, fragment -- the urlsplit decomposition.
 URL_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _DANGER = "(?i)^(" + "|".join(DANGEROUS_SCHEMES) + "):"
@@ -75,7 +104,7 @@ def _fix_scheme(s: Column) -> Column:
 
 def _sanitized_from_parts(s: Column, scheme: Column, netloc: Column, path: Column, query: Column,
                           frag: Column) -> Column:
-    bad_brackets = netloc.contains("[") != netloc.contains("]")
+    bad_brackets = (netloc.contains("[") != netloc.contains("]")) | ~_netloc_ok(netloc)
     rebuilt = F.concat(
         F.lower(scheme), F.lit("://"), netloc, _drop_empty_params(path),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),

@@ -7,7 +7,7 @@ one task; ``join_lines`` glues them for small collections.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.titles import format_label, with_clean_title
@@ -95,4 +95,4 @@ def write_lines(lines: DataFrame, path: str) -> None:
      .select("collection_id", "line").write.mode("overwrite").partitionBy("collection_id").text(path))
 
 
-__all__ = ["flat_export", "instructions_export", "structured_export", "join_lines", "write_lines", "Window"]
+__all__ = ["flat_export", "instructions_export", "structured_export", "join_lines", "write_lines"]

@@ -128,3 +128,9 @@ def test_urls_property(spark, values):
 def test_titles_property(spark, values):
     assert run(spark, clean_title, values) == [pyref.clean(v) for v in values]
     assert run(spark, strip_ws, values) == [v.strip() for v in values]
+
+
+def test_bracketed_hosts(spark):
+    vals = ["[]", "https://[::1]:8080/x", "https://[1.2.3.4]/", "https://[v1.fe]/", "https://a[::1]/", "https://[::1]x/",
+            "https://u@[fe80::1%25en0]/", "http://[x]@example.com/", "[::1", "http://[v1.a]@v1.b/"]
+    assert run(spark, sanitize_url, vals) == [pyref.sanitize(v) for v in vals]
