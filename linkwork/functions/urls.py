@@ -68,6 +68,10 @@ def _netloc_ok(netloc: Column) -> Column:
     return F.when(~both, F.lit(True)).otherwise(inner.rlike(_BRACKET_HOST))
 
 
+# Schemes whose last path segment may carry ";params" (Python standard library list).
+USES_PARAMS = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip",
+               "sips", "mms", "sftp", "tel"]
+
 # scheme, netloc, path, query, fragment -- the urlsplit decomposition.
 URL_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _DANGER = "(?i)^(" + "|".join(DANGEROUS_SCHEMES) + "):"
@@ -179,9 +183,11 @@ def _normalized_from_parts(scheme: Column, netloc: Column, rawpath: Column, quer
         .otherwise(netloc)
     )
     netloc = F.regexp_replace(netloc, F.lit(r"^www\."), F.lit(""))
-    # split ';params' off the last segment, as urlparse does
-    path = F.regexp_replace(rawpath, F.lit(r"^((?:.*/)?[^/;]*);[^/]*$"), F.lit("$1"))
-    params = F.regexp_extract(rawpath, r"(?s)^(?:.*/)?[^/;]*;([^/]*)$", 1)
+    # split ';params' off the last segment, as urlparse does for the schemes that have them
+    has_params = scheme.isin(*USES_PARAMS)
+    path = F.when(has_params, F.regexp_replace(rawpath, F.lit(r"^((?:.*/)?[^/;]*);[^/]*$"), F.lit("$1"))) \
+        .otherwise(rawpath)
+    params = F.when(has_params, F.regexp_extract(rawpath, r"(?s)^(?:.*/)?[^/;]*;([^/]*)$", 1)).otherwise(F.lit(""))
     path = F.regexp_replace(path, F.lit(r"/+$"), F.lit(""))
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != F.lit("")),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.titles import JUNK_PREFIXES
 from ..sinks.export import DEFAULT_INSTRUCTIONS
-from ..functions.urls import TRACKING_PARAMS, USES_NETLOC
+from ..functions.urls import TRACKING_PARAMS, USES_NETLOC, USES_PARAMS
 from ..operators.labels import FALLBACK_PARTS, GENERIC_TITLES, STOP_WORDS
 
 URL_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -101,8 +101,10 @@ def normalize_ctes(src: str, col: str, out: str, name: str = "normalized_url") -
     regexp_replace(CASE WHEN _n1 = 'http' AND ends_with(_n2, ':80') THEN regexp_replace(_n2, ':80$', '')
                         WHEN _n1 = 'https' AND ends_with(_n2, ':443') THEN regexp_replace(_n2, ':443$', '')
                         ELSE _n2 END, '^www\\.', '') AS _host,
-    regexp_replace(regexp_replace(_n3, '^((?:.*/)?[^/;]*);[^/]*$', '\\1'), '/+$', '') AS _path,
-    regexp_extract(_n3, '(?s)^(?:.*/)?[^/;]*;([^/]*)$', 1) AS _params,
+    regexp_replace(CASE WHEN _n1 IN {_list(USES_PARAMS)} THEN regexp_replace(_n3, '^((?:.*/)?[^/;]*);[^/]*$', '\\1')
+                        ELSE _n3 END, '/+$', '') AS _path,
+    CASE WHEN _n1 IN {_list(USES_PARAMS)} THEN regexp_extract(_n3, '(?s)^(?:.*/)?[^/;]*;([^/]*)$', 1) ELSE '' END
+      AS _params,
     array_to_string(list_transform(
         list_filter(list_transform(list_filter(string_split(_n4, '&'), lambda p: p <> ''),
                                    lambda p: {{'k': {k}, 'v': {v}}}),
