@@ -191,7 +191,8 @@ def supplier_outline_links(spark: SparkSession, sf_dir: str, chunk: int = OUTLIN
         F.col("n_name").alias("text"))
     host = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com/"))
     base = F.lit(1000) + F.col("s_suppkey").cast("bigint") * 2
-    contact = sup.select("collection_id", base.alias("pos"), F.concat(host, F.lit("contact")).alias("href"),
-                         F.lit("Contact").alias("text"))
-    home = sup.select("collection_id", (base + 1).alias("pos"), host.alias("href"), F.col("s_name").alias("text"))
-    return nat.unionByName(contact).unionByName(home)
+    pages = F.array(
+        F.struct(base.alias("pos"), F.concat(host, F.lit("contact")).alias("href"), F.lit("Contact").alias("text")),
+        F.struct((base + 1).alias("pos"), host.alias("href"), F.col("s_name").alias("text")))
+    sups = sup.select("collection_id", F.inline(pages))
+    return nat.unionByName(sups)
