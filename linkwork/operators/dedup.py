@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
@@ -128,9 +128,10 @@ def duplicate_pairs(marked: DataFrame, strategy: str) -> DataFrame:
         # domains in first-seen order, rows by position inside a domain
         dom = marked.groupBy("collection_id", "domain").agg(F.min("pos").alias("_df"))
         per_dom = later.groupBy("collection_id", "domain").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy("collection_id").orderBy("_df").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (per_dom.join(dom, ["collection_id", "domain"])
-                   .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_df"))
+        # groups of earlier domains: a skew-safe running sum over domains in first-seen order
+        offsets = with_ordinal(per_dom.join(dom, ["collection_id", "domain"]), ["collection_id"], "_df", "_cum",
+                               weight="_n")
+        offsets = offsets.select("collection_id", "domain", (F.col("_cum") - F.col("_n")).alias("_off"))
         ranked = with_ordinal(later, ["collection_id", "domain"], "pos", "_r").join(offsets, ["collection_id", "domain"])
         ranked = ranked.withColumn("group_no", F.col("_off") + F.col("_r"))
     else:

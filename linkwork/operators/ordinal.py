@@ -1,10 +1,10 @@
-"""Skew-safe running ordinals.
+"""Skew-safe running ordinals and running sums.
 
 ``row_number() over (partition by k order by pos)`` sends every row of a key to one
 task, so a key holding a third of the data becomes one task.  Here rows are first cut
 into buckets of at most ``bucket`` consecutive positions (positions are unique within a
 collection, so a bucket never holds more rows than that).  A small table of per-bucket
-counts gives each bucket its offset, and the row number is taken inside the bucket only.
+totals gives each bucket its offset, and the running value is taken inside the bucket only.
 """
 
 from __future__ import annotations
@@ -24,21 +24,25 @@ def with_ordinal(
     name: str,
     total: str | None = None,
     bucket: int = DEFAULT_BUCKET,
+    weight: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = 1-based rank of the row among rows with equal ``keys`` by ``order_col``.
 
-    ``order_col`` must be unique within the keys.  With ``total`` also adds the key's row count.
+    ``order_col`` must be unique within the keys.  With ``total`` also adds the key's total.
+    With ``weight`` the value is the running sum of that column (inclusive) instead of the rank.
     """
     keys = list(keys)
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     part = Window.partitionBy(*keys, "_bk")
-    # one shuffle by (keys, bucket): rank and size inside the bucket; the input is read once
+    # one shuffle by (keys, bucket): running value and bucket total; the input is read once
     d = (df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
-         .withColumn("_in", F.row_number().over(part.orderBy(order_col)))
-         .withColumn("_c", F.count(F.lit(1)).over(part)))
+         .withColumn("_w", w)
+         .withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_c", F.sum("_w").over(part)))
     counts = d.groupBy(*keys, "_bk").agg(F.first("_c").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:
         counts = counts.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
     out = d.drop("_c").join(counts.drop("_c"), [*keys, "_bk"])
-    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_bk", "_off", "_in")
+    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_bk", "_off", "_in", "_w")
