@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escape
+from ..functions.text import html_escape, strip_ws
 from ..functions.urls import with_sanitized_url
 from ..sources.html import _LinkParser
 
@@ -199,14 +199,18 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["collection_id", "html"])
 
 
-def relabel_decisions(anchors: DataFrame, kept_links: DataFrame) -> DataFrame:
+def relabel_decisions(anchors: DataFrame, kept_links: DataFrame, strict: bool = False) -> DataFrame:
     """Per anchor of each document: its new label, or null when the item is to be dropped.
 
     Matching is on the sanitised URL; the first anchor of a kept URL keeps its place and gets
     the label (last link with that URL wins, J1); later anchors of the URL and anchors whose
-    URL was removed are dropped (W7, J4).
+    URL was removed are dropped (W7, J4).  ``strict`` compares the raw stripped ``href`` with
+    the sanitised kept URLs instead, as the tool does (so any link whose URL sanitising changed
+    is dropped).
     """
-    a = with_sanitized_url(anchors.select("collection_id", "anchor_no", "href"), "href", "url")
+    base = anchors.select("collection_id", "anchor_no", "href")
+    a = (base.withColumn("url", strip_ws(F.col("href"))) if strict
+         else with_sanitized_url(base, "href", "url"))
     labels = kept_links.groupBy("collection_id", "url").agg(F.max_by("formatted_label", "pos").alias("_label"))
     a = a.join(labels, ["collection_id", "url"], "left")
     firsts = a.groupBy("collection_id", "url").agg(F.min("anchor_no").alias("_first"))
@@ -215,9 +219,9 @@ def relabel_decisions(anchors: DataFrame, kept_links: DataFrame) -> DataFrame:
     return a.select("collection_id", "anchor_no", F.when(keep, F.col("_label")).alias("label"))
 
 
-def relabel_html(docs: DataFrame, anchors: DataFrame, kept_links: DataFrame) -> DataFrame:
+def relabel_html(docs: DataFrame, anchors: DataFrame, kept_links: DataFrame, strict: bool = False) -> DataFrame:
     """K2: ``(collection_id, html)`` with kept items relabelled and removed items dropped."""
-    d = relabel_decisions(anchors, kept_links)
+    d = relabel_decisions(anchors, kept_links, strict)
     per_doc = d.groupBy("collection_id").agg(
         F.array_sort(F.collect_list(F.struct("anchor_no", "label"))).alias("_d"))
     per_doc = per_doc.select("collection_id", F.col("_d.anchor_no").alias("anchor_nos"), F.col("_d.label").alias("labels"))

@@ -60,3 +60,16 @@ def test_rewrite_document():
     out = rewrite_document(doc, {0: "a.com | A", 1: None, 2: None})
     assert "a.com | A" in out and "old b" not in out and "again" not in out
     assert "2 duplicates removed" in out
+
+
+def test_relabel_strict_matches_raw_href(spark):
+    from linkwork.sinks.render import relabel_decisions
+
+    anchors = spark.createDataFrame([("d", 0, "example.com"), ("d", 1, "https://b.com"), ("d", 2, "https://b.com")],
+                                    "collection_id string, anchor_no bigint, href string")
+    kept = spark.createDataFrame([("d", 0, "https://example.com", "example.com | E"), ("d", 1, "https://b.com", "b.com | B")],
+                                 "collection_id string, pos bigint, url string, formatted_label string")
+    loose = {r.anchor_no: r.label for r in relabel_decisions(anchors, kept).collect()}
+    strict = {r.anchor_no: r.label for r in relabel_decisions(anchors, kept, strict=True).collect()}
+    assert loose == {0: "example.com | E", 1: "b.com | B", 2: None}
+    assert strict == {0: None, 1: "b.com | B", 2: None}
