@@ -23,7 +23,7 @@ def with_ordinal(
     order_col: str,
     name: str,
     total: str | None = None,
-    bucket: int = DEFAULT_BUCKET,
+    bucket: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = 1-based rank of the row among rows with equal ``keys`` by ``order_col``.
@@ -32,6 +32,7 @@ def with_ordinal(
     With ``weight`` the value is the running sum of that column (inclusive) instead of the rank.
     """
     keys = list(keys)
+    bucket = bucket or DEFAULT_BUCKET
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     part = Window.partitionBy(*keys, "_bk")
     # one shuffle by (keys, bucket): running value and bucket total; the input is read once

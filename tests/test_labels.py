@@ -71,3 +71,13 @@ def test_repair_matches_literal_rule_on_random_families(spark):
                       F.lit(None).cast("string").alias("add_date"), F.lit("").alias("href"))
     got = {(r.collection_id, r.pos): r.formatted_label for r in label_links(links).collect()}
     assert got == expect
+
+
+def test_labels_with_many_buckets(spark, monkeypatch):
+    from linkwork.operators import ordinal
+
+    monkeypatch.setattr(ordinal, "DEFAULT_BUCKET", 2)
+    test_homepages_numbered(spark)
+    test_collision_repaired_sequentially(spark)
+    test_page_fallbacks(spark)
+    test_repair_matches_literal_rule_on_random_families(spark)
