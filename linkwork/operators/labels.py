@@ -67,7 +67,8 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint"
 
     ``reuse`` says how intermediates read by several branches are kept (see ``materialize``).
     """
-    df = with_ordinal(links, ["collection_id", "domain"], "pos", "domain_ordinal", total="domain_links")
+    df = with_ordinal(links, ["collection_id", "domain"], "pos", "domain_ordinal", total="domain_links",
+                      keep_bucket=True)
     part0 = path_identifier(F.col("url"))
     title_low = F.lower(F.col("clean_title"))
     first_label = F.split_part(F.col("domain"), F.lit("."), F.lit(1))

@@ -25,19 +25,23 @@ def with_ordinal(
     total: str | None = None,
     bucket: int | None = None,
     weight: str | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Add ``name`` = 1-based rank of the row among rows with equal ``keys`` by ``order_col``.
 
     ``order_col`` must be unique within the keys.  With ``total`` also adds the key's total.
     With ``weight`` the value is the running sum of that column (inclusive) instead of the rank.
+    ``keep_bucket`` keeps the ``_bk`` column; a later call on the same rows reuses it, and a
+    finer key then needs no new shuffle (the rows are already partitioned by a subset of it).
     """
     keys = list(keys)
     bucket = bucket or DEFAULT_BUCKET
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     part = Window.partitionBy(*keys, "_bk")
+    if "_bk" not in df.columns:
+        df = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
     # one shuffle by (keys, bucket): running value and bucket total; the input is read once
-    d = (df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
-         .withColumn("_w", w)
+    d = (df.withColumn("_w", w)
          .withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_c", F.sum("_w").over(part)))
     counts = d.groupBy(*keys, "_bk").agg(F.first("_c").alias("_c"))
@@ -46,4 +50,5 @@ def with_ordinal(
     if total:
         counts = counts.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
     out = d.drop("_c").join(counts.drop("_c"), [*keys, "_bk"])
-    return out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_bk", "_off", "_in", "_w")
+    out = out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_w")
+    return out if keep_bucket else out.drop("_bk")
