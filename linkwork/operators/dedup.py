@@ -47,13 +47,14 @@ def _label_len(label_col: str) -> Column:
 
 def with_dedup_keys(links: DataFrame, strategy: str, label_col: str = "formatted_label") -> tuple[DataFrame, list[str]]:
     """Add the key columns of a strategy; a null key never matches."""
+    have_url = "_k_url" in links.columns  # computed once by the caller (see strategy_comparison)
     if strategy == "url":
-        return with_normalized_url(links, "url", "_k_url"), ["_k_url"]
+        return (links if have_url else with_normalized_url(links, "url", "_k_url")), ["_k_url"]
     if strategy == "title":
         t = F.lower(strip_ws(F.coalesce(F.col(label_col), F.lit(""))))
         return links.withColumn("_k_title", F.when(t != "", t)), ["_k_title"]
     if strategy == "smart":
-        df = with_normalized_url(links, "url", "_k_url")
+        df = links if have_url else with_normalized_url(links, "url", "_k_url")
         return df.withColumn("_k_domain", F.coalesce(F.col("domain"), F.lit(""))), ["_k_domain", "_k_url"]
     raise ValueError(f"not a key strategy: {strategy}")
 
@@ -140,6 +141,28 @@ def duplicate_pairs(marked: DataFrame, strategy: str) -> DataFrame:
                          F.col("pos").alias("dup_pos"))
 
 
+def strategy_comparison(links: DataFrame, configs: list[DedupConfig]) -> DataFrame:
+    """Rows left and removed per collection for each configuration, over one keyed table.
+
+    The normalised URL is computed once and checkpointed; every configuration then needs only
+    its own per-key aggregate and join.
+    """
+    from ..session import materialize
+
+    keyed = materialize(with_normalized_url(links, "url", "_k_url"))
+    parts = []
+    for cfg in configs:
+        m = mark_duplicates(keyed, cfg)
+        parts.append(m.groupBy("collection_id").agg(
+            F.count_if(~F.col("removed")).alias("rows_left"), F.count_if(F.col("removed")).alias("rows_removed"))
+            .select(F.lit(cfg.strategy).alias("strategy"), F.lit(cfg.keep_strategy).alias("keep_strategy"),
+                    F.lit(float(cfg.similarity_threshold)).alias("similarity_threshold"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def duplicate_metrics(marked: DataFrame) -> DataFrame:
     """A4: per collection ``rows_before, rows_removed, rows_after, groups``."""
     return marked.groupBy("collection_id").agg(

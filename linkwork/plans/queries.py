@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import html_unescape_basic
 from ..functions.titles import levenshtein_ratio, preview, title_similarity, with_clean_title
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
-from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates
+from ..operators.dedup import (
+    DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates, strategy_comparison,
+)
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.outline import match_outline, outline_entries
 from ..sinks.export import flat_export, instructions_export
@@ -108,19 +110,12 @@ def q_dup_metrics(spark, sf):
 
 
 def q_strategy_comparison(spark, sf):
-    """Rows left and removed per (strategy, keep strategy) over one cached link table."""
-    links = materialize(_links(spark, sf))
-    parts = []
-    for strategy, label_col in (("url", "formatted_label"), ("title", "clean_title"), ("smart", "formatted_label")):
-        for keep in ("first", "last", "shortest", "longest"):
-            m = mark_duplicates(links, DedupConfig(strategy, 0.85, keep, "pairwise", label_col))
-            parts.append(m.groupBy("collection_id").agg(
-                F.count_if(~F.col("removed")).alias("rows_left"), F.count_if(F.col("removed")).alias("rows_removed"))
-                .select(F.lit(strategy).alias("strategy"), F.lit(keep).alias("keep_strategy"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows left and removed per (strategy, keep strategy) over one keyed link table."""
+    configs = [DedupConfig(strategy, 0.85, keep, "pairwise", label_col)
+               for strategy, label_col in (("url", "formatted_label"), ("title", "clean_title"),
+                                           ("smart", "formatted_label"))
+               for keep in ("first", "last", "shortest", "longest")]
+    return strategy_comparison(_links(spark, sf), configs).drop("similarity_threshold")
 
 
 def q_fuzzy_pairs(threshold: float) -> Query:
