@@ -83,7 +83,8 @@ def candidate_edges(nodes: DataFrame, threshold: float, joins: list[tuple[list[s
     freq = tok.groupBy("collection_id", "_t").agg(F.count(F.lit(1)).alias("_df"))
     ranked = tok.join(freq, ["collection_id", "_t"]).withColumn(
         "_r", F.row_number().over(Window.partitionBy("collection_id", "node").orderBy("_df", "_t")))
-    ranked = materialize(ranked)
+    if len(joins) > 1:  # read once per block
+        ranked = materialize(ranked)
     cands = None
     for block, need in joins:
         n = F.size("_toks")
@@ -112,7 +113,7 @@ def leaders_in_rounds(nodes: DataFrame, edges: DataFrame, cliques: list[list[str
     """``(collection_id, node, status)``; status 1 = leader, 2 = member (first maximal independent set)."""
     keycols = sorted({c for k in cliques for c in k})
     state = nodes.select("collection_id", "node", *keycols, F.lit(0).alias("status"))
-    edges = materialize(edges.select("collection_id", "a", "b"), "checkpoint")
+    edges = edges.select("collection_id", "a", "b")  # the caller passes checkpointed edges
     for rnd in range(MAX_ROUNDS):
         # each round reads the previous state several times: persist it so the round is
         # computed once, and checkpoint it so the plan does not grow with the rounds
