@@ -8,3 +8,21 @@ text/HTML/JSON writers in :mod:`linkwork.sinks`, composite flows in
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so executors need not have it installed.
+
+    The HTML parser and the label-collision solver run in Python workers; with the package
+    registered, Spark sends their code with the task instead of importing it on executors.
+    """
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark always ships it
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
