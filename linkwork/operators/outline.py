@@ -90,12 +90,7 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
     by_label = links.groupBy("collection_id", "formatted_label").agg(F.max_by(orig, "pos").alias("_exact"))
     j = marks.join(by_label, ["collection_id", "formatted_label"], "left")
     misses = j.filter(F.col("_exact").isNull()).select("collection_id", "line_no", "domain", "title")
-    cands = misses.join(links.select("collection_id", "domain", "pos", "url", "add_date", "icon", "clean_title",
-                                     "original_title"), ["collection_id", "domain"])
-    t = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    hit = F.lower(F.col("clean_title")).contains(t) | F.lower(F.col("original_title")).contains(t)
-    rank = F.struct(F.when(hit, F.lit(0)).otherwise(F.lit(1)).alias("m"), F.col("pos").alias("p"))
-    best = cands.groupBy("collection_id", "line_no").agg(F.min_by(orig, rank).alias("_dom"))
+    best = _domain_fallback(misses, links, orig)
     out = j.join(best, ["collection_id", "line_no"], "left")
     m = F.coalesce(F.col("_exact"), F.col("_dom"))
     kind = F.when(F.col("_exact").isNotNull(), F.lit("label")).when(F.col("_dom").isNotNull(), F.lit("domain")) \
@@ -104,3 +99,57 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
         "collection_id", "line_no", "folder_path", "formatted_label", "domain", "title",
         F.coalesce(m["url"], default_url(F.col("domain"))).alias("url"),
         m["add_date"].alias("add_date"), m["icon"].alias("icon"), kind.alias("match_kind"))
+
+
+GRAM = 3  # the outline title's rarest substring of this length selects the candidates
+
+
+def _grams(text: F.Column, k: int) -> F.Column:
+    """All substrings of length ``k`` (none when the text is shorter)."""
+    n = F.length(text) - F.lit(k) + 1
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                      lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+
+
+def _tagged(grams: F.Column, k: int) -> F.Column:
+    """Prefix each gram with its length, so grams of different lengths never meet."""
+    tag = F.lit(f"{k}:")
+    return F.transform(grams, lambda g: F.concat(tag, g))
+
+
+def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> DataFrame:
+    """J3 for unmatched outline lines: ``(collection_id, line_no, _dom)``.
+
+    The first original of the domain (by position) whose clean or original title contains the
+    outline title, case-insensitively; else the domain's first original.  Candidates are
+    only originals that contain the title's rarest substring of ``GRAM`` characters (the
+    whole title when shorter), so a line never meets every link of a large domain; each
+    candidate is still checked for the full containment.
+    """
+    keys = ["collection_id", "domain"]
+    cand = links.join(misses.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, "pos", orig.alias("_o"), F.lower(F.col("clean_title")).alias("_ct"),
+        F.lower(F.col("original_title")).alias("_ot"))
+    first = cand.groupBy(*keys).agg(F.min_by("_o", "pos").alias("_first"))
+    m = misses.withColumn("_t", F.lower(F.coalesce(F.col("title"), F.lit(""))))
+    m = m.withColumn("_k", F.least(F.length("_t"), F.lit(GRAM)))
+    # substrings of every candidate title, for the lengths the outline titles need (1..GRAM)
+    grams = cand.select(*keys, "pos", "_o", "_ct", "_ot", F.explode(F.array_distinct(F.flatten(F.array(*[
+        _tagged(F.array_distinct(F.concat(_grams(F.col("_ct"), k), _grams(F.col("_ot"), k))), k)
+        for k in range(1, GRAM + 1)])))).alias("_g"))
+    freq = grams.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    want = m.filter(F.col("_k") > 0).select(
+        "collection_id", "line_no", "domain", "_t",
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_k") + 1),
+                              lambda i: F.concat(F.col("_k").cast("string"), F.lit(":"),
+                                                 F.substring(F.col("_t"), i, F.col("_k"))))).alias("_g"))
+    # a title gram no candidate has means no candidate contains the title
+    counted = want.join(freq, [*keys, "_g"], "left").groupBy("collection_id", "line_no", "domain", "_t").agg(
+        F.min(F.coalesce(F.col("_n"), F.lit(0))).alias("_min"),
+        F.min_by("_g", F.struct(F.coalesce(F.col("_n"), F.lit(0)), F.col("_g"))).alias("_g"))
+    pick = counted.filter(F.col("_min") > 0).drop("_min")
+    hits = pick.join(grams, [*keys, "_g"]).filter(
+        F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
+    contained = hits.groupBy("collection_id", "line_no").agg(F.min_by("_o", "pos").alias("_hit"))
+    out = m.join(first, keys, "left").join(contained, ["collection_id", "line_no"], "left")
+    return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))

@@ -58,3 +58,25 @@ def test_matching_rules(spark):
     assert [(r.url, r.match_kind) for r in m] == [
         ("https://one.com/", "label"), ("https://two.com/b", "domain"), ("https://three.com/a", "domain"),
         ("https://four.com", "default")]
+
+
+def test_domain_fallback_matches_plain_rule(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "Gamma", "delta", "ab", "x", "Beta Max"]
+    links, lines = [], []
+    for i in range(30):
+        links.append(("o0", i, f"https://d.com/p{i}", " ".join(rng.sample(words, rng.randint(1, 3)))))
+    titles = ["", "a", "b", "et", "alpha", "beta max", "zzz", "GAMMA delta", "x", "lpha be", "ta"]
+    text = "FOLDER: F\n" + "\n".join(f"  d.com | {t}" if t else "  d.com | " for t in titles)
+    src = spark.createDataFrame(links, "collection_id string, pos bigint, href string, text string")
+    built = build_links(src).cache()
+    m = match_outline(entries(spark, [text]), built).orderBy("line_no").collect()
+    originals = sorted(built.collect(), key=lambda r: r.pos)
+    for r in m:
+        if r.match_kind == "label":
+            continue
+        t = (r.title or "").lower()
+        hit = next((o for o in originals if t in o.clean_title.lower() or t in o.original_title.lower()), originals[0])
+        assert r.url == hit.url, (r.title, r.url, hit.url)
