@@ -60,9 +60,17 @@ def test_matching_rules(spark):
         ("https://four.com", "default")]
 
 
-def test_domain_fallback_matches_plain_rule(spark):
+import pytest
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_domain_fallback_matches_plain_rule(spark, monkeypatch, limit):
     import random
 
+    from linkwork.operators import outline as outline_mod
+
+    monkeypatch.setattr(outline_mod, "DIRECT_LIMIT", limit)  # 0 forces the trigram path
+
     rng = random.Random(3)
     words = ["alpha", "beta", "Gamma", "delta", "ab", "x", "Beta Max"]
     links, lines = [], []
