@@ -333,6 +333,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY pos) AS r
 SELECT collection_id, pos, url, domain, domain_links, domain_ordinal, part, formatted_label FROM links"""
     for keep in ("first", "last", "shortest", "longest"):
         s[f"dedup_url_{keep}"] = dedup_sql("url", keep)
+    # The streaming URL de-duplication keeps each key's first copy, as D1 does
+    s["stream_dedup_url"] = dedup_sql("url", "first")
     s["dedup_smart_first"] = dedup_sql("smart", "first")
     s["dedup_smart_longest"] = dedup_sql("smart", "longest")
     s["dedup_title_clean"] = dedup_sql("title", "first", "clean_title")

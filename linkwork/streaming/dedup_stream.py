@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import with_normalized_url
 from ..session import ensure_checkpoint_dir
 
+EVENT_EPOCH = 946684800  # 2000-01-01T00:00:00Z
+
 LINK_STREAM_SCHEMA = ("collection_id string, pos bigint, url string, domain string, formatted_label string, "
                       "event_time timestamp")
 
@@ -37,9 +39,25 @@ def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     return spark.read.parquet(sink_dir)
 
 
-def stage_links(links: DataFrame, out_dir: str, files: int = 8) -> None:
-    """Write link rows as a stream source: event time from the position, files in position order."""
-    (links.select("collection_id", "pos", "url", "domain", "formatted_label",
-                  F.timestamp_seconds(F.col("pos")).alias("event_time"))
-     .repartitionByRange(files, "pos").sortWithinPartitions("pos")
-     .write.mode("overwrite").parquet(out_dir))
+def stage_links(links: DataFrame, out_dir: str, files: int = 8, rows_per_file: int = 1_000_000) -> None:
+    """Write link rows as a stream source, event time from the position.
+
+    Positions are cut into ``files`` ranges written as successive appends, so file times follow
+    positions and a file source with one file per trigger sees every key's earliest copy first.
+    """
+    from ..session import materialize
+
+    # positions as seconds after 2000-01-01: a row at the epoch itself would count as late in
+    # the first micro-batch (event time not after the initial watermark)
+    src = materialize(links.select("collection_id", "pos", "url", "domain", "formatted_label",
+                                   F.timestamp_seconds(F.lit(EVENT_EPOCH) + F.col("pos")).alias("event_time")))
+    stats = src.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not stats["n"]:
+        src.write.mode("overwrite").parquet(out_dir)
+        return
+    width = (stats["hi"] - stats["lo"]) // files + 1
+    per_range = max(1, stats["n"] // files // rows_per_file)
+    for i in range(files):
+        lo = stats["lo"] + i * width
+        part = src.filter((F.col("pos") >= lo) & (F.col("pos") < lo + width))
+        part.repartitionByRange(per_range, "pos").sortWithinPartitions("pos").write.mode("append").parquet(out_dir)
