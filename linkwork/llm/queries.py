@@ -22,6 +22,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers (from 0) that go, and a digest of what stays, for every document."""
+    from linkwork.llm.lines import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    removed = F.sort_array("removed_lines").alias("removed_lines")
+    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), removed, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwork.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwork.llm.substrings import remove_repeats
 
@@ -40,6 +55,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_packing,
+            op2_line_dedup,
+            op5_quality_classifier,
             op7_substring_dedup,
             op10_simhash_dedup,
         )
