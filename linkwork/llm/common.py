@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,26 @@ def arrow_pass(
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def dealt_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, th, data``: ids, text hashes and zstandard-packed texts, dealt by key.
+
+    All consumers of one plan that join on ``key`` read this one exchange again, if they take all
+    three columns.
+    """
+    text = F.col(text_col).cast("string")
+    rows = df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        data = pa.array([pack(t) for t in utf8(batch.column(2))], pa.binary())
+        return pa.record_batch([batch.column(0), batch.column(1), data], names=["key", "th", "data"])
+
+    return arrow_pass(rows, "key long, th long, data binary", work).repartition(partitions(df.sparkSession), "key")
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The texts behind a ``data`` column."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]

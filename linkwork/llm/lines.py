@@ -8,11 +8,15 @@ which only the first place counts; classes are joined as follows.
    which is then small enough to broadcast (``SKETCH`` counters).  Order the words of a line by
    that count, rarest first, ties by hash: one order for all lines.
 2. Two lines as similar as ``threshold`` share a word of their prefixes, the first
-   ``n - ceil(threshold * n) + 1`` words.  Postings of prefix words are dealt by word.  Within a word
-   they are sorted by size and joined under the length filter, the positional filter (the words after
-   the shared one have to make up the needed overlap) and a bitmap bound on the symmetric difference.
-3. The words of a surviving pair's earlier line travel to the later line's text, where the Jaccard
-   similarity is verified.
+   ``n - ceil(threshold * n) + 1`` words.  Postings of the prefix words of each class's first line are dealt by
+   word.  Within a word they are sorted by size and joined under the length filter, the positional
+   filter (the words after the shared one have to make up the needed overlap) and a bitmap bound on the symmetric
+   difference.
+3. A line needs one earlier partner.  So a word returns each line's ``FIRST`` earliest candidates; their
+   words travel to the line's text, where the Jaccard similarity is verified.  A family of near copies thus costs
+   a few rows for each member, not one for each pair.
+4. Lines with further candidates that have found no partner so are joined again, with all of their
+   candidates; postings of words that none of them has are dropped by a bitmap of fixed size.
 
 Postings travel packed, one array for each task batch and word bucket.  Blank lines are neither
 matched nor removed.  Defined cases: a null text has no lines; null ids share one identity, the smallest; rows of one
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass, id_of, key_of, partitions, saved, utf8
+from linkwork.llm.common import arrow_pass, dealt_texts, id_of, key_of, partitions, saved, unpacked, utf8
 from linkwork.llm.sampling import flat
 from linkwork.llm.tokens import MIX, Words, mixed
 
@@ -35,7 +39,9 @@ from linkwork.llm.tokens import MIX, Words, mixed
 SKETCH, PIECES = 1 << 20, 64
 #: Pairs that a task looks at in one go.
 PAIRS = 1 << 21
-POSTING = np.dtype([("word", "<u4"), ("cls", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: Earliest candidates of a line that are verified first.
+FIRST = 2
+POSTING = np.dtype([("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
 EPS = 1e-9
 
 
@@ -47,7 +53,7 @@ class Lines:
         h = words.hashes()
         breaks = np.flatnonzero(np.frombuffer(words.buf, dtype=np.uint8)[:-8] == 10)
         line = np.searchsorted(breaks, words.start)
-        order = np.lexsort((h, line) if rarity is None else (h, rarity[slots(h)], line))
+        order = _line_order(line, h, None if rarity is None else rarity[slots(h)])
         h, line = h[order], line[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -64,6 +70,27 @@ class Lines:
         #: hash of the set of words
         self.cls = mixed(total ^ (self.n.astype(np.uint64) * MIX[0])).view(np.int64)
 
+    def among(self, numbers: pa.ListArray) -> np.ndarray:
+        """Which lines a list column, one list for each text, names."""
+        wanted, row = flat(numbers)
+        return np.isin((self.text << 32) | self.number, (row << 32) | wanted)
+
+    def prefix(self, threshold: float) -> np.ndarray:
+        """Words of each line's prefix."""
+        return self.n - np.ceil(threshold * self.n - EPS).astype(np.int64) + 1
+
+
+def _line_order(line: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
+    """Order by line, rank and hash; one packed sort key unless two words of a line agree in it."""
+    packed = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(32))
+    if rank is not None:
+        packed |= rank.astype(np.uint64) << np.uint64(32)
+    order = np.argsort(packed)
+    tied = (packed[order][1:] == packed[order][:-1]) & (h[order][1:] != h[order][:-1])
+    if tied.any():
+        return np.lexsort((h, line) if rank is None else (h, rank, line))
+    return order
+
 
 def slots(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(SKETCH - 1)).astype(np.int64)
@@ -109,25 +136,29 @@ def _classes(rows: DataFrame) -> DataFrame:
     return arrow_pass(rows, "cls long, key long, number int", work, 1024)
 
 
-def _postings(rows: DataFrame, ranks, threshold: float, buckets: int) -> DataFrame:
-    """``bucket, data``: packed postings of the prefix words of each batch's distinct lines."""
+def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None) -> DataFrame:
+    """``bucket, data``: packed postings of the prefix words of the lines ``numbers``.
+
+    ``words``: a bitmap of word slots; postings of other words are left out.
+    """
+    least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = Lines(utf8(batch.column(1)), np.frombuffer(ranks.value, dtype=np.uint8))
-        least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
-        one = np.zeros(len(lines.n), dtype=bool)
-        one[np.unique(lines.cls, return_index=True)[1]] = True
-        one &= lines.n >= least  # shorter sets can only be equal
-        prefix = np.where(one, lines.n - np.ceil(threshold * lines.n - EPS).astype(np.int64) + 1, 0)
-        if not prefix.sum():
-            return None
+        lines = Lines(unpacked(batch.column(2)), np.frombuffer(ranks.value, dtype=np.uint8))
+        prefix = np.where(lines.among(batch.column(3)) & (lines.n >= least), lines.prefix(threshold), 0)
         line = np.repeat(np.arange(len(prefix)), prefix)
         at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         word = lines.words[lines.first[line] + at]
+        if words is not None:
+            has = np.unpackbits(np.frombuffer(words.value, dtype=np.uint8), bitorder="little")[slots(word)].astype(bool)
+            line, at, word = line[has], at[has], word[has]
+        if not len(line):
+            return None
         bit = np.uint64(1) << (mixed(lines.words ^ MIX[0]) & np.uint64(63))
         out = np.empty(len(line), dtype=POSTING)
         out["word"] = word >> np.uint64(32)
-        out["cls"], out["bits"] = lines.cls[line], np.bitwise_xor.reduceat(bit, lines.first)[line]
+        out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
+        out["number"], out["bits"] = lines.number[line], np.bitwise_xor.reduceat(bit, lines.first)[line]
         out["n"], out["at"] = lines.n[line], at
         bucket = (mixed(word) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -135,15 +166,11 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int) -> DataFra
         parts = [p.tobytes() for p in np.split(out[order], first[1:])]
         return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
-    return arrow_pass(rows, "bucket int, data binary", work, 1024)
+    return arrow_pass(rows.select("key", "th", "data", "numbers"), "bucket int, data binary", work, 1024)
 
 
 def candidates(p: np.ndarray, threshold: float):
-    """Yield arrays of class pairs from the postings of some words."""
-    p = p[np.lexsort((p["cls"], p["n"], p["word"]))]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p["word"][1:] != p["word"][:-1]) | (p["cls"][1:] != p["cls"][:-1])
-    p = p[new]
+    """Yield index pairs (earlier, later) of the postings of some words, sorted by word and size, that pass the filters."""
     place = (p["word"].astype(np.uint64) << np.uint64(32)) | p["n"]
     longest = np.floor(p["n"] / threshold + EPS).astype(np.uint64)
     stop = np.searchsorted(place, (p["word"].astype(np.uint64) << np.uint64(32)) | longest, side="right")
@@ -158,11 +185,13 @@ def candidates(p: np.ndarray, threshold: float):
             need = np.ceil(threshold / (1 + threshold) * (n + m) - EPS)
             # the shared word and the words after it
             ok = np.minimum(n - p["at"][a], m - p["at"][b]) >= need
-            apart = np.bitwise_count(p["bits"][a] ^ p["bits"][b])
-            ok &= (apart <= n + m - 2 * need) & (p["cls"][a] != p["cls"][b])
-            if ok.any():
-                x, y = p["cls"][a[ok]], p["cls"][b[ok]]
-                yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            ok &= np.bitwise_count(p["bits"][a] ^ p["bits"][b]) <= n + m - 2 * need
+            a, b = a[ok], b[ok]
+            less = (p["key"][a] < p["key"][b]) | ((p["key"][a] == p["key"][b]) & (p["number"][a] < p["number"][b]))
+            same = (p["key"][a] == p["key"][b]) & (p["number"][a] == p["number"][b])
+            x, y = np.where(less, a, b), np.where(less, b, a)
+            if len(x):
+                yield x[~same], y[~same]
         begin = end
 
 
@@ -179,86 +208,181 @@ def _pairs(partners: np.ndarray, begin: int, end: int):
         yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _join(postings: DataFrame, threshold: float) -> DataFrame:
+def _earliest(x: np.ndarray, y: np.ndarray, age: np.ndarray, line: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each later line its ``most`` earliest distinct partners."""
+    order = np.lexsort((age[x], line[y]))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (line[y[1:]] != line[y[:-1]]) | (line[x[1:]] != line[x[:-1]])
+    x, y = x[new], y[new]
+    head = np.ones(len(x), dtype=bool)
+    head[1:] = line[y[1:]] != line[y[:-1]]
+    first = np.flatnonzero(head)
+    rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return x[rank < most], y[rank < most]
+
+
+def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFrame | None = None) -> DataFrame:
+    """``key, number, xkey, xnumber``: later lines and earlier candidates, the ``most`` earliest of a task.
+
+    ``only``: ``bucket, data`` rows with postings of the later lines to be joined, if not all are.
+    """
+
     def run(batches):
-        parts = [np.frombuffer(x, dtype=POSTING) for b in batches for x in b.column(1).to_pylist()]
+        parts, wanted = [], []
+        for batch in batches:
+            for data, late in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                (wanted if late else parts).append(np.frombuffer(data, dtype=POSTING))
         if not parts:
             return
-        for pairs in candidates(np.concatenate(parts), threshold):
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+        p = np.concatenate(parts)
+        # ``age`` orders lines by place, ``line`` numbers them likewise
+        p = p[np.lexsort((p["number"], p["key"]))]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["number"][1:] != p["number"][:-1])
+        line = np.cumsum(new)
+        order = np.lexsort((line, p["n"], p["word"]))
+        p, line = p[order], line[order]
+        late = None
+        if wanted:
+            w = np.concatenate(wanted)
+            late = np.isin(_places(p), np.unique(_places(w)))
+        elif only is not None:
+            return
+        have = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for x, y in candidates(p, threshold):
+            if late is not None:
+                x, y = x[late[y]], y[late[y]]
+            have = (np.append(have[0], x), np.append(have[1], y))
+            if len(have[0]) > PAIRS:
+                have = _earliest(*have, line, line, most or len(p))
+                if most is None:
+                    yield _found(p, *have)
+                    have = (have[0][:0], have[1][:0])
+        yield _found(p, *_earliest(*have, line, line, most or len(p)))
 
     n = partitions(postings.sparkSession)
-    return postings.repartition(n, "bucket").mapInArrow(run, "x long, y long").distinct()
+    rows = postings.withColumn("late", F.lit(False))
+    if only is not None:
+        rows = rows.union(only.withColumn("late", F.lit(True)))
+    dealt = rows.repartition(n, "bucket")
+    return dealt.mapInArrow(run, "key long, number int, xkey long, xnumber int")
 
 
-def _word_sets(rows: DataFrame) -> DataFrame:
-    """``cls, words`` of the lines ``numbers`` of ``key, text, numbers``."""
+def _places(p: np.ndarray) -> np.ndarray:
+    out = np.empty(len(p), dtype=[("key", "<i8"), ("number", "<u4")])
+    out["key"], out["number"] = p["key"], p["number"]
+    return out
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        numbers, row = flat(batch.column(2))
-        lines = Lines(utf8(batch.column(1)))
-        wanted = set(zip(row.tolist(), numbers.tolist(), strict=True))
-        at = [i for i, x in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True)) if x in wanted]
-        sets = [lines.words[lines.first[i] : lines.first[i] + lines.n[i]].tobytes() for i in at]
-        return pa.record_batch([pa.array(lines.cls[at]), pa.array(sets, pa.binary())], names=["cls", "words"])
 
-    return arrow_pass(rows, "cls long, words binary", work, 512).dropDuplicates(["cls"])
+def _found(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    columns = [p["key"][y], p["number"][y].astype(np.int32), p["key"][x], p["number"][x].astype(np.int32)]
+    return pa.record_batch([pa.array(c) for c in columns], names=["key", "number", "xkey", "xnumber"])
 
 
-def _matched(rows: DataFrame, threshold: float) -> DataFrame:
-    """``cls`` of the later lines of ``key, text, later`` that are as similar as ``threshold``."""
+def _word_sets(rows: DataFrame) -> DataFrame:
+    """``xkey, xnumber, words`` of the lines ``numbers``."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        lines = Lines(unpacked(batch.column(2)))
+        at = np.flatnonzero(lines.among(batch.column(3)))
+        keys = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[at]]
+        sets = [lines.words[a : a + n].tobytes() for a, n in zip(lines.first[at].tolist(), lines.n[at].tolist(), strict=True)]
+        columns = [pa.array(keys), pa.array(lines.number[at].astype(np.int32)), pa.array(sets, pa.binary())]
+        return pa.record_batch(columns, names=["xkey", "xnumber", "words"])
+
+    out = arrow_pass(rows.select("key", "th", "data", "numbers"), "xkey long, xnumber int, words binary", work, 512)
+    return out
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``key, number`` of the later lines of ``pairs`` of which a candidate is as similar as ``threshold``."""
+    wanted = pairs.select(F.col("xkey").alias("key"), F.col("xnumber").alias("number")).distinct()
+    wanted = wanted.groupBy("key").agg(F.collect_list("number").alias("numbers"))
+    sets = _word_sets(texts.join(wanted.hint("shuffle_hash"), "key"))
+    later = pairs.join(sets, ["xkey", "xnumber"]).groupBy("key").agg(
+        F.collect_list("number").alias("numbers"), F.collect_list("words").alias("words")
+    )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(utf8(batch.column(1)))
+        lines = Lines(unpacked(batch.column(2)))
         place = {x: i for i, x in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
+        numbers, row = flat(batch.column(3))
+        words = batch.column(4).flatten().to_pylist()
         out = set()
-        for row, pairs in enumerate(batch.column(2).to_pylist()):
-            for pair in pairs:
-                i = place.get((row, pair["number"]))
-                if i is None or (own := int(lines.cls[i])) != pair["cls"] or own in out:
-                    continue
-                a = lines.words[lines.first[i] : lines.first[i] + lines.n[i]]
-                b = np.frombuffer(pair["words"], dtype=np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both >= threshold * (len(a) + len(b) - both) - EPS:
-                    out.add(own)
-        return pa.record_batch([pa.array(list(out), pa.int64())], names=["cls"])
-
-    return arrow_pass(rows, "cls long", work, 512).distinct()
+        for text, number, other in zip(row.tolist(), numbers.tolist(), words, strict=True):
+            i = place.get((text, number))
+            if i is None or (text, number) in out:
+                continue
+            a = lines.words[lines.first[i] : lines.first[i] + lines.n[i]]
+            b = np.frombuffer(other, dtype=np.uint64)
+            both = np.concatenate([a, b])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared >= threshold * (len(both) - shared) - EPS:
+                out.add((text, number))
+        texts, numbers = [x[0] for x in out], [x[1] for x in out]
+        keys = batch.column(0).take(pa.array(texts, pa.int64()))
+        return pa.record_batch([keys, pa.array(numbers, pa.int32())], names=["key", "number"])
+
+    rows = texts.join(later.hint("shuffle_hash"), "key").select("key", "th", "data", "numbers", "words")
+    return arrow_pass(rows, "key long, number int", work, 512).distinct()
+
+
+def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
+    """Slots of the prefix words of the lines ``numbers``: a bit for each of ``SKETCH``."""
+
+    def mark(batches):
+        bits = np.zeros(SKETCH, dtype=bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lines = Lines(unpacked(part.column(2)), np.frombuffer(ranks.value, dtype=np.uint8))
+                prefix = np.where(lines.among(part.column(3)), lines.prefix(threshold), 0)
+                line = np.repeat(np.arange(len(prefix)), prefix)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                bits[slots(lines.words[lines.first[line] + place])] = True
+        parts = [np.packbits(p, bitorder="little").tobytes() for p in bits.reshape(PIECES, -1)]
+        yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "bits"])
 
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) | np.frombuffer(bits, dtype=np.uint8)
+        data = [s.tobytes() for s in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], names=["part", "bits"])
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    # one exchange of the texts, which every later join on key reads again
-    return rows.repartition(partitions(df.sparkSession), "key")
+    marked = rows.select("key", "th", "data", "numbers").mapInArrow(mark, "part int, bits binary")
+    found = marked.repartition(PIECES, "part").mapInArrow(add, "part int, bits binary").collect()  # SKETCH bits
+    return b"".join(bytes(r[1]) for r in sorted(found))
 
 
 def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """``key, numbers``: the lines with words that stay, for every key that keeps one."""
     spark: SparkSession = scan.sparkSession
+    buckets = 4 * partitions(spark)
     first = _classes(scan).groupBy("cls").agg(F.min(F.struct("key", "number")).alias("p"))
-    first = saved(first.select("cls", "p.key", "p.number"), "line-classes")
+    first = saved(first.select("p.key", "p.number"), "line-classes")
+    numbers = lambda rows: rows.groupBy("key").agg(F.collect_list("number").alias("numbers"))
+    firsts = texts.join(numbers(first).hint("shuffle_hash"), "key")
     ranks = spark.sparkContext.broadcast(rarity(scan).tobytes())
-    pairs = _join(_postings(scan, ranks, threshold, 4 * partitions(spark)), threshold)
-    place = F.struct("key", "number", "cls")
-    places = first.select("cls", place.alias("p"))
-    pairs = pairs.join(places.select(F.col("cls").alias("x"), F.col("p").alias("px")), "x")
-    pairs = pairs.join(places.select(F.col("cls").alias("y"), F.col("p").alias("py")), "y")
-    order = lambda c: F.struct(F.col(c)["key"], F.col(c)["number"])
-    pairs = pairs.where(order("px") != order("py")).select(
-        F.when(order("px") < order("py"), F.col("px")).otherwise(F.col("py")).alias("a"),
-        F.when(order("px") < order("py"), F.col("py")).otherwise(F.col("px")).alias("b"),
-    )
-    pairs = saved(pairs, "line-pairs")
-    wanted = pairs.select("a.key", "a.number").distinct().groupBy("key").agg(F.collect_list("number").alias("numbers"))
-    sets = _word_sets(texts.join(wanted.hint("shuffle_hash"), "key").select("key", "text", "numbers"))
-    later = pairs.select(F.col("a.cls").alias("cls"), F.col("b").alias("b")).join(sets, "cls")
-    later = later.groupBy(F.col("b.key").alias("key")).agg(
-        F.collect_list(F.struct(F.col("b.number").alias("number"), F.col("b.cls").alias("cls"), "words")).alias("later")
-    )
-    gone = _matched(texts.join(later.hint("shuffle_hash"), "key").select("key", "text", "later"), threshold)
-    stay = first.join(gone, "cls", "left_anti")
-    return stay.groupBy("key").agg(F.collect_list("number").alias("numbers"))
+    found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
+    found = found.groupBy("key", "number").agg(F.array_sort(F.collect_set(F.struct("xkey", "xnumber"))).alias("x"))
+    found = saved(found.select("key", "number", F.slice("x", 1, FIRST).alias("x")), "line-candidates")
+    pairs = found.select("key", "number", F.explode("x").alias("x")).select("key", "number", "x.xkey", "x.xnumber")
+    gone = saved(_verified(texts, pairs, threshold), "line-matches")
+    more = found.where(F.size("x") >= FIRST).join(gone, ["key", "number"], "left_anti").select("key", "number")
+    more = saved(more, "line-open")
+    if not more.isEmpty():
+        late = texts.join(numbers(more).hint("shuffle_hash"), "key")
+        words = spark.sparkContext.broadcast(_bitmap(late, ranks, threshold))
+        rest = _join(
+            _postings(firsts, ranks, threshold, buckets, words), threshold, None, _postings(late, ranks, threshold, buckets)
+        )
+        rest = saved(rest.distinct().join(pairs, ["key", "number", "xkey", "xnumber"], "left_anti"), "line-rest")
+        gone = gone.union(saved(_verified(texts, rest, threshold), "line-matches"))
+    return numbers(first.join(gone, ["key", "number"], "left_anti"))
 
 
 def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -286,8 +410,9 @@ def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``id_col, n_lines, removed_lines, kept`` of each row; line numbers start at 0."""
     scan = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = _texts(df, id_col, text_col)
-    rows = texts.join(kept_lines(scan, texts, threshold).hint("shuffle_hash"), "key", "left")
+    texts = dealt_texts(df, id_col, text_col)
+    text = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = text.join(kept_lines(scan, texts, threshold).hint("shuffle_hash"), "key", "left")
     out = _split(rows, ["key"])
     return out.select(id_of("key").alias(id_col), "n_lines", "removed_lines", "kept")
 
@@ -298,7 +423,7 @@ def distinct_line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows of which every line with words is removed, because it stands in earlier rows, go.
     """
     scan = docs.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = _texts(docs, id_col, text_col)
+    texts = dealt_texts(docs, id_col, text_col)
     lines = kept_lines(scan, texts, threshold)
     whole = docs.withColumns({"_key": key_of(id_col), "_text": F.col(text_col).cast("string")}).drop(text_col)
     rest = [c for c in docs.columns if c != text_col]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import partitions
+from linkwork.llm.common import key_of, partitions
 from linkwork.llm.tokens import grams, inside, sliding_min
 
 
@@ -101,9 +101,11 @@ def lookup(rows: np.ndarray, values: np.ndarray, in_rows: np.ndarray, in_values:
     return np.where(have[at] == want, order[at], -1)
 
 
-def copies(base: DataFrame) -> DataFrame:
-    """``key, same``: of rows ``key, th, text`` whose whole text also stands in a smaller key, the text hashes."""
-    hashed = base.select("key", "th", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("m"))
+def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, same``: the hashes of a key's texts that also stand, whole, in a smaller key."""
+    text = F.col(text_col).cast("string")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    hashed = df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), digest.alias("m"))
     first = hashed.groupBy("m").agg(F.min("key").alias("first"))
     later = hashed.join(first, "m").where("key > first")
     return later.groupBy("key").agg(F.collect_set("th").alias("same"))

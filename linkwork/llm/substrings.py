@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass, id_of, key_of, partitions, saved, utf8
+from linkwork.llm.common import arrow_pass, dealt_texts, id_of, key_of, saved, unpacked
 from linkwork.llm.sampling import changes, copies, flat, lookup, sample, shared
 from linkwork.llm.tokens import Words, grams, inside
 
@@ -45,24 +45,24 @@ def _edges(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _samples(base: DataFrame, k: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        words = Words(utf8(batch.column(1)))
+        words = Words(unpacked(batch.column(2)))
         h = words.hashes()
         least, ok = sample(h, words.owner, k, min(GRAM, k))
         at = changes(least, ok, words.owner)
         keys = batch.column(0).to_numpy(zero_copy_only=False)[words.owner[at]]
         return pa.record_batch([pa.array(least[at].view(np.int64)), pa.array(keys)], names=["h", "key"])
 
-    return arrow_pass(base.select("key", "text"), "h long, key long", work, ROWS)
+    return arrow_pass(base.select("key", "th", "data"), "h long, key long", work, ROWS)
 
 
 def _occurrences(rows: DataFrame, k: int) -> DataFrame:
-    """``e, key, before, after`` of the sampled windows of ``key, text, hs``; 0 is a text's end."""
+    """``e, key, before, after`` of the sampled windows of ``key, th, data, hs``; 0 is a text's end."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        words = Words(utf8(batch.column(1)))
+        words = Words(unpacked(batch.column(2)))
         h, e = _edges(words, k)
         least, ok = sample(h, words.owner, k, min(GRAM, k))
-        values, row = flat(batch.column(2))
+        values, row = flat(batch.column(3))
         hit = lookup(words.owner[: len(least)], least.view(np.int64), row, values) >= 0
         at = np.flatnonzero(hit & ok)
         if not len(at):
@@ -80,14 +80,14 @@ def _occurrences(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _spans(rows: DataFrame, k: int) -> DataFrame:
-    """``first, edges, digest, key, start``: the compacted paths in the texts of ``key, text, es``."""
+    """``first, edges, digest, key, start``: the compacted paths in the texts of ``key, th, data, es``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        words = Words(utf8(batch.column(1)))
+        words = Words(unpacked(batch.column(2)))
         _, e = _edges(words, k)
         if not len(e):
             return None
-        values, row = flat(batch.column(2))
+        values, row = flat(batch.column(3))
         place = lookup(words.owner[: len(e)], e, row, values & FLAGS)
         live = (place >= 0) & inside(words.owner, k)
         flags = np.where(live, values[place] & ~FLAGS, 0)
@@ -121,21 +121,13 @@ def _spans(rows: DataFrame, k: int) -> DataFrame:
     return arrow_pass(rows, "first long, edges int, digest binary, key long, start int", work, ROWS)
 
 
-def _base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    rows = df.select(key_of(id_col).alias("key"), text.alias("text"), F.xxhash64(text).alias("th"))
-    # one exchange of the texts, which every later join on key reads again
-    return rows.repartition(partitions(df.sparkSession), "key")
-
-
 def repeated_spans(base: DataFrame, same: DataFrame, k: int) -> DataFrame:
-    """``key, first, edges, start, source``: spans of ``key, th, text`` that also start in a smaller key, ``source``."""
-    n = partitions(base.sparkSession)
+    """``key, first, edges, start, source``: spans of ``dealt_texts`` that also start in a smaller key, ``source``."""
     later = base.join(same.hint("shuffle_hash"), "key", "left")
     fresh = later.where(~F.coalesce(F.array_contains("same", F.col("th")), F.lit(False)))
     hits = shared(_samples(fresh, k)).groupBy("key").agg(F.collect_list("h").alias("hs"))
-    occurrences = _occurrences(base.join(hits.hint("shuffle_hash"), "key").select("key", "text", "hs"), k)
-    occurrences = occurrences.repartition(n, "e")
+    sampled = base.join(hits.hint("shuffle_hash"), "key").select("key", "th", "data", "hs")
+    occurrences = _occurrences(sampled, k)
     nodes = occurrences.groupBy("e").agg(
         F.count("*").alias("n"),
         (F.min("before") != F.max("before")).alias("forks"),
@@ -144,30 +136,29 @@ def repeated_spans(base: DataFrame, same: DataFrame, k: int) -> DataFrame:
     nodes = nodes.where("n > 1").select("e", (F.col("forks").cast("long") + 2 * F.col("splits").cast("long")).alias("f"))
     marked = occurrences.select("e", "key").join(nodes.hint("shuffle_hash"), "e")
     edges = marked.groupBy("key").agg(F.collect_list(F.col("e").bitwiseOR(F.col("f"))).alias("es"))
-    spans = _spans(base.join(edges.hint("shuffle_hash"), "key").select("key", "text", "es"), k)
-    spans = saved(spans, "debruijn-spans")
+    spans = saved(_spans(base.join(edges.hint("shuffle_hash"), "key").select("key", "th", "data", "es"), k), "debruijn-spans")
     least = spans.groupBy("first", "edges", "digest").agg(F.min("key").alias("source"))
     return spans.join(least, ["first", "edges", "digest"]).where("key > source").drop("digest")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """``id_col, n_words, n_removed, kept``: each text's remaining words, joined by one space."""
-    base = _base(df, id_col, text_col)
-    same = saved(copies(base), "debruijn-copies")
+    base = dealt_texts(df, id_col, text_col)
+    same = saved(copies(df, id_col, text_col), "debruijn-copies")
     spans = repeated_spans(base, same, k).select("key", F.struct("first", "edges").alias("s")).distinct()
     marks = spans.groupBy("key").agg(F.collect_list("s.first").alias("firsts"), F.collect_list("s.edges").alias("sizes"))
     side = marks.join(same, "key", "full")
     rows = base.join(side.hint("shuffle_hash"), "key", "left").select(
-        "key", "text", "firsts", "sizes", F.coalesce(F.array_contains("same", F.col("th")), F.lit(False)).alias("copy")
+        "key", "th", "data", "firsts", "sizes", F.coalesce(F.array_contains("same", F.col("th")), F.lit(False)).alias("copy")
     )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8(batch.column(1))
-        firsts, row = flat(batch.column(2))
-        sizes, _ = flat(batch.column(3))
+        texts = unpacked(batch.column(2))
+        firsts, row = flat(batch.column(3))
+        sizes, _ = flat(batch.column(4))
         marked = np.zeros(len(texts), dtype=bool)
         marked[row] = True
-        copy = batch.column(4).to_pylist()
+        copy = batch.column(5).to_pylist()
         total, gone = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         kept: list[str] = []
         some = [t if m and not c else b"" for t, m, c in zip(texts, marked, copy, strict=True)]
