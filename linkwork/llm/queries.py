@@ -59,6 +59,13 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwork.llm import licences
+
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwork.llm.quality import quality_scores
 
@@ -97,6 +104,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_packing,
             op2_line_dedup,
             op3_chat_formatting,
+            op4_licence_scan,
             op5_quality_classifier,
             op6_benchmark_decontamination,
             op7_substring_dedup,
