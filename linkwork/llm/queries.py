@@ -85,6 +85,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwork.llm.suffixes import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwork.llm.merkle import fingerprints_with_edit
 
@@ -108,6 +115,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_quality_classifier,
             op6_benchmark_decontamination,
             op7_substring_dedup,
+            op8_suffix_dedup,
             op9_document_fingerprints,
             op10_simhash_dedup,
         )
