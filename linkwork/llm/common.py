@@ -34,15 +34,18 @@ def id_of(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NULL_KEY))
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write an intermediate to the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     It cuts the lineage and survives lost executors; the folder belongs to the session's
-    checkpoint folder, whose owner removes it.
+    checkpoint folder, whose owner removes it.  ``release`` has the driver collect its garbage afterwards, upon
+    which Spark removes the shuffle files of the finished job.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

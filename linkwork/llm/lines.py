@@ -369,9 +369,9 @@ def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     ranks = spark.sparkContext.broadcast(rarity(scan).tobytes())
     found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
     found = found.groupBy("key", "number").agg(F.array_sort(F.collect_set(F.struct("xkey", "xnumber"))).alias("x"))
-    found = saved(found.select("key", "number", F.slice("x", 1, FIRST).alias("x")), "line-candidates")
+    found = saved(found.select("key", "number", F.slice("x", 1, FIRST).alias("x")), "line-candidates", release=True)
     pairs = found.select("key", "number", F.explode("x").alias("x")).select("key", "number", "x.xkey", "x.xnumber")
-    gone = saved(_verified(texts, pairs, threshold), "line-matches")
+    gone = saved(_verified(texts, pairs, threshold), "line-matches", release=True)
     more = found.where(F.size("x") >= FIRST).join(gone, ["key", "number"], "left_anti").select("key", "number")
     more = saved(more, "line-open")
     if not more.isEmpty():

@@ -136,7 +136,7 @@ def repeated_spans(base: DataFrame, same: DataFrame, k: int) -> DataFrame:
     nodes = nodes.where("n > 1").select("e", (F.col("forks").cast("long") + 2 * F.col("splits").cast("long")).alias("f"))
     marked = occurrences.select("e", "key").join(nodes.hint("shuffle_hash"), "e")
     edges = marked.groupBy("key").agg(F.collect_list(F.col("e").bitwiseOR(F.col("f"))).alias("es"))
-    spans = saved(_spans(base.join(edges.hint("shuffle_hash"), "key").select("key", "th", "data", "es"), k), "debruijn-spans")
+    spans = saved(_spans(base.join(edges.hint("shuffle_hash"), "key").select("key", "th", "data", "es"), k), "debruijn-spans", release=True)
     least = spans.groupBy("first", "edges", "digest").agg(F.min("key").alias("source"))
     return spans.join(least, ["first", "edges", "digest"]).where("key > source").drop("digest")
 

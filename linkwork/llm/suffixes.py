@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from linkwork.llm.common import arrow_pass, dealt_texts, id_of, partitions, saved, unpacked
 from linkwork.llm.induced import Shard
 from linkwork.llm.sampling import copies, flat, lookup, shared
-from linkwork.llm.tokens import MIX, mixed, sliding_min
+from linkwork.llm.tokens import MIX, sliding_min
 
-#: Bytes of a gram that represents a window.
+#: Bytes of a gram that represents a window; from 16 to 24, which three loads of 8 bytes cover.
 GRAM = 20
 ROWS = 256
+#: Shards for each shuffle partition: a shard's arrays take some 50 bytes for each byte of its strings.
+SHARDS = 4
 #: Places that a shard settles in one go.
 PLACES = 1 << 21
 
@@ -45,10 +47,14 @@ class Windows:
         n = int(self.text_at[-1])
         count = max(0, n - size + 1)
         eight = np.ndarray((n + 16,), dtype="<u8", buffer=self.buf, strides=(1,))
-        h = eight[:n] * MIX[0] ^ (eight[8 : n + 8] * MIX[1]) >> np.uint64(7)
-        if gram > 16:
-            h ^= (eight[gram - 8 : n + gram - 8] * MIX[2]) >> np.uint64(13)
-        h = mixed(h)
+        h = eight[:n] * MIX[0]
+        h ^= h >> np.uint64(29)
+        h += eight[8 : n + 8]
+        h *= MIX[1]
+        h ^= h >> np.uint64(32)
+        h += eight[gram - 8 : n + gram - 8]
+        h *= MIX[2]
+        h ^= h >> np.uint64(31)
         self.least = sliding_min(h[: n - gram + 1], size - gram + 1) if count else h[:0]
         step = np.zeros(count + 1, dtype=np.int32)
         whole = np.flatnonzero(sizes >= size)
@@ -72,7 +78,7 @@ class Windows:
 
 def _samples(base: DataFrame, size: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        windows = Windows(unpacked(batch.column(2)), size, min(GRAM, size))
+        windows = Windows(unpacked(batch.column(2)), size, GRAM)
         at, _ = windows.stretches()
         keys = batch.column(0).to_numpy(zero_copy_only=False)[windows.owner(at)]
         return pa.record_batch([pa.array(windows.least[at].view(np.int64)), pa.array(keys)], names=["h", "key"])
@@ -84,7 +90,7 @@ def _stretches(rows: DataFrame, size: int) -> DataFrame:
     """``h, key, th, start, data`` of the stretches that can repeat; ``th`` tells texts of one id apart."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        windows = Windows(unpacked(batch.column(2)), size, min(GRAM, size))
+        windows = Windows(unpacked(batch.column(2)), size, GRAM)
         first, last = windows.stretches()
         owner = windows.owner(first)
         values, row = flat(batch.column(3))
@@ -148,14 +154,14 @@ def _runs(stretches: DataFrame, size: int, memory: int) -> DataFrame:
             columns = [key[place], th[place], (start[place] + first).astype(np.int32), (start[place] + last + size).astype(np.int32)]
             yield pa.record_batch([pa.array(c) for c in columns], names=["key", "th", "start", "stop"])
 
-    dealt = stretches.repartition(partitions(stretches.sparkSession), "h")
+    dealt = stretches.repartition(SHARDS * partitions(stretches.sparkSession), "h")
     return dealt.mapInArrow(run, "key long, th int, start int, stop int")
 
 
 def remove_repeated_bytes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, memory: int = 64 << 20
 ) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept``: each text's remaining bytes.
+    """``id_col, n_bytes, n_removed, n_spans, kept``: each text's remaining bytes; ``size`` is at least ``GRAM``.
 
     ``memory``: bytes that a shard's queue and each of its arrays may take before they go to disk.
     """
@@ -163,9 +169,10 @@ def remove_repeated_bytes(
     same = saved(copies(df, id_col, text_col), "suffix-copies")
     later = base.join(same.hint("shuffle_hash"), "key", "left")
     fresh = later.where(~F.coalesce(F.array_contains("same", F.col("th")), F.lit(False)))
-    hits = shared(_samples(fresh, size)).groupBy("key").agg(F.collect_list("h").alias("hs"))
+    hits = saved(shared(_samples(fresh, size)), "suffix-samples", release=True)
+    hits = hits.groupBy("key").agg(F.collect_list("h").alias("hs"))
     rows = base.join(hits.hint("shuffle_hash"), "key").select("key", "th", "data", "hs")
-    runs = saved(_runs(_stretches(rows, size), size, memory), "suffix-runs")
+    runs = saved(_runs(_stretches(rows, size), size, memory), "suffix-runs", release=True)
     marks = runs.groupBy("key").agg(F.collect_list(F.struct("th", "start", "stop")).alias("runs"))
     marks = marks.select("key", "runs.th", "runs.start", "runs.stop")
     side = marks.withColumnRenamed("th", "of").join(same, "key", "full")
