@@ -8,8 +8,8 @@ corpus.  The probability that a prediction needs is calibrated on sampled paragr
 training has not seen.  A prediction counts only if the paragraph also has ``overlap`` of the
 words of one of the family's notices.
 
-A paragraph with that share of a notice's words has one of any set that holds more than the rest, so
-paragraphs without one of each notice's longest words are not scored; nothing is lost by that.
+A paragraph with that share of a notice's words has a word of any set of them that is larger than the
+rest, so paragraphs without any such cue are not scored; nothing is lost by that.
 
 Defined cases: a null or empty text has no notices; null ids are kept; repeated rows are reported
 alike; a table without paragraphs for ``unknown`` leaves the template comparison to decide; an empty table gives no
@@ -18,12 +18,17 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkwork.llm.common import saved
+
 UNKNOWN = "unknown"
 #: Common public licence notices, by family.
 NOTICES = {
@@ -166,17 +171,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     return model
 
 
+def _cues(notices: list[list[str]], overlap: float) -> list[str]:
+    """Few word beginnings such that text with ``overlap`` of a notice's words has one of them.
+
+    Each notice needs more covered words than may be missing; beginnings that cover the most open needs go first.
+    """
+    cues: list[str] = []
+    needs = [(list(w), int(len(w) * (1 - overlap) + 1e-9) + 1) for w in notices]
+    while needs:
+        counts: dict[str, int] = {}
+        for open_words, need in needs:
+            for start in {w[:6] for w in open_words}:
+                covered = sum(w.startswith(start) for w in open_words)
+                counts[start] = counts.get(start, 0) + min(need, covered) * len(start) ** 2
+        best = max(sorted(counts), key=counts.get)
+        cues.append(best)
+        left = []
+        for open_words, need in needs:
+            rest = [w for w in open_words if not w.startswith(best)]
+            if (need := need - (len(open_words) - len(rest))) > 0:
+                left.append((rest, need))
+        needs = left
+    return cues
+
+
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.7) -> DataFrame:
     """``id_col, paragraph, family, probability, similarity`` of each licence notice."""
     spark = docs.sparkSession
     notices = _notices(spark).select("family", F.array_distinct("w").alias("w"))
-    cues = set()
-    for row in notices.collect():
-        rare = sorted(row.w, key=lambda x: (-len(x), x))
-        cues.update(rare[: int(len(rare) * (1 - overlap)) + 1])
-    cue = "(?iu)(?:" + "|".join(x.replace(".", r"\.") for x in sorted(cues)) + ")"
-    rows = paragraphs(docs.where(F.col(text_col).rlike(cue)), id_col, text_col).where(F.col("text").rlike(cue))
+    cues = _cues([row.w for row in notices.collect()], overlap)
+    has_cue = lambda c: reduce(or_, [F.lower(c).contains(cue) for cue in cues])
+    rows = paragraphs(docs.where(has_cue(F.col(text_col).cast("string"))), id_col, text_col).where(has_cue(F.col("text")))
     rows = rows.select("id", "paragraph", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    rows = saved(rows, "licence-paragraphs")
     best = _scored(rows.select("th", "w").distinct(), model, ["th"])
     found = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.needed))
     rows = rows.join(found, "th")
