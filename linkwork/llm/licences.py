@@ -84,6 +84,9 @@ NOTICES = {
     "proprietary": ("All rights reserved.", "Confidential and proprietary. Unauthorized copying is strictly prohibited."),
 }
 
+#: Word beginnings that ordinary text is full of: cues only where a notice has too few others.
+COMMON = {"this", "that", "with", "under", "use", "work", "free", "terms", "person", "source", "withou", "public"}
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, digits and inner points."""
@@ -183,7 +186,8 @@ def _cues(notices: list[list[str]], overlap: float) -> list[str]:
         for open_words, need in needs:
             for start in {w[:6] for w in open_words}:
                 covered = sum(w.startswith(start) for w in open_words)
-                counts[start] = counts.get(start, 0) + min(need, covered) * len(start) ** 2
+                plain = start in COMMON or (len(start) < 4 and start.isalpha())
+                counts[start] = counts.get(start, 0) + min(need, covered) * (1e-3 if plain else len(start) ** 2)
         best = max(sorted(counts), key=counts.get)
         cues.append(best)
         left = []
@@ -200,7 +204,8 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     notices = _notices(spark).select("family", F.array_distinct("w").alias("w"))
     cues = _cues([row.w for row in notices.collect()], overlap)
-    has_cue = lambda c: reduce(or_, [F.lower(c).contains(cue) for cue in cues])
+    any_cue = lambda t: reduce(or_, [t.contains(cue) for cue in cues])
+    has_cue = lambda c: F.exists(F.array(F.lower(c)), any_cue)  # noqa: E731  the text is lower-cased once
     rows = paragraphs(docs.where(has_cue(F.col(text_col).cast("string"))), id_col, text_col).where(has_cue(F.col("text")))
     rows = rows.select("id", "paragraph", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     rows = saved(rows, "licence-paragraphs")
