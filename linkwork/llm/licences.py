@@ -108,6 +108,12 @@ def _confirmed(w: Column, notice: Column) -> Column:
     return F.size(F.array_intersect(w, notice)) / F.size(F.array_distinct(notice))
 
 
+def _alike(w: Column, notices: list[list[str]], share: float) -> Column:
+    """Whether a paragraph has that share of the words of any notice."""
+    known = F.array(*[F.array(*[F.lit(x) for x in notice]) for notice in notices])
+    return F.exists(known, lambda t: _confirmed(w, t) >= share)
+
+
 class LicenceModel:
     """Weights of n-grams by family (small tables), families and the probability a prediction needs."""
 
@@ -147,8 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     chosen = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(documents)
     sample = paragraphs(chosen, id_col, text_col).select(words(F.col("text")).alias("w")).where(F.size("w") > 0)
     # the corpus's own notices are not examples of the class unknown
-    alike = F.exists(F.array(*[F.array(*[F.lit(x) for x in r.w]) for r in notices.collect()]), lambda t: _confirmed(F.col("w"), t) >= 0.5)
-    sample = sample.where(~alike).distinct().orderBy(F.xxhash64("w"), F.col("w").cast("string")).limit(unknown)
+    sample = sample.where(~_alike(F.col("w"), [r.w for r in notices.collect()], 0.5)).distinct().orderBy(F.xxhash64("w"), F.col("w").cast("string")).limit(unknown)
     sample = sample.withColumn("fold", F.pmod(F.xxhash64("w", F.lit("fold")), F.lit(4)))
     train = known.union(sample.where("fold <> 0").select(F.lit(UNKNOWN), "w"))
     families = [*NOTICES, UNKNOWN]
@@ -208,7 +213,8 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     has_cue = lambda c: F.exists(F.array(F.lower(c)), any_cue)  # noqa: E731  the text is lower-cased once
     rows = paragraphs(docs.where(has_cue(F.col(text_col).cast("string"))), id_col, text_col).where(has_cue(F.col("text")))
     rows = rows.select("id", "paragraph", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    rows = saved(rows, "licence-paragraphs")
+    # the template comparison has to hold for some family in any case: few paragraphs go on
+    rows = saved(rows.where(_alike(F.col("w"), [r.w for r in notices.collect()], overlap)), "licence-paragraphs")
     best = _scored(rows.select("th", "w").distinct(), model, ["th"])
     found = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.needed))
     rows = rows.join(found, "th")

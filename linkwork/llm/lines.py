@@ -425,9 +425,10 @@ def distinct_line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scan = docs.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = dealt_texts(docs, id_col, text_col)
     lines = kept_lines(scan, texts, threshold)
-    whole = docs.withColumns({"_key": key_of(id_col), "_text": F.col(text_col).cast("string")}).drop(text_col)
-    rest = [c for c in docs.columns if c != text_col]
-    rows = whole.join(lines.hint("shuffle_hash"), whole["_key"] == lines["key"], "left")
-    out = _split(rows.select(F.col("_text").alias("text"), "numbers", *rest), rest)
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")])
+    whole = docs.select(key_of(id_col).alias("_key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    rows = whole.join(lines.hint("shuffle_hash"), whole["_key"] == lines["key"], "left").select("text", "numbers", "rest")
+    out = _split(rows, ["rest"])
     empty = (F.size("removed_lines") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~empty | F.col("kept").isNull()).withColumn(text_col, F.col("kept")).select(*docs.columns)
+    out = out.where(~empty | F.col("kept").isNull())
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -12,8 +12,8 @@ from linkwork.llm.common import saved, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
-    scored = quality.score(docs.withColumn("_scored", F.col("text")), model, "_scored")
-    return scored.where("score >= 0.5").select(*docs.columns)
+    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return scored.where("score >= 0.5").select("row.*")
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
