@@ -3,8 +3,8 @@
 Everything is expressed on DataFrames partitioned by ``collection_id``:
 column functions live in :mod:`linkwork.functions`, readers in
 :mod:`linkwork.sources`, set-based operators in :mod:`linkwork.operators`,
-text/HTML/JSON writers in :mod:`linkwork.sinks`, composite flows in
-:mod:`linkwork.plans` and the streaming variant in :mod:`linkwork.streaming`.
+text/HTML/JSON writers in :mod:`linkwork.sinks` and composite flows in
+:mod:`linkwork.plans`.
 """
 
 __version__ = "0.1.0"

@@ -8,6 +8,8 @@ one RFC 3986 style regular expression that follows ``urllib.parse.urlsplit``.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +63,20 @@ def _ipv6_pattern(scope: str) -> str:
 _BRACKET_HOST = rf"(?s)^(?:v[a-fA-F0-9]+\..+|{_ipv6_pattern('(?:%[^%]+)?')})$"
 
 
+def _delimiter_lookalikes() -> str:
+    """A pattern of the characters whose NFKC form holds a URL delimiter; urllib rejects hosts with them."""
+    odd = [c for c in map(chr, range(0x80, 0x20000)) if set(unicodedata.normalize("NFKC", c)) & set("/?#@:")]
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in odd) + "]"
+
+
+_LOOKALIKE = _delimiter_lookalikes()
+
+
 def _netloc_ok(netloc: Column) -> Column:
-    """urlsplit's check of a network location that holds both '[' and ']'."""
+    """urlsplit's checks of a network location: its characters, and what stands in '[' and ']'."""
     inner = F.regexp_extract(netloc, r"(?s)^[^\[]*\[([^\]]*)", 1)
     both = netloc.contains("[") & netloc.contains("]")
-    return F.when(~both, F.lit(True)).otherwise(inner.rlike(_BRACKET_HOST))
+    return ~netloc.rlike(_LOOKALIKE) & F.when(~both, F.lit(True)).otherwise(inner.rlike(_BRACKET_HOST))
 
 
 # Schemes whose last path segment may carry ";params" (Python standard library list).
@@ -160,8 +171,9 @@ def path_of_sanitized(sanitized: Column) -> Column:
 
 
 def _decode_form(x: Column) -> Column:
-    # parse_qsl: '+' is a space, then percent-decoding; an undecodable piece stays as text.
-    return F.coalesce(F.call_function("try_url_decode", x), F.replace(x, F.lit("+"), F.lit(" ")))
+    # parse_qsl: '+' is a space, then percent-decoding; a percent sign that begins no escape stays.
+    whole = F.regexp_replace(x, F.lit("%(?![0-9A-Fa-f]{2})"), F.lit("%25"))
+    return F.coalesce(F.call_function("try_url_decode", whole), F.replace(x, F.lit("+"), F.lit(" ")))
 
 
 def _encode_form(x: Column) -> Column:

@@ -31,7 +31,6 @@ What is left after a few rounds is an independent problem for the edge rounds.
 from __future__ import annotations
 
 import logging
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,8 +119,6 @@ def leaders_in_rounds(nodes: DataFrame, edges: DataFrame, cliques: list[list[str
         state = materialize(state, "checkpoint")
         undecided = state.filter(F.col("status") == 0).count()
         _log.info("fuzzy round %d: %d undecided", rnd, undecided)
-        if os.environ.get("LINKWORK_DEBUG"):
-            print("fuzzy round", rnd, undecided, flush=True)
         if undecided == 0:
             break
         sa = state.select("collection_id", F.col("node").alias("a"), F.col("status").alias("_sa"))

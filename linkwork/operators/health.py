@@ -1,7 +1,7 @@
 """Link health from a status table.
 
 Probing the network is a separate job; its results arrive as a table
-``V(url, is_valid, status_code, error[, checked_seq])``.  A received response is valid
+``V(url, is_valid, status_code, error, checked_seq)``.  A received response is valid
 whatever its status code; a link that was never checked has null status and is neither
 valid nor broken.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import preview
+from ..functions.urls import sanitize_url
 
 INVALID_URL_ERROR = "Invalid or dangerous URL"
 BROKEN_SHOWN = 10
@@ -19,9 +20,10 @@ BROKEN_SHOWN = 10
 
 def attach_status(links: DataFrame, status: DataFrame) -> DataFrame:
     """Left join of links to the latest status row of their URL."""
-    order = F.col("checked_seq") if "checked_seq" in status.columns else F.lit(0)
-    latest = status.groupBy("url").agg(
-        F.max_by(F.struct("is_valid", "status_code", "error"), order).alias("_s"))
+    state = F.struct("is_valid", "status_code", "error")
+    # status URLs are sanitised as links are; rows of one sequence number are ordered by their state
+    latest = status.withColumn("url", sanitize_url(F.col("url"))).filter(F.col("url") != "").groupBy("url").agg(
+        F.max_by(state, F.struct("checked_seq", state)).alias("_s"))
     j = links.join(latest, "url", "left")
     bad = F.col("url") == ""
     return (j.withColumn("is_valid", F.when(bad, F.lit(False)).otherwise(F.col("_s.is_valid")))
@@ -38,7 +40,7 @@ def health_summary(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), valid.alias("valid"), invalid.alias("invalid"),
         F.count_if(F.col("is_valid").isNull()).alias("unchecked"))
     denom = F.col("valid") + F.col("invalid")
-    rate = F.when(denom > 0, F.round(F.col("valid").cast("double") / denom.cast("double") * F.lit(100.0), 1))
+    rate = F.when(denom > 0, F.bround(F.col("valid").cast("double") / denom.cast("double") * F.lit(100.0), 1))
     return agg.withColumn("success_rate", rate)
 
 

@@ -93,20 +93,6 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint"
             .drop("label_part", "part_rank"))
 
 
-def sequential_labels(parts: list[str]) -> list[str]:
-    """The literal first-free-number rule (reference statement, used by tests)."""
-    used: set[str] = set()
-    out = []
-    for part in parts:
-        label, k = part, 1
-        while label in used:
-            k += 1
-            label = f"{part} {k}"
-        used.add(label)
-        out.append(label)
-    return out
-
-
 # A part "b k" (k a canonical integer >= 2) is the only other part whose labels can meet b's:
 # its first label "b k" is b's k-th.  So b's rows take numbers 1, 2, 3 ... in order and skip
 # exactly the numbers k whose part "b k" showed up first; and "b" itself is skipped when b's
@@ -175,15 +161,18 @@ def _repair_collisions(df: DataFrame) -> DataFrame:
         return df
     rows = fam.filter(F.col("domain_links") > 1).join(clashes, keys, "left_semi")
     bases = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    bases = bases.withColumn("parent", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 1))) \
-        .withColumn("slot", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 2).cast("bigint")))
+    # a number beyond bigint is never reached by a rank: such a part has no parent
+    bases = bases.withColumn("slot", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 2).try_cast("bigint"))) \
+        .withColumn("parent", F.when(F.col("slot").isNotNull(), F.regexp_extract("part", _CHILD, 1)))
     kids = bases.filter(F.col("parent").isNotNull()).select(
         *keys, F.col("parent").alias("part"), F.col("slot").alias("k"))
     kids = kids.join(bases.select(*keys, "part", "n"), [*keys, "part"])
     m = kids.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"))
     # positions of the few ranks the solver can ask for: k - s for s in 0..m+1
-    wanted = kids.join(m, [*keys, "part"]).select(
-        *keys, "part", "n", F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("_s"), "k")
+    # only ranks that the part's n rows have, so m numbered parts of few rows cost few probes each
+    least, most = F.greatest(F.lit(0), F.col("k") - F.col("n")), F.least(F.col("m") + 1, F.col("k") - 1)
+    wanted = kids.join(m, [*keys, "part"]).where(least <= most).select(
+        *keys, "part", "n", F.explode(F.sequence(least, most)).alias("_s"), "k")
     wanted = wanted.select(*keys, "part", (F.col("k") - F.col("_s")).alias("rank"), "n") \
         .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("n"))).drop("n").distinct()
     probes = wanted.join(rows.select(*keys, "part", F.col("part_rank").alias("rank"), "pos"), [*keys, "part", "rank"])

@@ -49,6 +49,9 @@ def with_ordinal(
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:
         counts = counts.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
-    out = d.drop("_c").join(counts.drop("_c"), [*keys, "_bk"])
+    # null-safe: rows whose keys or position are null are numbered like any other
+    same = [*keys, "_bk"]
+    counts = counts.drop("_c").select(*[F.col(k).alias(f"_r_{k}") for k in same], *[c for c in counts.columns if c not in (*same, "_c")])
+    out = d.drop("_c").join(counts, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in same]).drop(*[f"_r_{k}" for k in same])
     out = out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_w")
     return out if keep_bucket else out.drop("_bk")

@@ -102,7 +102,6 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
 
 
 GRAM = 3  # the outline title's rarest substring of this length selects the candidates
-DIRECT_LIMIT = 1000  # originals per domain up to which a line is compared with all of them
 
 
 def _grams(text: F.Column, k: int) -> F.Column:
@@ -122,9 +121,8 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
     """J3 for unmatched outline lines: ``(collection_id, line_no, _dom)``.
 
     The first original of the domain (by position) whose clean or original title contains the
-    outline title, case-insensitively; else the domain's first original.  When a domain with
-    unmatched lines holds more than ``DIRECT_LIMIT`` originals (checked with one aggregate),
-    candidates are only originals that contain the title's rarest substring of ``GRAM``
+    outline title, case-insensitively; else the domain's first original.  Candidates are only the
+    originals that contain the title's rarest substring of ``GRAM``
     characters (the whole title when shorter), so a line never meets every link of a large
     domain; each candidate is still checked for the full containment.
     """
@@ -135,13 +133,6 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
     first = cand.groupBy(*keys).agg(F.min_by("_o", "pos").alias("_first"))
     m = misses.withColumn("_t", F.lower(F.coalesce(F.col("title"), F.lit(""))))
     m = m.withColumn("_k", F.least(F.length("_t"), F.lit(GRAM)))
-    largest = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
-    if largest is None or largest["_m"] is None or largest["_m"] <= DIRECT_LIMIT:
-        # checked: every domain with unmatched lines is small, so compare each line with all of it
-        hits = m.join(cand, keys).filter(F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
-        contained = hits.groupBy("collection_id", "line_no").agg(F.min_by("_o", "pos").alias("_hit"))
-        out = m.join(first, keys, "left").join(contained, ["collection_id", "line_no"], "left")
-        return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))
     # substrings of every candidate title, for the lengths the outline titles need (1..GRAM)
     grams = cand.select(*keys, "pos", "_o", "_ct", "_ot", F.explode(F.array_distinct(F.flatten(F.array(*[
         _tagged(F.array_distinct(F.concat(_grams(F.col("_ct"), k), _grams(F.col("_ot"), k))), k)
@@ -159,6 +150,7 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
     pick = counted.filter(F.col("_min") > 0).drop("_min")
     hits = pick.join(grams, [*keys, "_g"]).filter(
         F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
+    # the empty title is contained in every original: the first one serves, as without a hit
     contained = hits.groupBy("collection_id", "line_no").agg(F.min_by("_o", "pos").alias("_hit"))
     out = m.join(first, keys, "left").join(contained, ["collection_id", "line_no"], "left")
     return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))

@@ -1,7 +1,7 @@
 """Composite flows (C1-C5): what one run of the tool does, as DataFrame-in/DataFrame-out steps.
 
-Every flow is lazy until a sink writes; outputs are partitioned by ``job_id`` and
-``collection_id`` so reruns and collections never overwrite each other.
+Flows checkpoint what they reuse; outputs go to a folder for each ``job_id``, so reruns of one
+job never overwrite another's.
 """
 
 from __future__ import annotations
@@ -53,9 +53,9 @@ def clean_and_dedup(links: DataFrame, cfg: DedupConfig = DedupConfig()) -> Clean
 def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str) -> None:
     """C2 sinks: report rows (JSON), summary, duplicate report text and relabelled HTML."""
     base = out_dir.rstrip("/")
-    report_rows(run.kept, job_id).write.mode("overwrite").partitionBy("job_id", "collection_id").json(
-        f"{base}/reports/rows")
-    report_summary(run.kept, job_id).write.mode("overwrite").partitionBy("job_id").json(f"{base}/reports/summary")
+    # a folder for each job, so that a rerun replaces its own output only
+    report_rows(run.kept, job_id).write.mode("overwrite").partitionBy("collection_id").json(f"{base}/reports/{job_id}/rows")
+    report_summary(run.kept, job_id).write.mode("overwrite").json(f"{base}/reports/{job_id}/summary")
     if run.report_lines is not None:
         write_lines(run.report_lines, f"{base}/reports/{job_id}/duplicates")
     relabel_html(docs, scan_anchors(docs), run.kept).write.mode("overwrite").parquet(f"{base}/cleaned/{job_id}")

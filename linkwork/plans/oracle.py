@@ -333,8 +333,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY pos) AS r
 SELECT collection_id, pos, url, domain, domain_links, domain_ordinal, part, formatted_label FROM links"""
     for keep in ("first", "last", "shortest", "longest"):
         s[f"dedup_url_{keep}"] = dedup_sql("url", keep)
-    # The streaming URL de-duplication keeps each key's first copy, as D1 does
-    s["stream_dedup_url"] = dedup_sql("url", "first")
     s["dedup_smart_first"] = dedup_sql("smart", "first")
     s["dedup_smart_longest"] = dedup_sql("smart", "longest")
     s["dedup_title_clean"] = dedup_sql("title", "first", "clean_title")
@@ -393,7 +391,7 @@ agg AS (
   SELECT collection_id, count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid,
          count(*) FILTER (WHERE NOT is_valid) AS invalid, count(*) FILTER (WHERE is_valid IS NULL) AS unchecked
   FROM checked GROUP BY collection_id)
-SELECT *, CASE WHEN valid + invalid > 0 THEN round(valid::DOUBLE / (valid + invalid)::DOUBLE * 100.0, 1) END AS success_rate
+SELECT *, CASE WHEN valid + invalid > 0 THEN round_even(valid::DOUBLE / (valid + invalid)::DOUBLE * 100.0, 1) END AS success_rate
 FROM agg"""
     s["broken_links"] = with_links("b0") + ",\n" + STATUS + """,
 broken AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY pos) AS rn,

@@ -224,19 +224,6 @@ def q_relabel_html(spark, sf):
     return relabel_html(docs, anchors, kept)
 
 
-def q_stream_dedup_url(spark, sf):
-    """The link variants as a file stream, de-duplicated by URL within a watermark."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    from ..streaming.dedup_stream import run_available, stage_links
-
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stage_links(_links(spark, sf), f"{base}/in")
-    out = run_available(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
-    return out.select("collection_id", "pos", "url", "formatted_label")
-
-
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "sanitize_urls": q_sanitize_urls,
@@ -280,5 +267,4 @@ def registry() -> dict[str, Query]:
     q["organise_match"] = q_organise_match
     q["render_netscape"] = q_render_netscape
     q["relabel_html"] = q_relabel_html
-    q["stream_dedup_url"] = q_stream_dedup_url
     return q

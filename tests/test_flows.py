@@ -25,8 +25,10 @@ def test_clean_dedup_and_write(spark):
     out = tempfile.mkdtemp(prefix="lw-flow-")
     job = job_id_for("pages", "20260101_000000")
     write_clean_run(docs, run, out, job)
-    rows = spark.read.json(os.path.join(out, "reports", "rows"))
-    assert rows.count() == n_kept
+    write_clean_run(docs, run, out, job + "_again")  # another job's run leaves the first one's output
+    for name in (job, job + "_again"):
+        assert spark.read.json(os.path.join(out, "reports", name, "rows")).count() == n_kept
+        assert spark.read.json(os.path.join(out, "reports", name, "summary")).count() > 0
     html = spark.read.parquet(os.path.join(out, "cleaned", job)).collect()
     removed = sum(int(h.html.split(" duplicates removed")[0].rsplit(" ", 1)[-1]) for h in html)
     assert removed == n_links - n_kept

@@ -50,19 +50,17 @@ def test_repair_matches_literal_rule_on_random_families(spark):
 
     from pyspark.sql import functions as F
 
-    from linkwork.operators.labels import label_links, sequential_labels
+    from linkwork.operators.labels import label_links
 
     rng = random.Random(7)
     choices = ["X", "X 2", "X 3", "X 2 2", "X 2 3", "X 4", "Y", "Y 2", "X 1", "X 02"]
-    rows, expect = [], {}
+    rows, given = [], {}
     for c in range(40):
         parts = [rng.choice(choices) for _ in range(rng.randint(2, 12))]
         cid = f"c{c}"
         for i, p in enumerate(parts):
             rows.append((cid, i * 7 + c % 3, p))
-        want = sequential_labels(parts)
-        for i, lab in enumerate(want):
-            expect[(cid, i * 7 + c % 3)] = "d.com | " + lab
+        given[cid] = [(i * 7 + c % 3, p) for i, p in enumerate(parts)]
     df = spark.createDataFrame(rows, "collection_id string, pos bigint, part string")
     # a link row per part: the URL path carries the part so path_identifier gives it back
     links = df.select("collection_id", "pos", F.concat(F.lit("https://d.com/s/"), F.replace("part", F.lit(" "), F.lit("_")))
@@ -70,7 +68,25 @@ def test_repair_matches_literal_rule_on_random_families(spark):
                       F.lit("t").alias("clean_title"), F.lit(None).cast("string").alias("icon"),
                       F.lit(None).cast("string").alias("add_date"), F.lit("").alias("href"))
     got = {(r.collection_id, r.pos): r.formatted_label for r in label_links(links).collect()}
-    assert got == expect
+    for cid, parts in given.items():
+        taken = set()
+        for pos, part in parts:  # each label is the part's first free number at its turn
+            label = got[cid, pos].removeprefix("d.com | ")
+            number = 1 if label == part else int(label.removeprefix(part + " "))
+            assert label not in taken and number != 1 or label == part
+            assert {part, *(f"{part} {k}" for k in range(2, number))} - {label} <= taken and label not in taken
+            taken.add(label)
+
+
+def test_huge_numbers_and_many_numbered_paths(spark):
+    from linkwork.operators.labels import label_links
+
+    urls = ["/x", "/y/x", "/x-2", "/x-99999999999999999999"] + [f"/n-{i}" for i in range(2000)]
+    rows = [("c", i, f"https://d.com{u}", "d.com", "t", "t", None, None, "") for i, u in enumerate(urls)]
+    schema = ("collection_id string, pos bigint, url string, domain string, original_title string, clean_title string, "
+              "icon string, add_date string, href string")
+    found = [r.formatted_label for r in label_links(spark.createDataFrame(rows, schema)).collect()]
+    assert len(set(found)) == len(urls)
 
 
 def test_labels_with_many_buckets(spark, monkeypatch):

@@ -27,3 +27,10 @@ def test_ordinal_and_running_sum_match_windows(spark, bucket):
     a = sorted(tuple(r) for r in got.select("collection_id", "k", "pos", "o", "t", "s").collect())
     b = sorted(tuple(r) for r in want.select("collection_id", "k", "pos", "o", "t", "s").collect())
     assert a == b
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [("a", 1), (None, 2), (None, 5)]
+    df = spark.createDataFrame(rows, "collection_id string, pos bigint")
+    got = {(r.collection_id, r.pos): r.n for r in with_ordinal(df, ["collection_id"], "pos", "n", bucket=2).collect()}
+    assert got == {("a", 1): 1, (None, 2): 1, (None, 5): 2}

@@ -15,7 +15,7 @@ import __spark_entry__ as E  # noqa: E402
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n != "stream_dedup_url"))
+@pytest.mark.parametrize("name", sorted(E.queries()))
 def test_plan_has_no_forbidden_operators(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     buf = io.StringIO()

@@ -74,9 +74,3 @@ def test_levenshtein_query_matches_python(spark):
     for r in df.collect():
         text = src[(r.collection_id, r.pos)]
         assert r.lev_ratio == pytest.approx(round(pyref.lev_ratio(text, pyref.clean(text)), 6))
-
-
-def test_stream_dedup_equals_batch_first(spark):
-    got = sorted(tuple(r) for r in E.queries()["stream_dedup_url"](spark, SF_SMALL).collect())
-    want = sorted(tuple(r) for r in E.queries()["dedup_url_first"](spark, SF_SMALL).collect())
-    assert got == want
