@@ -228,6 +228,8 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
     ``only``: ``bucket, data`` rows with postings of the later lines to be joined, if not all are.
     """
 
+    restricted = only is not None
+
     def run(batches):
         parts, wanted = [], []
         for batch in batches:
@@ -247,7 +249,7 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
         if wanted:
             w = np.concatenate(wanted)
             late = np.isin(_places(p), np.unique(_places(w)))
-        elif only is not None:
+        elif restricted:
             return
         have = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for x, y in candidates(p, threshold):

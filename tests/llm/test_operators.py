@@ -123,6 +123,21 @@ def test_lines_equal_brute_force(spark, texts, monkeypatch, first):
         assert kept == "\n".join(x for n, x in enumerate(text[i].split("\n")) if n not in gone[i])
 
 
+def test_lines_with_a_first_candidate_that_fails(spark, texts, monkeypatch):
+    """Words whose bits cancel let a pair pass the bitmap; the line is then joined with all candidates."""
+    monkeypatch.setattr(lines, "FIRST", 1)
+    words = [f"v{i}" for i in range(400)]
+    h = lines.Words([w.encode() for w in words]).hashes()
+    bits = (lines.mixed(h ^ lines.MIX[0]) & np.uint64(63)).tolist()
+    a, c = next((x, y) for i, x in enumerate(words) for j, y in enumerate(words[:i]) if bits[i] == bits[j])
+    base = " ".join(f"common{i}" for i in range(9))
+    rows = [(1, f"{base} {a} b1"), (2, f"{base} {c} d1 e1"), (3, f"{base} {c} d1"), (4, f"{base} {a} b1")]
+    got = by_id(lines.line_dedup(texts(rows)), "removed_lines")
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {i for i in sets if any(j < i and 5 * len(s & sets[i]) >= 4 * len(s | sets[i]) for j, s in sets.items())}
+    assert {i for i, (r,) in got.items() if r} == want == {3, 4}
+
+
 def test_line_edges(spark, texts):
     df = texts([*EDGES, (6, "a b\n\nA b\na b"), (6, "a b\n\nA b\na b")])
     got = sorted((r.doc_id or -1, r.removed_lines) for r in lines.line_dedup(df).collect())
