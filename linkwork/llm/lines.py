@@ -39,6 +39,8 @@ from linkwork.llm.tokens import MIX, Words, mixed
 SKETCH, PIECES = 1 << 20, 64
 #: Pairs that a task looks at in one go.
 PAIRS = 1 << 21
+#: Bits of the bitmap of open lines' words.
+BITMAP = 1 << 23
 #: Earliest candidates of a line that are verified first.
 FIRST = 2
 POSTING = np.dtype([("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
@@ -96,6 +98,10 @@ def slots(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _bit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
+
+
 def rarity(rows: DataFrame) -> np.ndarray:
     """Logarithmic word counts of ``key, text``, by slot: one byte for each of ``SKETCH`` counters."""
 
@@ -150,7 +156,7 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         word = lines.words[lines.first[line] + at]
         if words is not None:
-            has = np.unpackbits(np.frombuffer(words.value, dtype=np.uint8), bitorder="little")[slots(word)].astype(bool)
+            has = np.unpackbits(np.frombuffer(words.value, dtype=np.uint8), bitorder="little")[_bit(word)].astype(bool)
             line, at, word = line[has], at[has], word[has]
         if not len(line):
             return None
@@ -332,10 +338,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
 
 
 def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
-    """Slots of the prefix words of the lines ``numbers``: a bit for each of ``SKETCH``."""
+    """A bitmap of ``BITMAP`` bits of the prefix words of the lines ``numbers``."""
 
     def mark(batches):
-        bits = np.zeros(SKETCH, dtype=bool)
+        bits = np.zeros(BITMAP, dtype=bool)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -343,7 +349,7 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
                 prefix = np.where(lines.among(part.column(3)), lines.prefix(threshold), 0)
                 line = np.repeat(np.arange(len(prefix)), prefix)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                bits[slots(lines.words[lines.first[line] + place])] = True
+                bits[_bit(lines.words[lines.first[line] + place])] = True
         parts = [np.packbits(p, bitorder="little").tobytes() for p in bits.reshape(PIECES, -1)]
         yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "bits"])
 
@@ -356,7 +362,7 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], names=["part", "bits"])
 
     marked = rows.select("key", "th", "data", "numbers").mapInArrow(mark, "part int, bits binary")
-    found = marked.repartition(PIECES, "part").mapInArrow(add, "part int, bits binary").collect()  # SKETCH bits
+    found = marked.repartition(PIECES, "part").mapInArrow(add, "part int, bits binary").collect()  # BITMAP bits
     return b"".join(bytes(r[1]) for r in sorted(found))
 
 
