@@ -70,11 +70,13 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def dealt_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key, th, data``: ids, text hashes and zstandard-packed texts, dealt by key.
+    """``key, th, data``: ids, text hashes and zstandard-packed texts, bucketed by key.
 
-    All consumers of one plan that join on ``key`` read this one exchange again, if they take all
-    three columns.
+    The texts are shuffled once and written as a bucketed table under ``spark.checkpoint.dir``.  Every later join
+    on ``key``, in whatever job, reads the buckets in place and shuffles its other side only.
     """
+    spark = df.sparkSession
+    n = partitions(spark)
     text = F.col(text_col).cast("string")
     rows = df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
@@ -83,7 +85,13 @@ def dealt_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         data = pa.array([pack(t) for t in utf8(batch.column(2))], pa.binary())
         return pa.record_batch([batch.column(0), batch.column(1), data], names=["key", "th", "data"])
 
-    return arrow_pass(rows, "key long, th long, data binary", work).repartition(partitions(df.sparkSession), "key")
+    name = f"packed_texts_{uuid.uuid4().hex}"
+    dealt = arrow_pass(rows, "key long, th long, data binary", work).repartition(n, "key")
+    # the bytes are packed already
+    table_of = dealt.write.format("parquet").option("compression", "none").bucketBy(n, "key")
+    table_of.option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(name)
 
 
 def unpacked(column: pa.Array) -> list[bytes]:

@@ -172,7 +172,7 @@ def remove_repeated_bytes(
     hits = saved(shared(_samples(fresh, size)), "suffix-samples", release=True)
     hits = hits.groupBy("key").agg(F.collect_list("h").alias("hs"))
     rows = base.join(hits.hint("shuffle_hash"), "key").select("key", "th", "data", "hs")
-    # not written: the last join below reads the same exchange of texts
+    # not written: the last join below takes the runs as they come
     runs = _runs(_stretches(rows, size), size, memory)
     marks = runs.groupBy("key").agg(F.collect_list(F.struct("th", "start", "stop")).alias("runs"))
     marks = marks.select("key", "runs.th", "runs.start", "runs.stop")
