@@ -18,7 +18,7 @@ which only the first place counts; classes are joined as follows.
 4. Lines with further candidates that have found no partner so are joined again, with all of their
    candidates; postings of words that none of them has are dropped by a bitmap of fixed size.
 
-Postings travel packed, one array for each task batch and word bucket.  Blank lines are neither
+Postings travel packed by columns, one array for each task batch and word bucket.  Blank lines are neither
 matched nor removed.  Defined cases: a null text has no lines; null ids share one identity, the smallest; rows of one
 id are not earlier than one another at the same line number; an empty table gives no rows; further columns are
 kept by ``distinct_line_texts`` and ignored otherwise.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,10 @@ PAIRS = 1 << 21
 BITMAP = 1 << 23
 #: Earliest candidates of a line that are verified first.
 FIRST = 2
-POSTING = np.dtype([("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: ``low`` and ``high``: a bitmap of 128 bits, the parity of the line's words by hash
+POSTING = np.dtype(
+    [("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4"), ("at", "<u4")]
+)
 EPS = 1e-9
 
 
@@ -160,21 +164,36 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
             line, at, word = line[has], at[has], word[has]
         if not len(line):
             return None
-        bit = np.uint64(1) << (mixed(lines.words ^ MIX[0]) & np.uint64(63))
+        place = mixed(lines.words ^ MIX[0])
+        bit = np.uint64(1) << (place & np.uint64(63))
+        upper = (place >> np.uint64(6)) & np.uint64(1)
         out = np.empty(len(line), dtype=POSTING)
         out["word"] = word >> np.uint64(32)
         out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
-        out["number"], out["bits"] = lines.number[line], np.bitwise_xor.reduceat(bit, lines.first)[line]
+        out["number"] = lines.number[line]
+        out["low"] = np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line]
+        out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
         out["n"], out["at"] = lines.n[line], at
         bucket = (mixed(word) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((word, bucket))
         have, first = np.unique(bucket[order], return_index=True)
-        parts = [p.tobytes() for p in np.split(out[order], first[1:])]
+        parts = _packed(np.split(out[order], first[1:]))
         return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
     return arrow_pass(rows.select("key", "th", "data", "numbers"), "bucket int, data binary", work, 1024)
 
 
+def _packed(parts: list[np.ndarray]) -> list[bytes]:
+    """Postings by byte columns, compressed."""
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    return [pack(p.view(np.uint8).reshape(len(p), -1).T.tobytes()) for p in parts]
+
+
+def _postings_of(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    columns = np.frombuffer(unpack.decompress(data), dtype=np.uint8).reshape(POSTING.itemsize, -1)
+    return np.ascontiguousarray(columns.T).view(POSTING).reshape(-1)
+
+
 def candidates(p: np.ndarray, threshold: float):
     """Yield index pairs (earlier, later) of the postings of some words, sorted by word and size, that pass the filters."""
     place = (p["word"].astype(np.uint64) << np.uint64(32)) | p["n"]
@@ -191,7 +210,9 @@ def candidates(p: np.ndarray, threshold: float):
             need = np.ceil(threshold / (1 + threshold) * (n + m) - EPS)
             # the shared word and the words after it
             ok = np.minimum(n - p["at"][a], m - p["at"][b]) >= need
-            ok &= np.bitwise_count(p["bits"][a] ^ p["bits"][b]) <= n + m - 2 * need
+            a, b, spare = a[ok], b[ok], (n + m - 2 * need)[ok]
+            differ = np.bitwise_count(p["low"][a] ^ p["low"][b]) + np.bitwise_count(p["high"][a] ^ p["high"][b])
+            ok = differ <= spare
             a, b = a[ok], b[ok]
             less = (p["key"][a] < p["key"][b]) | ((p["key"][a] == p["key"][b]) & (p["number"][a] < p["number"][b]))
             same = (p["key"][a] == p["key"][b]) & (p["number"][a] == p["number"][b])
@@ -237,10 +258,10 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
     restricted = only is not None
 
     def run(batches):
-        parts, wanted = [], []
+        parts, wanted, unpack = [], [], zstandard.ZstdDecompressor()
         for batch in batches:
             for data, late in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (wanted if late else parts).append(np.frombuffer(data, dtype=POSTING))
+                (wanted if late else parts).append(_postings_of(data, unpack))
         if not parts:
             return
         p = np.concatenate(parts)
