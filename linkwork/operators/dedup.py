@@ -141,6 +141,16 @@ def duplicate_pairs(marked: DataFrame, strategy: str) -> DataFrame:
                          F.col("pos").alias("dup_pos"))
 
 
+def dense_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs`` with positions as places among the surviving links of their collection, counted from 0."""
+    place = with_ordinal(links.select("collection_id", "pos"), ["collection_id"], "pos", "_n")
+    place = place.select("collection_id", "pos", (F.col("_n") - 1).alias("_n"))
+    for c in ("first_pos", "dup_pos"):
+        at = place.select("collection_id", F.col("pos").alias(c), F.col("_n").alias(f"_{c}"))
+        pairs = pairs.join(at, ["collection_id", c])
+    return pairs.select("collection_id", "group_no", F.col("_first_pos").alias("first_pos"), F.col("_dup_pos").alias("dup_pos"))
+
+
 def strategy_comparison(links: DataFrame, configs: list[DedupConfig]) -> DataFrame:
     """Rows left and removed per collection for each configuration, over one keyed table.
 

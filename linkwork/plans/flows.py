@@ -11,13 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates
+from ..operators.dedup import DedupConfig, dense_pairs, duplicate_metrics, duplicate_pairs, mark_duplicates
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.labels import build_links
 from ..operators.outline import match_outline, outline_entries
 from ..session import materialize
 from ..sinks.export import flat_export, instructions_export, structured_export, write_lines
-from ..sinks.render import relabel_html, render_netscape_lines
+from ..sinks.render import relabel_html, render_netscape_lines, write_documents
 from ..sinks.report import duplicate_report_lines, report_rows, report_summary
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
 from ..sources.outline import outline_lines
@@ -46,7 +46,7 @@ def clean_and_dedup(links: DataFrame, cfg: DedupConfig = DedupConfig()) -> Clean
     pairs = lines = None
     if cfg.strategy in ("url", "title", "smart"):
         pairs = duplicate_pairs(marked, cfg.strategy)
-        lines = duplicate_report_lines(pairs, metrics, cfg.strategy, cfg.similarity_threshold, cfg.keep_strategy)
+        lines = duplicate_report_lines(dense_pairs(pairs, marked), metrics, cfg.strategy, cfg.similarity_threshold, cfg.keep_strategy)
     return CleanRun(links, marked, kept, pairs, metrics, lines)
 
 
@@ -58,7 +58,7 @@ def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str) -
     report_summary(run.kept, job_id).write.mode("overwrite").json(f"{base}/reports/{job_id}/summary")
     if run.report_lines is not None:
         write_lines(run.report_lines, f"{base}/reports/{job_id}/duplicates")
-    relabel_html(docs, scan_anchors(docs), run.kept).write.mode("overwrite").parquet(f"{base}/cleaned/{job_id}")
+    write_documents(relabel_html(docs, scan_anchors(docs), run.kept), f"{base}/cleaned/{job_id}")
 
 
 def organise(outlines: DataFrame, links: DataFrame, timestamp: str = "0") -> DataFrame:

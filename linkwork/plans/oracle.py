@@ -408,8 +408,11 @@ SELECT '{JOB_ID}' AS job_id, k.collection_id, count(*) AS total_bookmarks, true
 FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.collection_id = k.collection_id AND r.rpos = k.pos)
 GROUP BY k.collection_id""")
     s["dup_report"] = dedup_sql("url", "first", select="""
-, grp AS (
-  SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY ipos) AS g, fpos, ipos FROM pairs),
+, places AS (SELECT collection_id, pos, row_number() OVER (PARTITION BY collection_id ORDER BY pos) - 1 AS n FROM keyed),
+grp AS (
+  SELECT p.collection_id, row_number() OVER (PARTITION BY p.collection_id ORDER BY p.ipos) AS g, f.n AS fpos, i.n AS ipos
+  FROM pairs p JOIN places f ON f.collection_id = p.collection_id AND f.pos = p.fpos
+  JOIN places i ON i.collection_id = p.collection_id AND i.pos = p.ipos),
 meta AS (
   SELECT k.collection_id, (SELECT count(*) FROM removed r WHERE r.collection_id = k.collection_id) AS nrem,
          (SELECT count(*) FROM grp WHERE grp.collection_id = k.collection_id) AS ng

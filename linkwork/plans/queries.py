@@ -11,7 +11,8 @@ from ..functions.text import html_unescape_basic
 from ..functions.titles import levenshtein_ratio, preview, title_similarity, with_clean_title
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
 from ..operators.dedup import (
-    DedupConfig, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates, strategy_comparison,
+    DedupConfig, dense_pairs, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates,
+    strategy_comparison,
 )
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.outline import match_outline, outline_entries
@@ -182,7 +183,8 @@ def q_report_summary(spark, sf):
 
 def q_dup_report(spark, sf):
     marked = materialize(mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
-    return duplicate_report_lines(duplicate_pairs(marked, "url"), duplicate_metrics(marked), "url", 0.85, "first")
+    return duplicate_report_lines(dense_pairs(duplicate_pairs(marked, "url"), marked), duplicate_metrics(marked), "url", 0.85,
+                                  "first")
 
 
 def q_export_flat(spark, sf):

@@ -11,6 +11,7 @@ written with their subtree, and text is HTML-escaped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -111,83 +112,130 @@ def render_netscape_lines(entries: DataFrame, matched: DataFrame, timestamp: str
 
 # ---------------------------------------------------------------------------- K2
 
-COMMENT = "<!-- Bookmark labels cleaned and {n} duplicates removed -->"
+COMMENT = "<!-- {n} duplicates removed; labels rewritten -->"
 
 
 class _Spans(_LinkParser):
-    """Records character spans of bookmark ``<DT>`` items and of their anchor text."""
+    """Records the character spans of links and of the ``<DT>`` items that hold them.
+
+    An item runs from its ``<DT>`` over a ``<DD>`` note to the next item, folder, rule or end of its list;
+    a ``<DT>`` that opens a folder is no item.  Items never overlap, and neither do links.
+    """
+
+    _ENDS = {"dl", "hr", "h1", "h2", "h3"}
 
     def __init__(self, text: str) -> None:
         super().__init__()
+        self._text = text
         self._starts = [0]
         at = text.find("\n")
         while at >= 0:
             self._starts.append(at + 1)
             at = text.find("\n", at + 1)
-        self.items: list[dict] = []   # per anchor: dt start, a text start/end, item end
-        self._dt_at: int | None = None
-        self._dt_folder = False
+        self.items: list[list[int]] = []   # start, end
+        self.links: list[dict] = []        # per anchor: its item if any, start, text start, text end, end
+        self._item: int | None = None
+        self._closed: int | None = None    # item that a note may follow
+        self._open = False                 # the last link has no end yet
         self.meta_end: int | None = None
 
     def _off(self) -> int:
         line, col = self.getpos()
         return self._starts[line - 1] + col
 
+    def _end_link(self, at: int, end: int) -> None:
+        if self._open:
+            self._open = False
+            self.links[-1].update(text_end=at, end=end)
+
+    def _end_item(self, at: int) -> None:
+        self._end_link(at, at)
+        if self._item is not None:
+            self.items[self._item][1] = at
+        self._closed, self._item = self._item, None
+
+    def _tag_end(self) -> int:
+        """Behind the current end tag and the rest of its line, if blank."""
+        at = self._text.find(">", self._off()) + 1 or len(self._text)
+        line = at
+        while line < len(self._text) and self._text[line] in " \t\r":
+            line += 1
+        return line + 1 if self._text[line:line + 1] == "\n" else at
+
     def handle_starttag(self, tag, attrs):
-        if tag == "dt":
-            self._dt_at, self._dt_folder = self._off(), False
-        elif tag == "h3":
-            self._dt_folder = True
+        at = self._off()
+        behind = at + len(self.get_starttag_text() or "")
+        if tag == "a":
+            self._end_link(at, at)
+            if "href" in dict(attrs):
+                self.links.append({"item": self._item, "start": at, "text": behind})
+                self._open = True
+        elif tag == "dt":
+            self._end_item(at)
+            self._item = len(self.items)
+            self.items.append([at, at])
+        elif tag == "dd":
+            self._end_link(at, at)
+            if self._item is None and self._closed is not None and not self._text[self.items[self._closed][1]:at].strip():
+                self._item = self._closed
+        elif tag in self._ENDS:
+            self._end_item(at)
+            self._closed = None
         elif tag == "meta" and self.meta_end is None:
-            self.meta_end = self._off() + len(self.get_starttag_text() or "")
-        elif tag == "a" and "href" in dict(attrs):
-            self.items.append({"dt": None if self._dt_folder else self._dt_at,
-                               "a_text": self._off() + len(self.get_starttag_text() or ""), "a_end": None,
-                               "end": None})
+            self.meta_end = behind
         super().handle_starttag(tag, attrs)
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag == "a":
+            self._end_link(self.links[-1]["text"] if self._open else 0, self.links[-1]["text"] if self._open else 0)
+            super().handle_endtag(tag)
+
     def handle_endtag(self, tag):
-        if tag == "a" and self.items and self.items[-1]["a_end"] is None:
-            at = self._off()
-            self.items[-1]["a_end"] = at
-            self.items[-1]["end"] = at + len("</a>")
+        if tag == "a":
+            self._end_link(self._off(), self._text.find(">", self._off()) + 1 or len(self._text))
+        elif tag in ("dt", "dd") and self._item is not None:
+            self._end_item(self._tag_end())
+        elif tag in ("dl", "body", "html"):
+            self._end_item(self._off())
+            self._closed = None
         super().handle_endtag(tag)
 
+    def finish(self) -> None:
+        super().finish()
+        self._end_item(len(self._text))
+
 
 def rewrite_document(html: str, decisions: dict[int, str | None]) -> str:
-    """Apply ``anchor_no -> new label`` (``None`` drops the item) to one document."""
+    """Apply ``anchor_no -> new label`` (``None`` drops the link) to one document.
+
+    An item goes with its note when none of its links stays; of any other item, and outside of items, only the
+    dropped link itself goes.  Anchors without a decision stay as they are.
+    """
     p = _Spans(html)
     p.feed(html)
     p.finish()
-    edits = []  # (start, end, replacement)
-    removed = 0
-    for i, it in enumerate(p.items):
-        if i not in decisions or it["a_end"] is None:
+    dropped = {i for i, link in enumerate(p.links) if i in decisions and decisions[i] is None}
+    staying = {link["item"] for i, link in enumerate(p.links) if i not in dropped}
+    gone = {p.links[i]["item"] for i in dropped} - staying - {None}
+    edits = [(*p.items[i], "") for i in gone]  # start, end, replacement
+    for i, link in enumerate(p.links):
+        if link["item"] in gone:
             continue
-        label = decisions[i]
-        if label is None:
-            if it["dt"] is None:
-                continue
-            end = it["end"]
-            while end < len(html) and html[end] in " \t\r":
-                end += 1
-            if end < len(html) and html[end] == "\n":
-                end += 1
-            edits.append((it["dt"], end, ""))
-            removed += 1
-        else:
-            from html import escape
-
-            edits.append((it["a_text"], it["a_end"], escape(label, quote=False)))
-    if p.meta_end is not None:
-        edits.append((p.meta_end, p.meta_end, COMMENT.format(n=removed)))
+        if i in dropped:
+            edits.append((link["start"], link["end"], ""))
+        elif i in decisions:
+            close = "</A>" if link["end"] == link["text_end"] else ""
+            edits.append((link["text"], link["text_end"], escape(decisions[i], quote=False) + close))
+    if p.meta_end is not None and not any(a < p.meta_end < b for a, b, _ in edits):
+        edits.append((p.meta_end, p.meta_end, COMMENT.format(n=len(dropped))))
     pieces, at = [], 0
-    for start, end, rep in sorted(edits, key=lambda e: (e[0], e[1])):
-        pieces.append(html[at:start])
-        pieces.append(rep)
+    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1])):
+        if start < at:
+            raise AssertionError(f"overlapping edits at {start}")
+        pieces += [html[at:start], new]
         at = end
-    pieces.append(html[at:])
-    return "".join(pieces)
+    return "".join([*pieces, html[at:]])
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,3 +275,8 @@ def relabel_html(docs: DataFrame, anchors: DataFrame, kept_links: DataFrame, str
     per_doc = per_doc.select("collection_id", F.col("_d.anchor_no").alias("anchor_nos"), F.col("_d.label").alias("labels"))
     j = docs.select("collection_id", "html").join(per_doc, "collection_id", "left")
     return j.mapInPandas(_rewrite, "collection_id string, html string")
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Write each document of ``(collection_id, html)`` as one text file under ``path/collection_id=...``."""
+    docs.select("collection_id", "html").write.mode("overwrite").partitionBy("collection_id").text(path)

@@ -34,13 +34,13 @@ class _LinkParser(HTMLParser):
         self.entries: list[tuple] = []
         self._a: dict | None = None       # open anchor
         self._h3: list[str] | None = None  # open folder heading text
-        self._pending: str | None = None   # folder path waiting for its <dl>
-        self._stack: list[str] = []        # folder path of each open <dl>
+        self._pending: tuple[str, int] | None = None  # folder path and depth waiting for its <dl>
+        self._stack: list[tuple[str, int]] = []       # folder path and depth of each open <dl>
         self._skip = 0                     # inside <script>/<style>
 
     # -- helpers
-    def _path(self) -> str:
-        return self._stack[-1] if self._stack else ROOT
+    def _folder(self) -> tuple[str, int]:
+        return self._stack[-1] if self._stack else (ROOT, 0)
 
     def _close_anchor(self) -> None:
         a = self._a
@@ -51,12 +51,8 @@ class _LinkParser(HTMLParser):
         href = a["href"].strip()
         self.anchors.append((len(self.anchors), href, text, a["icon"], a["add_date"]))
         if self._stack and href and text:
-            path = self._path()
-            self.entries.append(("bookmark", None, href, text, path, self._depth(path), a["add_date"], a["icon"]))
-
-    @staticmethod
-    def _depth(path: str) -> int:
-        return 0 if path == ROOT else path.count("/") + 1
+            path, depth = self._folder()
+            self.entries.append(("bookmark", None, href, text, path, depth, a["add_date"], a["icon"]))
 
     # -- parser callbacks
     def handle_starttag(self, tag, attrs):
@@ -76,11 +72,11 @@ class _LinkParser(HTMLParser):
             self._pending = None
         elif tag == "dl":
             if not self._stack:
-                self._stack.append(ROOT)
+                self._stack.append((ROOT, 0))
             elif self._pending is not None:
                 self._stack.append(self._pending)
             else:
-                self._stack.append(self._path())
+                self._stack.append(self._folder())
             self._pending = None
 
     def handle_endtag(self, tag):
@@ -92,10 +88,10 @@ class _LinkParser(HTMLParser):
             name = "".join(self._h3).strip()
             self._h3 = None
             if self._stack:
-                parent = self._path()
-                path = name if parent == ROOT else f"{parent}/{name}"
-                self.entries.append(("folder", name, None, None, path, self._depth(parent), None, None))
-                self._pending = path
+                parent, depth = self._folder()
+                path = f"{parent}/{name}" if depth else name
+                self.entries.append(("folder", name, None, None, path, depth, None, None))
+                self._pending = (path, depth + 1)
         elif tag == "dl":
             if self._stack:
                 self._stack.pop()

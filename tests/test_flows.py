@@ -29,8 +29,8 @@ def test_clean_dedup_and_write(spark):
     for name in (job, job + "_again"):
         assert spark.read.json(os.path.join(out, "reports", name, "rows")).count() == n_kept
         assert spark.read.json(os.path.join(out, "reports", name, "summary")).count() > 0
-    html = spark.read.parquet(os.path.join(out, "cleaned", job)).collect()
-    removed = sum(int(h.html.split(" duplicates removed")[0].rsplit(" ", 1)[-1]) for h in html)
+    html = spark.read.text(os.path.join(out, "cleaned", job), wholetext=True).collect()
+    removed = sum(int(h.value.split(" duplicates removed")[0].rsplit(" ", 1)[-1]) for h in html)
     assert removed == n_links - n_kept
     lines = spark.read.text(os.path.join(out, "reports", job, "duplicates"))
     assert lines.filter(F.col("value").startswith("Group ")).count() == n_links - n_kept

@@ -3,6 +3,9 @@
 import os
 import tempfile
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from linkwork.sinks.render import rewrite_document
 from linkwork.sources.html import parse_document, read_collections, scan_anchors, scan_folders
 
@@ -73,3 +76,45 @@ def test_relabel_strict_matches_raw_href(spark):
     strict = {r.anchor_no: r.label for r in relabel_decisions(anchors, kept, strict=True).collect()}
     assert loose == {0: "example.com | E", 1: "b.com | B", 2: None}
     assert strict == {0: None, 1: "b.com | B", 2: None}
+
+
+def test_folder_name_with_slash_is_one_level():
+    doc = '<DL><DT><H3>TV/Movies</H3><DL><DT><A HREF="https://a.com">a</A></DL></DL>'
+    assert [e[4:6] for e in parse_document(doc).entries] == [("TV/Movies", 0), ("TV/Movies", 1)]
+
+
+def test_rewrite_two_links_in_one_item():
+    doc = '<DL><DT><A HREF="https://a.com">a</A> <A HREF="https://a.com">dup</A>TAIL</DL>'
+    assert rewrite_document(doc, {0: "a.com | A", 1: None}) == '<DL><DT><A HREF="https://a.com">a.com | A</A> TAIL</DL>'
+    assert rewrite_document(doc, {0: None, 1: None}) == "<DL></DL>"
+
+
+def test_rewrite_loose_closed_and_unclosed():
+    doc = '<DL><DT><A HREF="x">x</A></DT><DD>note</DD>\n<A HREF="y">y</A >tail<DT><A HREF="z">z<DT><H3>F</H3></DL>'
+    assert rewrite_document(doc, {0: None, 1: "Y", 2: "Z"}) == (
+        '<DL><A HREF="y">Y</A >tail<DT><A HREF="z">Z</A><DT><H3>F</H3></DL>')
+    assert rewrite_document(doc, {0: "X", 1: None, 2: None}) == (
+        '<DL><DT><A HREF="x">X</A></DT><DD>note</DD>\ntail<DT><H3>F</H3></DL>')
+
+
+@given(st.randoms(use_true_random=False))
+@settings(max_examples=200, deadline=None)
+def test_rewrite_keeps_exactly_the_kept_links(rng):
+    parts, n = ["<META HTTP-EQUIV='x'>\n<DL><p>\n"], 0
+    for _ in range(rng.randint(1, 12)):
+        kind = rng.choice(["item", "item", "two", "loose", "open", "folder", "rule"])
+        links = [f'<A HREF="https://l{n + k}.com">old {n + k}' for k in range(2)]
+        end = rng.choice(["</A>", "</a >"])
+        close = rng.choice(["", "</DT>"])
+        note = rng.choice(["", "\n<DD>note", "\n<DD>note</DD>"])
+        n += {"two": 2, "folder": 0, "rule": 0}.get(kind, 1)
+        parts.append({"item": f"<DT>{links[0]}{end}{close}{note}\n", "two": f"<DT>{links[0]}{end} and {links[1]}{end}{close}\n",
+                      "loose": f"{links[0]}{end}\n", "open": f"<DT>{links[0]}\n<DT><H3>Inner</H3><DL></DL>\n",
+                      "folder": "<DT><H3>F</H3>\n<DL><p>\n</DL><p>\n", "rule": "<HR>\n"}[kind])
+    doc = "".join([*parts, "</DL><p>\n"])
+    decisions = {i: rng.choice([None, f"new {i} & <b>"]) for i in range(n)}
+    out = rewrite_document(doc, decisions)
+    kept = [(f"https://l{i}.com", label) for i, label in decisions.items() if label is not None]
+    assert [a[1:3] for a in parse_document(out).anchors] == kept
+    assert out.count("<H3>") == doc.count("<H3>") and out.count("<HR>") == doc.count("<HR>")
+    assert f"{n - len(kept)} duplicates removed" in out
