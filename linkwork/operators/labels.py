@@ -139,57 +139,48 @@ def _solve_family(pdf: pd.DataFrame) -> pd.DataFrame:
                 blocked.add(child)          # row i takes "b slot"; the child moves on
                 i += 1
             k = slot + 1
-    return pd.DataFrame({"collection_id": key["collection_id"], "domain": key["domain"],
-                         "_family": key["_family"], "part": [b for b, _ in out],
-                         "skip_at": [x for _, x in out]},
-                        columns=["collection_id", "domain", "_family", "part", "skip_at"])
+    rows = [(key["collection_id"], key["domain"], key["_family"], b, x) for b, x in out]
+    return pd.DataFrame(rows, columns=["collection_id", "domain", "_family", "part", "skip_at"], dtype=object)
 
 
 def _repair_collisions(df: DataFrame) -> DataFrame:
-    fam = df.withColumn("_family", _family(F.col("part")))
-    clashes = (
-        fam.filter(F.col("domain_links") > 1)
-        .groupBy("collection_id", "domain", "label_part")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_family").alias("_family"))
-        .filter(F.col("_n") > 1)
-        .select("collection_id", "domain", "_family")
-        .distinct()
-    )
-    keys = ["collection_id", "domain", "_family"]
-    if clashes.isEmpty():
-        # common case: the numbering by window is already the sequential result
-        return df
-    rows = fam.filter(F.col("domain_links") > 1).join(clashes, keys, "left_semi")
-    bases = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    keys = ["collection_id", "domain"]
+    bases = df.filter(F.col("domain_links") > 1).groupBy(*keys, "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     # a number beyond bigint is never reached by a rank: such a part has no parent
     bases = bases.withColumn("slot", F.when(F.col("part").rlike(_CHILD), F.regexp_extract("part", _CHILD, 2).try_cast("bigint"))) \
         .withColumn("parent", F.when(F.col("slot").isNotNull(), F.regexp_extract("part", _CHILD, 1)))
-    kids = bases.filter(F.col("parent").isNotNull()).select(
-        *keys, F.col("parent").alias("part"), F.col("slot").alias("k"))
-    kids = kids.join(bases.select(*keys, "part", "n"), [*keys, "part"])
-    m = kids.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("m"))
-    # positions of the few ranks the solver can ask for: k - s for s in 0..m+1
-    # only ranks that the part's n rows have, so m numbered parts of few rows cost few probes each
-    least, most = F.greatest(F.lit(0), F.col("k") - F.col("n")), F.least(F.col("m") + 1, F.col("k") - 1)
-    wanted = kids.join(m, [*keys, "part"]).where(least <= most).select(
-        *keys, "part", "n", F.explode(F.sequence(least, most)).alias("_s"), "k")
-    wanted = wanted.select(*keys, "part", (F.col("k") - F.col("_s")).alias("rank"), "n") \
-        .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("n"))).drop("n").distinct()
-    probes = wanted.join(rows.select(*keys, "part", F.col("part_rank").alias("rank"), "pos"), [*keys, "part", "rank"])
-    meta = bases.select(*keys, F.lit("base").alias("kind"), "part", "n", "first", "parent", "slot",
-                        F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("pos")) \
-        .unionByName(probes.select(*keys, F.lit("probe").alias("kind"), "part", F.lit(None).cast("bigint").alias("n"),
-                                   F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("string").alias("parent"),
-                                   F.lit(None).cast("bigint").alias("slot"), "rank", "pos"))
-    skips = meta.groupBy(*keys).applyInPandas(_solve_family, _SKIPS_SCHEMA)
+    bases = materialize(bases)
+    above = bases.select(*keys, F.col("part").alias("parent"), F.col("n").alias("parent_n"), F.col("first").alias("parent_first"),
+                         F.col("slot").isNotNull().cast("int").alias("spare"))
+    edges = bases.filter(F.col("parent").isNotNull()).join(above, [*keys, "parent"])
+    # by rank alone a number meets a part only if the parent has that many rows
+    if edges.filter(F.col("slot") <= F.col("parent_n")).isEmpty():
+        return df
+    # each skip of a smaller number, and the parent's own, lowers the rank that gets a number by one; parts beyond the
+    # parent's rows even so are never met, so ordinary numbered paths take no part
+    edges = with_ordinal(edges, [*keys, "parent"], "slot", "_j")
+    edges = edges.withColumn("low", F.greatest(F.lit(1), F.col("slot") - (F.col("_j") - 1) - F.col("spare"))) \
+        .withColumn("high", F.least("slot", "parent_n")).filter(F.col("low") <= F.col("parent_n"))
+    edges = materialize(edges.withColumn("_family", _family(F.col("part"))))
+    # the ranks whose positions the solver may ask for; each edge adds those beyond the edge before it
+    last = edges.select(*keys, "parent", (F.col("_j") + 1).alias("_j"), F.col("high").alias("_last"))
+    spans = edges.join(last, [*keys, "parent", "_j"], "left").select(
+        *keys, "_family", F.col("parent").alias("part"), F.greatest(F.col("low"), F.coalesce("_last", F.lit(0)) + 1).alias("low"), "high")
+    wanted = spans.filter(F.col("low") <= F.col("high")).select(
+        *keys, "_family", "part", F.explode(F.sequence("low", "high")).alias("rank"))
+    probes = wanted.join(df.select(*keys, "part", F.col("part_rank").alias("rank"), "pos"), [*keys, "part", "rank"])
+    children = edges.select(*keys, "_family", "part", "n", "first", "parent", "slot")
+    roots = edges.select(*keys, "_family", F.col("parent").alias("part"), F.col("parent_n").alias("n"),
+                         F.col("parent_first").alias("first")).distinct().join(children.select(*keys, "part"), [*keys, "part"], "left_anti")
+    meta = children.unionByName(roots, allowMissingColumns=True).withColumn("kind", F.lit("base")).unionByName(
+        probes.withColumn("kind", F.lit("probe")), allowMissingColumns=True)
+    skips = meta.groupBy(*keys, "_family").applyInPandas(_solve_family, _SKIPS_SCHEMA)
     skip_lists = skips.groupBy(*keys, "part").agg(F.collect_list("skip_at").alias("_skips"))
-    fixed = rows.join(skip_lists, [*keys, "part"], "left")
-    slot = F.col("part_rank") + F.size(F.filter(F.coalesce(F.col("_skips"), F.array().cast("array<bigint>")),
-                                                lambda x: x <= F.col("part_rank")))
-    fixed = fixed.withColumn("label_part", F.when(slot == 1, F.col("part"))
-                             .otherwise(F.concat(F.col("part"), F.lit(" "), slot.cast("string")))).drop("_skips")
-    untouched = fam.join(clashes, keys, "left_anti")
-    return untouched.unionByName(fixed).drop("_family")
+    fixed = df.join(skip_lists, [*keys, "part"], "left")
+    slot = F.col("part_rank") + F.size(F.filter("_skips", lambda x: x <= F.col("part_rank")))
+    label = F.when(slot == 1, F.col("part")).otherwise(F.concat(F.col("part"), F.lit(" "), slot.cast("string")))
+    return fixed.withColumn("label_part", F.when(F.col("_skips").isNull(), F.col("label_part")).otherwise(label)).drop("_skips")
 
 
 def build_links(src: DataFrame, title_col: str = "text") -> DataFrame:

@@ -89,6 +89,20 @@ def test_huge_numbers_and_many_numbered_paths(spark):
     assert len(set(found)) == len(urls)
 
 
+def test_numbered_paths_beside_many_copies(spark):
+    """X has many rows and every number is taken by a path of its own: as many probes as rows, not their square."""
+    from linkwork.operators.labels import label_links
+
+    m = 1500
+    urls = [f"/x-{i}" for i in range(2, m)] + ["/x"] * m
+    rows = [("c", i, f"https://d.com{u}", "d.com", "t", "t", None, None, "") for i, u in enumerate(urls)]
+    schema = ("collection_id string, pos bigint, url string, domain string, original_title string, clean_title string, "
+              "icon string, add_date string, href string")
+    got = [r.formatted_label for r in label_links(spark.createDataFrame(rows, schema)).orderBy("pos").collect()]
+    want = [f"d.com | X {i}" for i in range(2, m)] + ["d.com | X"] + [f"d.com | X {i}" for i in range(m, 2 * m - 1)]
+    assert got == want
+
+
 def test_labels_with_many_buckets(spark, monkeypatch):
     from linkwork.operators import ordinal
 
