@@ -52,15 +52,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``key, fp`` for every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, longs: tuple[str, ...] = ()) -> DataFrame:
+    """``key, fp`` for every row, and its long columns ``longs``."""
+    names = ["key", "fp", *longs]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, shingle) for t in utf8(batch.column(1))]
-        return pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["key", "fp"])
+        return pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=names)
 
-    rows = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return arrow_pass(rows, "key long, fp long", work)
+    rows = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), *longs)
+    return arrow_pass(rows, ", ".join(f"{n} long" for n in names), work)
 
 
 class BKTree:
@@ -172,6 +173,13 @@ def links(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFr
     return dealt.mapInArrow(search, "u long, v long").distinct()
 
 
+def rooted(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFrame:
+    """``values`` (distinct ``fp`` and further columns) with ``root``, which the fingerprints of a group share."""
+    found = components(links(values.select("fp"), radius, shard_rows))
+    out = values.join(found, values.fp == found.node, "left").select(*values.columns, F.coalesce("root", "fp").alias("root"))
+    return saved(out, "simhash-roots")
+
+
 def simhash_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -186,11 +194,7 @@ def simhash_groups(
     """
     rows = saved(fingerprints(df, id_col, text_col, shingle), "simhash-fp")
     values = saved(rows.groupBy("fp").agg(F.min("key").alias("least")), "simhash-values")
-    found = components(links(values.select("fp"), radius, shard_rows))
-    roots = values.join(found, values.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    roots = saved(roots, "simhash-roots")
+    roots = rooted(values, radius, shard_rows)
     linked = roots.groupBy("root").agg(F.min("least").alias("component"))
     by_value = roots.join(linked, "root").select("fp", "component")
     return rows.join(by_value, "fp").select(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwork.llm import benchmarks, lines, packing, quality, queries, simhash
-from linkwork.llm.common import saved, table
+from linkwork.llm.common import key_of, saved, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,23 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id (of rows sharing it, the first by text)."""
-    groups = simhash.simhash_groups(docs)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    again = saved(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    single = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text"), *[F.col(c).cast("string") for c in docs.columns if c != "text"])
-    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    # rows that share the kept id may belong to other groups: keep one row of each text
-    repeated = repeated.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return single.unionByName(repeated)
+    """One document of each SimHash group: of the rows with the smallest id the one with the smallest text hash.
+
+    A row is known by its id and 128 bits of hash of its text, so rows that share an id, or have none, stand for
+    themselves.  Copies of the chosen row are told apart by their further columns.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.withColumns({"_key": key_of("doc_id"), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+    prints = saved(simhash.fingerprints(rows, longs=("_a", "_b")), "stage-fp")
+    roots = simhash.rooted(saved(prints.select("fp").distinct(), "stage-values"))
+    known = prints.groupBy("fp", F.col("key").alias("_key"), "_a", "_b").agg(F.count("*").alias("_copies"))
+    first = F.min(F.struct("_key", "_a", "_b", "_copies")).alias("first")
+    heads = saved(known.join(roots, "fp").groupBy(F.col("root").alias("_root")).agg(first).select("first.*", "_root"), "stage-heads")
+    kept = rows.join(heads, ["_key", "_a", "_b"])
+    order = F.struct("_key", *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])
+    chosen = F.min_by(F.struct(*docs.columns), order).alias("row")
+    repeated = kept.where("_copies > 1").groupBy("_root").agg(chosen).select("row.*")
+    return kept.where("_copies = 1").select(*docs.columns).unionByName(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

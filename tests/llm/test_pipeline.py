@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from linkwork.llm import lines, queries, simhash
+from linkwork.llm import lines, queries, simhash, stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,18 @@ def test_stages(spark, tmp_path):
         docs = out
     assert ids == before and sum(r.length for r in docs.collect()) == docs.where("start = 0").groupBy().sum("doc_tokens").first()[0]
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_distinct_documents_keep_one_row_of_each_group(spark, texts):
+    def text(name, n=80):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(None, text("n")), (None, text("m")), (None, text("m")), (None, None), (None, "")]  # three groups without ids
+    rows += [(7, text("a")), (7, text("b")), (8, text("a")), (9, text("b")), (9, text("b").upper())]  # two under id 7
+    rows += [(10, text("c")), (10, text("c")), (11, text("c")), (3, text("d")), (12, text("n"))]
+    out = stages.distinct_documents(spark, texts(rows), SF)
+    assert out.columns == ["doc_id", "text", "key", "th", "h"]
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    want = [(0, ""), (0, text("m")), (0, text("n")), (3, text("d")), (7, text("a")), (7, text("b")), (10, text("c"))]
+    assert got == want
+    assert stages.distinct_documents(spark, texts([]), SF).count() == 0
