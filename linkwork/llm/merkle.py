@@ -6,8 +6,8 @@ section's the MD5 of its paragraphs' hashes, the root's the MD5 of the sections'
 where they differ, ``differing_branches`` goes down the differing sections only and names the paragraphs.
 
 The fingerprint writes the tree as ``root:section=pieces,pieces/section=...``: per section the first 8
-digits of its hash, per paragraph 4 digits for each piece.  The likeness of two fingerprints is the share
-of pieces they have in common, over the larger number of distinct pieces; equal fingerprints have 1.
+digits of its hash, per paragraph the 16 digits of each piece's 64-bit hash.  The likeness of two fingerprints is the
+share of pieces they have in common, over the larger number of distinct pieces; equal fingerprints have 1.
 
 Defined cases: a null text counts as empty; an empty text has one empty section; null ids share one
 identity, the smallest; of several rows with one id, the one with the largest text stands for the "next" document; a
@@ -29,35 +29,46 @@ def _text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def _pieces(paragraph: Column) -> Column:
-    digits = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
-    return F.concat_ws("", F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0)), digits))
-
-
 def _section(section: Column) -> Column:
     paragraphs = F.split(section, "\n", -1)
     return F.struct(
         F.md5(F.concat_ws(",", F.transform(paragraphs, lambda p: F.md5(p.cast("binary"))))).alias("hash"),
-        F.concat_ws(",", F.transform(paragraphs, _pieces)).alias("pieces"),
+        F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))).alias("pieces"),
     )
 
 
-def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column."""
+def _written(pieces: Column) -> Column:
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.concat_ws(",", F.transform(pieces, lambda p: F.concat_ws("", F.transform(p, digits))))
+
+
+def with_fingerprint(df: DataFrame, text_col: str, name: str, parts_of: str | None = None) -> DataFrame:
+    """``df`` with the fingerprint of a text column; ``parts_of`` names a column for its root and piece hashes."""
     parts = f"_{name}_parts"
     df = df.withColumn(parts, F.transform(F.split(_text(F.col(text_col)), "\n\n", -1), _section))
     root = F.md5(F.concat_ws("/", F.transform(parts, lambda s: s["hash"])))
-    body = F.transform(parts, lambda s: F.concat(F.substring(s["hash"], 1, 8), F.lit("="), s["pieces"]))
-    return df.withColumn(name, F.concat(root, F.lit(":"), F.concat_ws("/", body))).drop(parts)
+    body = F.transform(parts, lambda s: F.concat(F.substring(s["hash"], 1, 8), F.lit("="), _written(s["pieces"])))
+    out = df.withColumn(name, F.concat(root, F.lit(":"), F.concat_ws("/", body)))
+    if parts_of:
+        pieces = F.array_distinct(F.flatten(F.flatten(F.transform(parts, lambda s: s["pieces"]))))
+        out = out.withColumn(parts_of, F.struct(root.alias("root"), pieces.alias("pieces")))
+    return out.drop(parts)
+
+
+def _share(x: Column, y: Column) -> Column:
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
 def likeness(a: str, b: str) -> Column:
     """Likeness of two fingerprint columns, from 0 to 1."""
     bare = lambda c: F.regexp_replace(F.substring_index(c, ":", -1), "[0-9a-f]{8}=", "")
-    pieces = lambda c: F.array_distinct(F.regexp_extract_all(bare(c), F.lit("[0-9a-f]{4}"), F.lit(0)))
-    x, y = pieces(a), pieces(b)
-    share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(share)
+    pieces = lambda c: F.array_distinct(F.regexp_extract_all(bare(c), F.lit("[0-9a-f]{16}"), F.lit(0)))
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(_share(pieces(a), pieces(b)))
+
+
+def _likeness(a: str, b: str) -> Column:
+    """``likeness`` from the roots and piece hashes of two fingerprints."""
+    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), F.lit(1.0)).otherwise(_share(F.col(f"{a}.pieces"), F.col(f"{b}.pieces")))
 
 
 def tree(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,25 +128,22 @@ def fingerprints_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str
     # one exchange of the texts serves both joins
     dealt = texts.repartition(partitions(df.sparkSession), "key")
     heads = dealt.join(need.hint("shuffle_hash"), "key")
-    heads = with_fingerprint(heads, "text", "next_fingerprint").select(
-        "target", F.substr("text", F.lit(1), F.col("k")).alias("head"), "next_fingerprint"
+    heads = with_fingerprint(heads, "text", "next_fingerprint", "next").select(
+        "target", F.substr("text", F.lit(1), F.col("k")).alias("head"), "next"
     )
-    heads = heads.groupBy("target").agg(F.max(F.struct("head", "next_fingerprint")).alias("h"))
+    heads = heads.groupBy("target").agg(F.max(F.struct("head", "next")).alias("h"))
     rows = dealt.join(heads, dealt["key"] == heads["target"]).withColumn("n", F.length("text"))
     rows = rows.withColumn("k", F.floor(F.col("n") / 3).cast("int"))
     kept = F.substr("text", F.lit(1), F.col("n") - F.col("k"))
     rows = rows.withColumn("edited", F.concat(kept, F.substr("h.head", F.lit(1), F.col("k"))))
-    rows = with_fingerprint(with_fingerprint(rows, "text", "fingerprint"), "edited", "edited_fingerprint")
-    rows = rows.select(
+    rows = with_fingerprint(rows, "text", "fingerprint", "_own")
+    rows = with_fingerprint(rows, "edited", "edited_fingerprint", "_edited")
+    return rows.select(
         id_of("key").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        F.col("h.next_fingerprint").alias("next_fingerprint"),
-    )
-    return rows.select(
-        *rows.columns[:-1],
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        _likeness("_own", "_edited").alias("near_edited"),
+        _likeness("_own", "h.next").alias("near_next"),
     )

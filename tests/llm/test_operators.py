@@ -331,6 +331,22 @@ def test_merkle(spark, texts):
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1
 
 
+def test_merkle_likeness_of_long_texts(spark, texts):
+    r = random.Random(13)
+    long = lambda: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(40000))  # noqa: E731  320 KB
+    a, b = long(), long()
+    out = {x.doc_id: x for x in merkle.fingerprints_with_edit(texts([(1, a), (2, b), (3, b + " more")])).collect()}
+    piece = re.compile(merkle.PIECE)
+    share = lambda x, y: len(x & y) / max(len(x), len(y))
+    sets = {i: set(piece.findall(t)) for i, t in {1: a, 2: b, 3: b + " more"}.items()}
+    assert out[2].near_next == share(sets[1], sets[2]) == 0 and out[1].near_next == share(sets[1], sets[3]) == 0
+    assert out[3].near_next == pytest.approx(share(sets[2], sets[3])) and out[3].near_next > 0.99
+    n = len(b) // 3
+    assert out[2].near_edited == pytest.approx(share(sets[2], set(piece.findall(b[: len(b) - n] + a[:n]))))
+    pairs = spark.createDataFrame([(out[1].fingerprint, out[2].fingerprint), (out[2].fingerprint, out[3].fingerprint)], "a string, b string")
+    assert [x[0] for x in pairs.select(merkle.likeness("a", "b")).collect()] == [0, out[3].near_next]
+
+
 # --- operator 10
 
 
