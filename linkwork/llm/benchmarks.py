@@ -10,7 +10,8 @@ document has a shingle of an item, and nowhere else.  Each gets a 64-bit SimHash
 Item fingerprints are indexed by ``radius + 1`` disjoint bit blocks: a fingerprint within
 ``radius`` agrees in one block at least, so the index misses none.  Candidates within the radius are verified by
 the exact similarity.  At a similarity of 0.8 fingerprints are some 10 bits apart, give or take 3;
-the default radius leaves room for that.
+the default radius leaves room for that.  A document shorter than an item that it shares a shingle with is one window
+as a whole and is verified at once.
 
 Items reach the tasks in blocks of at most ``block_bytes`` bytes; a larger benchmark takes several passes
 over the documents.  Defined cases: null and empty items match nothing, null and empty texts hold nothing; null
@@ -68,6 +69,7 @@ class Items:
             for x in set(s.tolist()):
                 self.of.setdefault(x, []).append(i)
         self.bags = [self.bag(s) for s in self.lists]
+        self.sums = [sum(b.values()) for b in self.bags]
         self.prints = np.array([self.fingerprints(s, len(s))[0] for s in self.lists], dtype=np.uint64)
         cuts = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -103,17 +105,29 @@ class Items:
         return [i for i in found if int(self.prints[i] ^ fingerprint).bit_count() <= self.radius]
 
     def similarity(self, item: int, window: np.ndarray) -> float:
-        a, b = self.bags[item], self.bag(window)
+        return self.likeness(item, self.bag(window))
+
+    def likeness(self, item: int, b: dict[int, float]) -> float:
+        a = self.bags[item]
         both = sum(min(w, b.get(x, 0.0)) for x, w in a.items())
-        return both / (sum(a.values()) + sum(b.values()) - both)
+        return both / (self.sums[item] + sum(b.values()) - both)
 
     def matches(self, s: np.ndarray, hits: np.ndarray, words: int, threshold: float) -> list[tuple[int, int, int, float]]:
         """Best window of each item that a text holds; ``hits``: places of shingles that an item has."""
         best: dict[int, tuple[float, int]] = {}
         groups: dict[int, set[int]] = {}
+        longer: list[int] = []
         for i in {i for at in hits.tolist() for i in self.of.get(int(s[at]), ())}:
             if self.sizes[i] <= words:
                 groups.setdefault(int(self.sizes[i]), set()).add(i)
+            else:
+                longer.append(i)
+        if longer:  # the whole text is the one window; it is compared without a look at fingerprints
+            bag = self.bag(s)
+            most = sum(bag.values()) * (1 + 1e-9)
+            for i in longer:
+                if self.sums[i] * threshold <= most and (got := self.likeness(i, bag)) >= threshold - 1e-12:
+                    best[i] = (got, 0)
         for size, wanted in groups.items():
             run = max(1, size - self.k + 1)
             starts = (hits[:, None] - np.arange(run)[None, :]).ravel()
@@ -127,9 +141,7 @@ class Items:
                         got = self.similarity(i, s[at : at + run])
                         if got >= threshold - 1e-12 and (i not in best or (-got, at) < (-best[i][0], best[i][1])):
                             best[i] = (got, at)
-        return [(self.ids[i], at, int(self.sizes[i]), got) for i, (got, at) in sorted(best.items())]
-
-
+        return [(self.ids[i], at, min(int(self.sizes[i]), words), got) for i, (got, at) in sorted(best.items())]
 
 
 def contaminated(

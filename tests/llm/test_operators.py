@@ -244,6 +244,18 @@ def test_benchmark_windows_equal_brute_force(spark, texts):
     assert {x.doc_id for x in small.collect()} == {k[0] for k in want}
 
 
+def test_benchmark_items_longer_than_the_document(spark, texts):
+    items = [(1, " ".join(f"u{i}" for i in range(40))), (2, " ".join(f"v{i}" for i in range(40))), (3, "u0 u1 u2")]
+    words = items[0][1].split()
+    rows = [(1, " ".join(words[:-2])), (2, " ".join(words[3:])), (3, " ".join(words[:20])), (4, "u0 u1 u2 u3"), (5, items[1][1])]
+    df, bench = texts([*rows, (None, None)]), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in benchmarks.contaminated(df, bench).collect()}
+    short = {(1, 3), (3, 3), (4, 3)}
+    assert set(got) - short == {(1, 1), (2, 1), (5, 2)} and short <= set(got)
+    assert got[1, 1] == (0, 38, pytest.approx(34 / 36)) and got[2, 1] == (0, 37, pytest.approx(33 / 36))  # equal weights
+    assert {r.doc_id for r in benchmarks.clean_documents(df, bench).collect()} == {None}
+
+
 # --- operators 7 and 8
 
 
