@@ -13,8 +13,9 @@ the exact similarity.  At a similarity of 0.8 fingerprints are some 10 bits apar
 the default radius leaves room for that.  A document shorter than an item that it shares a shingle with is one window
 as a whole and is verified at once.
 
-Items reach the tasks in blocks of at most ``block_bytes`` bytes; a larger benchmark takes several passes
-over the documents.  Defined cases: null and empty items match nothing, null and empty texts hold nothing; null
+Items reach the tasks in blocks of about ``block_bytes`` bytes; a larger benchmark takes several passes
+over the documents.  ``f`` counts the items of all blocks: first each text gets the counts of its shingles from every
+block, then the blocks compare.  Defined cases: null and empty items match nothing, null and empty texts hold nothing; null
 ids are kept as they are; repeated rows are reported alike; empty tables give no rows; further columns are
 ignored.
 """
@@ -22,16 +23,18 @@ ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass
+from linkwork.llm.common import arrow_pass, saved
 from linkwork.llm.tokens import Words, grams, inside
 
 BITS = 64
+MASK = 2**64 - 1
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCHES = "id long, item_id long, start int, n_words int, similarity double"
 _PLACE = np.arange(BITS, dtype=np.uint64)
@@ -58,6 +61,8 @@ class Items:
     def __init__(self, rows: list[tuple[int, str, int]], total: int, counts: dict[int, int], k: int, radius: int):
         self.k, self.radius = k, radius
         self.counts, self.total = counts, total
+        #: Counts of shingles of the text at hand that only items of other blocks have.
+        self.outside: dict[int, int] = {}
         lists = shingles([normal(r[1]) for r in rows], k)
         self.ids = [r[0] for r, s in zip(rows, lists, strict=True) if len(s)]
         self.lists = [s for s in lists if len(s)]
@@ -79,7 +84,7 @@ class Items:
                 self.index.setdefault((b, value), set()).add(i)
 
     def weight(self, shingle: int) -> float:
-        return 1 + math.log((self.total + 1) / (self.counts.get(shingle, 0) + 1))
+        return 1 + math.log((self.total + 1) / ((self.counts.get(shingle) or self.outside.get(shingle, 0)) + 1))
 
     def bag(self, s: np.ndarray) -> dict[int, float]:
         out: dict[int, float] = {}
@@ -160,24 +165,81 @@ def contaminated(
     total, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(size / block_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found = _block(rows, [tuple(r) for r in some.collect()], total, shingle, threshold, radius)
-        out = found if out is None else out.union(found)
-    return out.withColumnRenamed("id", id_col)
-
-
-def _block(rows: DataFrame, block: list[tuple], total: int, k: int, threshold: float, radius: int) -> DataFrame:
-    counts: dict[int, int] = {}
-    for s in shingles([normal(r[1]) for r in block], k):
-        for x in set(s.tolist()):
-            counts[x] = counts.get(x, 0) + 1
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks)]
+    counts = _item_shingles(items, shingle).groupBy("shingle").agg(F.count("*").cast("int").alias("f"))
+    if blocks == 1:
+        return _block(rows, items, _numbers(counts), total, shingle, threshold, radius).withColumnRenamed("id", id_col)
+    counts = saved(counts, "item-shingles")
+    of_part = lambda part: _numbers(counts.join(_item_shingles(part, shingle).distinct(), "shingle"))
+    rows = _with_counts(rows, [of_part(part) for part in parts], shingle)
+    found = [_block(rows, part, of_part(part), total, shingle, threshold, radius) for part in parts]
+    return reduce(DataFrame.union, found).withColumnRenamed("id", id_col)
+
+
+def _item_shingles(items: DataFrame, k: int) -> DataFrame:
+    """``shingle``: the distinct shingles of each item."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = shingles([normal(t) for t in batch.column(0).to_pylist()], k)
+        return pa.record_batch([pa.array(np.concatenate([np.unique(s) for s in lists]).view(np.int64))], names=["shingle"])
+
+    return arrow_pass(items.select("text"), "shingle long", work)
+
+
+def _numbers(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and their counts: those of a block at most."""
+    got = counts.select("shingle", "f").toArrow()
+    keys, f = got.column("shingle").to_numpy().astype(np.int64).view(np.uint64), got.column("f").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], f[order]
+
+
+def _with_counts(rows: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """``id, text, s, f``: the rows with shingles of any block's items, those shingles and their counts.
+
+    Texts are known by 128 bits of hash.  The blocks pass over the documents one by one, so no task holds the counts
+    of more than one; what a text has of them is no longer than the text.
+    """
+    rows = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
+    found = []
+    for keys, f in blocks:
+
+        def work(batch: pa.RecordBatch, keys=keys, f=f) -> pa.RecordBatch | None:
+            words = Words([normal(t) for t in batch.column(0).to_pylist()])
+            h = words.hashes()
+            owners, hits = [], []
+            for n in range(1, k + 1):  # short items are shingles of their own size
+                g, at = grams(h, n), np.flatnonzero(inside(words.owner, n))
+                at = at[np.isin(g[at], keys)]
+                owners.append(words.owner[at])
+                hits.append(g[at])
+            owner, hit = np.concatenate(owners), np.concatenate(hits)
+            at = np.unique(owner).tolist()
+            if not at:
+                return None
+            s = [np.unique(hit[owner == i]) for i in at]
+            n = [f[np.searchsorted(keys, x)] for x in s]
+            s = [x.view(np.int64) for x in s]
+            ids = [batch.column(i).take(pa.array(at, pa.int64())) for i in (1, 2)]
+            lists = [pa.array(s, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int32()))]
+            return pa.record_batch([*ids, *lists], names=["a", "b", "s", "f"])
+
+        some = arrow_pass(rows.select("text", "a", "b"), "a long, b long, s array<long>, f array<int>", work)
+        found.append(some.dropDuplicates(["a", "b"]))
+    lists = [F.flatten(f"all.{name}").alias(name) for name in ("s", "f")]
+    known = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.collect_list(F.struct("s", "f")).alias("all")).select("a", "b", *lists)
+    return saved(rows.join(known, ["a", "b"]).select("id", "text", "s", "f"), "item-shingle-rows")
+
+
+def _block(
+    rows: DataFrame, items: DataFrame, known: tuple[np.ndarray, np.ndarray], total: int, k: int, threshold: float, radius: int
+) -> DataFrame:
+    block = [tuple(r) for r in items.collect()]
     made: list[Items] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not made:
-            made.append(Items(block, total, counts, k, radius))
+            made.append(Items(block, total, dict(zip(*(x.tolist() for x in known), strict=True)), k, radius))
         items = made[0]
         if not len(items.all):
             return None
@@ -193,6 +255,8 @@ def _block(rows: DataFrame, block: list[tuple], total: int, k: int, threshold: f
                 a, b = int(words.word_at[owner]), int(words.word_at[owner + 1])
                 hits = at[words.owner[at] == owner] - a
                 if n == k:
+                    if batch.num_columns > 2:
+                        items.outside = dict(zip((x & MASK for x in batch.column(2)[owner].as_py()), batch.column(3)[owner].as_py(), strict=True))
                     out += [(owner, *m) for m in items.matches(g[a : b - n + 1], hits, b - a, threshold)]
                 else:
                     seen = {i: p for p in hits[::-1].tolist() for i in items.of[int(g[a + p])] if items.sizes[i] == n}

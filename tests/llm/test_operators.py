@@ -256,6 +256,25 @@ def test_benchmark_items_longer_than_the_document(spark, texts):
     assert {r.doc_id for r in benchmarks.clean_documents(df, bench).collect()} == {None}
 
 
+def test_benchmark_blocks_share_the_counts_of_all_items(spark, texts):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    common = [" ".join(word() for _ in range(14)) for _ in range(3)]  # passages that items of every block have
+    items = [(i, f"{' '.join(word() for _ in range(16))} {common[i % 3]}") for i in range(24)] + [(60, "one two")]
+    rows = []
+    for i in range(72):
+        words = items[i % 24][1].split()
+        words[r.randrange(2) if i % 2 else -1 - r.randrange(3)] = "other"
+        words = words if i % 3 else words[2:]  # some shorter than the item
+        rows.append((i, " ".join([word() for _ in range(i % 4)] + words)))
+    df, bench = texts([*rows, rows[5], (None, rows[7][1])]), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1 << 20, 900):
+        got = benchmarks.contaminated(df, bench, block_bytes=size).collect()
+        found.append(sorted((x.doc_id or -1, x.item_id, x.start, x.n_words, round(x.similarity, 9)) for x in got))
+    assert found[0] == found[1] and len(found[0]) > 30
+
+
 # --- operators 7 and 8
 
 
