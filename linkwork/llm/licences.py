@@ -1,6 +1,6 @@
 """Licence notices in documents (operator 4), in DataFrame functions and Spark's ML library only.
 
-A trained classifier names the licence family of a paragraph (a line): multinomial logistic regression over
+A trained classifier names the licence family of a paragraph, a line or a few lines in a row: multinomial logistic regression over
 sparse word one- and two-grams.  It learns from the notices below, each also with a word left out, as
 its family, and from a bounded sample of the corpus's own paragraphs as class ``unknown``.
 The n-grams of the notices are the features, so the model is a small table whose size does not depend on the
@@ -11,6 +11,11 @@ words of one of the family's notices.
 A paragraph with that share of a notice's words has a word of any set of them that is larger than the
 rest, so paragraphs without any such cue are not scored; nothing is lost by that.
 
+Notices are often wrapped, so each line is also taken together with its next lines, ``wrapped`` lines at most and none
+beyond a line without words (a blank line, or a bare comment sign).  Such a unit counts where no line in it is
+by itself a notice of the same family; of overlapping units the most similar one counts, of equal ones the shortest, then
+the first.  A line gives way to a more similar unit of another family.
+
 Defined cases: a null or empty text has no notices; null ids are kept; repeated rows are reported
 alike; a table without paragraphs for ``unknown`` leaves the template comparison to decide; an empty table gives no
 rows; further columns are ignored.
@@ -204,17 +209,65 @@ def _cues(notices: list[list[str]], overlap: float) -> list[str]:
     return cues
 
 
-def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.7) -> DataFrame:
-    """``id_col, paragraph, family, probability, similarity`` of each licence notice."""
-    spark = docs.sparkSession
-    notices = _notices(spark).select("family", F.array_distinct("w").alias("w"))
-    cues = _cues([row.w for row in notices.collect()], overlap)
+def _units(docs: DataFrame, notices: list[list[str]], id_col: str, text_col: str, overlap: float, wrapped: int) -> DataFrame:
+    """``doc, id, paragraph, lines, w``: lines, and runs of them, that are like some notice.
+
+    ``doc`` tells rows apart that share an id.
+    """
+    cues = _cues(notices, overlap)
     any_cue = lambda t: reduce(or_, [t.contains(cue) for cue in cues])
     has_cue = lambda c: F.exists(F.array(F.lower(c)), any_cue)  # noqa: E731  the text is lower-cased once
-    rows = paragraphs(docs.where(has_cue(F.col(text_col).cast("string"))), id_col, text_col).where(has_cue(F.col("text")))
-    rows = rows.select("id", "paragraph", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a filter above does not evaluate it again
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(has_cue(F.col("text")))
+    rows = texts.select(F.monotonically_increasing_id().alias("doc"), "id", once(F.split("text", "\n", -1), "l"))
+    # a cue is part of a word, so a run has one if a line of it has
+    rows = rows.select("doc", "id", "l", once(F.transform("l", has_cue), "c")).where(F.array_contains("c", True))
+    near = lambda i: F.array_contains(F.slice("c", F.greatest(i - (wrapped - 1), F.lit(0)) + 1, F.lit(2 * wrapped - 1)), True)
+    read = F.transform("l", lambda x, i: F.when(near(i), words(x)).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("doc", "id", "c", once(read, "w"))
+    some = lambda x, i: F.when((F.size(x) > 0) & F.array_contains(F.slice("c", i + 1, F.lit(wrapped)), True), F.slice("w", i + 1, F.lit(wrapped)))
+    rows = rows.select("doc", "id", F.posexplode(F.transform("w", some)).alias("paragraph", "l")).where("l is not null")
+    end = F.array_position(F.transform("l", lambda w: F.size(w) == 0), True).cast("int")
+    rows = rows.select("doc", "id", "paragraph", once(F.when(end > 0, F.slice("l", F.lit(1), end - 1)).otherwise(F.col("l")), "l"))
+    # what no run of all the lines has no shorter one has: few lines go on
+    known = F.array(*[F.lit(x) for x in sorted({x for notice in notices for x in notice})])
+    rows = rows.select("*", once(F.array_intersect(F.flatten("l"), known), "f"))
+    rows = saved(rows.where(_alike(F.col("f"), notices, overlap)).drop("f"), "licence-lines")
+    rows = rows.withColumn("lines", F.explode(F.sequence(F.lit(1), F.size("l"))))
+    rows = rows.select("doc", "id", "paragraph", "lines", once(F.flatten(F.slice("l", F.lit(1), F.col("lines"))), "w"))
+    return saved(rows.where(_alike(F.col("w"), notices, overlap)), "licence-paragraphs")
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """Of the ``found`` units of a document those that count; none of them overlap."""
+    meets = lambda x, y: (x["paragraph"] < y["paragraph"] + y["lines"]) & (y["paragraph"] < x["paragraph"] + x["lines"])
+    # units that cannot meet any other's fall into different clusters, so that each is small
+    end = F.max(F.col("paragraph") + F.col("lines")).over(
+        Window.partitionBy("doc").orderBy("paragraph", "lines").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    found = found.withColumn("opens", F.coalesce((F.col("paragraph") >= end).cast("int"), F.lit(0)))
+    run = Window.partitionBy("doc").orderBy("paragraph", "lines").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("cluster", F.sum("opens").over(run))
+    unit = F.struct((-F.col("similarity")).alias("rank"), "lines", "paragraph", "family", "probability", "similarity")
+    rows = found.groupBy("doc", "cluster").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(unit)).alias("units"))
+    rows = rows.withColumn("single", F.filter("units", lambda u: u["lines"] == 1))
+    own = lambda u: F.exists("single", lambda x: (x["family"] == u["family"]) & meets(x, u))
+    rows = rows.withColumn("units", F.filter("units", lambda u: (u["lines"] == 1) | ~own(u)))
+    take = lambda kept, u: F.when(F.exists(kept, lambda x: meets(x, u)), kept).otherwise(F.concat(kept, F.array(u)))
+    rows = rows.select("id", "units", F.slice("units", 1, 0).alias("none"))
+    rows = rows.select("id", F.explode(F.aggregate("units", F.col("none"), take)).alias("u"))
+    return rows.select("id", "u.paragraph", "u.family", "u.probability", "u.similarity")
+
+
+def scan(
+    docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.7, wrapped: int = 8
+) -> DataFrame:
+    """``id_col, paragraph, family, probability, similarity`` of each licence notice; ``paragraph`` is its first line."""
+    spark = docs.sparkSession
+    notices = _notices(spark).select("family", F.array_distinct("w").alias("w"))
     # the template comparison has to hold for some family in any case: few paragraphs go on
-    rows = saved(rows.where(_alike(F.col("w"), [r.w for r in notices.collect()], overlap)), "licence-paragraphs")
+    rows = _units(docs, [row.w for row in notices.collect()], id_col, text_col, overlap, wrapped)
+    rows = rows.withColumn("th", F.xxhash64("w"))
     best = _scored(rows.select("th", "w").distinct(), model, ["th"])
     found = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.needed))
     rows = rows.join(found, "th")
@@ -222,4 +275,4 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     rows = rows.join(F.broadcast(by_family), "family")  # the fixed notices
     similarity = F.array_max(F.transform("notices", lambda t: _confirmed(F.col("w"), t)))
     rows = rows.withColumn("similarity", similarity).where(F.col("similarity") >= overlap)
-    return rows.select(F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity")
+    return _apart(rows).withColumnRenamed("id", id_col)

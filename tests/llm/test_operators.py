@@ -184,6 +184,28 @@ def test_licence_scan(spark, texts):
     assert licences.scan(texts([]), licences.fit(texts([]))).count() == 0
 
 
+def test_licence_scan_of_wrapped_notices(spark, texts):
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        'of this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction, including without limitation the rights\n"
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+    )
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n"
+        "# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation, either version 3 of the License, or"
+    )
+    narrow = "prose first\nThis work is licensed\nunder the GNU General\nPublic License, version 3.\nprose last"
+    rows = [(1, f"x.py\n\n{mit}\n\nmore"), (2, f"# x.py\n#\n{gpl}\n#\nimport x"), (3, narrow)]
+    rows += [(4, f"{mit}\n\n{gpl}"), (4, "Released under the\n\nMIT License."), (None, mit), (None, gpl), (None, f"a\n{mit}")]
+    df = texts(rows + corpus(15))
+    got = [(r.doc_id, r.paragraph, r.family) for r in licences.scan(df, licences.fit(df)).collect()]
+    assert sorted((i or 0, f) for i, _, f in got) == [(0, "gpl"), (0, "mit"), (0, "mit"), (1, "mit"), (2, "gpl"), (3, "gpl"), (4, "gpl"), (4, "mit")]
+    lines_of = {(i, f): p for i, p, f in got if i}
+    assert lines_of == {(1, "mit"): 2, (2, "gpl"): 2, (3, "gpl"): 1, (4, "mit"): 0, (4, "gpl"): 5}
+
+
 # --- operator 5
 
 
