@@ -104,23 +104,40 @@ class BKTree:
         return out
 
 
-def forest(members: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as (value, root) rows, of the links from queries to tree members (unsigned numbers)."""
-    tree, parent = BKTree(), {}
+class Forest:
+    """A BK-tree and a spanning forest of the links to its members (unsigned numbers)."""
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
+    def __init__(self):
+        self.tree, self.parent = BKTree(), []
+
+    def root(self, x: int) -> int:
+        while (up := self.parent[x]) != x:
+            self.parent[x] = x = self.parent[up]
         return x
 
-    for value in members:
-        tree.add(value)
-    for value in queries:
-        for node in tree.near(value, radius):
-            a, b = root(value), root(tree.values[node])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+    def join(self, nodes: list[int]) -> None:
+        for node in nodes[1:]:
+            a, b = self.root(nodes[0]), self.root(node)
+            self.parent[max(a, b)] = min(a, b)
+
+    def add(self, value: int, radius: int) -> None:
+        """A member: linked with the members before it, then hung into the tree."""
+        near = self.tree.near(value, radius)
+        node = self.tree.add(value)
+        if node == len(self.parent):
+            self.parent.append(node)
+        self.join([node, *near])
+
+    def ask(self, value: int, radius: int) -> int | None:
+        """A query: links the members near it; one of them, if any."""
+        near = self.tree.near(value, radius)
+        self.join(near)
+        return self.tree.values[near[0]] if near else None
+
+    def rows(self) -> list[tuple[int, int]]:
+        """(member, root) rows."""
+        values = self.tree.values
+        return [(values[x], values[r]) for x in range(len(values)) if (r := self.root(x)) != x]
 
 
 def links(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFrame:
@@ -148,10 +165,9 @@ def links(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFr
     cut = cut.select("block", "part", "tree", "fp", (F.col("tree") == F.col("home")).alias("member"))
 
     def search(batches):
-        shard, members, queries = None, [], []
+        shard, forest, found = None, Forest(), []
 
-        def found():
-            pairs = forest(members, queries, radius) if len(queries) > 1 else []
+        def rows(pairs):
             sides = [np.array([p[i] for p in pairs], dtype=np.uint64).view(np.int64) for i in (0, 1)]
             return pa.record_batch([pa.array(x) for x in sides], names=["u", "v"])
 
@@ -159,17 +175,20 @@ def links(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFr
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for block, part, tree, fp, member in zip(*columns, strict=True):
                 if (block, part, tree) != shard:
-                    if len(queries) > 1 and (out := found()).num_rows:
-                        yield out
-                    shard, members, queries = (block, part, tree), [], []
-                queries.append(fp & MASK)
-                if member:
-                    members.append(fp & MASK)
-        if len(queries) > 1:
-            yield found()
+                    found += forest.rows()
+                    shard, forest = (block, part, tree), Forest()
+                if member:  # a shard's members come first
+                    forest.add(fp & MASK, radius)
+                elif (near := forest.ask(fp & MASK, radius)) is not None:
+                    found.append((fp & MASK, near))
+            if found:
+                yield rows(found)
+                found = []
+        if found := forest.rows():
+            yield rows(found)
 
     n = partitions(values.sparkSession)
-    dealt = cut.repartition(n, "block", "part", "tree").sortWithinPartitions("block", "part", "tree")
+    dealt = cut.repartition(n, "block", "part", "tree").sortWithinPartitions("block", "part", "tree", F.desc("member"))
     return dealt.mapInArrow(search, "u long, v long").distinct()
 
 

@@ -426,6 +426,27 @@ def test_simhash_groups_equal_brute_force(spark, texts):
     assert [r.component_id for r in empty] == [None, None] and simhash.simhash_groups(texts([])).count() == 0
 
 
+def test_simhash_forest_streams_queries():
+    r = random.Random(16)
+    values = list({(r.getrandbits(6) << 40) | r.getrandbits(5) for _ in range(200)})
+    members, queries = values[::2], values[1::2]
+    forest = simhash.Forest()
+    for x in members:
+        forest.add(x, 1)
+    links = [(x, y) for x in queries if (y := forest.ask(x, 1)) is not None] + forest.rows()
+    assert len(forest.parent) == len(members)  # queries are not kept
+
+    def groups(edges):
+        group = {x: x for x in values}
+        for _ in values:
+            for a, b in edges:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+
+    near = [(a, b) for a in values for b in members if 0 < (a ^ b).bit_count() <= 1]
+    assert groups(links) == groups(near) and len(links) <= len(values)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 60)] + [(-5, 7)]
     found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
