@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from linkwork.operators.dedup import DedupConfig
 from linkwork.plans.flows import clean, clean_and_dedup, export, link_health, organise, write_clean_run
 from linkwork.sinks.render import rewrite_document

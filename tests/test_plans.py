@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
