@@ -104,6 +104,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwork.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -118,6 +124,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_dedup,
             op9_document_fingerprints,
             op10_simhash_dedup,
+            op13_embedding_whitening,
         )
     }
 
