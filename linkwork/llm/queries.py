@@ -104,6 +104,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwork.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwork.llm.whitening import whiten
 
@@ -124,6 +130,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_dedup,
             op9_document_fingerprints,
             op10_simhash_dedup,
+            op12_source_mixing,
             op13_embedding_whitening,
         )
     }
