@@ -104,6 +104,60 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults and repair of every conversation, with digests of the repaired rows.
+
+    A digest reads a conversation's rows one after the other: they stream, in order, through one task, which holds
+    the running hash and the audit that it returns, but no texts.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    from linkwork.llm import repair
+    from linkwork.llm.common import id_of, key_of, partitions
+
+    talks = table(spark, sf_dir, "conversations")
+    out = repair.repair(repair.damaged(talks))
+    line = lambda m: F.concat(m["role"], F.lit(":"), m["text"])
+    lines = F.when(F.size("messages") > 0, F.array_join(F.transform("messages", line), "\n"))
+    script = out.script().select("key", "at", "audit", lines.alias("lines"))
+    script = script.repartition(partitions(spark), "key").sortWithinPartitions("key", "at")
+
+    def digests(batches):
+        key, audit, sha, empty = None, [], None, True
+
+        def row():
+            names = ["key", "audit", "repaired_sha256"]
+            return pa.record_batch([pa.array([key], pa.int64()), pa.array(["".join(audit)]), pa.array([sha.hexdigest()])], names=names)
+
+        for batch in batches:
+            done = []
+            for k, letters, said in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if k != key:
+                    if key is not None:
+                        done.append(row())
+                    key, audit, sha, empty = k, [], hashlib.sha256(), True
+                audit.append(letters)
+                if said is not None:
+                    sha.update(said.encode() if empty else b"\n" + said.encode())
+                    empty = False
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if key is not None:
+            yield row()
+
+    digest = script.mapInArrow(digests, "key long, audit string, repaired_sha256 string")
+    known = out.conversations().join(digest, "key")
+    every = talks.select(key_of("conv_id").alias("key")).distinct().join(known, "key", "left")
+    kind = dict(talks.dtypes)["conv_id"]
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(
+        id_of("key").cast(kind).alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwork.llm.mixing import taken
 
@@ -130,6 +184,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_dedup,
             op9_document_fingerprints,
             op10_simhash_dedup,
+            op11_structure_repair,
             op12_source_mixing,
             op13_embedding_whitening,
         )
