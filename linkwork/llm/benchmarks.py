@@ -273,13 +273,8 @@ def _block(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    found = contaminated(
-        docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))),
-        benchmark,
-        "_row",
-        text_col,
-    )
-    bad = found.select("_row").distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)))
-    return rows.join(bad, "_row", "left_anti").drop("_row")
+    """``docs``, whatever its columns are called, without the rows that hold a benchmark item."""
+    name = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
+    rows = docs.select(name.alias("name"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    bad = contaminated(rows.select("name", "text"), benchmark, "name", "text").select("name").distinct()
+    return rows.join(bad, "name", "left_anti").select("row.*")

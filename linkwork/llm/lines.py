@@ -1,11 +1,11 @@
 """Removal of repeated lines by an exact set-similarity join (operator 2).
 
-A line is the set of its words.  A line goes if an earlier line, by (id, line number), has the same words or
-a Jaccard similarity of ``threshold`` or more, judged on the input.  Lines of equal sets form one class, of
+A line is the set of its words, and its place is (id, line number, text hash).  A line goes if a line of an earlier
+place has the same words or a Jaccard similarity of ``threshold`` or more, judged on the input.  Lines of equal sets form one class, of
 which only the first place counts; classes are joined as follows.
 
-1. Count words over the whole corpus in a sketch of fixed size, which every task adds to and
-   which is then small enough to broadcast (``SKETCH`` counters).  Order the words of a line by
+1. Count words over the whole corpus in a sketch of fixed size, in the pass that finds the classes; it is
+   small enough to broadcast (``SKETCH`` counters).  Order the words of a line by
    that count, rarest first, ties by hash: one order for all lines.
 2. Two lines as similar as ``threshold`` share a word of their prefixes, the first
    ``n - ceil(threshold * n) + 1`` words.  Postings of the prefix words of each class's first line are dealt by
@@ -19,9 +19,9 @@ which only the first place counts; classes are joined as follows.
    candidates; postings of words that none of them has are dropped by a bitmap of fixed size.
 
 Postings travel packed by columns, one array for each task batch and word bucket.  Blank lines are neither
-matched nor removed.  Defined cases: a null text has no lines; null ids share one identity, the smallest; rows of one
-id are not earlier than one another at the same line number; an empty table gives no rows; further columns are
-kept by ``distinct_line_texts`` and ignored otherwise.
+matched nor removed.  Defined cases: a null text has no lines; a null id is the smallest; rows that share an id, or
+have none, are told apart by the hash of their texts, and rows equal in both lose the same lines; an empty table
+gives no rows; further columns are kept by ``distinct_line_texts`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -46,17 +46,19 @@ BITMAP = 1 << 23
 FIRST = 2
 #: ``low`` and ``high``: a bitmap of 128 bits, the parity of the line's words by hash
 POSTING = np.dtype(
-    [("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4"), ("at", "<u4")]
+    [("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("th", "<i8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4"), ("at", "<u4")]
 )
 EPS = 1e-9
 
 
 class Lines:
-    """The word sets of the lines of several texts; ``rarity`` orders words within a line."""
+    """The word sets of the lines of several texts; ``rarity`` orders words within a line, ``counts`` takes their numbers."""
 
-    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
+    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None, counts: np.ndarray | None = None):
         words = Words(texts)
         h = words.hashes()
+        if counts is not None:
+            counts += np.bincount(slots(h), minlength=SKETCH)
         breaks = np.flatnonzero(np.frombuffer(words.buf, dtype=np.uint8)[:-8] == 10)
         line = np.searchsorted(breaks, words.start)
         order = _line_order(line, h, None if rarity is None else rarity[slots(h)])
@@ -106,17 +108,32 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Logarithmic word counts of ``key, text``, by slot: one byte for each of ``SKETCH`` counters."""
+def _scanned(rows: DataFrame) -> DataFrame:
+    """One pass over ``key, th, text``: ``cls, key, number, th`` of each line with words, and each task's word counts.
 
-    def count(batches):
-        counts = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                h = Words(utf8(batch.slice(at, 1024).column(1))).hashes()
-                counts += np.bincount(slots(h), minlength=SKETCH)
-        parts = [p.astype("<u4").tobytes() for p in counts.reshape(PIECES, -1)]
-        yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+    Counts are rows of ``part, counts``, the other columns null there.
+    """
+    names = ["cls", "key", "number", "th", "part", "counts"]
+
+    def run(batches):
+        sums = np.zeros(SKETCH, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lines = Lines(utf8(batch.column(2)), counts=sums)
+                keys, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.text] for i in (0, 1))
+                columns = [pa.array(lines.cls), pa.array(keys), pa.array(lines.number.astype(np.int32)), pa.array(th)]
+                none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
+                yield pa.record_batch([*columns, *none], names=names)
+        parts = [p.astype("<u4").tobytes() for p in sums.reshape(PIECES, -1)]
+        none = [pa.nulls(PIECES, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        yield pa.record_batch([*none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "cls long, key long, number int, th long, part int, counts binary")
+
+
+def rarity(counted: DataFrame) -> np.ndarray:
+    """Logarithmic word counts from rows of ``part, counts``, by slot: one byte for each of ``SKETCH`` counters."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -127,25 +144,13 @@ def rarity(rows: DataFrame) -> np.ndarray:
         logs = [np.round(np.log2(s + 1) * 4).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], names=["part", "logs"])
 
-    counted = rows.mapInArrow(count, "part int, counts binary").repartition(PIECES, "part")
+    dealt = counted.where("part is not null").select("part", "counts").repartition(PIECES, "part")
     out = np.zeros((PIECES, SKETCH // PIECES), dtype=np.uint8)
-    for part, logs in counted.mapInArrow(add, "part int, logs binary").collect():  # fixed size: SKETCH bytes
+    for part, logs in dealt.mapInArrow(add, "part int, logs binary").collect():  # fixed size: SKETCH bytes
         out[part] = np.frombuffer(logs, dtype=np.uint8)
     return out.reshape(-1)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """``cls, key, number`` of each line with words."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(utf8(batch.column(1)))
-        keys = batch.column(0).to_numpy(zero_copy_only=False)[lines.text]
-        columns = [pa.array(lines.cls), pa.array(keys), pa.array(lines.number.astype(np.int32))]
-        return pa.record_batch(columns, names=["cls", "key", "number"])
-
-    return arrow_pass(rows, "cls long, key long, number int", work, 1024)
-
-
 def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None) -> DataFrame:
     """``bucket, data``: packed postings of the prefix words of the lines ``numbers``.
 
@@ -170,6 +175,7 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         out = np.empty(len(line), dtype=POSTING)
         out["word"] = word >> np.uint64(32)
         out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
+        out["th"] = batch.column(1).to_numpy(zero_copy_only=False)[lines.text[line]]
         out["number"] = lines.number[line]
         out["low"] = np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line]
         out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
@@ -194,8 +200,11 @@ def _postings_of(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(columns.T).view(POSTING).reshape(-1)
 
 
-def candidates(p: np.ndarray, threshold: float):
-    """Yield index pairs (earlier, later) of the postings of some words, sorted by word and size, that pass the filters."""
+def candidates(p: np.ndarray, age: np.ndarray, threshold: float):
+    """Yield index pairs (earlier, later) of the postings of some words, sorted by word and size, that pass the filters.
+
+    ``age`` numbers lines by place.
+    """
     place = (p["word"].astype(np.uint64) << np.uint64(32)) | p["n"]
     longest = np.floor(p["n"] / threshold + EPS).astype(np.uint64)
     stop = np.searchsorted(place, (p["word"].astype(np.uint64) << np.uint64(32)) | longest, side="right")
@@ -214,11 +223,11 @@ def candidates(p: np.ndarray, threshold: float):
             differ = np.bitwise_count(p["low"][a] ^ p["low"][b]) + np.bitwise_count(p["high"][a] ^ p["high"][b])
             ok = differ <= spare
             a, b = a[ok], b[ok]
-            less = (p["key"][a] < p["key"][b]) | ((p["key"][a] == p["key"][b]) & (p["number"][a] < p["number"][b]))
-            same = (p["key"][a] == p["key"][b]) & (p["number"][a] == p["number"][b])
+            less = age[a] < age[b]
             x, y = np.where(less, a, b), np.where(less, b, a)
+            other = age[a] != age[b]  # rows equal in id and text
             if len(x):
-                yield x[~same], y[~same]
+                yield x[other], y[other]
         begin = end
 
 
@@ -250,7 +259,7 @@ def _earliest(x: np.ndarray, y: np.ndarray, age: np.ndarray, line: np.ndarray, m
 
 
 def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFrame | None = None) -> DataFrame:
-    """``key, number, xkey, xnumber``: later lines and earlier candidates, the ``most`` earliest of a task.
+    """``key, number, th, xkey, xnumber, xth``: later lines and earlier candidates, the ``most`` earliest of a task.
 
     ``only``: ``bucket, data`` rows with postings of the later lines to be joined, if not all are.
     """
@@ -266,9 +275,9 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
             return
         p = np.concatenate(parts)
         # ``age`` orders lines by place, ``line`` numbers them likewise
-        p = p[np.lexsort((p["number"], p["key"]))]
+        p = p[np.lexsort((p["th"], p["number"], p["key"]))]
         new = np.ones(len(p), dtype=bool)
-        new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["number"][1:] != p["number"][:-1])
+        new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["number"][1:] != p["number"][:-1]) | (p["th"][1:] != p["th"][:-1])
         line = np.cumsum(new)
         order = np.lexsort((line, p["n"], p["word"]))
         p, line = p[order], line[order]
@@ -279,7 +288,7 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
         elif restricted:
             return
         have = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for x, y in candidates(p, threshold):
+        for x, y in candidates(p, line, threshold):
             if late is not None:
                 x, y = x[late[y]], y[late[y]]
             have = (np.append(have[0], x), np.append(have[1], y))
@@ -295,41 +304,48 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
     if only is not None:
         rows = rows.union(only.withColumn("late", F.lit(True)))
     dealt = rows.repartition(n, "bucket")
-    return dealt.mapInArrow(run, "key long, number int, xkey long, xnumber int")
+    return dealt.mapInArrow(run, "key long, number int, th long, xkey long, xnumber int, xth long")
 
 
 def _places(p: np.ndarray) -> np.ndarray:
-    out = np.empty(len(p), dtype=[("key", "<i8"), ("number", "<u4")])
-    out["key"], out["number"] = p["key"], p["number"]
+    out = np.empty(len(p), dtype=[("key", "<i8"), ("number", "<u4"), ("th", "<i8")])
+    out["key"], out["number"], out["th"] = p["key"], p["number"], p["th"]
     return out
 
 
 def _found(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    columns = [p["key"][y], p["number"][y].astype(np.int32), p["key"][x], p["number"][x].astype(np.int32)]
-    return pa.record_batch([pa.array(c) for c in columns], names=["key", "number", "xkey", "xnumber"])
+    columns = [c for i in (y, x) for c in (p["key"][i], p["number"][i].astype(np.int32), p["th"][i])]
+    return pa.record_batch([pa.array(c) for c in columns], names=["key", "number", "th", "xkey", "xnumber", "xth"])
+
+
+#: What names a text, and a line.
+TEXT, PLACE = ["key", "th"], ["key", "number", "th"]
+
+
+def _numbers(lines: DataFrame) -> DataFrame:
+    """``key, th, numbers``: the lines of each text."""
+    return lines.groupBy(*TEXT).agg(F.collect_list("number").alias("numbers"))
 
 
 def _word_sets(rows: DataFrame) -> DataFrame:
-    """``xkey, xnumber, words`` of the lines ``numbers``."""
+    """``xkey, xnumber, xth, words`` of the lines ``numbers``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lines = Lines(unpacked(batch.column(2)))
         at = np.flatnonzero(lines.among(batch.column(3)))
-        keys = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[at]]
+        keys, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.text[at]] for i in (0, 1))
         sets = [lines.words[a : a + n].tobytes() for a, n in zip(lines.first[at].tolist(), lines.n[at].tolist(), strict=True)]
-        columns = [pa.array(keys), pa.array(lines.number[at].astype(np.int32)), pa.array(sets, pa.binary())]
-        return pa.record_batch(columns, names=["xkey", "xnumber", "words"])
+        columns = [pa.array(keys), pa.array(lines.number[at].astype(np.int32)), pa.array(th), pa.array(sets, pa.binary())]
+        return pa.record_batch(columns, names=["xkey", "xnumber", "xth", "words"])
 
-    out = arrow_pass(rows.select("key", "th", "data", "numbers"), "xkey long, xnumber int, words binary", work, 512)
-    return out
+    return arrow_pass(rows.select("key", "th", "data", "numbers"), "xkey long, xnumber int, xth long, words binary", work, 512)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``key, number`` of the later lines of ``pairs`` of which a candidate is as similar as ``threshold``."""
-    wanted = pairs.select(F.col("xkey").alias("key"), F.col("xnumber").alias("number")).distinct()
-    wanted = wanted.groupBy("key").agg(F.collect_list("number").alias("numbers"))
-    sets = _word_sets(texts.join(wanted.hint("shuffle_hash"), "key"))
-    later = pairs.join(sets, ["xkey", "xnumber"]).groupBy("key").agg(
+    """``key, number, th`` of the later lines of ``pairs`` of which a candidate is as similar as ``threshold``."""
+    wanted = pairs.select(F.col("xkey").alias("key"), F.col("xnumber").alias("number"), F.col("xth").alias("th")).distinct()
+    sets = _word_sets(texts.join(_numbers(wanted).hint("shuffle_hash"), TEXT))
+    later = pairs.join(sets, ["xkey", "xnumber", "xth"]).groupBy(*TEXT).agg(
         F.collect_list("number").alias("numbers"), F.collect_list("words").alias("words")
     )
 
@@ -351,11 +367,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
             if shared >= threshold * (len(both) - shared) - EPS:
                 out.add((text, number))
         texts, numbers = [x[0] for x in out], [x[1] for x in out]
-        keys = batch.column(0).take(pa.array(texts, pa.int64()))
-        return pa.record_batch([keys, pa.array(numbers, pa.int32())], names=["key", "number"])
+        keys, th = (batch.column(i).take(pa.array(texts, pa.int64())) for i in (0, 1))
+        return pa.record_batch([keys, pa.array(numbers, pa.int32()), th], names=PLACE)
 
-    rows = texts.join(later.hint("shuffle_hash"), "key").select("key", "th", "data", "numbers", "words")
-    return arrow_pass(rows, "key long, number int", work, 512).distinct()
+    rows = texts.join(later.hint("shuffle_hash"), TEXT).select("key", "th", "data", "numbers", "words")
+    return arrow_pass(rows, "key long, number int, th long", work, 512).distinct()
 
 
 def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
@@ -388,30 +404,31 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
 
 
 def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``key, numbers``: the lines with words that stay, for every key that keeps one."""
+    """``key, th, numbers``: the lines with words that stay, for every text that keeps one."""
     spark: SparkSession = scan.sparkSession
     buckets = 4 * partitions(spark)
-    first = _classes(scan).groupBy("cls").agg(F.min(F.struct("key", "number")).alias("p"))
-    first = saved(first.select("p.key", "p.number"), "line-classes")
-    numbers = lambda rows: rows.groupBy("key").agg(F.collect_list("number").alias("numbers"))
-    firsts = texts.join(numbers(first).hint("shuffle_hash"), "key")
-    ranks = spark.sparkContext.broadcast(rarity(scan).tobytes())
+    scanned = saved(_scanned(scan), "line-scan")
+    first = scanned.where("part is null").groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("p"))
+    first = saved(first.select("p.*"), "line-classes")
+    firsts = texts.join(_numbers(first).hint("shuffle_hash"), TEXT)
+    ranks = spark.sparkContext.broadcast(rarity(scanned).tobytes())
     found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
-    found = found.groupBy("key", "number").agg(F.array_sort(F.collect_set(F.struct("xkey", "xnumber"))).alias("x"))
-    found = saved(found.select("key", "number", F.slice("x", 1, FIRST).alias("x")), "line-candidates", release=True)
-    pairs = found.select("key", "number", F.explode("x").alias("x")).select("key", "number", "x.xkey", "x.xnumber")
+    earlier = F.array_sort(F.collect_set(F.struct("xkey", "xnumber", "xth")))
+    found = found.groupBy(*PLACE).agg(F.slice(earlier, 1, FIRST).alias("x"))
+    found = saved(found, "line-candidates", release=True)
+    pairs = found.select(*PLACE, F.explode("x").alias("x")).select(*PLACE, "x.*")
     gone = saved(_verified(texts, pairs, threshold), "line-matches", release=True)
-    more = found.where(F.size("x") >= FIRST).join(gone, ["key", "number"], "left_anti").select("key", "number")
+    more = found.where(F.size("x") >= FIRST).join(gone, PLACE, "left_anti").select(*PLACE)
     more = saved(more, "line-open")
     if not more.isEmpty():
-        late = texts.join(numbers(more).hint("shuffle_hash"), "key")
+        late = texts.join(_numbers(more).hint("shuffle_hash"), TEXT)
         words = spark.sparkContext.broadcast(_bitmap(late, ranks, threshold))
         rest = _join(
             _postings(firsts, ranks, threshold, buckets, words), threshold, None, _postings(late, ranks, threshold, buckets)
         )
-        rest = saved(rest.distinct().join(pairs, ["key", "number", "xkey", "xnumber"], "left_anti"), "line-rest")
+        rest = saved(rest.distinct().join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
         gone = gone.union(saved(_verified(texts, rest, threshold), "line-matches"))
-    return numbers(first.join(gone, ["key", "number"], "left_anti"))
+    return _numbers(first.join(gone, PLACE, "left_anti"))
 
 
 def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -436,12 +453,15 @@ def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
     return arrow_pass(rows.select("text", "numbers", *carry), schema, work)
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``id_col, n_lines, removed_lines, kept`` of each row; line numbers start at 0."""
-    scan = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = dealt_texts(df, id_col, text_col)
-    text = df.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(kept_lines(scan, texts, threshold).hint("shuffle_hash"), "key", "left")
+    lines = kept_lines(_texts(df, id_col, text_col), dealt_texts(df, id_col, text_col, TEXT), threshold)
+    rows = _texts(df, id_col, text_col).join(lines.hint("shuffle_hash"), TEXT, "left")
     out = _split(rows, ["key"])
     return out.select(id_of("key").alias(id_col), "n_lines", "removed_lines", "kept")
 
@@ -451,12 +471,9 @@ def distinct_line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows of which every line with words is removed, because it stands in earlier rows, go.
     """
-    scan = docs.select(key_of(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = dealt_texts(docs, id_col, text_col)
-    lines = kept_lines(scan, texts, threshold)
+    lines = kept_lines(_texts(docs, id_col, text_col), dealt_texts(docs, id_col, text_col, TEXT), threshold)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")])
-    whole = docs.select(key_of(id_col).alias("_key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
-    rows = whole.join(lines.hint("shuffle_hash"), whole["_key"] == lines["key"], "left").select("text", "numbers", "rest")
+    rows = _texts(docs, id_col, text_col, rest.alias("rest")).join(lines.hint("shuffle_hash"), TEXT, "left").select("text", "numbers", "rest")
     out = _split(rows, ["rest"])
     empty = (F.size("removed_lines") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(~empty | F.col("kept").isNull())

@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame``."""
+"""The stages of the corpus pipeline: ``(spark, docs, sf_dir) -> DataFrame``.
+
+Every stage takes rows with null or repeated ids, null, empty and very long texts, repeated rows, no rows, and further
+columns of any name; all but the last return the columns that they got.  A null text counts as empty; what a stage does
+with ties and copies is stated at its operator.
+"""
 
 from __future__ import annotations
 
@@ -29,17 +34,18 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     themselves.  Copies of the chosen row are told apart by their further columns.
     """
     text = F.col("text").cast("string")
-    rows = docs.withColumns({"_key": key_of("doc_id"), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
-    prints = saved(simhash.fingerprints(rows, longs=("_a", "_b")), "stage-fp")
+    hashes = [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
+    # the input's columns travel in a struct, so none of their names can clash
+    rows = docs.select(key_of("doc_id").alias("id"), *hashes, text.alias("text"), F.struct(*docs.columns).alias("row"))
+    prints = saved(simhash.fingerprints(rows, "id", longs=("a", "b")), "stage-fp")
     roots = simhash.rooted(saved(prints.select("fp").distinct(), "stage-values"))
-    known = prints.groupBy("fp", F.col("key").alias("_key"), "_a", "_b").agg(F.count("*").alias("_copies"))
-    first = F.min(F.struct("_key", "_a", "_b", "_copies")).alias("first")
-    heads = saved(known.join(roots, "fp").groupBy(F.col("root").alias("_root")).agg(first).select("first.*", "_root"), "stage-heads")
-    kept = rows.join(heads, ["_key", "_a", "_b"])
-    order = F.struct("_key", *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-    chosen = F.min_by(F.struct(*docs.columns), order).alias("row")
-    repeated = kept.where("_copies > 1").groupBy("_root").agg(chosen).select("row.*")
-    return kept.where("_copies = 1").select(*docs.columns).unionByName(repeated)
+    known = prints.groupBy("fp", F.col("key").alias("id"), "a", "b").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct("id", "a", "b", "copies")).alias("first")
+    heads = saved(known.join(roots, "fp").groupBy("root").agg(first).select("first.*", "root"), "stage-heads")
+    kept = rows.select("id", "a", "b", "row").join(heads, ["id", "a", "b"])
+    order = F.struct(*[F.col("row")[c].cast("string") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    repeated = kept.where("copies > 1").groupBy("root").agg(F.min_by("row", order).alias("row"))
+    return kept.where("copies = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

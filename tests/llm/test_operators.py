@@ -138,6 +138,31 @@ def test_lines_with_a_first_candidate_that_fails(spark, texts, monkeypatch):
     assert {i for i, (r,) in got.items() if r} == want == {3, 4}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_repeated_and_null_ids(spark, texts, seed):
+    """Lines are known by id, number and text: rows that share an id keep what is theirs."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 30)}"
+    near = [" ".join(word() for _ in range(10)) for _ in range(4)]
+    rows = []
+    for _ in range(60):
+        body = [r.choice([r.choice(near), r.choice(near) + " x", " ".join(word() for _ in range(r.randint(1, 6))), ""]) for _ in range(r.randint(1, 5))]
+        rows.append((r.choice([None, None, 7, 7, 8, r.randint(20, 60)]), "\n".join(body)))
+    rows += [rows[0], rows[5]]
+    named = texts(rows).selectExpr("doc_id", "text", "xxhash64(text) AS th").collect()
+    all_lines = sorted({(-(2**63) if x.doc_id is None else x.doc_id, n, x.th, frozenset(t.split())) for x in named for n, t in enumerate(x.text.split("\n"))}, key=lambda x: x[:3])
+    gone = set()
+    for k, (i, n, th, s) in enumerate(all_lines):
+        if s and any(o and 5 * len(s & o) >= 4 * len(s | o) for *_, o in all_lines[:k]):
+            gone.add((i, th, n))
+    want = sorted((x.doc_id or 0, x.text, [n for n in range(x.text.count("\n") + 1) if (-(2**63) if x.doc_id is None else x.doc_id, x.th, n) in gone]) for x in named)
+    out = lines.line_dedup(texts(rows)).collect()
+    got = sorted((x.doc_id or 0, x.n_lines, x.removed_lines, x.kept) for x in out)
+    drop = lambda t, g: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g)
+    assert got == sorted((i, t.count("\n") + 1, g, drop(t, g)) for i, t, g in want)
+    assert gone
+
+
 def test_line_edges(spark, texts):
     df = texts([*EDGES, (6, "a b\n\nA b\na b"), (6, "a b\n\nA b\na b")])
     got = sorted((r.doc_id or -1, r.removed_lines) for r in lines.line_dedup(df).collect())

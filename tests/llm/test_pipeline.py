@@ -47,3 +47,23 @@ def test_distinct_documents_keep_one_row_of_each_group(spark, texts):
     want = [(0, ""), (0, text("m")), (0, text("n")), (3, text("d")), (7, text("a")), (7, text("b")), (10, text("c"))]
     assert got == want
     assert stages.distinct_documents(spark, texts([]), SF).count() == 0
+
+
+CLASHES = ["_row", "_root", "_key", "_a", "_b", "_copies", "key", "h", "th", "score", "row", "id", "a", "b", "fp", "root", "name", "rest", "numbers", "kept", "none"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (5, "a b c", None, "s", 5), (5, "a b c", None, "s", 5)], docs.schema)
+    rows = docs.union(odd).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHES}).cache()
+    plain = docs.union(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert all(r[c] == c + ("" if r.doc_id is None else str(r.doc_id)) for r in got for c in CLASHES), name
+        assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((r.doc_id or -1, r.text or "") for r in stage(spark, plain, SF).collect()), name
+        assert stage(spark, rows.limit(0), SF).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() > 0
