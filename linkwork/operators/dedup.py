@@ -37,8 +37,6 @@ class DedupConfig:
     grouping: str = "pairwise"          # 'pairwise' (the tool) or 'whole' (one survivor per group)
     label_col: str = "formatted_label"  # compared by 'title' (and word sets of 'fuzzy')
     length_col: str = "formatted_label"  # lengths for the 'shortest'/'longest' keep strategies
-    dense_block: int = 256               # fuzzy: URL blocks above this many signatures are expanded
-    expansion_rounds: int = 4            # fuzzy: leader-expansion rounds before the edge rounds
 
 
 def _label_len(label_col: str) -> Column:
@@ -141,35 +139,83 @@ def duplicate_pairs(marked: DataFrame, strategy: str) -> DataFrame:
                          F.col("pos").alias("dup_pos"))
 
 
-def dense_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``pairs`` with positions as places among the surviving links of their collection, counted from 0."""
-    place = with_ordinal(links.select("collection_id", "pos"), ["collection_id"], "pos", "_n")
-    place = place.select("collection_id", "pos", (F.col("_n") - 1).alias("_n"))
-    for c in ("first_pos", "dup_pos"):
-        at = place.select("collection_id", F.col("pos").alias(c), F.col("_n").alias(f"_{c}"))
-        pairs = pairs.join(at, ["collection_id", c])
-    return pairs.select("collection_id", "group_no", F.col("_first_pos").alias("first_pos"), F.col("_dup_pos").alias("dup_pos"))
+def with_place(links: DataFrame, name: str = "place") -> DataFrame:
+    """``links`` with their place among the rows of their collection, counted from 0."""
+    return with_ordinal(links, ["collection_id"], "pos", name).withColumn(name, F.col(name) - 1)
 
 
-def strategy_comparison(links: DataFrame, configs: list[DedupConfig]) -> DataFrame:
-    """Rows left and removed per collection for each configuration, over one keyed table.
+def pair_members(pairs: DataFrame) -> DataFrame:
+    """``duplicate_pairs`` as members: ``(collection_id, group_no, size, member_no, pos)``, two rows for each pair."""
+    both = F.posexplode(F.array("first_pos", "dup_pos")).alias("member_no", "pos")
+    return pairs.select("collection_id", "group_no", F.lit(2).cast("bigint").alias("size"), both).withColumn(
+        "member_no", (F.col("member_no") + 1).cast("bigint"))
 
-    The normalised URL is computed once and checkpointed; every configuration then needs only
-    its own per-key aggregate and join.
+
+def whole_groups(marked: DataFrame) -> DataFrame:
+    """A5 for whole groups: ``(collection_id, group_no, size, member_no, pos)``, one row for each member.
+
+    Groups are numbered in the order of their first members, members by position; a group of any size stays rows.
+    """
+    rows = marked.filter(F.col("dup_first").isNotNull()).select("collection_id", "dup_first", "dup_size", "pos")
+    heads = rows.filter(F.col("pos") == F.col("dup_first")).select("collection_id", "dup_first")
+    heads = with_ordinal(heads, ["collection_id"], "dup_first", "group_no")
+    members = with_ordinal(rows, ["collection_id", "dup_first"], "pos", "member_no")
+    return members.join(heads, ["collection_id", "dup_first"]).select(
+        "collection_id", "group_no", F.col("dup_size").alias("size"), "member_no", "pos")
+
+
+def duplicate_groups(marked: DataFrame, strategy: str) -> DataFrame:
+    """The groups that the strategy reports, as members: pairs for the key strategies, whole groups for ``fuzzy``."""
+    if strategy == "fuzzy":
+        return whole_groups(marked)
+    return pair_members(duplicate_pairs(marked, strategy))
+
+
+def dense_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``pos`` as the place of the link in its collection, counted from 0."""
+    place = with_place(links.select("collection_id", "pos"))
+    return members.join(place, ["collection_id", "pos"]).drop("pos").withColumnRenamed("place", "pos")
+
+
+def strategy_comparison(links: DataFrame, title_col: str = "clean_title", thresholds: tuple[float, ...] = (0.7, 0.9),
+                        label_col: str = "formatted_label") -> DataFrame:
+    """``(strategy, keep_strategy, similarity_threshold, collection_id, rows_left, rows_removed)``.
+
+    The key strategies come from one pass: every link is expanded to its three keys, keys are counted by label
+    length, and the counts give what each keep rule removes.  ``fuzzy`` follows for each threshold (null otherwise).
     """
     from ..session import materialize
+    from .fuzzy import mark_fuzzy_duplicates
 
     keyed = materialize(with_normalized_url(links, "url", "_k_url"))
-    parts = []
-    for cfg in configs:
-        m = mark_duplicates(keyed, cfg)
-        parts.append(m.groupBy("collection_id").agg(
-            F.count_if(~F.col("removed")).alias("rows_left"), F.count_if(F.col("removed")).alias("rows_removed"))
-            .select(F.lit(cfg.strategy).alias("strategy"), F.lit(cfg.keep_strategy).alias("keep_strategy"),
-                    F.lit(float(cfg.similarity_threshold)).alias("similarity_threshold"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    title = F.lower(strip_ws(F.coalesce(F.col(title_col), F.lit(""))))
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("strategy"), key.alias("_key"), F.coalesce("domain", F.lit("")).alias("_dom") if name == "smart" else F.lit("").alias("_dom"))
+        for name, key in (("url", F.col("_k_url")), ("title", F.when(title != "", title)), ("smart", F.col("_k_url")))]))
+    rows = keyed.select("collection_id", "pos", _label_len(label_col).alias("_len"), keys.alias("_k")).select("collection_id", "pos", "_len", "_k.*")
+    # a key is as long as its lengths are many: counts, not rows
+    lengths = rows.groupBy("collection_id", "strategy", "_dom", "_key", "_len").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_p"))
+    per = lengths.groupBy("collection_id", "strategy", "_dom", "_key").agg(
+        F.sum("_n").alias("_n"), F.min_by("_len", "_p").alias("_lenf"), F.min("_len").alias("_mn"), F.max("_len").alias("_mx"),
+        F.collect_list(F.struct("_len", "_n")).alias("_by"))
+    held = lambda test: F.aggregate("_by", F.lit(0).cast("bigint"), lambda s, x: s + F.when(test(x["_len"]), x["_n"]).otherwise(0))
+    gone = {
+        "first": F.col("_n") - 1,
+        "last": F.least(F.col("_n") - 1, F.lit(1)),
+        "shortest": held(lambda x: x >= F.col("_lenf")) - 1 + (F.col("_mn") < F.col("_lenf")).cast("bigint"),
+        "longest": held(lambda x: x <= F.col("_lenf")) - 1 + (F.col("_mx") > F.col("_lenf")).cast("bigint"),
+    }
+    per = per.withColumns({f"_{k}": F.when(F.col("_key").isNotNull(), v).otherwise(0) for k, v in gone.items()})
+    sums = per.groupBy("collection_id", "strategy").agg(F.sum("_n").alias("_all"), *[F.sum(f"_{k}").alias(f"_{k}") for k in KEEP_STRATEGIES])
+    kept = F.explode(F.array(*[F.struct(F.lit(k).alias("keep_strategy"), F.col(f"_{k}").alias("rows_removed")) for k in KEEP_STRATEGIES]))
+    out = sums.select("collection_id", "strategy", "_all", kept.alias("_r")).select(
+        "strategy", "_r.keep_strategy", F.lit(None).cast("double").alias("similarity_threshold"), "collection_id",
+        (F.col("_all") - F.col("_r.rows_removed")).alias("rows_left"), "_r.rows_removed")
+    for t in thresholds:
+        m = mark_fuzzy_duplicates(keyed, DedupConfig("fuzzy", t, "first", label_col=label_col))
+        out = out.unionByName(m.groupBy("collection_id").agg(
+            F.count_if(~F.col("removed")).alias("rows_left"), F.count_if("removed").alias("rows_removed")).select(
+            F.lit("fuzzy").alias("strategy"), F.lit("first").alias("keep_strategy"), F.lit(float(t)).alias("similarity_threshold"), "*"))
     return out
 
 

@@ -4,28 +4,26 @@ Score of two links: ``url_eq*0.5 + jaccard(label words)*0.3 + domain_eq*0.2`` (u
 normalised form).  A row joins the first earlier *leader* it reaches the threshold with,
 and rows already in a group never lead: the leaders are the lexicographically first
 maximal independent set of the score graph, and a member belongs to its smallest
-adjacent earlier leader.  That is computed in rounds, each a few joins/aggregates: an
-undecided row becomes a member once an earlier neighbour is a leader, and a leader once
-every earlier neighbour is a member.
+adjacent earlier leader.
 
-Edges are never enumerated blindly.  For each (url_eq, domain_eq) case the threshold
-fixes the Jaccard index needed, ``need = (t - 0.5u - 0.2d) / 0.3``:
+Pairs are never listed.  For each (url_eq, domain_eq) case the threshold fixes the Jaccard
+index needed, ``need = (t - 0.5u - 0.2d) / 0.3``, and each case files nodes under keys:
 
-* ``need > 1``: the case has no edges;
-* ``need <= 0``: every pair in the case's class is an edge -- kept implicit as a *clique
-  class* and handled by per-class aggregates (no pairs are produced);
-* otherwise: candidate pairs come from prefix filtering (pairs must share a token among
-  the first ``|x| - ceil(need*|x|) + 1`` tokens in rarest-first order) inside the case's
-  block, and each candidate is verified with the exact score.
+* ``need > 1``: none, the case has no edges;
+* ``need <= 0``: one key for the case's class, all of whose pairs are edges;
+* otherwise: a key for each of the first ``|x| - ceil(need*|x|) + 1`` words in rarest-first
+  order, inside the case's block (two sets that reach ``need`` share such a word).
+
+So whatever a node reaches shares a key with it.  A round elects leaders among the ``k``
+smallest undecided nodes of each key: a node that is among them under *all* its keys knows
+every earlier node it could reach, and leads if it reaches none of them.  The new leaders
+are then compared with what is left under their keys, and what they reach never leads.
+``k`` starts at 1 and grows fourfold, so a round is linear in the postings for its ``k``, a
+class of similar links is gone after one round, and keys of unlike links take few rounds.
+Every round decides at least each collection's smallest undecided node.
 
 Rows with the same (normalised url, domain, word set) score 1.0 with each other and
 alike with everyone else, so they are collapsed to one node first and expanded after.
-
-Above a threshold of 0.5 every edge joins equal normalised URLs.  A URL block with many
-signatures (copies of one page under numbered labels are mutually similar) is first
-settled by *leader expansion*: its first undecided node is a leader and claims the
-undecided nodes it reaches, one comparison per node per round, without producing pairs.
-What is left after a few rounds is an independent problem for the edge rounds.
 """
 
 from __future__ import annotations
@@ -44,7 +42,8 @@ URL_W, TITLE_W, DOMAIN_W = 0.5, 0.3, 0.2
 # (url_eq, domain_eq, block columns)
 CASES = [(1, 1, ["_nurl", "_dom"]), (1, 0, ["_nurl"]), (0, 1, ["_dom"]), (0, 0, [])]
 EPS = 1e-9
-MAX_ROUNDS = 100_000
+#: Growth of ``k`` from round to round.
+GROWTH = 4
 _log = logging.getLogger(__name__)
 
 
@@ -108,126 +107,109 @@ def candidate_edges(nodes: DataFrame, threshold: float, joins: list[tuple[list[s
     return e.select("collection_id", "a", "b", score.alias("score")).filter(F.col("score") >= F.lit(threshold))
 
 
-def leaders_in_rounds(nodes: DataFrame, edges: DataFrame, cliques: list[list[str]]) -> DataFrame:
-    """``(collection_id, node, status)``; status 1 = leader, 2 = member (first maximal independent set)."""
-    keycols = sorted({c for k in cliques for c in k})
-    state = nodes.select("collection_id", "node", *keycols, F.lit(0).alias("status"))
-    edges = edges.select("collection_id", "a", "b")  # the caller passes checkpointed edges
-    for rnd in range(MAX_ROUNDS):
-        # each round reads the previous state several times: persist it so the round is
-        # computed once, and checkpoint it so the plan does not grow with the rounds
-        state = materialize(state, "checkpoint")
-        undecided = state.filter(F.col("status") == 0).count()
-        _log.info("fuzzy round %d: %d undecided", rnd, undecided)
-        if undecided == 0:
-            break
-        sa = state.select("collection_id", F.col("node").alias("a"), F.col("status").alias("_sa"))
-        e = (edges.join(sa, ["collection_id", "a"])
-             .groupBy("collection_id", F.col("b").alias("node"))
-             .agg(F.max((F.col("_sa") == 1).cast("int")).alias("_el"),
-                  F.max((F.col("_sa") != 2).cast("int")).alias("_eo")))
-        st = state.join(e, ["collection_id", "node"], "left")
-        lead = F.coalesce(F.col("_el"), F.lit(0)) == 1
-        opened = F.coalesce(F.col("_eo"), F.lit(0)) == 1
-        drop = ["_el", "_eo"]
-        for i, keys in enumerate(cliques):
-            c = state.groupBy("collection_id", *keys).agg(
-                F.min(F.when(F.col("status") == 1, F.col("node"))).alias(f"_cl{i}"),
-                F.min(F.when(F.col("status") != 2, F.col("node"))).alias(f"_co{i}"))
-            st = st.join(c, ["collection_id", *keys], "left")
-            lead = lead | F.coalesce(F.col(f"_cl{i}") < F.col("node"), F.lit(False))
-            opened = opened | F.coalesce(F.col(f"_co{i}") < F.col("node"), F.lit(False))
-            drop += [f"_cl{i}", f"_co{i}"]
-        new = (F.when(F.col("status") != 0, F.col("status")).when(lead, F.lit(2))
-               .when(~opened, F.lit(1)).otherwise(F.lit(0)))
-        state = st.withColumn("status", new).drop(*drop)
-    else:
-        raise RuntimeError("fuzzy grouping did not converge")
-    return state
-
-
-def assign_groups(state: DataFrame, edges: DataFrame, cliques: list[list[str]]) -> DataFrame:
-    """``(collection_id, node, group_node)``: leaders lead themselves, members their smallest earlier leader."""
-    leaders = state.filter(F.col("status") == 1)
-    e = (edges.join(leaders.select("collection_id", F.col("node").alias("a")), ["collection_id", "a"])
-         .groupBy("collection_id", F.col("b").alias("node")).agg(F.min("a").alias("_g")))
-    st = state.join(e, ["collection_id", "node"], "left")
-    best = [F.col("_g")]
-    for i, keys in enumerate(cliques):
-        c = leaders.groupBy("collection_id", *keys).agg(F.min("node").alias(f"_c{i}"))
-        st = st.join(c, ["collection_id", *keys], "left")
-        best.append(F.when(F.col(f"_c{i}") < F.col("node"), F.col(f"_c{i}")))
-    group = F.when(F.col("status") == 1, F.col("node")).otherwise(F.least(*best) if len(best) > 1 else best[0])
-    return st.select("collection_id", "node", group.alias("group_node"))
-
-
-def expand_leaders(nodes: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Leader expansion inside normalised-URL blocks (valid when every edge stays in its block).
-
-    In each block the first undecided node is a leader -- every earlier node is decided and no
-    earlier leader reaches it, or it would already be a member -- and the undecided nodes it
-    reaches become its members.  One round compares each undecided node with one leader, so a
-    block of mutually similar copies is settled without producing its pairs.  Returns the
-    decided ``(collection_id, node, group_node)`` and the nodes still undecided, which form an
-    independent problem (no decided leader reaches them).
-    """
-    cols = ["collection_id", "node", "_nurl", "_dom", "_toks"]
-    undecided = nodes.select(*cols)
-    decided = None
-    for _ in range(rounds):
-        lead = undecided.groupBy("collection_id", "_nurl").agg(F.min("node").alias("_l"))
-        lead = lead.join(undecided.select("collection_id", "_nurl", F.col("node").alias("_l"),
-                                          F.col("_dom").alias("_ldom"), F.col("_toks").alias("_ltoks")),
-                         ["collection_id", "_nurl", "_l"])
-        c = undecided.join(lead, ["collection_id", "_nurl"])
-        inter = F.size(F.array_intersect("_toks", "_ltoks")).cast("double")
-        union = F.size(F.array_union("_toks", "_ltoks")).cast("double")
-        score = _score(F.lit(1.0), inter / union, (F.col("_dom") == F.col("_ldom")).cast("double"))
-        group = F.when(F.col("node") == F.col("_l"), F.col("_l")).when(score >= F.lit(threshold), F.col("_l"))
-        step = materialize(c.select(*cols, group.alias("group_node")), "checkpoint")
-        done = step.filter(F.col("group_node").isNotNull()).select("collection_id", "node", "group_node")
-        decided = done if decided is None else decided.unionByName(done)
-        undecided = step.filter(F.col("group_node").isNull()).select(*cols)
-        if undecided.isEmpty():
+def _under(where):
+    return lambda t: F.xxhash64(where, t)
+
+
+def _keyed_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``nodes`` with ``_keys``: what they are filed under, where another node stands there too (else empty)."""
+    cliques, joins = fuzzy_plan(threshold)
+    words = nodes.select("_cid", "node", F.explode("_toks").alias("_t"))
+    freq = words.groupBy("_cid", "_t").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = words.join(freq, ["_cid", "_t"]).groupBy("_cid", "node").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_df", "_t"))), lambda x: x["_t"]).alias("_rare"))
+    n = F.size("_rare")
+    keys = []
+    for block in cliques:
+        keys.append(F.array(F.xxhash64(F.lit("class"), F.lit("+".join(block)), "_cid", *block)))
+    for block, need in joins:
+        plen = n - F.ceil(n.cast("double") * F.lit(need - EPS)).cast("int") + 1
+        where = F.xxhash64(F.lit("word"), F.lit("+".join(block)), "_cid", *block)
+        keys.append(F.transform(F.slice("_rare", F.lit(1), plen), _under(where)))
+    filed = nodes.join(ranked, ["_cid", "node"])
+    keyed = filed.withColumn("_keys", F.array_distinct(F.concat(*keys)) if keys else F.array().cast("array<bigint>"))
+    keyed = materialize(keyed.drop("_rare"))
+    post = keyed.select("_cid", "node", F.explode("_keys").alias("_key"))
+    shared = post.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
+    useful = post.join(shared, "_key").groupBy("_cid", "node").agg(F.collect_list("_key").alias("_keys"))
+    return keyed.drop("_keys").join(useful, ["_cid", "node"], "left")
+
+
+ATTRIBUTES = ["_nurl", "_dom", "_toks"]
+
+
+def _reached(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows ``a`` of ``x`` and later ``b`` of ``y`` under one key that reach the threshold, once for each key."""
+    names = ["_cid", "node", *ATTRIBUTES]
+    a = x.select("_key", *[F.col(c).alias(f"_a{c}") for c in names])
+    j = a.join(y, "_key").filter((F.col("_a_cid") == F.col("_cid")) & (F.col("_anode") < F.col("node")))
+    inter = F.size(F.array_intersect("_a_toks", "_toks")).cast("double")
+    union = F.size(F.array_union("_a_toks", "_toks")).cast("double")
+    score = _score((F.col("_a_nurl") == F.col("_nurl")).cast("double"), inter / union,
+                   (F.col("_a_dom") == F.col("_dom")).cast("double"))
+    return j.filter(score >= F.lit(threshold))
+
+
+def elect_groups(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(_cid, node, group_node)``: leaders lead themselves, members belong to the smallest earlier leader they reach."""
+    live = materialize(_keyed_nodes(nodes, threshold).withColumn("_g", F.lit(None).cast("bigint")))
+    alone = F.col("_keys").isNull()
+    decided = [live.filter(alone).select("_cid", "node", F.col("node").alias("group_node"))]
+    live = live.filter(~alone)
+    k = 1
+    while True:
+        filed = live.select("_cid", "node", F.size("_keys").alias("_nk"), "_g", *ATTRIBUTES, F.explode("_keys").alias("_key"))
+        first = Window.partitionBy("_key").orderBy("node", "_cid")
+        # a row number below a constant is limited on the map side, so a hot key sends k rows of each task
+        top = filed.filter(F.col("_g").isNull()).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+        top = materialize(top.drop("_r", "_g"))
+        if top.isEmpty():
             break
-    return decided, undecided
+        ready = top.groupBy("_cid", "node").agg(F.count(F.lit(1)).alias("_c"), F.first("_nk").alias("_nk"))
+        ready = ready.filter(F.col("_c") == F.col("_nk")).select("_cid", "node")
+        if k > 1:  # the only one under a key has no earlier one there
+            ready = ready.join(_reached(top, top, threshold).select("_cid", "node").distinct(), ["_cid", "node"], "left_anti")
+        ready = materialize(ready)
+        decided.append(ready.select("_cid", "node", F.col("node").alias("group_node")))
+        heads = top.join(ready, ["_cid", "node"], "left_semi")
+        claims = (_reached(heads, filed, threshold).filter(F.col("_g").isNull() | (F.col("_anode") < F.col("_g")))
+                  .groupBy("_cid", "node").agg(F.min("_anode").alias("_l")))
+        state = (live.join(ready, ["_cid", "node"], "left_anti").join(claims, ["_cid", "node"], "left")
+                 .withColumn("_g", F.least("_g", "_l")).drop("_l"))
+        # what has a leader before every undecided node of its collection cannot get an earlier one
+        state = materialize(state)
+        floor = state.filter(F.col("_g").isNull()).groupBy("_cid").agg(F.min("node").alias("_floor"))
+        state = materialize(state.join(floor, "_cid", "left").withColumn(
+            "_done", F.col("_g").isNotNull() & (F.col("_floor").isNull() | (F.col("_g") < F.col("_floor")))).drop("_floor"))
+        decided.append(state.filter("_done").select("_cid", "node", F.col("_g").alias("group_node")))
+        live = state.filter("not _done").drop("_done")
+        _log.info("leader election: k = %d", k)
+        k *= GROWTH
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def mark_fuzzy_duplicates(links: DataFrame, cfg) -> DataFrame:
     """All rows with ``dup_first`` (group leader position, null when alone), ``dup_size`` and ``removed``."""
     t = float(cfg.similarity_threshold)
-    rows = materialize(_signature_rows(links, cfg.label_col), "checkpoint")
-    sig_keys = ["collection_id", "_nurl", "_dom", "_tkey"]
+    same = F.coalesce(F.concat(F.lit("c"), F.col("collection_id").cast("string")), F.lit("n"))
+    rows = materialize(_signature_rows(links, cfg.label_col).withColumn("_cid", same), "checkpoint")
+    sig_keys = ["_cid", "_nurl", "_dom", "_tkey"]
     nodes = rows.groupBy(*sig_keys).agg(F.min("pos").alias("node"), F.first("_toks").alias("_toks"))
     rows = rows.join(nodes.select(*sig_keys, "node"), sig_keys)
     if t > 1.0 + EPS:
-        groups = nodes.select("collection_id", "node", F.col("node").alias("group_node"))
+        groups = nodes.select("_cid", "node", F.col("node").alias("group_node"))
     else:
-        cliques, joins = fuzzy_plan(t)
-        nodes = materialize(nodes, "checkpoint")
-        expanded = None
-        if t > URL_W + EPS and getattr(cfg, "dense_block", 0) > 0:
-            # every edge joins equal normalised URLs: expand large URL blocks leader by leader
-            size = nodes.groupBy("collection_id", "_nurl").agg(F.count(F.lit(1)).alias("_bs"))
-            sized = nodes.join(size, ["collection_id", "_nurl"])
-            dense = sized.filter(F.col("_bs") > cfg.dense_block).drop("_bs")
-            if not dense.isEmpty():
-                expanded, rest = expand_leaders(dense, t, cfg.expansion_rounds)
-                keep = ["collection_id", "node", "_nurl", "_dom", "_toks"]
-                nodes = materialize(sized.filter(F.col("_bs") <= cfg.dense_block).select(*keep)
-                                    .unionByName(rest.select(*keep)), "checkpoint")
-        edges = materialize(candidate_edges(nodes, t, joins), "checkpoint")
-        state = leaders_in_rounds(nodes, edges, cliques)
-        groups = assign_groups(state, edges, cliques)
-        if expanded is not None:
-            groups = groups.unionByName(expanded)
-    g = rows.join(groups, ["collection_id", "node"])
+        groups = elect_groups(materialize(nodes.drop("_tkey")), t)
+    g = rows.join(groups, ["_cid", "node"])
     g = g.withColumn("_len", F.length(F.coalesce(F.col(cfg.length_col), F.lit(""))).cast("bigint"))
-    stats = g.groupBy("collection_id", "group_node").agg(
+    stats = g.groupBy("_cid", "group_node").agg(
         F.count(F.lit(1)).alias("dup_size"), F.min("pos").alias("_first"), F.max("pos").alias("_last"),
         F.min_by("pos", F.struct("_len", "pos")).alias("_short"),
         F.min_by("pos", F.struct(-F.col("_len"), F.col("pos"))).alias("_long"))
-    g = g.join(stats, ["collection_id", "group_node"])
+    g = g.join(stats, ["_cid", "group_node"])
     survivor = {"last": "_last", "shortest": "_short", "longest": "_long"}.get(cfg.keep_strategy, "_first")
     in_group = F.col("dup_size") > 1
     out = (g.withColumn("removed", in_group & (F.col("pos") != F.col(survivor)))

@@ -1,6 +1,6 @@
 """Outline folders (W6) and matching outline bookmarks back to original links.
 
-W6 as window functions over the lines of each outline, in line order.  The folder stack
+W6 from running values over the lines of each outline, in line order.  The folder stack
 is at most three deep and each level has a closed form:
 
 * level 0 = name of the last top-level folder line, or -- before any -- "Unknown"/the
@@ -9,16 +9,17 @@ is at most three deep and each level has a closed form:
   or it opened the outline; "Unknown" when a deeper folder had to be padded;
 * level 2 = name of the last folder line if that line was indented two levels or more.
 
-An outline is one document, so one window partition per outline is the natural unit.
+The running values come from a segmented scan (``scan.running``), so an outline of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import leading_ws_len, rstrip_ws, strip_ws
 from ..functions.urls import default_url
+from .scan import running
 
 UNKNOWN = "Unknown"
 ROOT = "root"
@@ -42,15 +43,14 @@ def outline_entries(lines: DataFrame) -> DataFrame:
     df = df.filter(F.col("kind").isNotNull())
     name = strip_ws(F.substring(F.col("content"), len(FOLDER_PREFIX) + 1, 1 << 30))
     df = df.withColumn("name", F.when(F.col("kind") == "folder", name))
-    w = Window.partitionBy("collection_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     fold = F.col("kind") == "folder"
     lv = F.col("level")
-    df = (df
-          .withColumn("_l0", F.last(F.when(fold & (lv == 0), F.col("name")), ignorenulls=True).over(w))
-          .withColumn("_first", F.first(F.when(fold, F.struct("line_no", "level", "name")), ignorenulls=True).over(w))
-          .withColumn("_g", F.last(F.when(fold & (lv <= 1), F.struct("line_no", "level", "name")), ignorenulls=True).over(w))
-          .withColumn("_deep", F.last(F.when(fold & (lv >= 2), F.col("line_no")), ignorenulls=True).over(w))
-          .withColumn("_lastf", F.last(F.when(fold, F.struct("level", "name")), ignorenulls=True).over(w)))
+    df = running(df, "collection_id", "line_no", firsts={"_first": F.when(fold, F.struct("line_no", "level", "name"))}, lasts={
+        "_l0": F.when(fold & (lv == 0), F.col("name")),
+        "_g": F.when(fold & (lv <= 1), F.struct("line_no", "level", "name")),
+        "_deep": F.when(fold & (lv >= 2), F.col("line_no")),
+        "_lastf": F.when(fold, F.struct("level", "name")),
+    })
     first, g = F.col("_first"), F.col("_g")
     s0 = F.coalesce(F.col("_l0"), F.when(first["level"] == 1, first["name"]).when(first["level"] >= 2, F.lit(UNKNOWN)))
     padded = F.when(F.col("_deep") > g["line_no"], F.lit(UNKNOWN))

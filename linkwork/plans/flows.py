@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import DedupConfig, dense_pairs, duplicate_metrics, duplicate_pairs, mark_duplicates
+from ..operators.dedup import DedupConfig, dense_members, duplicate_groups, duplicate_metrics, mark_duplicates
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.labels import build_links
 from ..operators.outline import match_outline, outline_entries
@@ -33,9 +33,9 @@ class CleanRun:
     links: DataFrame        # all labelled links
     marked: DataFrame       # links with dup_first / dup_size / removed
     kept: DataFrame         # surviving links
-    pairs: DataFrame | None  # duplicate groups (key strategies)
+    groups: DataFrame        # members of the duplicate groups
     metrics: DataFrame
-    report_lines: DataFrame | None
+    report_lines: DataFrame
 
 
 def clean_and_dedup(links: DataFrame, cfg: DedupConfig = DedupConfig()) -> CleanRun:
@@ -43,11 +43,9 @@ def clean_and_dedup(links: DataFrame, cfg: DedupConfig = DedupConfig()) -> Clean
     marked = materialize(mark_duplicates(links, cfg))
     kept = marked.filter(~F.col("removed")).select(*links.columns)
     metrics = duplicate_metrics(marked)
-    pairs = lines = None
-    if cfg.strategy in ("url", "title", "smart"):
-        pairs = duplicate_pairs(marked, cfg.strategy)
-        lines = duplicate_report_lines(dense_pairs(pairs, marked), metrics, cfg.strategy, cfg.similarity_threshold, cfg.keep_strategy)
-    return CleanRun(links, marked, kept, pairs, metrics, lines)
+    groups = materialize(duplicate_groups(marked, cfg.strategy))
+    lines = duplicate_report_lines(dense_members(groups, marked), metrics, cfg.strategy, cfg.similarity_threshold, cfg.keep_strategy)
+    return CleanRun(links, marked, kept, groups, metrics, lines)
 
 
 def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str) -> None:
@@ -56,8 +54,7 @@ def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str) -
     # a folder for each job, so that a rerun replaces its own output only
     report_rows(run.kept, job_id).write.mode("overwrite").partitionBy("collection_id").json(f"{base}/reports/{job_id}/rows")
     report_summary(run.kept, job_id).write.mode("overwrite").json(f"{base}/reports/{job_id}/summary")
-    if run.report_lines is not None:
-        write_lines(run.report_lines, f"{base}/reports/{job_id}/duplicates")
+    write_lines(run.report_lines, f"{base}/reports/{job_id}/duplicates")
     write_documents(relabel_html(docs, scan_anchors(docs), run.kept), f"{base}/cleaned/{job_id}")
 
 

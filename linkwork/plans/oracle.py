@@ -246,9 +246,9 @@ WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.collection_id = k.collection_i
     return body + "\n" + sel
 
 
-def dup_groups_sql(strategy: str) -> str:
-    extra, src, key = _key_sql(strategy, "formatted_label")
-    order = "pos" if strategy == "url" else "_dfirst, pos"
+def dup_groups_sql(strategy: str, label_col: str = "formatted_label") -> str:
+    extra, src, key = _key_sql(strategy, label_col)
+    order = "_dfirst, pos" if strategy == "smart" else "pos"
     return f"""{with_links('bv')}{extra},
 keyed AS (SELECT *, {key} AS _key, min(pos) OVER (PARTITION BY collection_id, domain) AS _dfirst FROM {src}),
 firsts AS (SELECT *, min(pos) OVER (PARTITION BY collection_id, _key) AS _f FROM keyed WHERE _key IS NOT NULL)
@@ -274,6 +274,39 @@ s AS (
 SELECT collection_id, pos_a, pos_b, round(score, 6) AS score FROM s WHERE score >= {threshold!r}::DOUBLE"""
 
 
+def fuzzy_groups_ctes(threshold: float) -> str:
+    """CTEs ending in ``grouped``: every link with ``i`` (place in its collection, from 0), ``lead`` and ``members``."""
+    words = (f"list_sort(list_distinct(list_filter(string_split_regex(lower({strip('formatted_label')}), '\\s+'), "
+             "lambda w: w <> '')))")
+    both_blank = "len(a.words) = 0 AND len(b.words) = 0"
+    jaccard = "len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words)))::DOUBLE"
+    links = with_links("bv").replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{links},
+{normalize_ctes("links", "url", "nl", "nurl")},
+seq AS MATERIALIZED (
+  SELECT *, {words} AS words, row_number() OVER (PARTITION BY collection_id ORDER BY pos) - 1 AS i FROM nl),
+near AS MATERIALIZED (
+  SELECT b.collection_id, b.i, list(a.i) AS earlier
+  FROM seq a JOIN seq b ON a.collection_id = b.collection_id AND a.i < b.i
+  WHERE (CASE WHEN a.nurl = b.nurl THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.5::DOUBLE
+        + (CASE WHEN {both_blank} THEN 1.0 ELSE {jaccard} END)::DOUBLE * 0.3::DOUBLE
+        + (CASE WHEN a.domain = b.domain THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.2::DOUBLE >= {threshold!r}::DOUBLE
+  GROUP BY b.collection_id, b.i),
+walk(collection_id, i, leaders) AS (
+  SELECT DISTINCT collection_id, -1::BIGINT, []::BIGINT[] FROM seq
+  UNION ALL
+  SELECT w.collection_id, q.i,
+         CASE WHEN list_has_any(coalesce(n.earlier, []), w.leaders) THEN w.leaders ELSE list_append(w.leaders, q.i) END
+  FROM walk w JOIN seq q ON q.collection_id = w.collection_id AND q.i = w.i + 1
+  LEFT JOIN near n ON n.collection_id = q.collection_id AND n.i = q.i),
+heads AS (SELECT collection_id, arg_max(leaders, i) AS leaders FROM walk GROUP BY collection_id),
+led AS (
+  SELECT q.*, coalesce(list_min(list_intersect(n.earlier, h.leaders)), q.i) AS lead
+  FROM seq q JOIN heads h ON h.collection_id = q.collection_id
+  LEFT JOIN near n ON n.collection_id = q.collection_id AND n.i = q.i),
+grouped AS (SELECT *, count(*) OVER (PARTITION BY collection_id, lead) AS members FROM led)"""
+
+
 DOCS = """docs AS (
   SELECT collection_id || '/' || CAST(floor(pos / 500) AS BIGINT) AS doc, split_part(href, '/', 3) AS host,
          pos, href, text
@@ -339,6 +372,7 @@ SELECT collection_id, pos, url, domain, domain_links, domain_ordinal, part, form
     s["dedup_title_label"] = dedup_sql("title", "first")
     s["dup_groups_url"] = dup_groups_sql("url")
     s["dup_groups_smart"] = dup_groups_sql("smart")
+    s["dup_groups_title"] = dup_groups_sql("title", "clean_title")
     s["dup_metrics_url"] = dedup_sql("url", "first", select="""
 SELECT k.collection_id, count(*) AS rows_before,
        count(*) FILTER (WHERE r.rpos IS NOT NULL) AS rows_removed,
@@ -351,11 +385,14 @@ GROUP BY k.collection_id""")
     for strategy, label_col in (("url", "formatted_label"), ("title", "clean_title"), ("smart", "formatted_label")):
         for keep in ("first", "last", "shortest", "longest"):
             q = dedup_sql(strategy, keep, label_col, select=f"""
-SELECT '{strategy}' AS strategy, '{keep}' AS keep_strategy, k.collection_id,
+SELECT '{strategy}' AS strategy, '{keep}' AS keep_strategy, NULL::DOUBLE AS similarity_threshold, k.collection_id,
        count(*) FILTER (WHERE r.rpos IS NULL) AS rows_left, count(*) FILTER (WHERE r.rpos IS NOT NULL) AS rows_removed
 FROM keyed k LEFT JOIN removed r ON r.collection_id = k.collection_id AND r.rpos = k.pos
 GROUP BY k.collection_id""")
             parts.append("(" + q + ")")
+    for t in (0.7, 0.9):
+        parts.append(f"""({fuzzy_groups_ctes(t)}
+SELECT 'fuzzy', 'first', {t!r}::DOUBLE, collection_id, count(DISTINCT lead), count(*) - count(DISTINCT lead) FROM grouped GROUP BY collection_id)""")
     s["strategy_comparison"] = "\nUNION ALL\n".join(parts)
     s["fuzzy_pairs_085"] = fuzzy_pairs_sql(0.85)
     s["fuzzy_pairs_060"] = fuzzy_pairs_sql(0.60)

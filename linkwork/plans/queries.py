@@ -11,8 +11,8 @@ from ..functions.text import html_unescape_basic
 from ..functions.titles import levenshtein_ratio, preview, title_similarity, with_clean_title
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
 from ..operators.dedup import (
-    DedupConfig, dense_pairs, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates,
-    strategy_comparison,
+    DedupConfig, dense_members, duplicate_groups, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates,
+    strategy_comparison, whole_groups,
 )
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.outline import match_outline, outline_entries
@@ -100,23 +100,25 @@ def q_dedup(strategy: str, keep: str, label_col: str = "formatted_label", thresh
     return lambda spark, sf: _kept(spark, sf, DedupConfig(strategy, threshold, keep, "pairwise", label_col))
 
 
-def q_dup_groups(strategy: str) -> Query:
+def q_dup_groups(strategy: str, label_col: str = "formatted_label") -> Query:
     def run(spark, sf):
-        return duplicate_pairs(mark_duplicates(_links(spark, sf), DedupConfig(strategy=strategy)), strategy)
+        cfg = DedupConfig(strategy=strategy, label_col=label_col)
+        return duplicate_pairs(mark_duplicates(_links(spark, sf), cfg), strategy)
     return run
 
 
+def q_dup_groups_fuzzy(spark, sf):
+    """A5: the members of every fuzzy group."""
+    return whole_groups(materialize(mark_duplicates(_links(spark, sf), DedupConfig("fuzzy", 0.6))))
+
+
 def q_dup_metrics(spark, sf):
     return duplicate_metrics(mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
 
 
 def q_strategy_comparison(spark, sf):
-    """Rows left and removed per (strategy, keep strategy) over one keyed link table."""
-    configs = [DedupConfig(strategy, 0.85, keep, "pairwise", label_col)
-               for strategy, label_col in (("url", "formatted_label"), ("title", "clean_title"),
-                                           ("smart", "formatted_label"))
-               for keep in ("first", "last", "shortest", "longest")]
-    return strategy_comparison(_links(spark, sf), configs).drop("similarity_threshold")
+    """Rows left and removed per strategy, keep strategy and threshold over one keyed link table."""
+    return strategy_comparison(_links(spark, sf))
 
 
 def q_fuzzy_pairs(threshold: float) -> Query:
@@ -181,10 +183,13 @@ def q_report_summary(spark, sf):
     return report_summary(kept, JOB_ID)
 
 
-def q_dup_report(spark, sf):
-    marked = materialize(mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
-    return duplicate_report_lines(dense_pairs(duplicate_pairs(marked, "url"), marked), duplicate_metrics(marked), "url", 0.85,
-                                  "first")
+def q_dup_report(strategy: str, threshold: float = 0.85, keep: str = "first") -> Query:
+    """K7: the lines of the duplicate report."""
+    def run(spark, sf):
+        marked = materialize(mark_duplicates(_links(spark, sf), DedupConfig(strategy, threshold, keep)))
+        members = dense_members(duplicate_groups(marked, strategy), marked)
+        return duplicate_report_lines(members, duplicate_metrics(marked), strategy, threshold, keep)
+    return run
 
 
 def q_export_flat(spark, sf):
@@ -246,6 +251,8 @@ def registry() -> dict[str, Query]:
     q["dedup_title_label"] = q_dedup("title", "first")
     q["dup_groups_url"] = q_dup_groups("url")
     q["dup_groups_smart"] = q_dup_groups("smart")
+    q["dup_groups_title"] = q_dup_groups("title", "clean_title")
+    q["dup_groups_fuzzy"] = q_dup_groups_fuzzy
     q["dup_metrics_url"] = q_dup_metrics
     q["strategy_comparison"] = q_strategy_comparison
     q["fuzzy_pairs_085"] = q_fuzzy_pairs(0.85)
@@ -262,7 +269,8 @@ def registry() -> dict[str, Query]:
     q["broken_links"] = q_broken_links
     q["report_rows"] = q_report_rows
     q["report_summary"] = q_report_summary
-    q["dup_report"] = q_dup_report
+    q["dup_report"] = q_dup_report("url")
+    q["dup_report_fuzzy"] = q_dup_report("fuzzy", 0.6, "longest")
     q["export_flat"] = q_export_flat
     q["export_instructions"] = q_export_instructions
     q["outline_parse"] = q_outline_parse

@@ -1,13 +1,13 @@
 """Text exports (K4, K5, K6).  Each returns line rows ``(collection_id, line_no, line)``.
 
 Lines carry their order as a column instead of being glued into one string, so a
-collection of any size is written by a sorted ``write.text`` and never passes through
-one task; ``join_lines`` glues them for small collections.
+collection of any size is written as numbered parts by many tasks (``write_lines``);
+``join_lines`` glues them, for collections that fit in a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import format_label, with_clean_title
@@ -90,9 +90,22 @@ def join_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write each collection's lines in order as text files under ``path/collection_id=...``."""
-    (lines.repartition("collection_id").sortWithinPartitions("collection_id", "line_no")
+    """Write each collection's lines as numbered text parts under ``path/collection_id=...``.
+
+    Rows are dealt by ranges of (collection, line number), so a collection of any size is written by many tasks; its
+    parts, read one after the other in the order of their names, are the file.
+    """
+    (lines.repartitionByRange("collection_id", "line_no").sortWithinPartitions("collection_id", "line_no")
      .select("collection_id", "line").write.mode("overwrite").partitionBy("collection_id").text(path))
 
 
-__all__ = ["flat_export", "instructions_export", "structured_export", "join_lines", "write_lines"]
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_lines`` wrote: ``(collection_id, part, line)``, each part's lines in its own order.
+
+    ``part`` is the name of the part; parts sort by name.
+    """
+    raw = spark.read.text(path)
+    return raw.select("collection_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"), F.col("value").alias("line"))
+
+
+__all__ = ["flat_export", "instructions_export", "structured_export", "join_lines", "write_lines", "read_lines"]

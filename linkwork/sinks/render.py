@@ -2,7 +2,7 @@
 
 K3 produces ordered line rows.  Every line carries a sort key -- an array of
 ``(name, first_seen)`` pairs naming its place in the tree -- so ordering is a plain sort
-and no recursion is needed: top-level folders sort by name, subfolders by the outline
+by ranges, which spreads one huge outline over tasks, and no recursion is needed: top-level folders sort by name, subfolders by the outline
 line where they first appear, a folder's own bookmarks come before its subfolders, and
 bookmarks outside any folder come last.  Folders whose only content is a subfolder are
 written with their subtree, and text is HTML-escaped.
@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from html import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, strip_ws
 from ..functions.urls import with_sanitized_url
+from ..operators.scan import sorted_places
 from ..sources.html import _LinkParser
 
 SENTINEL = "\U0010ffff"  # sorts after every folder name
@@ -106,8 +107,7 @@ def render_netscape_lines(entries: DataFrame, matched: DataFrame, timestamp: str
     foot = docs.select("collection_id", F.posexplode(F.array(*[F.lit(x) for x in NETSCAPE_FOOTER]))
                        .alias("_i", "line")).select("collection_id", F.array(_k("", 3), _k("", F.col("_i"))).alias("key"), "line")
     lines = head.unionByName(opens).unionByName(marks).unionByName(root).unionByName(foot)
-    w = Window.partitionBy("collection_id").orderBy("key")
-    return lines.select("collection_id", F.row_number().over(w).cast("bigint").alias("line_no"), "line")
+    return sorted_places(lines, "collection_id", ["key"], "line_no").select("collection_id", "line_no", "line")
 
 
 # ---------------------------------------------------------------------------- K2

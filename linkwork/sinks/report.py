@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordinal import with_ordinal
+
 REPORT_FIELDS = ["original_title", "clean_title", "formatted_label", "domain", "url", "is_valid", "status_code"]
 
 
@@ -49,17 +51,21 @@ def report_documents(links: DataFrame, job_id: str, source: str = "") -> DataFra
         F.transform("items", lambda x: x.dropFields("pos")).alias("bookmarks"))
 
 
-def duplicate_report_lines(pairs: DataFrame, metrics: DataFrame, strategy: str, threshold: float,
+def duplicate_report_lines(members: DataFrame, metrics: DataFrame, strategy: str, threshold: float,
                            keep: str) -> DataFrame:
     """K7 as ordered lines ``(collection_id, line_no, line)``.
 
-    ``pairs``: ``(collection_id, group_no, first_pos, dup_pos)`` (pairwise groups);
-    ``metrics``: ``(collection_id, rows_removed, ...)``.  A collection without groups
-    gets the single line ``No duplicates found.``
+    ``members``: ``(collection_id, group_no, size, member_no, pos)``, groups of any size; ``metrics``:
+    ``(collection_id, rows_removed, ...)``.  A group takes two lines and one for each member; a running sum of these
+    numbers places it.  A collection without groups gets the single line ``No duplicates found.``
     """
-    groups = pairs.groupBy("collection_id").agg(F.count(F.lit(1)).alias("_g"))
-    head = metrics.join(groups, "collection_id", "left").select(
+    heads = members.filter(F.col("member_no") == 1).select("collection_id", "group_no", "size")
+    heads = with_ordinal(heads.withColumn("_lines", F.col("size") + 2), ["collection_id"], "group_no", "_upto", weight="_lines")
+    heads = heads.select("collection_id", "group_no", "size", (F.lit(7) + F.col("_upto") - F.col("_lines")).alias("_at"))
+    groups = heads.groupBy("collection_id").agg(F.count(F.lit(1)).alias("_g"))
+    top = metrics.join(groups, "collection_id", "left").select(
         "collection_id", F.coalesce(F.col("_g"), F.lit(0)).alias("_g"), "rows_removed")
+    # fixed values: the lines of the report
     header = F.array(
         F.lit(f"Duplicate Analysis Report - Strategy: {strategy}"),
         F.lit(f"Similarity Threshold: {threshold}"),
@@ -68,14 +74,12 @@ def duplicate_report_lines(pairs: DataFrame, metrics: DataFrame, strategy: str,
         F.concat(F.lit("Duplicate Groups Found: "), F.col("_g").cast("string")),
         F.lit(""), F.lit("Duplicate Groups:"))
     lines = F.when(F.col("_g") > 0, header).otherwise(F.array(F.lit("No duplicates found.")))
-    top = head.select("collection_id", F.posexplode(lines).alias("line_no", "line"))
-    # each group: blank line, "Group k: 2 duplicates", then its two member lines
-    per_group = pairs.select(
-        "collection_id", "group_no",
-        F.array(F.lit(""), F.concat(F.lit("Group "), F.col("group_no").cast("string"), F.lit(": 2 duplicates")),
-                F.concat(F.lit("  - Index "), F.col("first_pos").cast("string")),
-                F.concat(F.lit("  - Index "), F.col("dup_pos").cast("string"))).alias("_l"))
-    body = per_group.select("collection_id", "group_no", F.posexplode("_l").alias("_k", "line")).select(
-        "collection_id", (F.lit(7) + (F.col("group_no") - 1) * 4 + F.col("_k")).alias("line_no"), "line")
-    return top.withColumn("line_no", F.col("line_no").cast("bigint")).unionByName(
-        body.withColumn("line_no", F.col("line_no").cast("bigint")))
+    top = top.select("collection_id", F.posexplode(lines).alias("line_no", "line"))
+    title = F.concat(F.lit("Group "), F.col("group_no").cast("string"), F.lit(": "), F.col("size").cast("string"), F.lit(" duplicates"))
+    titles = heads.select("collection_id", "_at", F.posexplode(F.array(F.lit(""), title)).alias("_k", "line"))
+    titles = titles.select("collection_id", (F.col("_at") + F.col("_k")).alias("line_no"), "line")
+    body = members.join(heads.select("collection_id", "group_no", "_at"), ["collection_id", "group_no"]).select(
+        "collection_id", (F.col("_at") + 1 + F.col("member_no")).alias("line_no"),
+        F.concat(F.lit("  - Index "), F.col("pos").cast("string")).alias("line"))
+    out = top.unionByName(titles).unionByName(body)
+    return out.withColumn("line_no", F.col("line_no").cast("bigint"))

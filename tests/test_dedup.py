@@ -124,18 +124,30 @@ def test_pair_listing_order(spark, strategy):
 
 
 @pytest.mark.parametrize("seed", [4, 5])
-@pytest.mark.parametrize("t", [0.95, 0.8, 0.6])
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_fuzzy_leader_expansion_matches_plain_loop(spark, seed, t, rounds):
+@pytest.mark.parametrize("t", [0.95, 0.8, 0.6, 0.3, 0.2])
+def test_fuzzy_one_page_many_labels(spark, seed, t):
     rng = random.Random(seed)
     words = ["alpha", "beta", "gamma", "delta", "eps"]
     rows = []
-    for i in range(24):
+    for i in range(60):
         host = rng.choice(["a.com", "www.a.com", "a.com:443"])
         label = "a.com | " + " ".join(rng.sample(words, rng.randint(1, 3)))
-        rows.append((i * 2, "https://" + host + rng.choice(["/x", "/x/"]), label, pyref.domain("https://" + host)))
-    got = removed(spark, rows, strategy="fuzzy", similarity_threshold=t, dense_block=1, expansion_rounds=rounds)
+        rows.append((i * 2, "https://" + host + rng.choice(["/x", "/x/", f"/{i % 7}"]), label, pyref.domain("https://" + host)))
+    got = removed(spark, rows, strategy="fuzzy", similarity_threshold=t)
     recs = [(u, lab, d) for _, u, lab, d in rows]
     lens = [len(lab) for _, _, lab, _ in rows]
     exp = {rows[i][0] for i in pyref.keep_removed(pyref.fuzzy_groups(recs, t), lens, "first")}
     assert got == exp
+
+
+def test_fuzzy_chain_of_near_links(spark):
+    """Each link is near the next one only: every second one leads, a round after the other."""
+    rows = [(i, f"https://a.com/{i}", f"w{i} w{i + 1}", "a.com") for i in range(9)]
+    assert removed(spark, rows, strategy="fuzzy", similarity_threshold=0.3) == {1, 3, 5, 7}
+
+
+def test_fuzzy_late_class_of_likes(spark):
+    """Unlike links first, then many likes of one another: they meet through their own first link."""
+    rows = [(i, f"https://s{i}.com/{i}", f"u{i} common", f"s{i}.com") for i in range(50)]
+    rows += [(50 + i, "https://hot.com/x", f"hot page common {i}", "hot.com") for i in range(300)]
+    assert removed(spark, rows, strategy="fuzzy", similarity_threshold=0.85) == set(range(51, 350))
