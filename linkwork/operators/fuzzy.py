@@ -174,19 +174,18 @@ def elect_groups(nodes: DataFrame, threshold: float) -> DataFrame:
         heads = top.join(ready, ["_cid", "node"], "left_semi")
         claims = (_reached(heads, filed, threshold).filter(F.col("_g").isNull() | (F.col("_anode") < F.col("_g")))
                   .groupBy("_cid", "node").agg(F.min("_anode").alias("_l")))
-        state = (live.join(ready, ["_cid", "node"], "left_anti").join(claims, ["_cid", "node"], "left")
-                 .withColumn("_g", F.least("_g", "_l")).drop("_l"))
-        # what has a leader before every undecided node of its collection cannot get an earlier one
+        # what has a leader before every node that was undecided in its collection cannot get an earlier one
+        floor = top.groupBy("_cid").agg(F.min("node").alias("_floor"))
+        state = (live.join(ready, ["_cid", "node"], "left_anti").join(claims, ["_cid", "node"], "left").join(floor, "_cid", "left")
+                 .withColumn("_done", F.col("_g").isNotNull() & (F.col("_floor").isNull() | (F.col("_g") < F.col("_floor"))))
+                 .withColumn("_g", F.least("_g", "_l")).drop("_l", "_floor"))
         state = materialize(state)
-        floor = state.filter(F.col("_g").isNull()).groupBy("_cid").agg(F.min("node").alias("_floor"))
-        state = materialize(state.join(floor, "_cid", "left").withColumn(
-            "_done", F.col("_g").isNotNull() & (F.col("_floor").isNull() | (F.col("_g") < F.col("_floor")))).drop("_floor"))
         decided.append(state.filter("_done").select("_cid", "node", F.col("_g").alias("group_node")))
         live = state.filter("not _done").drop("_done")
         _log.info("leader election: k = %d", k)
         k *= GROWTH
-    out = decided[0]
-    for part in decided[1:]:
+    out = live.select("_cid", "node", F.col("_g").alias("group_node"))
+    for part in decided:
         out = out.unionByName(part)
     return out
 

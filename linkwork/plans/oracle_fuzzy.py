@@ -22,7 +22,7 @@ mem AS (
 
 def dup_report_fuzzy_sql(threshold: float, keep: str) -> str:
     return fuzzy_groups_ctes(threshold) + GROUPS + f""",
-at AS (SELECT collection_id, group_no, members, 5 + sum(members + 2) OVER (PARTITION BY collection_id ORDER BY group_no) - members AS line0
+places AS (SELECT collection_id, group_no, members, 5 + sum(members + 2) OVER (PARTITION BY collection_id ORDER BY group_no) - members AS line0
        FROM firsts),
 meta AS (SELECT g.collection_id, count(*) - count(DISTINCT lead) AS gone,
                 (SELECT count(*) FROM firsts f WHERE f.collection_id = g.collection_id) AS ng FROM grouped g GROUP BY g.collection_id)
@@ -34,9 +34,9 @@ SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
       WHEN 5 THEN '' ELSE 'Duplicate Groups:' END
     FROM meta, range(0, 7) t(k) WHERE ng > 0
   UNION ALL SELECT collection_id, line0 + k, CASE k WHEN 0 THEN '' ELSE 'Group ' || group_no || ': ' || members || ' duplicates' END
-    FROM at, range(0, 2) t(k)
+    FROM places, range(0, 2) t(k)
   UNION ALL SELECT m.collection_id, a.line0 + 1 + m.member_no, '  - Index ' || m.i
-    FROM mem m JOIN at a ON a.collection_id = m.collection_id AND a.group_no = m.group_no)"""
+    FROM mem m JOIN places a ON a.collection_id = m.collection_id AND a.group_no = m.group_no)"""
 
 
 def statements() -> dict[str, str]:
