@@ -5,8 +5,9 @@ sparse word one- and two-grams.  It learns from the notices below, each also wit
 its family, and from a bounded sample of the corpus's own paragraphs as class ``unknown``.
 The n-grams of the notices are the features, so the model is a small table whose size does not depend on the
 corpus.  The probability that a prediction needs is calibrated on sampled paragraphs that
-training has not seen.  A prediction counts only if the paragraph also has ``overlap`` of the
-words of one of the family's notices.
+training has not seen; near notices, of other licences and in prose, are among both.  A prediction counts only if
+a stretch of the paragraph about as long as one of the family's notices has ``overlap`` of its word pairs, and all
+of its words that name a licence.
 
 A paragraph with that share of a notice's words has a word of any set of them that is larger than the
 rest, so paragraphs without any such cue are not scored; nothing is lost by that.
@@ -89,6 +90,35 @@ NOTICES = {
     "proprietary": ("All rights reserved.", "Confidential and proprietary. Unauthorized copying is strictly prohibited."),
 }
 
+#: Near notices: other licences, and prose with the same words.  Examples of the class unknown, half of them for calibration.
+NEAR = (
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program is made available under the terms of the Eclipse Public License 1.0.",
+    "This project is licensed under the terms of the ISC license.",
+    "Released under the ISC License.",
+    "Licensed under the Artistic License 2.0.",
+    "This library is free software; you may use it under the Artistic License.",
+    "Released under the zlib License.",
+    "This software is released under the terms of the zlib license.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Licensed under the EUPL, version 1.2 or later.",
+    "Released under the Boost Software License, Version 1.0.",
+    "Licensed under the Microsoft Public License.",
+    "She said that all of her human rights had been reserved by the court and the journalists.",
+    "All seats are reserved and the rights of way remain with the city.",
+    "The fishing boats are released under the terms of the new permit to the license office by the harbour master.",
+    "He was licensed under the old rules to drive a bus of the general public.",
+    "The work of the author is free to any person under the terms of the law.",
+    "The foundation is free to publish the program in general terms for the public.",
+    "A copy of the source and of the binary form is used with permission of the owner.",
+    "The species was released into the public domain of the forest, free and wild.",
+)
+#: Words that name a licence: a notice with one of them is confirmed only where all of its own stand.
+NAMES = {
+    "mit", "apache", "gnu", "gpl", "lesser", "bsd", "mozilla", "creative", "commons", "cc", "by", "sa", "nc", "sharealike",
+    "noncommercial", "cc0", "unencumbered", "reserved", "confidential",
+}
+
 #: Word beginnings that ordinary text is full of: cues only where a notice has too few others.
 COMMON = {"this", "that", "with", "under", "use", "work", "free", "terms", "person", "source", "withou", "public"}
 
@@ -104,6 +134,25 @@ def ngrams(w: Column) -> Column:
     return F.concat(w, pairs)
 
 
+def _ordered(w: Column, notice: Column) -> Column:
+    """Share of the notice's word pairs in the best stretch of ``w`` half as long again, all of its ``names`` included.
+
+    Stretches begin where a pair of the notice stands.
+    """
+    pair = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
+    last = F.greatest(F.size(w) - 2, F.lit(0))
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.array_contains(notice["pairs"], pair(i)))
+    wide = (F.size(notice["pairs"]) * 3 / 2).cast("int") + 2
+
+    def share(i: Column) -> Column:
+        part = F.slice(w, i + 1, wide)
+        pairs = F.zip_with(part, F.slice(part, F.lit(2), wide), lambda a, b: F.concat_ws(" ", a, b))
+        named = F.size(F.array_intersect(notice["names"], part)) == F.size(notice["names"])
+        return F.when(named, F.size(F.array_intersect(notice["pairs"], pairs)) / F.size(notice["pairs"])).otherwise(0.0)
+
+    return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
+
+
 def _notices(spark: SparkSession) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, ts in NOTICES.items() for t in ts]))
     return spark.range(1).select(rows.alias("r")).select("r.family", words(F.col("r.text")).alias("w"))
@@ -160,6 +209,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     # the corpus's own notices are not examples of the class unknown
     sample = sample.where(~_alike(F.col("w"), [r.w for r in notices.collect()], 0.5)).distinct().orderBy(F.xxhash64("w"), F.col("w").cast("string")).limit(unknown)
     sample = sample.withColumn("fold", F.pmod(F.xxhash64("w", F.lit("fold")), F.lit(4)))
+    near = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in NEAR])).alias("at", "text"))
+    sample = sample.unionByName(near.select(words(F.col("text")).alias("w"), F.when(F.col("at") % 2 == 0, 1).otherwise(0).alias("fold")))
     train = known.union(sample.where("fold <> 0").select(F.lit(UNKNOWN), "w"))
     families = [*NOTICES, UNKNOWN]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
@@ -176,7 +227,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     rows = [(g, w + missing) for g, w in rows]
     bias = [float(x) for x in fitted.interceptVector] + [-30.0 for _ in missing]
     model = LicenceModel(spark.createDataFrame(rows, "gram string, weights array<double>"), bias, families, 0.5)
-    # calibration: what at most one in a thousand unseen unknown paragraphs reaches
+    # calibration: what at most one in a thousand unseen unknown paragraphs, near notices among them, reaches
     unseen = sample.where("fold = 0").withColumn("id", F.monotonically_increasing_id())
     wrong = _scored(unseen, model, ["id"]).where(F.col("family") != UNKNOWN)
     worst = wrong.agg(F.percentile_approx("probability", 0.999)).first()[0]
@@ -271,8 +322,11 @@ def scan(
     best = _scored(rows.select("th", "w").distinct(), model, ["th"])
     found = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.needed))
     rows = rows.join(found, "th")
-    by_family = notices.groupBy("family").agg(F.collect_list("w").alias("notices"))
+    names = F.array(*[F.lit(x) for x in sorted(NAMES)])
+    pairs = F.array_distinct(F.filter(ngrams(F.col("w")), lambda g: g.contains(" ")))
+    notice = F.struct(pairs.alias("pairs"), F.array_intersect("w", names).alias("names"))
+    by_family = _notices(spark).groupBy("family").agg(F.collect_list(notice).alias("notices"))
     rows = rows.join(F.broadcast(by_family), "family")  # the fixed notices
-    similarity = F.array_max(F.transform("notices", lambda t: _confirmed(F.col("w"), t)))
+    similarity = F.array_max(F.transform("notices", lambda t: _ordered(F.col("w"), t)))
     rows = rows.withColumn("similarity", similarity).where(F.col("similarity") >= overlap)
     return _apart(rows).withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwork.llm.common import table
+from linkwork.llm.statements import statements  # noqa: F401  read by the entry point
 
 
 def word_bpe() -> str:
@@ -189,8 +190,3 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op13_embedding_whitening,
         )
     }
-
-
-def statements() -> dict[str, str]:
-    """DuckDB statements of the queries that SQL can express on whole tables."""
-    return {}

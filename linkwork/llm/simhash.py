@@ -3,10 +3,11 @@
 Each text gets the 64-bit majority fingerprint of its word shingles.  Distinct fingerprints
 at most ``radius`` bits apart are linked, and documents are grouped by the links.
 
-Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` disjoint bit
-blocks, so a shard is one value of one block.  Every shard has a BK-tree: a child hangs under
+Two fingerprints within ``radius`` bits agree on at least ``radius`` of ``2 radius`` disjoint bit
+blocks (three of six), so a shard is one value of one choice of half the blocks: some 32 bits, which few
+fingerprints share that are not alike.  Every shard has a BK-tree: a child hangs under
 its integer Hamming distance to the parent, and a search follows only the edges within the
-radius of the query's own distance.  A shard of more than ``shard_rows`` fingerprints is cut
+radius of the query's own distance.  A shard of more than ``shard_rows`` fingerprints, alike as they are, is cut
 into several trees and the shard's fingerprints are sent to all of them, so no tree grows with
 the data.  A tree task returns a spanning forest of the links it found, at most one row for
 each fingerprint, never all pairs.  Groups come from alternating star contraction, a few
@@ -19,6 +20,8 @@ row each; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -140,26 +143,27 @@ class Forest:
         return [(values[x], values[r]) for x in range(len(values)) if (r := self.root(x)) != x]
 
 
+def _halves(radius: int) -> list[int]:
+    """Masks, as signed numbers, of every choice of half of ``2 radius`` blocks of bits."""
+    if radius == 0:
+        return [-1]
+    cuts = [round(i * BITS / (2 * radius)) for i in range(2 * radius + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
+    masks = [sum(chosen) for chosen in itertools.combinations(blocks, radius)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
 def links(values: DataFrame, radius: int = 3, shard_rows: int = 32768) -> DataFrame:
     """``u, v``: a forest whose components are those of all links within ``radius``.
 
     ``values`` has one column ``fp`` of distinct fingerprints.
     """
-    blocks = radius + 1
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    shards = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("part"),
-            )
-            for i in range(blocks)
-        ]
-    )
+    shards = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_halves(radius))])
     rows = values.select("fp", F.explode(shards).alias("s")).select("s.block", "s.part", "fp")
-    large = rows.groupBy("block", "part").count().where(F.col("count") > shard_rows)
-    large = large.select("block", "part", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
-    cut = rows.join(large, ["block", "part"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    # a fingerprint alone in its shard has no partner there
+    sizes = rows.groupBy("block", "part").count().where("count > 1")
+    sizes = sizes.select("block", "part", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
+    cut = rows.join(sizes, ["block", "part"])
     home = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     cut = cut.withColumn("home", home).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     cut = cut.select("block", "part", "tree", "fp", (F.col("tree") == F.col("home")).alias("member"))

@@ -209,6 +209,18 @@ def test_licence_scan(spark, texts):
     assert licences.scan(texts([]), licences.fit(texts([]))).count() == 0
 
 
+def test_near_licences_are_unknown(spark, texts):
+    near = ["Licensed under the Eclipse Public License, version 2.0.", "This project is licensed under the terms of the ISC license.",
+            "Licensed under the Artistic License, version 2.0.", "Released under the Zlib License.", "Licensed under the EUPL 1.2",
+            "She said that all of her human rights had been reserved by the court and the journalists",
+            "The fishing boats are released under the terms of the new permit to the license office by the harbour master",
+            "Reserved by all, the rights to the wood were sold. " * 20]
+    rows = [(i, t) for i, t in enumerate(near)] + [(50, "so: Licensed under the MIT license, as ever"), (51, "far " * 300 + "all rights reserved" + " far" * 300)]
+    df = texts(rows + corpus(9))
+    got = {(r.doc_id, r.family) for r in licences.scan(df, licences.fit(df)).collect()}
+    assert got == {(50, "mit"), (51, "proprietary")}
+
+
 def test_licence_scan_of_wrapped_notices(spark, texts):
     mit = (
         "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
