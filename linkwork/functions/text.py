@@ -66,3 +66,23 @@ def html_escape(c: Column, quote: bool = True) -> Column:
         out = F.replace(out, F.lit('"'), F.lit("&quot;"))
         out = F.replace(out, F.lit("'"), F.lit("&#x27;"))
     return out
+
+
+def json_string(c: Column) -> Column:
+    """``json.dumps`` of a string: quoted, everything but printable ASCII escaped; null for null."""
+    def unit(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def shown(ch: Column) -> Column:
+        n = F.ascii(ch)
+        out = F.when((n >= 32) & (n <= 126), ch)
+        for plain, escaped in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+            out = out.when(ch == plain, F.lit("\\" + escaped))
+        wide = n - 0x10000
+        return out.when(n < 0x10000, unit(n)).otherwise(F.concat(
+            unit(F.lit(0xD800) + F.shiftright(wide, 10)), unit(F.lit(0xDC00) + wide.bitwiseAND(F.lit(0x3FF)))))
+
+    marked = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = F.when(marked.rlike(r"^[ -~]*\z"), marked).otherwise(
+        F.array_join(F.transform(F.regexp_extract_all(marked, F.lit("(?s)."), F.lit(0)), shown), ""))
+    return F.concat(F.lit('"'), plain, F.lit('"'))

@@ -219,12 +219,21 @@ def strategy_comparison(links: DataFrame, title_col: str = "clean_title", thresh
     return out
 
 
-def duplicate_metrics(marked: DataFrame) -> DataFrame:
-    """A4: per collection ``rows_before, rows_removed, rows_after, groups``."""
+def duplicate_metrics(marked: DataFrame, strategy: str = "url") -> DataFrame:
+    """A4: per collection ``rows_before, rows_removed, rows_after`` and the number of groups.
+
+    The key strategies report pairs: ``pair_groups``, and ``keys_with_duplicates`` beside it.  ``fuzzy`` reports whole
+    groups: ``groups``.
+    """
+    in_group = F.col("dup_first").isNotNull()
+    if strategy == "fuzzy":
+        groups = [F.count_if(in_group & (F.col("pos") == F.col("dup_first"))).alias("groups")]
+    else:
+        groups = [F.count_if(in_group & (F.col("pos") != F.col("dup_first"))).alias("pair_groups"),
+                  F.count_distinct(F.when(in_group, F.col("dup_first"))).alias("keys_with_duplicates")]
     return marked.groupBy("collection_id").agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(F.col("removed")).alias("rows_removed"),
         F.count_if(~F.col("removed")).alias("rows_after"),
-        F.count_if(F.col("dup_first").isNotNull() & (F.col("pos") != F.col("dup_first"))).alias("pair_groups"),
-        F.count_distinct(F.when(F.col("dup_first").isNotNull(), F.col("dup_first"))).alias("keys_with_duplicates"),
+        *groups,
     )

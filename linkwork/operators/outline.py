@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import leading_ws_len, rstrip_ws, strip_ws
 from ..functions.urls import default_url
+from ..session import materialize
 from .scan import running
 
 UNKNOWN = "Unknown"
@@ -86,9 +87,11 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
     """
     marks = entries.filter(F.col("kind") == "bookmark").select(
         "collection_id", "line_no", "folder_path", "domain", "title", "formatted_label")
+    links = materialize(links.select("collection_id", "pos", "domain", "formatted_label", "clean_title", "original_title",
+                                     "url", "add_date", "icon"))
     orig = F.struct("url", "add_date", "icon")
     by_label = links.groupBy("collection_id", "formatted_label").agg(F.max_by(orig, "pos").alias("_exact"))
-    j = marks.join(by_label, ["collection_id", "formatted_label"], "left")
+    j = materialize(marks.join(by_label, ["collection_id", "formatted_label"], "left"))
     misses = j.filter(F.col("_exact").isNull()).select("collection_id", "line_no", "domain", "title")
     best = _domain_fallback(misses, links, orig)
     out = j.join(best, ["collection_id", "line_no"], "left")
@@ -101,30 +104,26 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
         m["add_date"].alias("add_date"), m["icon"].alias("icon"), kind.alias("match_kind"))
 
 
-GRAM = 3  # the outline title's rarest substring of this length selects the candidates
+#: Lengths of the substrings under which titles are filed; a title is looked up by the longest that it has.
+GRAMS = (1, 2, 3, 6)
+#: A title is looked up by so many of its rarest substrings; a candidate has to have them all.
+RAREST = 3
 
 
 def _grams(text: F.Column, k: int) -> F.Column:
-    """All substrings of length ``k`` (none when the text is shorter)."""
+    """All substrings of length ``k`` (none when the text is shorter), marked with their length."""
     n = F.length(text) - F.lit(k) + 1
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                      lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
-
-
-def _tagged(grams: F.Column, k: int) -> F.Column:
-    """Prefix each gram with its length, so grams of different lengths never meet."""
-    tag = F.lit(f"{k}:")
-    return F.transform(grams, lambda g: F.concat(tag, g))
+                                      lambda i: F.concat(F.lit(f"{k}:"), F.substring(text, i, k)))).otherwise(F.array().cast("array<string>"))
 
 
 def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> DataFrame:
     """J3 for unmatched outline lines: ``(collection_id, line_no, _dom)``.
 
     The first original of the domain (by position) whose clean or original title contains the
-    outline title, case-insensitively; else the domain's first original.  Candidates are only the
-    originals that contain the title's rarest substring of ``GRAM``
-    characters (the whole title when shorter), so a line never meets every link of a large
-    domain; each candidate is still checked for the full containment.
+    outline title, case-insensitively; else the domain's first original.  Originals are filed, by position only, under
+    their titles' substrings; a title's candidates stand under all of its ``RAREST`` rarest substrings.  Only their
+    texts are read and checked for the full containment.  Equal titles of a domain are looked up once.
     """
     keys = ["collection_id", "domain"]
     cand = links.join(misses.select(*keys).distinct(), keys, "left_semi").select(
@@ -132,25 +131,22 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
         F.lower(F.col("original_title")).alias("_ot"))
     first = cand.groupBy(*keys).agg(F.min_by("_o", "pos").alias("_first"))
     m = misses.withColumn("_t", F.lower(F.coalesce(F.col("title"), F.lit(""))))
-    m = m.withColumn("_k", F.least(F.length("_t"), F.lit(GRAM)))
-    # substrings of every candidate title, for the lengths the outline titles need (1..GRAM)
-    grams = cand.select(*keys, "pos", "_o", "_ct", "_ot", F.explode(F.array_distinct(F.flatten(F.array(*[
-        _tagged(F.array_distinct(F.concat(_grams(F.col("_ct"), k), _grams(F.col("_ot"), k))), k)
-        for k in range(1, GRAM + 1)])))).alias("_g"))
-    freq = grams.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    want = m.filter(F.col("_k") > 0).select(
-        "collection_id", "line_no", "domain", "_t",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_k") + 1),
-                              lambda i: F.concat(F.col("_k").cast("string"), F.lit(":"),
-                                                 F.substring(F.col("_t"), i, F.col("_k"))))).alias("_g"))
-    # a title gram no candidate has means no candidate contains the title
-    counted = want.join(freq, [*keys, "_g"], "left").groupBy("collection_id", "line_no", "domain", "_t").agg(
-        F.min(F.coalesce(F.col("_n"), F.lit(0))).alias("_min"),
-        F.min_by("_g", F.struct(F.coalesce(F.col("_n"), F.lit(0)), F.col("_g"))).alias("_g"))
-    pick = counted.filter(F.col("_min") > 0).drop("_min")
-    hits = pick.join(grams, [*keys, "_g"]).filter(
-        F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
+    filed = materialize(cand.select(*keys, "pos", F.explode(F.array_distinct(F.flatten(F.array(*[
+        F.concat(_grams(F.col("_ct"), k), _grams(F.col("_ot"), k)) for k in GRAMS])))).alias("_g")))
+    freq = filed.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    asked = F.array().cast("array<string>")
+    for k in GRAMS:  # the longest substrings that the title has
+        asked = F.when(F.length("_t") >= k, F.array_distinct(_grams(F.col("_t"), k))).otherwise(asked)
+    want = m.select(*keys, "_t").distinct().select(*keys, "_t", F.explode(asked).alias("_g"))
+    # a substring that no candidate has means that no candidate contains the title
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    rare = want.join(freq, [*keys, "_g"], "left").groupBy(*keys, "_t").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(n.alias("n"), "_g"))), 1, RAREST).alias("_r"))
+    rare = rare.filter(F.get("_r", F.lit(0))["n"] > 0).select(*keys, "_t", F.size("_r").alias("_need"), F.explode("_r._g").alias("_g"))
+    near = rare.join(filed, [*keys, "_g"]).groupBy(*keys, "_t", "pos").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need"))
+    near = near.filter(F.col("_have") == F.col("_need")).select(*keys, "_t", "pos")
     # the empty title is contained in every original: the first one serves, as without a hit
-    contained = hits.groupBy("collection_id", "line_no").agg(F.min_by("_o", "pos").alias("_hit"))
-    out = m.join(first, keys, "left").join(contained, ["collection_id", "line_no"], "left")
+    hits = near.join(cand, [*keys, "pos"]).filter(F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
+    hit = hits.groupBy(*keys, "_t").agg(F.min_by("_o", "pos").alias("_hit"))
+    out = m.join(first, keys, "left").join(hit, [*keys, "_t"], "left")
     return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))

@@ -17,8 +17,9 @@ from ..operators.labels import build_links
 from ..operators.outline import match_outline, outline_entries
 from ..session import materialize
 from ..sinks.export import flat_export, instructions_export, structured_export, write_lines
-from ..sinks.render import relabel_html, render_netscape_lines, write_documents
-from ..sinks.report import duplicate_report_lines, report_rows, report_summary
+from ..sinks.files import write_documents
+from ..sinks.render import relabel_html, render_netscape_lines
+from ..sinks.report import duplicate_report_lines, report_json_lines, report_rows, report_summary
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
 from ..sources.outline import outline_lines
 
@@ -42,18 +43,19 @@ def clean_and_dedup(links: DataFrame, cfg: DedupConfig = DedupConfig()) -> Clean
     """C2 core: de-duplicate labelled links and build the duplicate report rows."""
     marked = materialize(mark_duplicates(links, cfg))
     kept = marked.filter(~F.col("removed")).select(*links.columns)
-    metrics = duplicate_metrics(marked)
+    metrics = duplicate_metrics(marked, cfg.strategy)
     groups = materialize(duplicate_groups(marked, cfg.strategy))
     lines = duplicate_report_lines(dense_members(groups, marked), metrics, cfg.strategy, cfg.similarity_threshold, cfg.keep_strategy)
     return CleanRun(links, marked, kept, groups, metrics, lines)
 
 
-def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str) -> None:
-    """C2 sinks: report rows (JSON), summary, duplicate report text and relabelled HTML."""
+def write_clean_run(docs: DataFrame, run: CleanRun, out_dir: str, job_id: str, generation_date: str = "") -> None:
+    """C2 sinks: report rows and summary, the nested JSON report, duplicate report text and relabelled HTML files."""
     base = out_dir.rstrip("/")
     # a folder for each job, so that a rerun replaces its own output only
     report_rows(run.kept, job_id).write.mode("overwrite").partitionBy("collection_id").json(f"{base}/reports/{job_id}/rows")
     report_summary(run.kept, job_id).write.mode("overwrite").json(f"{base}/reports/{job_id}/summary")
+    write_lines(report_json_lines(run.kept, job_id, generation_date), f"{base}/reports/{job_id}/report")
     write_lines(run.report_lines, f"{base}/reports/{job_id}/duplicates")
     write_documents(relabel_html(docs, scan_anchors(docs), run.kept), f"{base}/cleaned/{job_id}")
 

@@ -37,7 +37,7 @@ def unescape(x: str) -> str:
 
 B0 = f"""b0 AS (
   SELECT split_part(url, '/', 4) AS collection_id, CAST(page_id AS BIGINT) AS pos, url AS href,
-         {unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS text
+         {unescape("regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>([^<]*)</title>', 1)")} AS text
   FROM pages)"""
 
 BV = """bv AS (

@@ -46,5 +46,8 @@ def statements() -> dict[str, str]:
         "dedup_fuzzy_030_longest": dedup_fuzzy_sql(0.30, "longest"),
         "dup_groups_fuzzy": fuzzy_groups_ctes(0.60) + GROUPS + """
 SELECT collection_id, group_no, members AS size, member_no, pos FROM mem""",
+        "dup_metrics_fuzzy": fuzzy_groups_ctes(0.60) + """
+SELECT collection_id, count(*) AS rows_before, count(*) - count(DISTINCT lead) AS rows_removed, count(DISTINCT lead) AS rows_after,
+       count(DISTINCT lead) FILTER (WHERE members > 1) AS groups FROM grouped GROUP BY collection_id""",
         "dup_report_fuzzy": dup_report_fuzzy_sql(0.60, "longest"),
     }

@@ -21,12 +21,25 @@ olines AS (
   UNION ALL SELECT collection_id, 2, n_nationkey, 1, s_suppkey,
          '    s' || s_suppkey || '.example.com | ' || CASE WHEN s_acctbal < 0 THEN s_name || ' (closed)' ELSE s_name END,
          'bookmark', 2, NULL, 's' || s_suppkey || '.example.com',
-         CASE WHEN s_acctbal < 0 THEN s_name || ' (closed)' ELSE s_name END, r_name || '/' || n_name FROM sup),
+         CASE WHEN s_acctbal < 0 THEN s_name || ' (closed)' ELSE s_name END, r_name || '/' || n_name FROM sup
+  UNION ALL SELECT collection_id, 1, n_nationkey, 1, 0, '  ' || lower(n_name) || '.example.org | ' || lower(substr(n_name, 2, 4)),
+         'bookmark', 1, NULL, lower(n_name) || '.example.org', lower(substr(n_name, 2, 4)), r_name FROM nat
+  UNION ALL SELECT collection_id, x.a, x.b, 0, 0, x.line, x.kind, x.level, x.name, x.domain, x.title, coalesce(x.path, r_name)
+  FROM outl, (VALUES
+    (0, 1, '', NULL, NULL, NULL, NULL, NULL, NULL), (0, 2, '# made from the supplier table', NULL, NULL, NULL, NULL, NULL, NULL),
+    (0, 3, 'neither folder nor bookmark', NULL, NULL, NULL, NULL, NULL, NULL),
+    (1, 1000, '  missing.example.net | Nobody', 'bookmark', 1, NULL, 'missing.example.net', 'Nobody', NULL),
+    (4, 0, 'FOLDER: Archive', 'folder', 0, 'Archive', NULL, NULL, 'Archive'),
+    (4, 1, '  old.example.net | Old', 'bookmark', 1, NULL, 'old.example.net', 'Old', 'Archive'),
+    (4, 2, '    FOLDER: Inner', 'folder', 2, 'Inner', NULL, NULL, 'Archive/Unknown/Inner'),
+    (4, 3, '      deep.example.net | Deep', 'bookmark', 3, NULL, 'deep.example.net', 'Deep', 'Archive/Unknown/Inner'))
+    x(a, b, line, kind, level, name, domain, title, path)),
 oentries AS (
+  SELECT * FROM (
   SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY a, b, c, d, line) AS line_no, kind,
          CAST(level AS INTEGER) AS level, name, domain, title, folder_path,
          CASE WHEN kind = 'bookmark' THEN domain || ' | ' || title END AS formatted_label, a, b, c, d
-  FROM olines),
+  FROM olines) WHERE kind IS NOT NULL),
 orig AS (
   SELECT collection_id, CAST(n_nationkey AS BIGINT) AS pos, 'https://' || lower(n_name) || '.example.org/' AS href,
          n_name AS text FROM nat
@@ -73,17 +86,25 @@ SELECT collection_id, CAST(line_no AS BIGINT) AS line_no, folder_path, formatted
 fl AS (SELECT collection_id, line_no AS fl_no, a, b, name FROM oentries WHERE kind = 'folder'),
 docs AS (SELECT DISTINCT collection_id FROM oentries),
 head AS ({head}), foot AS ({foot}),
+top AS (SELECT DISTINCT collection_id, r_name FROM outl),
+plain AS (SELECT * FROM (VALUES (0, 'Archive', '        '), (2, 'Unknown', '            '), (4, 'Inner', '                ')) v(k, name, ind)),
 keyed AS (
-  SELECT collection_id, 0 AS sec, 0 AS k1, 0 AS k2, i AS k3, h AS line FROM docs, head
-  UNION ALL SELECT collection_id, 1, 0, 0, 0, '        ' || {h3} FROM fl WHERE a = 0
-  UNION ALL SELECT collection_id, 1, 0, 0, 1, '        <DL><p>' FROM fl WHERE a = 0
-  UNION ALL SELECT collection_id, 1, 0, 1, line_no, '            ' || {mark} FROM matched WHERE a = 1
-  UNION ALL SELECT collection_id, 1, fl_no, 0, 0, '            ' || {h3} FROM fl WHERE a = 2
-  UNION ALL SELECT collection_id, 1, fl_no, 0, 1, '            <DL><p>' FROM fl WHERE a = 2
-  UNION ALL SELECT m.collection_id, 1, f.fl_no, 1, m.line_no, '                ' || {mark}
-    FROM matched m JOIN fl f ON f.collection_id = m.collection_id AND f.a = 2 AND f.b = m.b WHERE m.a = 2
-  UNION ALL SELECT collection_id, 1, fl_no, 2, 0, '            </DL><p>' FROM fl WHERE a = 2
-  UNION ALL SELECT collection_id, 1, 1000000000, 0, 0, '        </DL><p>' FROM fl WHERE a = 0
-  UNION ALL SELECT collection_id, 3, 0, 0, i, h FROM docs, foot)
-SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY sec, k1, k2, k3) AS line_no, line FROM keyed"""
+  SELECT collection_id, 0 AS sec, '' AS t, 0 AS k1, 0 AS k2, i AS k3, h AS line FROM docs, head
+  UNION ALL SELECT collection_id, 1, name, 0, 0, 0, '        ' || {h3} FROM fl WHERE a = 0
+  UNION ALL SELECT collection_id, 1, name, 0, 0, 1, '        <DL><p>' FROM fl WHERE a = 0
+  UNION ALL SELECT collection_id, 1, r_name, 0, 1, line_no, '            ' || {mark} FROM matched JOIN top USING (collection_id) WHERE a = 1
+  UNION ALL SELECT collection_id, 1, r_name, fl_no, 0, 0, '            ' || {h3} FROM fl JOIN top USING (collection_id) WHERE a = 2
+  UNION ALL SELECT collection_id, 1, r_name, fl_no, 0, 1, '            <DL><p>' FROM fl JOIN top USING (collection_id) WHERE a = 2
+  UNION ALL SELECT m.collection_id, 1, r_name, f.fl_no, 1, m.line_no, '                ' || {mark}
+    FROM matched m JOIN fl f ON f.collection_id = m.collection_id AND f.a = 2 AND f.b = m.b
+    JOIN top ON top.collection_id = m.collection_id WHERE m.a = 2
+  UNION ALL SELECT collection_id, 1, r_name, fl_no, 2, 0, '            </DL><p>' FROM fl JOIN top USING (collection_id) WHERE a = 2
+  UNION ALL SELECT collection_id, 1, name, 1000000000, 0, 0, '        </DL><p>' FROM fl WHERE a = 0
+  UNION ALL SELECT collection_id, 1, 'Archive', 0, k, 0, ind || {h3} FROM docs, plain
+  UNION ALL SELECT collection_id, 1, 'Archive', 0, k, 1, ind || '<DL><p>' FROM docs, plain
+  UNION ALL SELECT collection_id, 1, 'Archive', 0, CASE b WHEN 1 THEN 1 ELSE 5 END, 2,
+         CASE b WHEN 1 THEN '            ' ELSE '                    ' END || {mark} FROM matched WHERE a = 4
+  UNION ALL SELECT collection_id, 1, 'Archive', 0, 10 - k, 0, ind || '</DL><p>' FROM docs, plain
+  UNION ALL SELECT collection_id, 3, '', 0, 0, i, h FROM docs, foot)
+SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY sec, t, k1, k2, k3) AS line_no, line FROM keyed"""
     return s

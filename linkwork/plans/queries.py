@@ -12,21 +12,21 @@ from ..functions.titles import levenshtein_ratio, preview, title_similarity, wit
 from ..functions.urls import extract_domain, is_dangerous_url, with_normalized_url, with_sanitized_url
 from ..operators.dedup import (
     DedupConfig, dense_members, duplicate_groups, duplicate_metrics, duplicate_pairs, mark_duplicates, remove_duplicates,
-    strategy_comparison, whole_groups,
+    strategy_comparison, whole_groups, with_place,
 )
 from ..operators.health import attach_status, broken_links, health_summary
 from ..operators.outline import match_outline, outline_entries
 from ..sinks.export import flat_export, instructions_export
 from ..sinks.render import relabel_html, render_netscape_lines
 from ..sources.outline import outline_lines
-from ..sinks.report import duplicate_report_lines, report_rows, report_summary
+from ..sinks.report import duplicate_report_lines, report_json_lines, report_rows, report_summary
 from ..operators.fuzzy import fuzzy_pairs
 from ..session import materialize
 from ..operators.labels import build_links
 from ..sources.html import anchors_as_links, scan_anchors, scan_folders
 from ..sources.tables import (
-    link_status_view, page_bookmark_documents, page_link_variants, page_links, read_table, supplier_outline_links,
-    supplier_outlines,
+    link_status_view, page_bookmark_documents, page_link_variants, page_links, page_numbered_links, page_odd_links, read_table,
+    supplier_outline_links, supplier_outlines,
 )
 from ..sinks.export import structured_export
 
@@ -47,6 +47,18 @@ def q_sanitize_urls(spark, sf):
                      (F.col("url") != "").alias("kept"))
 
 
+def q_sanitize_odd_urls(spark, sf):
+    """P1, F2, F1 on spellings that are refused or mended."""
+    df = with_sanitized_url(page_odd_links(spark, sf), "href", "url")
+    return df.select("collection_id", "pos", "href", "url", is_dangerous_url(F.col("href")).alias("dangerous"),
+                     (F.col("url") != "").alias("kept"), extract_domain(F.col("href")).alias("domain"))
+
+
+def q_labels_numbered(spark, sf):
+    """W4 where numbered labels meet parts that look like them."""
+    return build_links(page_numbered_links(spark, sf)).select("collection_id", "pos", "part", "formatted_label")
+
+
 def q_domains(spark, sf):
     return _bv(spark, sf).select("collection_id", "pos", "href", extract_domain(F.col("href")).alias("domain"))
 
@@ -116,6 +128,15 @@ def q_dup_metrics(spark, sf):
     return duplicate_metrics(mark_duplicates(_links(spark, sf), DedupConfig(strategy="url")))
 
 
+def q_dup_metrics_fuzzy(spark, sf):
+    return duplicate_metrics(mark_duplicates(_links(spark, sf), DedupConfig("fuzzy", 0.6)), "fuzzy")
+
+
+def q_link_places(spark, sf):
+    """Every link with its place in its collection, counted from 0."""
+    return with_place(_links(spark, sf)).select("collection_id", "place", "pos", "url", "formatted_label")
+
+
 def q_strategy_comparison(spark, sf):
     """Rows left and removed per strategy, keep strategy and threshold over one keyed link table."""
     return strategy_comparison(_links(spark, sf))
@@ -183,6 +204,11 @@ def q_report_summary(spark, sf):
     return report_summary(kept, JOB_ID)
 
 
+def q_report_json(spark, sf):
+    """K1 nested: the JSON report of each collection, as lines."""
+    return report_json_lines(_checked(spark, sf), JOB_ID, "2026-01-01 00:00:00")
+
+
 def q_dup_report(strategy: str, threshold: float = 0.85, keep: str = "first") -> Query:
     """K7: the lines of the duplicate report."""
     def run(spark, sf):
@@ -234,6 +260,7 @@ def q_relabel_html(spark, sf):
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "sanitize_urls": q_sanitize_urls,
+        "sanitize_odd_urls": q_sanitize_odd_urls,
         "domains": q_domains,
         "normalize_urls": q_normalize_urls,
         "clean_titles": q_clean_titles,
@@ -242,6 +269,7 @@ def registry() -> dict[str, Query]:
         "domain_counts": q_domain_counts,
         "cleaning_examples": q_cleaning_examples,
         "labels": q_labels,
+        "labels_numbered": q_labels_numbered,
     }
     for keep in ("first", "last", "shortest", "longest"):
         q[f"dedup_url_{keep}"] = q_dedup("url", keep)
@@ -254,6 +282,8 @@ def registry() -> dict[str, Query]:
     q["dup_groups_title"] = q_dup_groups("title", "clean_title")
     q["dup_groups_fuzzy"] = q_dup_groups_fuzzy
     q["dup_metrics_url"] = q_dup_metrics
+    q["dup_metrics_fuzzy"] = q_dup_metrics_fuzzy
+    q["link_places"] = q_link_places
     q["strategy_comparison"] = q_strategy_comparison
     q["fuzzy_pairs_085"] = q_fuzzy_pairs(0.85)
     q["fuzzy_pairs_060"] = q_fuzzy_pairs(0.60)
@@ -269,6 +299,7 @@ def registry() -> dict[str, Query]:
     q["broken_links"] = q_broken_links
     q["report_rows"] = q_report_rows
     q["report_summary"] = q_report_summary
+    q["report_json"] = q_report_json
     q["dup_report"] = q_dup_report("url")
     q["dup_report_fuzzy"] = q_dup_report("fuzzy", 0.6, "longest")
     q["export_flat"] = q_export_flat

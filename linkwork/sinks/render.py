@@ -275,8 +275,3 @@ def relabel_html(docs: DataFrame, anchors: DataFrame, kept_links: DataFrame, str
     per_doc = per_doc.select("collection_id", F.col("_d.anchor_no").alias("anchor_nos"), F.col("_d.label").alias("labels"))
     j = docs.select("collection_id", "html").join(per_doc, "collection_id", "left")
     return j.mapInPandas(_rewrite, "collection_id string, html string")
-
-
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Write each document of ``(collection_id, html)`` as one text file under ``path/collection_id=...``."""
-    docs.select("collection_id", "html").write.mode("overwrite").partitionBy("collection_id").text(path)

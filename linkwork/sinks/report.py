@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_string
 from ..operators.ordinal import with_ordinal
 
 REPORT_FIELDS = ["original_title", "clean_title", "formatted_label", "domain", "url", "is_valid", "status_code"]
@@ -41,14 +42,38 @@ def report_summary(links: DataFrame, job_id: str) -> DataFrame:
         F.lit(True).alias("duplicates_handled"))
 
 
-def report_documents(links: DataFrame, job_id: str, source: str = "") -> DataFrame:
-    """K1 nested form per collection (for small collections): header, summary and the ordered link list."""
-    items = F.array_sort(F.collect_list(F.struct("pos", *[F.col(c) for c in REPORT_FIELDS])))
-    return _with_status(links).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), items.alias("items")).select(
-        F.lit(source).alias("source_file"), F.lit(job_id).alias("job_id"), "collection_id",
-        F.struct(F.col("n").alias("total_bookmarks"), F.lit(True).alias("original_structure_preserved"),
-                 F.lit(True).alias("labels_cleaned"), F.lit(True).alias("duplicates_handled")).alias("summary"),
-        F.transform("items", lambda x: x.dropFields("pos")).alias("bookmarks"))
+#: Lines of one link, and those before the first one, in the nested report.
+ITEM_LINES, HEAD_LINES = 9, 11
+
+
+def report_json_lines(links: DataFrame, job_id: str, generation_date: str, source_col: str = "collection_id") -> DataFrame:
+    """K1 nested: the JSON report of each collection as ordered lines ``(collection_id, line_no, line)``.
+
+    The lines, joined, are one JSON text, indented by two; a link takes nine lines at a place that follows from its
+    rank, so a collection of any size is written by many tasks (``write_lines``).  ``source_col`` holds the source file.
+    """
+    rows = with_ordinal(_with_status(links), ["collection_id"], "pos", "_n", total="_all")
+    heads = rows.groupBy("collection_id").agg(F.max("_all").alias("_all"), F.first(source_col).alias("_source"))
+    text = lambda v: json_string(F.lit(v))
+    # fixed values: the layout of the report
+    head = F.array(
+        F.lit("{"), F.concat(F.lit('  "generation_date": '), text(generation_date), F.lit(",")),
+        F.concat(F.lit('  "source_file": '), F.coalesce(json_string(F.col("_source")), F.lit("null")), F.lit(",")),
+        F.concat(F.lit('  "job_id": '), text(job_id), F.lit(",")), F.lit('  "summary": {'),
+        F.concat(F.lit('    "total_bookmarks": '), F.col("_all").cast("string"), F.lit(",")),
+        F.lit('    "original_structure_preserved": true,'), F.lit('    "labels_cleaned": true,'), F.lit('    "duplicates_handled": true'),
+        F.lit("  },"), F.lit('  "bookmarks": ['))
+    top = heads.select("collection_id", F.posexplode(head).alias("line_no", "line"))
+    value = {c: json_string(F.col(c)) for c in REPORT_FIELDS} | {
+        "is_valid": F.col("is_valid").cast("string"), "status_code": F.col("status_code").cast("string")}
+    fields = [F.concat(F.lit(f'      "{c}": '), F.coalesce(value[c], F.lit("null")), F.lit("," if c != REPORT_FIELDS[-1] else ""))
+              for c in REPORT_FIELDS]
+    close = F.when(F.col("_n") < F.col("_all"), F.lit("    },")).otherwise(F.lit("    }"))
+    items = rows.select("collection_id", "_n", F.posexplode(F.array(F.lit("    {"), *fields, close)).alias("_k", "line"))
+    items = items.select("collection_id", (F.lit(HEAD_LINES) + (F.col("_n") - 1) * ITEM_LINES + F.col("_k")).alias("line_no"), "line")
+    ends = heads.select("collection_id", "_all", F.posexplode(F.array(F.lit("  ]"), F.lit("}"))).alias("_k", "line"))
+    ends = ends.select("collection_id", (F.lit(HEAD_LINES) + F.col("_all") * ITEM_LINES + F.col("_k")).alias("line_no"), "line")
+    return top.unionByName(items).unionByName(ends).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def duplicate_report_lines(members: DataFrame, metrics: DataFrame, strategy: str, threshold: float,

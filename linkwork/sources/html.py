@@ -147,10 +147,13 @@ def scan_folders(docs: DataFrame) -> DataFrame:
 DOC_SCHEMA = "collection_id string, html string"
 
 
-def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """``(collection_id, html)`` per file; files that are not valid UTF-8 give no row.
+REJECTED_SCHEMA = "path string, reason string"
 
-    A path that does not exist gives no rows (the tool logs and carries on), not an error.
+
+def read_collections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Documents ``(collection_id, html)``, a row per file, and rejected inputs ``(path, reason)``.
+
+    A file that is not valid UTF-8 is rejected, and so is a path that does not exist: the tool logs and carries on.
     """
     from pyspark.errors import AnalysisException
 
@@ -159,9 +162,10 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err) and "does not exist" not in str(err):
             raise
-        return spark.createDataFrame([], DOC_SCHEMA)
+        return spark.createDataFrame([], DOC_SCHEMA), spark.createDataFrame([(path, "path does not exist")], REJECTED_SCHEMA)
     text = F.col("content").cast("string")
-    return raw.filter(F.is_valid_utf8(text)).select(F.col("path").alias("collection_id"), text.alias("html"))
+    docs = raw.filter(F.is_valid_utf8(text)).select(F.col("path").alias("collection_id"), text.alias("html"))
+    return docs, raw.filter(~F.is_valid_utf8(text)).select("path", F.lit("not valid UTF-8").alias("reason"))
 
 
 def anchors_as_links(anchors: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_unescape_basic
 
+#: A page's title: any case, with or without attributes.
+TITLE = r"(?is)<title(?:\s[^>]*)?>([^<]*)</title>"
+
 LINK_SOURCE_COLUMNS = ["collection_id", "pos", "href", "text"]
 
 
@@ -25,7 +28,7 @@ def page_links(spark: SparkSession, sf_dir: str, decode_entities: bool = True) -
     entities are decoded as an HTML parser would before the title is cleaned.
     """
     pages = read_table(spark, sf_dir, "pages")
-    title = F.regexp_extract(F.col("html"), "<title>([^<]*)</title>", 1)
+    title = F.regexp_extract(F.col("html"), TITLE, 1)
     return pages.select(
         F.split_part(F.col("url"), F.lit("/"), F.lit(4)).alias("collection_id"),
         F.col("page_id").cast("bigint").alias("pos"),
@@ -63,6 +66,32 @@ def page_link_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b0.select("collection_id", F.inline(variants))
 
 
+def page_odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BO: every page's URL once in a spelling that sanitising has to refuse or mend, by ``page_id % 10``.
+
+    0 a script URL, 1 a data URL in capitals, 2 no scheme, 3 scheme-relative, 4 spaces around and a tab inside, 5 an
+    unclosed bracket host, 6 empty, 7 blank, 8 null, 9 a file URL.
+    """
+    b0 = page_links(spark, sf_dir)
+    href = F.col("href")
+    bare = F.regexp_replace(href, "^[a-z]+://", "")
+    odd = [F.concat(F.lit("javascript:alert('"), href, F.lit("')")), F.concat(F.lit("DATA:text/html,"), bare), bare,
+           F.concat(F.lit("//"), bare), F.concat(F.lit("  "), F.regexp_replace(href, "^([a-z]+://.)", "$1\t"), F.lit(" \n")),
+           F.concat(F.lit("https://["), bare), F.lit(""), F.lit(" \t "), F.lit(None).cast("string"), F.concat(F.lit(" file:///"), bare)]
+    return b0.select("collection_id", "pos", F.get(F.array(*odd), (F.col("pos") % 10).cast("int")).alias("href"), "text")
+
+
+#: Paths of ``page_numbered_links``: parts that meet the numbers given to equal parts.
+NUMBERED_PATHS = ["item", "item", "item-2", "item-2-2", "item-3", "item", "item-2"]
+
+
+def page_numbered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BN: one shop per collection whose pages are called ``item``, ``item-2``, ``item-2-2`` ..., by ``page_id * 5 % 7``."""
+    b0 = page_links(spark, sf_dir)
+    path = F.get(F.array(*[F.lit(p) for p in NUMBERED_PATHS]), (F.col("pos") * 5 % 7).cast("int"))
+    return b0.select("collection_id", "pos", F.concat(F.lit("https://shop.example.com/"), path).alias("href"), "text")
+
+
 def link_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V: a deterministic probe-result table over the page URLs.
 
@@ -151,9 +180,16 @@ def supplier_outlines(spark: SparkSession, sf_dir: str, chunk: int = OUTLINE_CHU
     One outline per (region, block of ``chunk`` supplier keys)::
 
         FOLDER: {region}
+                                                       (a blank line, a comment, a line that is neither)
           {nation lower}.example.org | {nation}        (every nation of the region)
+          {nation lower}.example.org | {letters 2 to 5 of the nation, lower-case}
+          missing.example.net | Nobody                 (no link has that domain)
           FOLDER: {nation}
             s{suppkey}.example.com | {supplier}      (" (closed)" appended when acctbal < 0)
+        FOLDER: Archive
+          old.example.net | Old
+            FOLDER: Inner                              (two levels deeper: a level is filled in)
+              deep.example.net | Deep
     """
     sup = _supplier_geo(spark, sf_dir, chunk)
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -171,7 +207,13 @@ def supplier_outlines(spark: SparkSession, sf_dir: str, chunk: int = OUTLINE_CHU
     title = F.when(F.col("s_acctbal") < 0, F.concat(F.col("s_name"), F.lit(" (closed)"))).otherwise(F.col("s_name"))
     sups = sup.select("collection_id", k(2, F.col("n_nationkey"), 1, F.col("s_suppkey"), F.concat(
         F.lit("    s"), F.col("s_suppkey").cast("string"), F.lit(".example.com | "), title)).alias("l"))
-    lines = heads.unionByName(nat_links).unionByName(nat_folders).unionByName(sups)
+    contained = nations.select("collection_id", k(1, F.col("n_nationkey"), 1, F.lit(0), F.concat(
+        F.lit("  "), F.lower(F.col("n_name")), F.lit(".example.org | "), F.lower(F.substring("n_name", 2, 4)))).alias("l"))
+    fixed = [(0, 1, ""), (0, 2, "# made from the supplier table"), (0, 3, "neither folder nor bookmark"),
+             (1, 1000, "  missing.example.net | Nobody"), (4, 0, "FOLDER: Archive"), (4, 1, "  old.example.net | Old"),
+             (4, 2, "    FOLDER: Inner"), (4, 3, "      deep.example.net | Deep")]
+    more = outlines.select("collection_id", F.explode(F.array(*[k(a, F.lit(b), 0, F.lit(0), F.lit(x)) for a, b, x in fixed])).alias("l"))
+    lines = heads.unionByName(nat_links).unionByName(contained).unionByName(nat_folders).unionByName(sups).unionByName(more)
     ordered = F.array_sort(F.collect_list("l"))
     return lines.groupBy("collection_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 

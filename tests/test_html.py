@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,8 +41,9 @@ def test_scan_files(spark):
         f.write(SECURITY)
     with open(os.path.join(d, "bad.html"), "wb") as f:
         f.write(b"\xff\xfe<html><a href='https://x.com'>x</a></html>")
-    docs = read_collections(spark, d)
+    docs, rejected = read_collections(spark, d)
     assert docs.count() == 1
+    assert [(os.path.basename(r.path), r.reason) for r in rejected.collect()] == [("bad.html", "not valid UTF-8")]
     anchors = scan_anchors(docs).collect()
     assert [a.href for a in anchors] == ["https://example.com", "javascript:alert('xss')",
                                          "data:text/html,<script>alert('xss')</script>"]
@@ -54,7 +57,31 @@ def test_scan_files(spark):
 
 
 def test_missing_path_gives_no_rows(spark):
-    assert read_collections(spark, "/nonexistent/dir/x.html").count() == 0
+    docs, rejected = read_collections(spark, "/nonexistent/dir/x.html")
+    assert docs.count() == 0
+    assert [tuple(r) for r in rejected.collect()] == [("/nonexistent/dir/x.html", "path does not exist")]
+
+
+def test_document_files(spark, tmp_path):
+    """One file per document, without folders; a second write replaces the first; a failing job changes nothing."""
+    from pyspark.sql import functions as F
+
+    from linkwork.sinks.files import file_name, write_documents
+
+    path = str(tmp_path / "cleaned")
+    ids = ["a/0", "b c", "é", "_x", "x" * 300, "x" * 299 + "y"]
+    docs = spark.createDataFrame([(i, f"<p>{i}</p>\n") for i in ids], "collection_id string, html string").repartition(3)
+    write_documents(docs, path)
+    names = {file_name(i, "_cleaned.html"): i for i in ids}
+    assert len(names) == len(ids) and {p.name for p in (tmp_path / "cleaned").iterdir()} == set(names)
+    assert all((tmp_path / "cleaned" / n).read_text() == f"<p>{i}</p>\n" for n, i in names.items())
+    write_documents(docs.limit(2), path)
+    before = {p.name for p in (tmp_path / "cleaned").iterdir()}
+    assert len(before) == 2
+    broken = docs.withColumn("html", F.when(F.col("collection_id") == "b c", F.raise_error(F.lit("stop"))).otherwise(F.col("html")))
+    with pytest.raises(Exception):
+        write_documents(broken, path)
+    assert {p.name for p in (tmp_path / "cleaned").iterdir()} == before
 
 
 def test_rewrite_document():

@@ -25,7 +25,7 @@ def _write(n):
 def test_thousand_links_labelled(spark):
     d = _write(1000)
     t0 = time.time()
-    rows = clean(read_collections(spark, d)).orderBy("pos").collect()
+    rows = clean(read_collections(spark, d)[0]).orderBy("pos").collect()
     elapsed = time.time() - t0
     assert len(rows) == 1000
     assert all(r.clean_title == f'"Test Bookmark {i}' for i, r in enumerate(rows))
@@ -34,6 +34,6 @@ def test_thousand_links_labelled(spark):
 
 
 def test_five_thousand_links_complete(spark):
-    rows = clean(read_collections(spark, _write(5000)))
+    rows = clean(read_collections(spark, _write(5000))[0])
     assert rows.count() == 5000
     assert rows.select("formatted_label").distinct().count() == 5000
