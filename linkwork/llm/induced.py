@@ -4,8 +4,8 @@ Suffixes are classed as L or S by their first difference.  Sorted left-most S su
 order of all others through a priority queue: the L suffixes from the smallest character up, the S suffixes
 from the largest down.  Characters are bytes, so the queue is one first-in-first-out bucket for each
 character; a bucket pops whole batches, and what a batch induces is dealt to the buckets in order.  Buckets beyond
-``memory`` bytes go to unnamed files of the task's scratch folder, as do the shard's own arrays, so a shard can be
-much larger than memory.
+``memory`` bytes go to unnamed files of the task's scratch folder, as do three of the shard's arrays.  The strings
+and the other arrays are in memory, some 60 bytes for each byte of the strings, so a shard must fit in its task.
 
 The left-most S suffixes are sorted by recursion: one inducing pass orders the substrings between them, equal
 substrings get equal names, and names are joined in pairs, doubling their reach, until they differ or reach over
