@@ -1,8 +1,8 @@
 """Licence notices in documents (operator 4), in DataFrame functions and Spark's ML library only.
 
 A trained classifier names the licence family of a paragraph, a line or a few lines in a row: multinomial logistic regression over
-sparse word one- and two-grams.  It learns from the notices below, each also with a word left out, as
-its family, and from a bounded sample of the corpus's own paragraphs as class ``unknown``.
+sparse word one- and two-grams.  It learns from the notices below, each also with a word left out that names no licence, as
+its family, from near notices as class ``other``, and from a bounded sample of the corpus's own paragraphs as class ``unknown``.
 The n-grams of the notices are the features, so the model is a small table whose size does not depend on the
 corpus.  The probability that a prediction needs is calibrated on sampled paragraphs that
 training has not seen; near notices, of other licences and in prose, are among both.  A prediction counts only if
@@ -35,7 +35,8 @@ from pyspark.sql.window import Window
 
 from linkwork.llm.common import saved
 
-UNKNOWN = "unknown"
+#: Ordinary text, and near notices; neither is reported.
+UNKNOWN, OTHER = "unknown", "other"
 #: Common public licence notices, by family.
 NOTICES = {
     "mit": (
@@ -90,7 +91,7 @@ NOTICES = {
     "proprietary": ("All rights reserved.", "Confidential and proprietary. Unauthorized copying is strictly prohibited."),
 }
 
-#: Near notices: other licences, and prose with the same words.  Examples of the class unknown, half of them for calibration.
+#: Near notices: other licences, and prose with the same words.  Examples of the class ``other``, half of them for calibration.
 NEAR = (
     "Licensed under the Eclipse Public License, version 2.0.",
     "This program is made available under the terms of the Eclipse Public License 1.0.",
@@ -106,6 +107,8 @@ NEAR = (
     "Licensed under the Microsoft Public License.",
     "She said that all of her human rights had been reserved by the court and the journalists.",
     "All seats are reserved and the rights of way remain with the city.",
+    "He asked whether the right table was reserved for all of them.",
+    "All of the human rights were reserved to the court.",
     "The fishing boats are released under the terms of the new permit to the license office by the harbour master.",
     "He was licensed under the old rules to drive a bus of the general public.",
     "The work of the author is free to any person under the terms of the law.",
@@ -202,7 +205,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     """Train on the notices and on at most ``unknown`` paragraphs of ``documents`` documents, those of least hash."""
     spark = docs.sparkSession
     notices = _notices(spark)
-    holes = F.explode(F.concat(F.array("w"), F.transform("w", lambda _, i: F.concat(F.slice("w", F.lit(1), i), F.slice("w", i + 2, F.size("w"))))))
+    # without a word that names its licence a notice would be another's
+    at = F.filter(F.transform("w", lambda x, i: F.when(~x.isin(*NAMES), i)), lambda i: i.isNotNull())
+    holes = F.explode(F.concat(F.array("w"), F.transform(at, lambda i: F.concat(F.slice("w", F.lit(1), i), F.slice("w", i + 2, F.size("w"))))))
     known = notices.select("family", holes.alias("w"))
     chosen = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(documents)
     sample = paragraphs(chosen, id_col, text_col).select(words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -210,15 +215,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     sample = sample.where(~_alike(F.col("w"), [r.w for r in notices.collect()], 0.5)).distinct().orderBy(F.xxhash64("w"), F.col("w").cast("string")).limit(unknown)
     sample = sample.withColumn("fold", F.pmod(F.xxhash64("w", F.lit("fold")), F.lit(4)))
     near = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in NEAR])).alias("at", "text"))
-    sample = sample.unionByName(near.select(words(F.col("text")).alias("w"), F.when(F.col("at") % 2 == 0, 1).otherwise(0).alias("fold")))
+    near = near.select((F.col("at") % 2).alias("fold"), words(F.col("text")).alias("w"))
+    known = known.union(near.where("fold <> 0").select(F.lit(OTHER).alias("family"), holes.alias("w")))
     train = known.union(sample.where("fold <> 0").select(F.lit(UNKNOWN), "w"))
-    families = [*NOTICES, UNKNOWN]
+    families = [*NOTICES, OTHER, UNKNOWN]
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     weight = F.count("*").over(Window.partitionBy("family"))
     train = train.select(label.cast("double").alias("label"), F.array_distinct(ngrams(F.col("w"))).alias("grams"), (1 / weight).alias("weight"))
     vocabulary = sorted({g for r in known.select(ngrams(F.col("w")).alias("g")).collect() for g in r.g})
     counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
-    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.001, maxIter=40, standardization=False).fit(
+    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0001, maxIter=100, standardization=False).fit(
         counts.transform(train)
     )
     matrix = fitted.coefficientMatrix.toArray()
@@ -228,8 +234,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     bias = [float(x) for x in fitted.interceptVector] + [-30.0 for _ in missing]
     model = LicenceModel(spark.createDataFrame(rows, "gram string, weights array<double>"), bias, families, 0.5)
     # calibration: what at most one in a thousand unseen unknown paragraphs, near notices among them, reaches
-    unseen = sample.where("fold = 0").withColumn("id", F.monotonically_increasing_id())
-    wrong = _scored(unseen, model, ["id"]).where(F.col("family") != UNKNOWN)
+    unseen = sample.where("fold = 0").select("w").union(near.where("fold = 0").select("w")).withColumn("id", F.monotonically_increasing_id())
+    wrong = _scored(unseen, model, ["id"]).where(~F.col("family").isin(UNKNOWN, OTHER))
     worst = wrong.agg(F.percentile_approx("probability", 0.999)).first()[0]
     model.needed = max(0.5, min(worst or 0.0, 0.95))
     return model
@@ -320,7 +326,7 @@ def scan(
     rows = _units(docs, [row.w for row in notices.collect()], id_col, text_col, overlap, wrapped)
     rows = rows.withColumn("th", F.xxhash64("w"))
     best = _scored(rows.select("th", "w").distinct(), model, ["th"])
-    found = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.needed))
+    found = best.where(~F.col("family").isin(UNKNOWN, OTHER) & (F.col("probability") >= model.needed))
     rows = rows.join(found, "th")
     names = F.array(*[F.lit(x) for x in sorted(NAMES)])
     pairs = F.array_distinct(F.filter(ngrams(F.col("w")), lambda g: g.contains(" ")))

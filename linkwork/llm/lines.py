@@ -154,7 +154,8 @@ def rarity(counted: DataFrame) -> np.ndarray:
 def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None) -> DataFrame:
     """``bucket, data``: packed postings of the prefix words of the lines ``numbers``.
 
-    ``words``: a bitmap of word slots; postings of other words are left out.
+    ``words``: a bitmap of word slots; postings of other words are left out.  The hash of a text that is
+    ``alone`` under its id is left out, as the id names it.
     """
     least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
 
@@ -175,7 +176,8 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         out = np.empty(len(line), dtype=POSTING)
         out["word"] = word >> np.uint64(32)
         out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
-        out["th"] = batch.column(1).to_numpy(zero_copy_only=False)[lines.text[line]]
+        th = np.where(batch.column(4).to_numpy(zero_copy_only=False), 0, batch.column(1).to_numpy(zero_copy_only=False))
+        out["th"] = th[lines.text[line]]
         out["number"] = lines.number[line]
         out["low"] = np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line]
         out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
@@ -186,7 +188,7 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         parts = _packed(np.split(out[order], first[1:]))
         return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
-    return arrow_pass(rows.select("key", "th", "data", "numbers"), "bucket int, data binary", work, 1024)
+    return arrow_pass(rows.select("key", "th", "data", "numbers", "alone"), "bucket int, data binary", work, 1024)
 
 
 def _packed(parts: list[np.ndarray]) -> list[bytes]:
@@ -327,6 +329,20 @@ def _numbers(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*TEXT).agg(F.collect_list("number").alias("numbers"))
 
 
+def _marked(lines: DataFrame, alone: DataFrame) -> DataFrame:
+    """``key, th, numbers, alone``."""
+    rows = _numbers(lines).join(alone.select("key", F.lit(True).alias("alone")), "key", "left")
+    return rows.withColumn("alone", F.coalesce("alone", F.lit(False)))
+
+
+def _named(found: DataFrame, alone: DataFrame) -> DataFrame:
+    """``found`` with the hashes of texts that are alone under their ids."""
+    for side in ("", "x"):
+        known = alone.select(F.col("key").alias(f"{side}key"), F.col("th").alias("own"))
+        found = found.join(known, f"{side}key", "left").withColumn(f"{side}th", F.coalesce("own", f"{side}th")).drop("own")
+    return found.select(*PLACE, "xkey", "xnumber", "xth")
+
+
 def _word_sets(rows: DataFrame) -> DataFrame:
     """``xkey, xnumber, xth, words`` of the lines ``numbers``."""
 
@@ -410,9 +426,11 @@ def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     scanned = saved(_scanned(scan), "line-scan")
     first = scanned.where("part is null").groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("p"))
     first = saved(first.select("p.*"), "line-classes")
-    firsts = texts.join(_numbers(first).hint("shuffle_hash"), TEXT)
+    alone = first.groupBy("key").agg(F.min("th").alias("th"), F.max("th").alias("last")).where("th = last").select(*TEXT)
+    alone = saved(alone, "line-alone")
+    firsts = texts.join(_marked(first, alone).hint("shuffle_hash"), TEXT)
     ranks = spark.sparkContext.broadcast(rarity(scanned).tobytes())
-    found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
+    found = _named(_join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST), alone)
     earlier = F.array_sort(F.collect_set(F.struct("xkey", "xnumber", "xth")))
     found = found.groupBy(*PLACE).agg(F.slice(earlier, 1, FIRST).alias("x"))
     found = saved(found, "line-candidates", release=True)
@@ -421,12 +439,12 @@ def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     more = found.where(F.size("x") >= FIRST).join(gone, PLACE, "left_anti").select(*PLACE)
     more = saved(more, "line-open")
     if not more.isEmpty():
-        late = texts.join(_numbers(more).hint("shuffle_hash"), TEXT)
+        late = texts.join(_marked(more, alone).hint("shuffle_hash"), TEXT)
         words = spark.sparkContext.broadcast(_bitmap(late, ranks, threshold))
         rest = _join(
             _postings(firsts, ranks, threshold, buckets, words), threshold, None, _postings(late, ranks, threshold, buckets)
         )
-        rest = saved(rest.distinct().join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
+        rest = saved(_named(rest.distinct(), alone).join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
         gone = gone.union(saved(_verified(texts, rest, threshold), "line-matches"))
     return _numbers(first.join(gone, PLACE, "left_anti"))
 
