@@ -69,17 +69,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def dealt_texts(df: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """``key, th, data``: ids, text hashes and zstandard-packed texts, bucketed by ``by``.
+def dealt_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, th, data``: ids, text hashes and zstandard-packed texts, bucketed by key (see ``dealt``)."""
+    text = F.col(text_col).cast("string")
+    return dealt(df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text")), "key")
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``key, th, data`` from ``key, th, text``: zstandard-packed texts, bucketed by ``by``.
 
     The texts are shuffled once and written as a bucketed table under ``spark.checkpoint.dir``.  Every later join
-    on ``by``, in whatever job, reads the buckets in place and shuffles its other side only.  By key and hash, rows
-    that share an id, or have none, are spread like the others.
+    on ``by``, in whatever job, reads the buckets in place and shuffles its other side only.
     """
-    spark = df.sparkSession
+    spark = rows.sparkSession
     n = partitions(spark)
-    text = F.col(text_col).cast("string")
-    rows = df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
@@ -87,9 +90,9 @@ def dealt_texts(df: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] =
         return pa.record_batch([batch.column(0), batch.column(1), data], names=["key", "th", "data"])
 
     name = f"packed_texts_{uuid.uuid4().hex}"
-    dealt = arrow_pass(rows, "key long, th long, data binary", work).repartition(n, *by)
+    packed = arrow_pass(rows, "key long, th long, data binary", work).repartition(n, *by)
     # the bytes are packed already
-    table_of = dealt.write.format("parquet").option("compression", "none").bucketBy(n, *by)
+    table_of = packed.write.format("parquet").option("compression", "none").bucketBy(n, *by)
     table_of.option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     return spark.table(name)

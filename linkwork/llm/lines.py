@@ -18,7 +18,8 @@ which only the first place counts; classes are joined as follows.
 4. Lines with further candidates that have found no partner so are joined again, with all of their
    candidates; postings of words that none of them has are dropped by a bitmap of fixed size.
 
-Postings travel packed by columns, one array for each task batch and word bucket.  Blank lines are neither
+A text is known by its id and, under an id that several texts share, its hash (else 0), so null and repeated ids are
+spread like the others.  Postings travel packed by columns, one array for each task batch and word bucket.  Blank lines are neither
 matched nor removed.  Defined cases: a null text has no lines; a null id is the smallest; rows that share an id, or
 have none, are told apart by the hash of their texts, and rows equal in both lose the same lines; an empty table
 gives no rows; further columns are kept by ``distinct_line_texts`` and ignored otherwise.
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass, dealt_texts, id_of, key_of, partitions, saved, unpacked, utf8
+from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, saved, unpacked, utf8
 from linkwork.llm.sampling import flat
 from linkwork.llm.tokens import MIX, Words, mixed
 
@@ -45,9 +46,9 @@ BITMAP = 1 << 23
 #: Earliest candidates of a line that are verified first.
 FIRST = 2
 #: ``low`` and ``high``: a bitmap of 128 bits, the parity of the line's words by hash
-POSTING = np.dtype(
-    [("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("th", "<i8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4"), ("at", "<u4")]
-)
+POSTING = np.dtype([("word", "<u4"), ("key", "<i8"), ("number", "<u4"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: With the hash of the text, for batches with shared ids.
+SHARED = np.dtype([*POSTING.descr, ("th", "<i8")])
 EPS = 1e-9
 
 
@@ -154,8 +155,7 @@ def rarity(counted: DataFrame) -> np.ndarray:
 def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None) -> DataFrame:
     """``bucket, data``: packed postings of the prefix words of the lines ``numbers``.
 
-    ``words``: a bitmap of word slots; postings of other words are left out.  The hash of a text that is
-    ``alone`` under its id is left out, as the id names it.
+    ``words``: a bitmap of word slots; postings of other words are left out.
     """
     least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
 
@@ -173,11 +173,12 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         place = mixed(lines.words ^ MIX[0])
         bit = np.uint64(1) << (place & np.uint64(63))
         upper = (place >> np.uint64(6)) & np.uint64(1)
-        out = np.empty(len(line), dtype=POSTING)
+        th = batch.column(1).to_numpy(zero_copy_only=False)
+        out = np.empty(len(line), dtype=SHARED if th.any() else POSTING)
         out["word"] = word >> np.uint64(32)
         out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
-        th = np.where(batch.column(4).to_numpy(zero_copy_only=False), 0, batch.column(1).to_numpy(zero_copy_only=False))
-        out["th"] = th[lines.text[line]]
+        if out.dtype == SHARED:
+            out["th"] = th[lines.text[line]]
         out["number"] = lines.number[line]
         out["low"] = np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line]
         out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
@@ -188,18 +189,36 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         parts = _packed(np.split(out[order], first[1:]))
         return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
-    return arrow_pass(rows.select("key", "th", "data", "numbers", "alone"), "bucket int, data binary", work, 1024)
+    return arrow_pass(rows.select("key", "th", "data", "numbers"), "bucket int, data binary", work, 1024)
 
 
 def _packed(parts: list[np.ndarray]) -> list[bytes]:
-    """Postings by byte columns, compressed."""
+    """Postings by byte columns, compressed; the first byte is the size of one."""
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-    return [pack(p.view(np.uint8).reshape(len(p), -1).T.tobytes()) for p in parts]
+    return [bytes([p.itemsize]) + pack(p.view(np.uint8).reshape(len(p), -1).T.tobytes()) for p in parts]
 
 
 def _postings_of(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
-    columns = np.frombuffer(unpack.decompress(data), dtype=np.uint8).reshape(POSTING.itemsize, -1)
-    return np.ascontiguousarray(columns.T).view(POSTING).reshape(-1)
+    kind = POSTING if data[0] == POSTING.itemsize else SHARED
+    columns = np.frombuffer(unpack.decompress(data[1:]), dtype=np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(columns.T).view(kind).reshape(-1)
+
+
+def _together(parts: list[np.ndarray]) -> np.ndarray:
+    """All postings in one array, with hashes if any part has them."""
+    if all(p.dtype == POSTING for p in parts):
+        return np.concatenate(parts)
+    out = np.zeros(sum(map(len, parts)), dtype=SHARED)
+    at = 0
+    for p in parts:
+        for name in p.dtype.names:
+            out[name][at : at + len(p)] = p[name]
+        at += len(p)
+    return out
+
+
+def _hash(p: np.ndarray) -> np.ndarray:
+    return p["th"] if p.dtype == SHARED else np.zeros(len(p), dtype=np.int64)
 
 
 def candidates(p: np.ndarray, age: np.ndarray, threshold: float):
@@ -275,17 +294,19 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
                 (wanted if late else parts).append(_postings_of(data, unpack))
         if not parts:
             return
-        p = np.concatenate(parts)
+        p = _together(parts)
         # ``age`` orders lines by place, ``line`` numbers them likewise
-        p = p[np.lexsort((p["th"], p["number"], p["key"]))]
+        place = [p["key"], p["number"], *([p["th"]] if p.dtype == SHARED else [])]
+        order = np.lexsort(place[::-1])
+        p, place = p[order], [x[order] for x in place]
         new = np.ones(len(p), dtype=bool)
-        new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["number"][1:] != p["number"][:-1]) | (p["th"][1:] != p["th"][:-1])
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in place])
         line = np.cumsum(new)
         order = np.lexsort((line, p["n"], p["word"]))
         p, line = p[order], line[order]
         late = None
         if wanted:
-            w = np.concatenate(wanted)
+            w = _together(wanted)
             late = np.isin(_places(p), np.unique(_places(w)))
         elif restricted:
             return
@@ -311,12 +332,12 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
 
 def _places(p: np.ndarray) -> np.ndarray:
     out = np.empty(len(p), dtype=[("key", "<i8"), ("number", "<u4"), ("th", "<i8")])
-    out["key"], out["number"], out["th"] = p["key"], p["number"], p["th"]
+    out["key"], out["number"], out["th"] = p["key"], p["number"], _hash(p)
     return out
 
 
 def _found(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    columns = [c for i in (y, x) for c in (p["key"][i], p["number"][i].astype(np.int32), p["th"][i])]
+    columns = [c for i in (y, x) for c in (p["key"][i], p["number"][i].astype(np.int32), _hash(p)[i])]
     return pa.record_batch([pa.array(c) for c in columns], names=["key", "number", "th", "xkey", "xnumber", "xth"])
 
 
@@ -329,20 +350,6 @@ def _numbers(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*TEXT).agg(F.collect_list("number").alias("numbers"))
 
 
-def _marked(lines: DataFrame, alone: DataFrame) -> DataFrame:
-    """``key, th, numbers, alone``."""
-    rows = _numbers(lines).join(alone.select("key", F.lit(True).alias("alone")), "key", "left")
-    return rows.withColumn("alone", F.coalesce("alone", F.lit(False)))
-
-
-def _named(found: DataFrame, alone: DataFrame) -> DataFrame:
-    """``found`` with the hashes of texts that are alone under their ids."""
-    for side in ("", "x"):
-        known = alone.select(F.col("key").alias(f"{side}key"), F.col("th").alias("own"))
-        found = found.join(known, f"{side}key", "left").withColumn(f"{side}th", F.coalesce("own", f"{side}th")).drop("own")
-    return found.select(*PLACE, "xkey", "xnumber", "xth")
-
-
 def _word_sets(rows: DataFrame) -> DataFrame:
     """``xkey, xnumber, xth, words`` of the lines ``numbers``."""
 
@@ -419,18 +426,25 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
     return b"".join(bytes(r[1]) for r in sorted(found))
 
 
-def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``key, th, numbers``: the lines with words that stay, for every text that keeps one."""
+def _named(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` of ``key, th`` with the hash left out where no other text has the key."""
+    out = rows.join(shared.withColumn("several", F.lit(True)), "key", "left")
+    return out.withColumn("th", F.when(F.col("several"), F.col("th")).otherwise(F.lit(0).cast("long"))).select(*rows.columns)
+
+
+def kept_lines(scan: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``key, th, numbers``: the lines with words that stay, for every text that keeps one; and the shared keys."""
     spark: SparkSession = scan.sparkSession
     buckets = 4 * partitions(spark)
     scanned = saved(_scanned(scan), "line-scan")
-    first = scanned.where("part is null").groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("p"))
-    first = saved(first.select("p.*"), "line-classes")
-    alone = first.groupBy("key").agg(F.min("th").alias("th"), F.max("th").alias("last")).where("th = last").select(*TEXT)
-    alone = saved(alone, "line-alone")
-    firsts = texts.join(_marked(first, alone).hint("shuffle_hash"), TEXT)
+    lines = scanned.where("part is null")
+    shared = saved(lines.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("key"), "line-shared")
+    texts = dealt(_named(scan, shared), *TEXT)
+    first = lines.groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("p")).select("p.*")
+    first = saved(_named(first, shared), "line-classes")
+    firsts = texts.join(_numbers(first).hint("shuffle_hash"), TEXT)
     ranks = spark.sparkContext.broadcast(rarity(scanned).tobytes())
-    found = _named(_join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST), alone)
+    found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
     earlier = F.array_sort(F.collect_set(F.struct("xkey", "xnumber", "xth")))
     found = found.groupBy(*PLACE).agg(F.slice(earlier, 1, FIRST).alias("x"))
     found = saved(found, "line-candidates", release=True)
@@ -439,14 +453,14 @@ def kept_lines(scan: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     more = found.where(F.size("x") >= FIRST).join(gone, PLACE, "left_anti").select(*PLACE)
     more = saved(more, "line-open")
     if not more.isEmpty():
-        late = texts.join(_marked(more, alone).hint("shuffle_hash"), TEXT)
+        late = texts.join(_numbers(more).hint("shuffle_hash"), TEXT)
         words = spark.sparkContext.broadcast(_bitmap(late, ranks, threshold))
         rest = _join(
             _postings(firsts, ranks, threshold, buckets, words), threshold, None, _postings(late, ranks, threshold, buckets)
         )
-        rest = saved(_named(rest.distinct(), alone).join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
+        rest = saved(rest.distinct().join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
         gone = gone.union(saved(_verified(texts, rest, threshold), "line-matches"))
-    return _numbers(first.join(gone, PLACE, "left_anti"))
+    return _numbers(first.join(gone, PLACE, "left_anti")), shared
 
 
 def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
@@ -478,8 +492,9 @@ def _texts(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``id_col, n_lines, removed_lines, kept`` of each row; line numbers start at 0."""
-    lines = kept_lines(_texts(df, id_col, text_col), dealt_texts(df, id_col, text_col, TEXT), threshold)
-    rows = _texts(df, id_col, text_col).join(lines.hint("shuffle_hash"), TEXT, "left")
+    texts = _texts(df, id_col, text_col)
+    lines, shared = kept_lines(texts, threshold)
+    rows = _named(texts, shared).join(lines.hint("shuffle_hash"), TEXT, "left")
     out = _split(rows, ["key"])
     return out.select(id_of("key").alias(id_col), "n_lines", "removed_lines", "kept")
 
@@ -489,9 +504,10 @@ def distinct_line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows of which every line with words is removed, because it stands in earlier rows, go.
     """
-    lines = kept_lines(_texts(docs, id_col, text_col), dealt_texts(docs, id_col, text_col, TEXT), threshold)
+    lines, shared = kept_lines(_texts(docs, id_col, text_col), threshold)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")])
-    rows = _texts(docs, id_col, text_col, rest.alias("rest")).join(lines.hint("shuffle_hash"), TEXT, "left").select("text", "numbers", "rest")
+    rows = _named(_texts(docs, id_col, text_col, rest.alias("rest")), shared)
+    rows = rows.join(lines.hint("shuffle_hash"), TEXT, "left").select("text", "numbers", "rest")
     out = _split(rows, ["rest"])
     empty = (F.size("removed_lines") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(~empty | F.col("kept").isNull())

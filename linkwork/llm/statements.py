@@ -56,5 +56,94 @@ SELECT d.doc_id, CAST(len(d.bs) AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed
 FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
 
+def _joined(line: str, rest: str) -> str:
+    return f"{line} || coalesce(chr(10) || {rest}.l, '')"
+
+
+def _repair() -> str:
+    """The cheapest edits, the least audit among them, by a walk from each conversation's last row to its first.
+
+    ``b0`` .. ``b3`` hold cost, audit and repaired lines of what follows, for the state before it: nothing yet, after
+    the system row, after a user row, after an assistant row.
+    """
+    due = {0: 2, 1: 2, 2: 3, 3: 2}
+    word = {2: "'user:'", 3: "'assistant:'"}
+    kept = {(0, 1): 1, (0, 2): 2, (1, 2): 2, (2, 3): 3, (3, 2): 2}
+
+    def best(options: list[str]) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def row(q: int) -> str:
+        options = [f"{{'c': w.b{q}.c + 3, 'a': 'D' || w.b{q}.a, 'l': w.b{q}.l}}"]
+        for (state, code), to in kept.items():
+            if state == q:
+                line = _joined("r.role || ':' || r.text", f"w.b{to}")
+                options.append(f"CASE WHEN NOT r.must AND r.code = {code} THEN {{'c': w.b{to}.c + r.extra, 'a': 'K' || w.b{to}.a, 'l': {line}}} ELSE {never} END")
+        to = due[q]
+        line = _joined(f"{word[to]} || r.text", f"w.b{to}")
+        options.append(f"CASE WHEN NOT r.must THEN {{'c': w.b{to}.c + 2 + r.extra, 'a': 'R' || w.b{to}.a, 'l': {line}}} ELSE {never} END")
+        return best(options)
+
+    def inserted(q: int) -> str:
+        one = due[q]
+        two = due[one]
+        return best([
+            f"o{q}",
+            f"{{'c': o{one}.c + 2, 'a': 'I' || o{one}.a, 'l': {_joined(word[one], f'o{one}')}}}",
+            f"{{'c': o{two}.c + 4, 'a': 'II' || o{two}.a, 'l': {word[one]} || chr(10) || {_joined(word[two], f'o{two}')}}}",
+        ])
+
+    never = "{'c': 1000000000::BIGINT, 'a': '', 'l': NULL::VARCHAR}"
+    ends = [f"{{'c': {c}::BIGINT, 'a': '{a}', 'l': {line}}}" for c, a, line in (
+        (0, "", "NULL::VARCHAR"), (4, "II", "'user:' || chr(10) || 'assistant:'"), (2, "I", "'assistant:'"), (0, "", "NULL::VARCHAR"))]
+    return r"""WITH RECURSIVE crc_steps(n, k, x) AS (
+  SELECT n, 0, n::UBIGINT FROM range(256) t(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN x & 1 = 1 THEN xor(3988292384::UBIGINT, x >> 1) ELSE x >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY n) AS crcs FROM crc_steps WHERE k = 8),
+shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+sums AS (
+  SELECT conv_id, turn, role, text, xor(4294967295::UBIGINT, list_reduce(
+      list_prepend(4294967295::UBIGINT, list_transform(string_split(name, ''), lambda c: unicode(c)::UBIGINT)),
+      lambda acc, c: xor(acc >> 8, crcs[((xor(acc, c) & 255) + 1)::BIGINT]))) % 20 AS fault FROM shown, crc_table),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM sums, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) t(copy) WHERE fault <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM harmed),
+judged AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS code,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+marked AS (
+  SELECT *, said = '' AS blank, said <> '' AND again AS duplicate, said <> '' AND NOT again AND right(said, 1) NOT IN ('.', '!', '?') AS truncated
+  FROM judged),
+steps AS MATERIALIZED (
+  SELECT conv_id, i, role, text, code, blank OR duplicate AS must, truncated::BIGINT AS extra FROM marked),
+sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+walk(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, n + 1, """ + ", ".join(ends) + """ FROM sizes
+  UNION ALL
+  SELECT conv_id, i, """ + ", ".join(inserted(q) for q in range(4)) + """
+  FROM (SELECT r.conv_id, r.i, """ + ", ".join(f"{row(q)} AS o{q}" for q in range(4)) + """
+        FROM walk w JOIN steps r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i - 1))
+SELECT t.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(w.b0.c, 0) AS cost, coalesce(w.b0.a, '') AS audit,
+       sha256(coalesce(w.b0.l, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = 1"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT, "op7_substring_dedup": REPEATS, "op8_suffix_dedup": SUBSTRINGS}
+    return {
+        "op3_chat_formatting": CHAT,
+        "op7_substring_dedup": REPEATS,
+        "op8_suffix_dedup": SUBSTRINGS,
+        "op11_structure_repair": _repair(),
+    }
