@@ -13,7 +13,7 @@ __version__ = "0.1.0"
 def _ship_by_value() -> None:
     """Pickle this package's functions by value, so executors need not have it installed.
 
-    The HTML parser and the label-collision solver run in Python workers; with the package
+    The HTML parser and the document writer run in Python workers; with the package
     registered, Spark sends their code with the task instead of importing it on executors.
     """
     import sys

@@ -5,15 +5,13 @@ links each link gets a part from its URL path (or a title fallback), and equal p
 numbered `` 2``, `` 3``... in position order.  The numbering is a row number per
 ``(collection, domain, part)``; it equals the sequential first-free-number rule unless a
 numbered label collides with another part (``X 2`` vs the second ``X``).  Only the
-*families* where that happens -- parts that share a root once trailing numbers are
-removed -- are repaired, and the repair never gathers their rows: each part's numbering is
-its rank plus a short skip list, worked out in ``applyInPandas`` from per-part counts, first
-positions and the positions of a few ranks, then joined back to the rows.
+parts where that can happen are repaired, and the repair never gathers their rows: each part's
+numbering is its rank plus a short skip list, worked out from per-part counts, first positions and
+the number of a part's rows before another's first, level by level, then joined back to the rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +55,6 @@ def clean_links(src: DataFrame, title_col: str = "text") -> DataFrame:
     )
 
 
-def _family(part: F.Column) -> F.Column:
-    # Root of a part: trailing " <number>" groups removed.
-    return F.regexp_replace(part, r"( [0-9]+)+$", "")
-
-
 def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint") -> DataFrame:
     """Add ``domain_links`` (A1), ``domain_ordinal`` (W5), ``part`` and ``formatted_label``.
 
@@ -99,48 +92,47 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint"
 # parent reached b's number before b's first row.  Each part's numbering is therefore its rank
 # plus the count of skips recorded at or before that rank -- a short list per part.
 _CHILD = r"^(.*) ([2-9]|[1-9][0-9]+)$"
-_SKIPS_SCHEMA = "collection_id string, domain string, _family string, part string, skip_at bigint"
-
-
-def _solve_family(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Skip lists of every part of one family from its metadata rows (no link rows)."""
-    key = pdf.iloc[0]
-    bases = pdf[pdf["kind"] == "base"]
-    probes = {(r.part, int(r.rank)): int(r.pos) for r in pdf[pdf["kind"] == "probe"].itertuples()}
-    info = {r.part: (int(r.n), int(r.first), r.parent, r.slot) for r in bases.itertuples()}
-    kids: dict[str, list[tuple[int, str]]] = {}
-    for part, (_, _, parent, slot) in info.items():
-        if isinstance(parent, str) and parent in info:
-            kids.setdefault(parent, []).append((int(slot), part))
-
-    def depth(part: str) -> int:
-        d, p = 0, info[part][2]
-        while isinstance(p, str) and p in info:
-            d, p = d + 1, info[p][2]
-        return d
-
-    blocked: set[str] = set()
-    out = []
-    for b in sorted(info, key=depth):
-        n = info[b][0]
-        i, k = 1, 1
-        if b in blocked:
-            out.append((b, 1))
-            k = 2
-        for slot, child in sorted(kids.get(b, [])):
-            if slot < k:
-                continue
-            i += slot - k
-            if i > n:
-                break
-            if info[child][1] < probes[(b, i)]:
-                out.append((b, i))          # the child took "b slot" first
-            else:
-                blocked.add(child)          # row i takes "b slot"; the child moves on
-                i += 1
-            k = slot + 1
-    rows = [(key["collection_id"], key["domain"], key["_family"], b, x) for b, x in out]
-    return pd.DataFrame(rows, columns=["collection_id", "domain", "_family", "part", "skip_at"], dtype=object)
+
+
+def _skips(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``part, _skips``: the ranks before which a part leaves out a number, for the parts that do.
+
+    Children of one part are walked by slot: the row of rank ``slot - skips so far`` would take the number, and the
+    child has it if it came first.  A child that came later has lost its own first label.  That is known once its
+    parent is done, so parts are done level by level, from those that are nobody's child.
+    """
+    child = F.struct("slot", "ahead", "part")
+    empty = "array<bigint>"
+
+    def step(s, x):
+        rank = x["slot"] - F.size(s["skips"])
+        reached = rank <= F.col("parent_n")
+        first = reached & (x["ahead"] < rank)
+        return F.struct(F.when(first, F.array_append(s["skips"], rank)).otherwise(s["skips"]).alias("skips"),
+                        F.when(reached & ~first, F.array_append(s["lost"], x["part"])).otherwise(s["lost"]).alias("lost"))
+
+    parents = materialize(edges.select(*keys, F.col("parent").alias("part")).distinct())
+    level = parents.join(edges.select(*keys, "part"), [*keys, "part"], "left_anti").withColumn("late", F.lit(False))
+    found = []
+    while True:
+        level = materialize(level)
+        if level.isEmpty():
+            break
+        open_edges = edges.join(level.withColumnRenamed("part", "parent"), [*keys, "parent"])
+        start = F.struct(F.when(F.col("late"), F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast(empty)).alias("skips"),
+                         F.array().cast("array<string>").alias("lost"))
+        done = open_edges.groupBy(*keys, "parent", "late", "parent_n").agg(F.array_sort(F.collect_list(child)).alias("_kids"))
+        done = materialize(done.select(*keys, "parent", "_kids", F.aggregate("_kids", start, step).alias("_s")))
+        found.append(done.select(*keys, F.col("parent").alias("part"), F.col("_s.skips").alias("_skips")))
+        kids = done.select(*keys, F.col("_s.lost").alias("_lost"), F.explode("_kids.part").alias("part"))
+        kids = kids.select(*keys, "part", F.array_contains("_lost", F.col("part")).alias("late"))
+        leaf = kids.filter("late").join(parents, [*keys, "part"], "left_anti")
+        found.append(leaf.select(*keys, "part", F.array(F.lit(1).cast("bigint")).alias("_skips")))
+        level = kids.join(parents, [*keys, "part"], "left_semi")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.filter(F.size("_skips") > 0)
 
 
 def _repair_collisions(df: DataFrame) -> DataFrame:
@@ -162,21 +154,15 @@ def _repair_collisions(df: DataFrame) -> DataFrame:
     edges = with_ordinal(edges, [*keys, "parent"], "slot", "_j")
     edges = edges.withColumn("low", F.greatest(F.lit(1), F.col("slot") - (F.col("_j") - 1) - F.col("spare"))) \
         .withColumn("high", F.least("slot", "parent_n")).filter(F.col("low") <= F.col("parent_n"))
-    edges = materialize(edges.withColumn("_family", _family(F.col("part"))))
-    # the ranks whose positions the solver may ask for; each edge adds those beyond the edge before it
-    last = edges.select(*keys, "parent", (F.col("_j") + 1).alias("_j"), F.col("high").alias("_last"))
-    spans = edges.join(last, [*keys, "parent", "_j"], "left").select(
-        *keys, "_family", F.col("parent").alias("part"), F.greatest(F.col("low"), F.coalesce("_last", F.lit(0)) + 1).alias("low"), "high")
-    wanted = spans.filter(F.col("low") <= F.col("high")).select(
-        *keys, "_family", "part", F.explode(F.sequence("low", "high")).alias("rank"))
-    probes = wanted.join(df.select(*keys, "part", F.col("part_rank").alias("rank"), "pos"), [*keys, "part", "rank"])
-    children = edges.select(*keys, "_family", "part", "n", "first", "parent", "slot")
-    roots = edges.select(*keys, "_family", F.col("parent").alias("part"), F.col("parent_n").alias("n"),
-                         F.col("parent_first").alias("first")).distinct().join(children.select(*keys, "part"), [*keys, "part"], "left_anti")
-    meta = children.unionByName(roots, allowMissingColumns=True).withColumn("kind", F.lit("base")).unionByName(
-        probes.withColumn("kind", F.lit("probe")), allowMissingColumns=True)
-    skips = meta.groupBy(*keys, "_family").applyInPandas(_solve_family, _SKIPS_SCHEMA)
-    skip_lists = skips.groupBy(*keys, "part").agg(F.collect_list("skip_at").alias("_skips"))
+    edges = edges.select(*keys, "parent", "part", "slot", "first", "parent_n")
+    # rows of the parent before the child's first: a running count over the parent's rows and the children's marks
+    parents = edges.select(*keys, F.col("parent").alias("part")).distinct()
+    rows = df.select(*keys, "part", "pos", F.lit(1).alias("_row"), F.lit(None).cast("string").alias("_child"))
+    marks = edges.select(*keys, F.col("parent").alias("part"), F.col("first").alias("pos"), F.lit(0).alias("_row"), F.col("part").alias("_child"))
+    counted = with_ordinal(rows.join(parents, [*keys, "part"], "left_semi").unionByName(marks), [*keys, "part"], "pos", "ahead", weight="_row")
+    ahead = counted.filter(F.col("_child").isNotNull()).select(*keys, F.col("part").alias("parent"), F.col("_child").alias("part"), "ahead")
+    edges = materialize(edges.join(ahead, [*keys, "parent", "part"]))
+    skip_lists = _skips(edges, keys)
     fixed = df.join(skip_lists, [*keys, "part"], "left")
     slot = F.col("part_rank") + F.size(F.filter("_skips", lambda x: x <= F.col("part_rank")))
     label = F.when(slot == 1, F.col("part")).otherwise(F.concat(F.col("part"), F.lit(" "), slot.cast("string")))

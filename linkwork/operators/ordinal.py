@@ -30,7 +30,7 @@ def with_ordinal(
     """Add ``name`` = 1-based rank of the row among rows with equal ``keys`` by ``order_col``.
 
     ``order_col`` must be unique within the keys.  With ``total`` also adds the key's total.
-    With ``weight`` the value is the running sum of that column (inclusive) instead of the rank.
+    With ``weight`` the value is the running sum of that column (inclusive, not negative) instead of the rank.
     ``keep_bucket`` keeps the ``_bk`` column; a later call on the same rows reuses it, and a
     finer key then needs no new shuffle (the rows are already partitioned by a subset of it).
     """
@@ -40,11 +40,10 @@ def with_ordinal(
     part = Window.partitionBy(*keys, "_bk")
     if "_bk" not in df.columns:
         df = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
-    # one shuffle by (keys, bucket): running value and bucket total; the input is read once
+    # one shuffle by (keys, bucket): the running value, whose largest is the bucket's total; the input is read once
     d = (df.withColumn("_w", w)
-         .withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_c", F.sum("_w").over(part)))
-    counts = d.groupBy(*keys, "_bk").agg(F.first("_c").alias("_c"))
+         .withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))))
+    counts = d.groupBy(*keys, "_bk").agg(F.max("_in").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:
@@ -52,6 +51,6 @@ def with_ordinal(
     # null-safe: rows whose keys or position are null are numbered like any other
     same = [*keys, "_bk"]
     counts = counts.drop("_c").select(*[F.col(k).alias(f"_r_{k}") for k in same], *[c for c in counts.columns if c not in (*same, "_c")])
-    out = d.drop("_c").join(counts, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in same]).drop(*[f"_r_{k}" for k in same])
+    out = d.join(counts, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in same]).drop(*[f"_r_{k}" for k in same])
     out = out.withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_w")
     return out if keep_bucket else out.drop("_bk")

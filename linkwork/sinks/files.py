@@ -1,12 +1,13 @@
 """One file per document (K2, C2): a Spark data source whose writer commits whole jobs.
 
 Tasks write their documents into a folder of their own below ``_temporary``; only when all tasks are done does
-the commit move the files to their names, so a lost or repeated task leaves nothing behind, and an aborted job
-leaves the target as it was.  Paths may be local or any store that Arrow's file systems know (``hdfs://``, ``s3://``).
+the commit move the files to their names, so a lost or repeated task adds nothing, and an aborted job
+leaves the target's files as they were (a task that ends after the abort may leave its own below ``_temporary``).  Paths may be local or any store that Arrow's file systems know (``hdfs://``, ``s3://``).
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -82,8 +83,11 @@ class _DocumentWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, root = _store(self.path)
-        if store.get_file_info(f"{root}/_temporary").type != fs.FileType.NotFound:
-            store.delete_dir(f"{root}/_temporary")
+        if store.get_file_info(f"{root}/_temporary/{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/_temporary/{self.job}")
+        if not store.get_file_info(fs.FileSelector(f"{root}/_temporary", allow_not_found=True)):
+            with contextlib.suppress(OSError):  # another job may be using it by now
+                store.delete_dir(f"{root}/_temporary")
 
 
 class DocumentFiles(DataSource):
