@@ -56,7 +56,8 @@ def q_sanitize_odd_urls(spark, sf):
 
 def q_labels_numbered(spark, sf):
     """W4 where numbered labels meet parts that look like them."""
-    return build_links(page_numbered_links(spark, sf)).select("collection_id", "pos", "part", "formatted_label")
+    src = materialize(page_numbered_links(spark, sf))  # else the URL's making is repeated in every cleaning step
+    return build_links(src).select("collection_id", "pos", "part", "formatted_label")
 
 
 def q_domains(spark, sf):
