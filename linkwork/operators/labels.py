@@ -47,7 +47,9 @@ def clean_links(src: DataFrame, title_col: str = "text") -> DataFrame:
     add_date = F.col("add_date") if "add_date" in cols else F.lit(None).cast("string")
     df = src.select("collection_id", "pos", "href", F.col(title_col).alias("_title"),
                     icon.alias("icon"), add_date.alias("add_date"))
-    df = with_sanitized_url(df, "href", "url").filter(F.col("url") != "")
+    df = with_sanitized_url(df, "href", "_url")
+    # unusable links go by an explode: a filter moves below the projections and sanitises every URL once more
+    df = df.select("*", F.explode(F.when(F.col("_url") != "", F.array("_url"))).alias("url")).drop("_url")
     df = with_clean_title(df, "_title", "original_title")
     return df.select(
         "collection_id", "pos", "href", "url", domain_of_sanitized(F.col("url")).alias("domain"),
@@ -60,18 +62,22 @@ def label_links(links: DataFrame, repair: bool = True, reuse: str = "checkpoint"
 
     ``reuse`` says how intermediates read by several branches are kept (see ``materialize``).
     """
-    df = with_ordinal(links, ["collection_id", "domain"], "pos", "domain_ordinal", total="domain_links",
-                      keep_bucket=True)
-    part0 = path_identifier(F.col("url"))
     title_low = F.lower(F.col("clean_title"))
     first_label = F.split_part(F.col("domain"), F.lit("."), F.lit(1))
     words = F.filter(split_ws(F.col("original_title")), lambda w: ~F.lower(w).isin(*STOP_WORDS))
     fallback = (
         F.when(~((title_low == first_label) | title_low.isin(*GENERIC_TITLES)), F.col("clean_title"))
         .when(F.size(words) > 1, F.array_join(F.slice(words, 1, FALLBACK_WORDS), " "))
-        .otherwise(F.concat(F.lit("Page "), F.col("domain_ordinal").cast("string")))
     )
-    df = df.withColumn("part", F.when(F.lower(part0).isin(*FALLBACK_PARTS), fallback).otherwise(part0))
+    df = links.withColumn("_part0", path_identifier(F.col("url")))
+    df = df.withColumn("_falls", F.lower("_part0").isin(*FALLBACK_PARTS)).withColumn("_fallback", F.when(F.col("_falls"), fallback))
+    # cleaned once: numbering reads its input several times
+    df = materialize(df, reuse)
+    df = with_ordinal(df, ["collection_id", "domain"], "pos", "domain_ordinal", total="domain_links",
+                      keep_bucket=True)
+    page = F.concat(F.lit("Page "), F.col("domain_ordinal").cast("string"))
+    df = df.withColumn("part", F.when(F.col("_falls"), F.coalesce("_fallback", page)).otherwise(F.col("_part0")))
+    df = df.drop("_part0", "_falls", "_fallback")
     # one pass over all rows: a single-link domain ranks its part 1 and is labelled by its title
     df = with_ordinal(df, ["collection_id", "domain", "part"], "pos", "part_rank")
     df = df.withColumn(

@@ -40,10 +40,10 @@ def with_ordinal(
     part = Window.partitionBy(*keys, "_bk")
     if "_bk" not in df.columns:
         df = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket)))
-    # one shuffle by (keys, bucket): the running value, whose largest is the bucket's total; the input is read once
-    d = (df.withColumn("_w", w)
-         .withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))))
-    counts = d.groupBy(*keys, "_bk").agg(F.max("_in").alias("_c"))
+    df = df.withColumn("_w", w)
+    d = df.withColumn("_in", F.sum("_w").over(part.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
+    # bucket totals are added up on the map side: the input is read twice, but shuffled and sorted once
+    counts = df.groupBy(*keys, "_bk").agg(F.sum("_w").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:

@@ -111,3 +111,18 @@ def test_labels_with_many_buckets(spark, monkeypatch):
     test_collision_repaired_sequentially(spark)
     test_page_fallbacks(spark)
     test_repair_matches_literal_rule_on_random_families(spark)
+
+
+def test_links_are_cleaned_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [("c", i, f"https://d{i % 3}.com/p{i % 5}", f"Title {i}") for i in range(50)]
+    schema = "collection_id string, pos bigint, href string, text string"
+    out = build_links(spark.createDataFrame(rows, schema).mapInPandas(count, schema))
+    assert out.count() == 50
+    assert seen.value == 50
