@@ -185,9 +185,10 @@ def strategy_comparison(links: DataFrame, title_col: str = "clean_title", thresh
     length, and the counts give what each keep rule removes.  ``fuzzy`` follows for each threshold (null otherwise).
     """
     from ..session import materialize
-    from .fuzzy import mark_fuzzy_duplicates
+    from .fuzzy import mark_fuzzy_each
 
-    keyed = materialize(with_normalized_url(links, "url", "_k_url"))
+    keyed = with_normalized_url(links, "url", "_k_url")
+    keyed = materialize(keyed.select(*dict.fromkeys(["collection_id", "pos", "domain", "_k_url", title_col, label_col])))
     title = F.lower(strip_ws(F.coalesce(F.col(title_col), F.lit(""))))
     keys = F.explode(F.array(*[
         F.struct(F.lit(name).alias("strategy"), key.alias("_key"), F.coalesce("domain", F.lit("")).alias("_dom") if name == "smart" else F.lit("").alias("_dom"))
@@ -211,8 +212,8 @@ def strategy_comparison(links: DataFrame, title_col: str = "clean_title", thresh
     out = sums.select("collection_id", "strategy", "_all", kept.alias("_r")).select(
         "strategy", "_r.keep_strategy", F.lit(None).cast("double").alias("similarity_threshold"), "collection_id",
         (F.col("_all") - F.col("_r.rows_removed")).alias("rows_left"), "_r.rows_removed")
-    for t in thresholds:
-        m = mark_fuzzy_duplicates(keyed, DedupConfig("fuzzy", t, "first", label_col=label_col))
+    words = keyed.select("collection_id", "pos", "domain", "_k_url", label_col)
+    for t, m in zip(thresholds, mark_fuzzy_each(words, thresholds, "first", label_col, label_col), strict=True):
         out = out.unionByName(m.groupBy("collection_id").agg(
             F.count_if(~F.col("removed")).alias("rows_left"), F.count_if("removed").alias("rows_removed")).select(
             F.lit("fuzzy").alias("strategy"), F.lit("first").alias("keep_strategy"), F.lit(float(t)).alias("similarity_threshold"), "*"))

@@ -66,7 +66,8 @@ def fuzzy_plan(threshold: float) -> tuple[list[list[str]], list[tuple[list[str],
 
 
 def _signature_rows(links: DataFrame, label_col: str) -> DataFrame:
-    df = with_normalized_url(links, "url", "_nurl")
+    have_url = "_k_url" in links.columns  # computed once by the caller (see strategy_comparison)
+    df = links.withColumn("_nurl", F.col("_k_url")) if have_url else with_normalized_url(links, "url", "_nurl")
     toks = token_set(F.col(label_col))
     return (df.withColumn("_dom", F.coalesce(F.col("domain"), F.lit("")))
             .withColumn("_toks", F.when(F.size(toks) == 0, F.array(F.lit(EMPTY_TOKEN))).otherwise(toks))
@@ -111,13 +112,19 @@ def _under(where):
     return lambda t: F.xxhash64(where, t)
 
 
-def _keyed_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``nodes`` with ``_keys``: what they are filed under, where another node stands there too (else empty)."""
-    cliques, joins = fuzzy_plan(threshold)
+def with_rare_words(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``_rare``: their words, rarest in the collection first; the same for every threshold."""
     words = nodes.select("_cid", "node", F.explode("_toks").alias("_t"))
     freq = words.groupBy("_cid", "_t").agg(F.count(F.lit(1)).alias("_df"))
     ranked = words.join(freq, ["_cid", "_t"]).groupBy("_cid", "node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_df", "_t"))), lambda x: x["_t"]).alias("_rare"))
+    return nodes.join(ranked, ["_cid", "node"])
+
+
+def _keyed_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``nodes`` with ``_keys``: what they are filed under, where another node stands there too (else empty)."""
+    cliques, joins = fuzzy_plan(threshold)
+    filed = nodes if "_rare" in nodes.columns else with_rare_words(nodes)
     n = F.size("_rare")
     keys = []
     for block in cliques:
@@ -126,7 +133,6 @@ def _keyed_nodes(nodes: DataFrame, threshold: float) -> DataFrame:
         plen = n - F.ceil(n.cast("double") * F.lit(need - EPS)).cast("int") + 1
         where = F.xxhash64(F.lit("word"), F.lit("+".join(block)), "_cid", *block)
         keys.append(F.transform(F.slice("_rare", F.lit(1), plen), _under(where)))
-    filed = nodes.join(ranked, ["_cid", "node"])
     keyed = filed.withColumn("_keys", F.array_distinct(F.concat(*keys)) if keys else F.array().cast("array<bigint>"))
     keyed = materialize(keyed.drop("_rare"))
     post = keyed.select("_cid", "node", F.explode("_keys").alias("_key"))
@@ -190,31 +196,48 @@ def elect_groups(nodes: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
+SIGNATURE = ["_cid", "_nurl", "_dom", "_tkey"]
+
+
 def mark_fuzzy_duplicates(links: DataFrame, cfg) -> DataFrame:
     """All rows with ``dup_first`` (group leader position, null when alone), ``dup_size`` and ``removed``."""
-    t = float(cfg.similarity_threshold)
+    return mark_fuzzy_each(links, [cfg.similarity_threshold], cfg.keep_strategy, cfg.label_col, cfg.length_col)[0]
+
+
+def mark_fuzzy_each(links: DataFrame, thresholds, keep_strategy: str, label_col: str, length_col: str) -> list[DataFrame]:
+    """``mark_fuzzy_duplicates`` for each threshold: rows are signed, collapsed and their words ranked once for all."""
     same = F.coalesce(F.concat(F.lit("c"), F.col("collection_id").cast("string")), F.lit("n"))
-    rows = materialize(_signature_rows(links, cfg.label_col).withColumn("_cid", same), "checkpoint")
-    sig_keys = ["_cid", "_nurl", "_dom", "_tkey"]
-    nodes = rows.groupBy(*sig_keys).agg(F.min("pos").alias("node"), F.first("_toks").alias("_toks"))
-    rows = rows.join(nodes.select(*sig_keys, "node"), sig_keys)
+    rows = _signature_rows(links, label_col).withColumn("_cid", same)
+    rows = materialize(rows.withColumn("_len", F.length(F.coalesce(F.col(length_col), F.lit(""))).cast("bigint")))
+    # what the keep rules need of a node's rows travels with the node, so the rows themselves are joined once
+    nodes = rows.groupBy(*SIGNATURE).agg(
+        F.min("pos").alias("node"), F.first("_toks").alias("_toks"), F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"),
+        F.min(F.struct("_len", "pos")).alias("_short"), F.min(F.struct((-F.col("_len")).alias("_len"), "pos")).alias("_long"))
+    nodes = materialize(nodes)
+    words = nodes.select("_cid", "node", *ATTRIBUTES)
+    if len(thresholds) > 1:
+        words = materialize(with_rare_words(words))
+    return [_marked(rows, nodes, words, float(t), keep_strategy).select(*links.columns, "dup_first", "dup_size", "removed")
+            for t in thresholds]
+
+
+def _marked(rows: DataFrame, nodes: DataFrame, words: DataFrame, t: float, keep_strategy: str) -> DataFrame:
     if t > 1.0 + EPS:
         groups = nodes.select("_cid", "node", F.col("node").alias("group_node"))
     else:
-        groups = elect_groups(materialize(nodes.drop("_tkey")), t)
-    g = rows.join(groups, ["_cid", "node"])
-    g = g.withColumn("_len", F.length(F.coalesce(F.col(cfg.length_col), F.lit(""))).cast("bigint"))
-    stats = g.groupBy("_cid", "group_node").agg(
-        F.count(F.lit(1)).alias("dup_size"), F.min("pos").alias("_first"), F.max("pos").alias("_last"),
-        F.min_by("pos", F.struct("_len", "pos")).alias("_short"),
-        F.min_by("pos", F.struct(-F.col("_len"), F.col("pos"))).alias("_long"))
-    g = g.join(stats, ["_cid", "group_node"])
-    survivor = {"last": "_last", "shortest": "_short", "longest": "_long"}.get(cfg.keep_strategy, "_first")
+        groups = elect_groups(words, t)
+    member = nodes.select(*SIGNATURE, "node", "_n", "_last", "_short", "_long").join(groups, ["_cid", "node"])
+    stats = member.groupBy("_cid", "group_node").agg(
+        F.sum("_n").alias("dup_size"), F.min("node").alias("_first"), F.max("_last").alias("_last"),
+        F.min("_short")["pos"].alias("_short"), F.min("_long")["pos"].alias("_long"))
+    survivor = {"last": "_last", "shortest": "_short", "longest": "_long"}.get(keep_strategy, "_first")
+    stats = stats.select("_cid", "group_node", "dup_size", "_first", F.col(survivor).alias("_kept"))
+    member = member.select(*SIGNATURE, "group_node").join(stats, ["_cid", "group_node"]).drop("group_node")
+    g = rows.join(member, SIGNATURE)
     in_group = F.col("dup_size") > 1
-    out = (g.withColumn("removed", in_group & (F.col("pos") != F.col(survivor)))
-           .withColumn("dup_first", F.when(in_group, F.col("_first")))
-           .withColumn("dup_size", F.when(in_group, F.col("dup_size"))))
-    return out.select(*links.columns, "dup_first", "dup_size", "removed")
+    return (g.withColumn("removed", in_group & (F.col("pos") != F.col("_kept")))
+            .withColumn("dup_first", F.when(in_group, F.col("_first")))
+            .withColumn("dup_size", F.when(in_group, F.col("dup_size"))))
 
 
 def fuzzy_pairs(links: DataFrame, threshold: float = 0.85, label_col: str = "formatted_label") -> DataFrame:

@@ -151,3 +151,26 @@ def test_fuzzy_late_class_of_likes(spark):
     rows = [(i, f"https://s{i}.com/{i}", f"u{i} common", f"s{i}.com") for i in range(50)]
     rows += [(50 + i, "https://hot.com/x", f"hot page common {i}", "hot.com") for i in range(300)]
     assert removed(spark, rows, strategy="fuzzy", similarity_threshold=0.85) == set(range(51, 350))
+
+
+def test_comparison_signs_links_once_for_all_thresholds(spark, monkeypatch):
+    from linkwork.operators import dedup, fuzzy
+
+    calls = []
+    plain = fuzzy._signature_rows
+    monkeypatch.setattr(fuzzy, "_signature_rows", lambda *a: calls.append(1) or plain(*a))
+    links = frame(spark, DEMO)
+    got = dedup.strategy_comparison(links, thresholds=(0.7, 0.9)).filter("strategy = 'fuzzy'").collect()
+    want = {t: len(removed(spark, DEMO, strategy="fuzzy", similarity_threshold=t)) for t in (0.7, 0.9)}
+    assert {r.similarity_threshold: r.rows_removed for r in got} == want
+    assert len(calls) == 3  # one for the comparison, two for ``want``
+
+
+@pytest.mark.parametrize("keep", ["first", "last", "shortest", "longest"])
+def test_fuzzy_keep_rules_over_nodes_of_several_rows(spark, keep):
+    rows = [(0, "https://a.com/x", "b a", "a.com"), (1, "https://a.com/x", "a  b", "a.com"), (2, "https://a.com/x", "a b c", "a.com"),
+            (3, "https://a.com/x", "c b a", "a.com"), (4, "https://z.org/q", "other words", "z.org")]
+    lengths = {p: len(label) for p, _, label, _ in rows if p < 4}
+    survivor = {"first": 0, "last": 3, "shortest": min(lengths, key=lambda p: (lengths[p], p)),
+                "longest": min(lengths, key=lambda p: (-lengths[p], p))}[keep]
+    assert removed(spark, rows, strategy="fuzzy", similarity_threshold=0.7, keep_strategy=keep) == {0, 1, 2, 3} - {survivor}
