@@ -108,6 +108,8 @@ def match_outline(entries: DataFrame, links: DataFrame) -> DataFrame:
 GRAMS = (1, 2, 3, 6)
 #: A title is looked up by so many of its rarest substrings; a candidate has to have them all.
 RAREST = 3
+#: In a domain of at most so many originals a title is compared with each; only larger ones are filed under substrings.
+DIRECT = 16
 
 
 def _grams(text: F.Column, k: int) -> F.Column:
@@ -121,32 +123,44 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
     """J3 for unmatched outline lines: ``(collection_id, line_no, _dom)``.
 
     The first original of the domain (by position) whose clean or original title contains the
-    outline title, case-insensitively; else the domain's first original.  Originals are filed, by position only, under
-    their titles' substrings; a title's candidates stand under all of its ``RAREST`` rarest substrings.  Only their
-    texts are read and checked for the full containment.  Equal titles of a domain are looked up once.
+    outline title, case-insensitively; else the domain's first original.  Originals of a domain with more than ``DIRECT``
+    of them are filed, by position only, under their titles' substrings; a title's candidates stand under all of its
+    ``RAREST`` rarest substrings.  Only their texts are read and checked for the full containment.  In smaller domains
+    every original is a candidate.  Equal titles of a domain are looked up once.
     """
     keys = ["collection_id", "domain"]
     cand = links.join(misses.select(*keys).distinct(), keys, "left_semi").select(
         *keys, "pos", orig.alias("_o"), F.lower(F.col("clean_title")).alias("_ct"),
         F.lower(F.col("original_title")).alias("_ot"))
-    first = cand.groupBy(*keys).agg(F.min_by("_o", "pos").alias("_first"))
+    first = materialize(cand.groupBy(*keys).agg(F.min_by("_o", "pos").alias("_first"), F.count(F.lit(1)).alias("_size")))
     m = misses.withColumn("_t", F.lower(F.coalesce(F.col("title"), F.lit(""))))
+    titles = m.select(*keys, "_t").distinct()
+    small = titles.join(first.filter(F.col("_size") <= DIRECT).select(*keys), keys)
+    contains = F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t"))
+    hits = small.join(cand, keys).filter(contains)
+    large = first.filter(F.col("_size") > DIRECT).select(*keys)
+    if not large.isEmpty():
+        held = cand.join(large, keys, "left_semi")
+        hits = hits.unionByName(_near_by_grams(titles.join(large, keys, "left_semi"), held, keys).join(held, [*keys, "pos"]).filter(contains))
+    # the empty title is contained in every original: the first one serves, as without a hit
+    hit = hits.groupBy(*keys, "_t").agg(F.min_by("_o", "pos").alias("_hit"))
+    out = m.join(first, keys, "left").join(hit, [*keys, "_t"], "left")
+    return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))
+
+
+def _near_by_grams(titles: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
+    """Titles ``_t`` and the positions of the originals that have the rarest substrings of them."""
     filed = materialize(cand.select(*keys, "pos", F.explode(F.array_distinct(F.flatten(F.array(*[
         F.concat(_grams(F.col("_ct"), k), _grams(F.col("_ot"), k)) for k in GRAMS])))).alias("_g")))
     freq = filed.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
     asked = F.array().cast("array<string>")
     for k in GRAMS:  # the longest substrings that the title has
         asked = F.when(F.length("_t") >= k, F.array_distinct(_grams(F.col("_t"), k))).otherwise(asked)
-    want = m.select(*keys, "_t").distinct().select(*keys, "_t", F.explode(asked).alias("_g"))
+    want = titles.select(*keys, "_t", F.explode(asked).alias("_g"))
     # a substring that no candidate has means that no candidate contains the title
     n = F.coalesce(F.col("_n"), F.lit(0))
     rare = want.join(freq, [*keys, "_g"], "left").groupBy(*keys, "_t").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(n.alias("n"), "_g"))), 1, RAREST).alias("_r"))
     rare = rare.filter(F.get("_r", F.lit(0))["n"] > 0).select(*keys, "_t", F.size("_r").alias("_need"), F.explode("_r._g").alias("_g"))
     near = rare.join(filed, [*keys, "_g"]).groupBy(*keys, "_t", "pos").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need"))
-    near = near.filter(F.col("_have") == F.col("_need")).select(*keys, "_t", "pos")
-    # the empty title is contained in every original: the first one serves, as without a hit
-    hits = near.join(cand, [*keys, "pos"]).filter(F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t")))
-    hit = hits.groupBy(*keys, "_t").agg(F.min_by("_o", "pos").alias("_hit"))
-    out = m.join(first, keys, "left").join(hit, [*keys, "_t"], "left")
-    return out.select("collection_id", "line_no", F.coalesce(F.col("_hit"), F.col("_first")).alias("_dom"))
+    return near.filter(F.col("_have") == F.col("_need")).select(*keys, "_t", "pos")

@@ -82,3 +82,26 @@ def test_domain_fallback_matches_plain_rule(spark):
         t = (r.title or "").lower()
         hit = next((o for o in originals if t in o.clean_title.lower() or t in o.original_title.lower()), originals[0])
         assert r.url == hit.url, (r.title, r.url, hit.url)
+
+
+def test_small_domains_are_compared_directly(spark, monkeypatch):
+    from linkwork.operators import outline
+
+    links = build_links(spark.createDataFrame(
+        [("o0", i, f"https://big.org/{i}", f"Long page {i}") for i in range(40)] + [("o0", 100 + i, f"https://small.org/{i}", f"Note {i}") for i in range(3)],
+        "collection_id string, pos bigint, href string, text string"))
+    ent = entries(spark, ["big.org | page 33\nbig.org | nothing\nsmall.org | ote 2\nsmall.org | none\ngone.org | x"])
+    filed = []
+    plain = outline._near_by_grams
+    monkeypatch.setattr(outline, "_near_by_grams", lambda t, c, k: filed.append({r.domain for r in c.collect()}) or plain(t, c, k))
+
+    def urls():
+        return {r.line_no: (r.url, r.match_kind) for r in match_outline(ent, links).collect()}
+
+    want = {1: ("https://big.org/33", "domain"), 2: ("https://big.org/0", "domain"), 3: ("https://small.org/2", "domain"),
+            4: ("https://small.org/0", "domain"), 5: ("https://gone.org", "default")}
+    assert urls() == want and filed == [{"big.org"}]
+    monkeypatch.setattr(outline, "DIRECT", 0)
+    assert urls() == want and filed[-1] == {"big.org", "small.org"}
+    monkeypatch.setattr(outline, "DIRECT", 100)
+    assert urls() == want and len(filed) == 2
