@@ -136,11 +136,15 @@ def fit(
     return Model(good, bad, _platt(x, np.array([r[2] for r in rows])))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` from 0 to 1 in place of the text: the probability of good quality."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with a ``score`` from 0 to 1: the probability of good quality.
+
+    It stands in place of the text; with ``keep_text`` the text stays, as a string ``_text``.
+    """
     rest = [c for c in docs.columns if c not in (text_col, "score")]
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *rest)
-    schema = rows.select(*rest, F.lit(0.0).alias("score")).schema
+    out, first = (["_text", *rest], 0) if keep_text else (rest, 1)
+    schema = rows.select(*out, F.lit(0.0).alias("score")).schema
     good, bad, weights = model.good, model.bad, model.weights
 
     def run(batches):
@@ -151,7 +155,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 x = np.array([sizer(t) for t in utf8(part.column(0))])
                 z = 20 * (x[:, 0] * weights[0] + x[:, 1] * weights[1]) + weights[2]
                 values = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.record_batch([*part.columns[1:], pa.array(values)], names=[*rest, "score"])
+                yield pa.record_batch([*part.columns[first:], pa.array(values)], names=[*out, "score"])
 
     return rows.mapInArrow(run, schema)
 

@@ -17,8 +17,11 @@ from linkwork.llm.common import key_of, saved, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return scored.where("score >= 0.5").select("row.*")
+    # the text goes to the Python worker and back once, the other columns in a struct beside it
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    scored = quality.score(docs.select(others, "text"), model, keep_text=True)
+    text = F.col("_text").cast(docs.schema["text"].dataType).alias("text")
+    return scored.where("score >= 0.5").select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,14 @@ def test_stages_keep_clashing_columns(spark):
         assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((r.doc_id or -1, r.text or "") for r in stage(spark, plain, SF).collect()), name
         assert stage(spark, rows.limit(0), SF).collect() == [], name
     assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() > 0
+
+
+def test_quality_stage_sends_a_text_once(spark, monkeypatch):
+    from linkwork.llm import quality
+
+    asked = []
+    plain = quality.score
+    monkeypatch.setattr(quality, "score", lambda docs, *a, **k: asked.append(docs.schema) or plain(docs, *a, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    assert stages.good_quality(spark, docs, SF).columns == docs.columns
+    assert "text" not in asked[0]["row"].dataType.names
