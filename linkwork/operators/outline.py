@@ -137,11 +137,14 @@ def _domain_fallback(misses: DataFrame, links: DataFrame, orig: F.Column) -> Dat
     titles = m.select(*keys, "_t").distinct()
     small = titles.join(first.filter(F.col("_size") <= DIRECT).select(*keys), keys)
     contains = F.col("_ct").contains(F.col("_t")) | F.col("_ot").contains(F.col("_t"))
-    hits = small.join(cand, keys).filter(contains)
+    # as among filed originals, a position that comes twice is no hit, and neither is an empty title
+    hits = small.join(cand, keys).filter(contains & (F.col("_t") != "")).groupBy(*keys, "_t", "pos").agg(
+        F.first("_o").alias("_o"), F.count(F.lit(1)).alias("_have")).filter(F.col("_have") == 1).drop("_have")
     large = first.filter(F.col("_size") > DIRECT).select(*keys)
     if not large.isEmpty():
         held = cand.join(large, keys, "left_semi")
-        hits = hits.unionByName(_near_by_grams(titles.join(large, keys, "left_semi"), held, keys).join(held, [*keys, "pos"]).filter(contains))
+        near = _near_by_grams(titles.join(large, keys, "left_semi"), held, keys).join(held, [*keys, "pos"])
+        hits = hits.unionByName(near.filter(contains).select(*keys, "_t", "pos", "_o"))
     # the empty title is contained in every original: the first one serves, as without a hit
     hit = hits.groupBy(*keys, "_t").agg(F.min_by("_o", "pos").alias("_hit"))
     out = m.join(first, keys, "left").join(hit, [*keys, "_t"], "left")
