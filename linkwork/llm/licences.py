@@ -10,7 +10,8 @@ a stretch of the paragraph about as long as one of the family's notices has ``ov
 of its words that name a licence.
 
 A paragraph with that share of a notice's words has a word of any set of them that is larger than the
-rest, so paragraphs without any such cue are not scored; nothing is lost by that.
+rest, so paragraphs without any such cue are not scored; nothing is lost by that.  Cues are beginnings of words, and one
+regular expression looks for all of them where words can begin.
 
 Notices are often wrapped, so each line is also taken together with its next lines, ``wrapped`` lines at most and none
 beyond a line without words (a blank line, or a bare comment sign).  Such a unit counts where no line in it is
@@ -24,8 +25,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -254,7 +254,7 @@ def _cues(notices: list[list[str]], overlap: float) -> list[str]:
             for start in {w[:6] for w in open_words}:
                 covered = sum(w.startswith(start) for w in open_words)
                 plain = start in COMMON or (len(start) < 4 and start.isalpha())
-                counts[start] = counts.get(start, 0) + min(need, covered) * (1e-3 if plain else len(start) ** 2)
+                counts[start] = counts.get(start, 0) + min(need, covered) * (1e-3 if plain else 1) * len(start) ** 2
         best = max(sorted(counts), key=counts.get)
         cues.append(best)
         left = []
@@ -266,14 +266,25 @@ def _cues(notices: list[list[str]], overlap: float) -> list[str]:
     return cues
 
 
+def _cue_pattern(cues: list[str]) -> str:
+    """Matches where a word of lower-case text behind a blank begins with a cue; no word begins right after a letter.
+
+    Cues of one first character share a branch, and places before other characters are left at once.
+    """
+    rest: dict[str, list[str]] = {}
+    for cue in sorted(cues):
+        rest.setdefault(cue[0], []).append(re.escape(cue[1:]))
+    branches = "|".join(f"{re.escape(first)}(?:{'|'.join(more)})" for first, more in rest.items())
+    return f"[^a-z](?=[{''.join(map(re.escape, rest))}])(?:{branches})"
+
+
 def _units(docs: DataFrame, notices: list[list[str]], id_col: str, text_col: str, overlap: float, wrapped: int) -> DataFrame:
     """``doc, id, paragraph, lines, w``: lines, and runs of them, that are like some notice.
 
     ``doc`` tells rows apart that share an id.
     """
-    cues = _cues(notices, overlap)
-    any_cue = lambda t: reduce(or_, [t.contains(cue) for cue in cues])
-    has_cue = lambda c: F.exists(F.array(F.lower(c)), any_cue)  # noqa: E731  the text is lower-cased once
+    pattern = _cue_pattern(_cues(notices, overlap))
+    has_cue = lambda c: F.concat(F.lit(" "), F.lower(c)).rlike(pattern)
     once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  a filter above does not evaluate it again
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(has_cue(F.col("text")))
     rows = texts.select(F.monotonically_increasing_id().alias("doc"), "id", once(F.split("text", "\n", -1), "l"))

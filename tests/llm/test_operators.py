@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from linkwork.llm import benchmarks, chat, components, induced, licences, lines, merkle, packing, quality, simhash
 from linkwork.llm import substrings, suffixes, wordbpe
@@ -209,6 +210,24 @@ def test_licence_scan(spark, texts):
     assert licences.scan(texts([]), licences.fit(texts([]))).count() == 0
 
 
+def test_licence_cues_are_rare_and_lose_no_notice(spark):
+    """Ordinary prose has no cue; whatever words a notice may lack, one of its cues is found."""
+    word_lists = [sorted(set(r.w)) for r in licences._notices(spark).collect()]
+    cues = licences._cues(word_lists, 0.7)
+    assert "is" not in cues  # begins every other line of prose
+    pattern = licences._cue_pattern(cues)
+    spots = [" " + " ".join(w[:at] + ["zz"] + w[at:]) for w in word_lists for at in range(len(w))]
+    for w in word_lists:
+        hit = [x for x in w if re.search(pattern, " " + x)]
+        assert len(hit) > len(w) * 0.3 - 1e-9, w  # more than may be missing
+        spots += [f"(2.0{x}" for x in hit if x[0].isalpha()] + [f"{x}\n" for x in hit]
+    prose = ["This list is in his information about a platform, unlicensed and recommon", "IS THIS THE ISLAND", "", None]
+    rows = [(i, t) for i, t in enumerate(prose + spots)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = df.where(F.concat(F.lit(" "), F.lower("text")).rlike(pattern)).select("doc_id").collect()
+    assert {r.doc_id for r in found} == set(range(len(prose), len(rows)))
+
+
 def test_near_licences_are_unknown(spark, texts):
     near = ["Licensed under the Eclipse Public License, version 2.0.", "This project is licensed under the terms of the ISC license.",
             "Licensed under the Artistic License, version 2.0.", "Released under the Zlib License.", "Licensed under the EUPL 1.2",
