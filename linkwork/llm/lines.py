@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, saved, unpacked, utf8
 from linkwork.llm.sampling import flat
-from linkwork.llm.tokens import MIX, Words, mixed
+from linkwork.llm.tokens import MIX, Words, hash_spans, mixed
 
 #: Counters of the word sketch, and pieces in which they are summed.
 SKETCH, PIECES = 1 << 20, 64
@@ -53,17 +53,30 @@ EPS = 1e-9
 
 
 class Lines:
-    """The word sets of the lines of several texts; ``rarity`` orders words within a line, ``counts`` takes their numbers."""
+    """The word sets of the lines of several texts; ``rarity`` orders words within a line, ``counts`` takes their numbers.
 
-    def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None, counts: np.ndarray | None = None):
+    ``only``: a list column, one list for each text, of the lines to be read, if not all are.
+    """
+
+    def __init__(
+        self,
+        texts: list[bytes],
+        rarity: np.ndarray | None = None,
+        counts: np.ndarray | None = None,
+        only: pa.ListArray | None = None,
+    ):
         words = Words(texts)
-        h = words.hashes()
+        breaks = np.flatnonzero(np.frombuffer(words.buf, dtype=np.uint8)[:-8] == 10)
+        line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(words.start, breaks), prepend=0))
+        start, size = words.start, words.end - words.start
+        if only is not None:
+            keep = _named_lines(only, breaks, words.text_at)[line]
+            start, size, line = start[keep], size[keep], line[keep]
+        h = hash_spans(words.buf, start, size)
         if counts is not None:
             counts += np.bincount(slots(h), minlength=SKETCH)
-        breaks = np.flatnonzero(np.frombuffer(words.buf, dtype=np.uint8)[:-8] == 10)
-        line = np.searchsorted(breaks, words.start)
-        order = _line_order(line, h, None if rarity is None else rarity[slots(h)])
-        h, line = h[order], line[order]
+        # words stand by line already, so the order moves them within their lines
+        h = h[_line_order(line, h, None if rarity is None else rarity[slots(h)])]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.words, line = h[new], line[new]
@@ -75,28 +88,35 @@ class Lines:
         at = line[self.first]
         self.text = np.searchsorted(words.text_at, breaks[at], side="right") - 1 if len(at) else at
         self.number = at - np.searchsorted(breaks, words.text_at[self.text])
-        total = np.add.reduceat(mixed(self.words + MIX[1]), self.first) if len(at) else self.words
-        #: hash of the set of words
-        self.cls = mixed(total ^ (self.n.astype(np.uint64) * MIX[0])).view(np.int64)
 
-    def among(self, numbers: pa.ListArray) -> np.ndarray:
-        """Which lines a list column, one list for each text, names."""
-        wanted, row = flat(numbers)
-        return np.isin((self.text << 32) | self.number, (row << 32) | wanted)
+    def classes(self) -> np.ndarray:
+        """A hash of the set of words of each line."""
+        total = np.add.reduceat(mixed(self.words + MIX[1]), self.first) if len(self.first) else self.words
+        return mixed(total ^ (self.n.astype(np.uint64) * MIX[0])).view(np.int64)
 
     def prefix(self, threshold: float) -> np.ndarray:
         """Words of each line's prefix."""
         return self.n - np.ceil(threshold * self.n - EPS).astype(np.int64) + 1
 
 
+def _named_lines(numbers: pa.ListArray, breaks: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Which lines, each ended by one of ``breaks``, a list column, one list for each text, names."""
+    wanted, row = flat(numbers)
+    first = np.searchsorted(breaks, text_at)
+    out = np.zeros(len(breaks), dtype=bool)
+    out[(first[row] + wanted)[wanted < first[row + 1] - first[row]]] = True
+    return out
+
+
 def _line_order(line: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
     """Order by line, rank and hash; one packed sort key unless two words of a line agree in it."""
     packed = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(32))
     if rank is not None:
         packed |= rank.astype(np.uint64) << np.uint64(32)
     order = np.argsort(packed)
-    tied = (packed[order][1:] == packed[order][:-1]) & (h[order][1:] != h[order][:-1])
-    if tied.any():
+    packed = packed[order]
+    tied = np.flatnonzero(packed[1:] == packed[:-1])
+    if (h[order[tied]] != h[order[tied + 1]]).any():
         return np.lexsort((h, line) if rank is None else (h, rank, line))
     return order
 
@@ -123,7 +143,7 @@ def _scanned(rows: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 1024)
                 lines = Lines(utf8(batch.column(2)), counts=sums)
                 keys, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.text] for i in (0, 1))
-                columns = [pa.array(lines.cls), pa.array(keys), pa.array(lines.number.astype(np.int32)), pa.array(th)]
+                columns = [pa.array(lines.classes()), pa.array(keys), pa.array(lines.number.astype(np.int32)), pa.array(th)]
                 none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
                 yield pa.record_batch([*columns, *none], names=names)
         parts = [p.astype("<u4").tobytes() for p in sums.reshape(PIECES, -1)]
@@ -160,8 +180,8 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
     least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = Lines(unpacked(batch.column(2)), np.frombuffer(ranks.value, dtype=np.uint8))
-        prefix = np.where(lines.among(batch.column(3)) & (lines.n >= least), lines.prefix(threshold), 0)
+        lines = Lines(unpacked(batch.column(2)), np.frombuffer(ranks.value, dtype=np.uint8), only=batch.column(3))
+        prefix = np.where(lines.n >= least, lines.prefix(threshold), 0)
         line = np.repeat(np.arange(len(prefix)), prefix)
         at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         word = lines.words[lines.first[line] + at]
@@ -184,7 +204,7 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
         out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
         out["n"], out["at"] = lines.n[line], at
         bucket = (mixed(word) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((word, bucket))
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | out["word"])
         have, first = np.unique(bucket[order], return_index=True)
         parts = _packed(np.split(out[order], first[1:]))
         return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
@@ -354,11 +374,10 @@ def _word_sets(rows: DataFrame) -> DataFrame:
     """``xkey, xnumber, xth, words`` of the lines ``numbers``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = Lines(unpacked(batch.column(2)))
-        at = np.flatnonzero(lines.among(batch.column(3)))
-        keys, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.text[at]] for i in (0, 1))
-        sets = [lines.words[a : a + n].tobytes() for a, n in zip(lines.first[at].tolist(), lines.n[at].tolist(), strict=True)]
-        columns = [pa.array(keys), pa.array(lines.number[at].astype(np.int32)), pa.array(th), pa.array(sets, pa.binary())]
+        lines = Lines(unpacked(batch.column(2)), only=batch.column(3))
+        keys, th = (batch.column(i).to_numpy(zero_copy_only=False)[lines.text] for i in (0, 1))
+        sets = [lines.words[a : a + n].tobytes() for a, n in zip(lines.first.tolist(), lines.n.tolist(), strict=True)]
+        columns = [pa.array(keys), pa.array(lines.number.astype(np.int32)), pa.array(th), pa.array(sets, pa.binary())]
         return pa.record_batch(columns, names=["xkey", "xnumber", "xth", "words"])
 
     return arrow_pass(rows.select("key", "th", "data", "numbers"), "xkey long, xnumber int, xth long, words binary", work, 512)
@@ -373,7 +392,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(unpacked(batch.column(2)))
+        lines = Lines(unpacked(batch.column(2)), only=batch.column(3))
         place = {x: i for i, x in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
         numbers, row = flat(batch.column(3))
         words = batch.column(4).flatten().to_pylist()
@@ -405,8 +424,8 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lines = Lines(unpacked(part.column(2)), np.frombuffer(ranks.value, dtype=np.uint8))
-                prefix = np.where(lines.among(part.column(3)), lines.prefix(threshold), 0)
+                lines = Lines(unpacked(part.column(2)), np.frombuffer(ranks.value, dtype=np.uint8), only=part.column(3))
+                prefix = lines.prefix(threshold)
                 line = np.repeat(np.arange(len(prefix)), prefix)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 bits[_bit(lines.words[lines.first[line] + place])] = True

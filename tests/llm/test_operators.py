@@ -139,6 +139,22 @@ def test_lines_with_a_first_candidate_that_fails(spark, texts, monkeypatch):
     assert {i for i, (r,) in got.items() if r} == want == {3, 4}
 
 
+def test_lines_that_are_named_are_read_alone():
+    """Reading some lines of texts gives them as reading all does; numbers that a text lacks name nothing."""
+    r = random.Random(5)
+    bodies = [[" ".join(f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 7))) for _ in range(r.randint(0, 6))] for _ in range(30)]
+    raw = [b"", *("\n".join(x).encode() for x in bodies), b"\n\n", b"last line"]
+    numbers = [None if r.random() < 0.2 else r.sample(range(9), 3) for _ in raw[:-1]] + [[0]]
+    rarity = np.array([r.randint(0, 3) for _ in range(lines.SKETCH)], dtype=np.uint8)
+    column = lines.pa.array(numbers, lines.pa.list_(lines.pa.int32()))
+    every, some = lines.Lines(raw, rarity), lines.Lines(raw, rarity, only=column)
+    parts = lambda x: zip(x.text.tolist(), x.number.tolist(), x.classes().tolist(), np.split(x.words, x.first[1:]), strict=True)
+    want = [(t, n, c, w.tolist()) for t, n, c, w in parts(every) if n in (numbers[t] or [])]
+    assert want and [(t, n, c, w.tolist()) for t, n, c, w in parts(some)] == want
+    none = lines.Lines(raw, rarity, only=lines.pa.array([[]] * len(raw), lines.pa.list_(lines.pa.int32())))
+    assert not len(none.words) and not len(none.first) and not len(none.prefix(0.8)) and not len(none.classes())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_of_repeated_and_null_ids(spark, texts, seed):
     """Lines are known by id, number and text: rows that share an id keep what is theirs."""
