@@ -34,18 +34,22 @@ def id_of(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NULL_KEY))
 
 
+def released(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark removes the shuffle files of finished jobs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write an intermediate to the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     It cuts the lineage and survives lost executors; the folder belongs to the session's
-    checkpoint folder, whose owner removes it.  ``release`` has the driver collect its garbage afterwards, upon
-    which Spark removes the shuffle files of the finished job.
+    checkpoint folder, whose owner removes it.  ``release``: the job's shuffle files go afterwards.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
-        spark.sparkContext._jvm.System.gc()
+        released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,10 +79,11 @@ def dealt_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return dealt(df.select(key_of(id_col).alias("key"), F.xxhash64(text).alias("th"), text.alias("text")), "key")
 
 
-def dealt(rows: DataFrame, *by: str) -> DataFrame:
-    """``key, th, data`` from ``key, th, text``: zstandard-packed texts, bucketed by ``by``.
+def dealt(rows: DataFrame, *by: str, more: DataFrame | None = None) -> DataFrame:
+    """``key, th, data`` from ``key, th, text``: zstandard-packed texts, bucketed by ``by``; null texts have null data.
 
-    The texts are shuffled once and written as a bucketed table under ``spark.checkpoint.dir``.  Every later join
+    ``more``: one row at most for each ``by``, of which the further columns join the texts as they are dealt (null if
+    there is none).  The texts are shuffled once and written as a bucketed table under ``spark.checkpoint.dir``.  Every later join
     on ``by``, in whatever job, reads the buckets in place and shuffles its other side only.
     """
     spark = rows.sparkSession
@@ -86,19 +91,22 @@ def dealt(rows: DataFrame, *by: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        data = pa.array([pack(t) for t in utf8(batch.column(2))], pa.binary())
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        data = pa.array([None if t is None else pack(t) for t in texts], pa.binary())
         return pa.record_batch([batch.column(0), batch.column(1), data], names=["key", "th", "data"])
 
     name = f"packed_texts_{uuid.uuid4().hex}"
     packed = arrow_pass(rows, "key long, th long, data binary", work).repartition(n, *by)
+    if more is not None:
+        packed = packed.join(more.hint("shuffle_hash"), list(by), "left")
     # the bytes are packed already
     table_of = packed.write.format("parquet").option("compression", "none").bucketBy(n, *by)
     table_of.option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     return spark.table(name)
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
-    """The texts behind a ``data`` column."""
+    """The texts behind a ``data`` column; null counts as empty."""
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(x) for x in column.to_pylist()]
+    return [b"" if x is None else unpack(x) for x in column.to_pylist()]

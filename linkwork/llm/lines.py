@@ -16,9 +16,10 @@ which only the first place counts; classes are joined as follows.
    words travel to the line's text, where the Jaccard similarity is verified.  A family of near copies thus costs
    a few rows for each member, not one for each pair.
 4. Lines with further candidates that have found no partner so are joined again, with all of their
-   candidates; postings of words that none of them has are dropped by a bitmap of fixed size.
+   candidates; lines without a word of theirs are not read, by a bitmap of fixed size, which drops such postings too.
 
-A text is known by its id and, under an id that several texts share, its hash (else 0), so null and repeated ids are
+The lines that are the first of their class are joined to the texts as these are dealt (``numbers``), so later passes
+read texts and line numbers together, in place.  A text is known by its id and, under an id that several texts share, its hash (else 0), so null and repeated ids are
 spread like the others.  Postings travel packed by columns, one array for each task batch and word bucket.  Blank lines are neither
 matched nor removed.  Defined cases: a null text has no lines; a null id is the smallest; rows that share an id, or
 have none, are told apart by the hash of their texts, and rows equal in both lose the same lines; an empty table
@@ -27,22 +28,24 @@ gives no rows; further columns are kept by ``distinct_line_texts`` and ignored o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, saved, unpacked, utf8
+from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, released, saved, unpacked, utf8
 from linkwork.llm.sampling import flat
 from linkwork.llm.tokens import MIX, Words, hash_spans, mixed
 
 #: Counters of the word sketch, and pieces in which they are summed.
-SKETCH, PIECES = 1 << 20, 64
+SKETCH, PIECES = 1 << 20, 32
 #: Pairs that a task looks at in one go.
 PAIRS = 1 << 21
-#: Bits of the bitmap of open lines' words.
-BITMAP = 1 << 23
+#: Bits of the bitmap of open lines' words, and of a piece of it (Spark's bitmap functions fix that).
+BITMAP, PIECE = 1 << 23, 1 << 15
 #: Earliest candidates of a line that are verified first.
 FIRST = 2
 #: ``low`` and ``high``: a bitmap of 128 bits, the parity of the line's words by hash
@@ -56,6 +59,7 @@ class Lines:
     """The word sets of the lines of several texts; ``rarity`` orders words within a line, ``counts`` takes their numbers.
 
     ``only``: a list column, one list for each text, of the lines to be read, if not all are.
+    ``having``: a bitmap of words; lines without any of them are not read.
     """
 
     def __init__(
@@ -64,6 +68,7 @@ class Lines:
         rarity: np.ndarray | None = None,
         counts: np.ndarray | None = None,
         only: pa.ListArray | None = None,
+        having: np.ndarray | None = None,
     ):
         words = Words(texts)
         breaks = np.flatnonzero(np.frombuffer(words.buf, dtype=np.uint8)[:-8] == 10)
@@ -75,6 +80,11 @@ class Lines:
         h = hash_spans(words.buf, start, size)
         if counts is not None:
             counts += np.bincount(slots(h), minlength=SKETCH)
+        if having is not None:
+            some = np.zeros(len(breaks), dtype=bool)
+            some[line[having[_bit(h)]]] = True
+            keep = some[line]
+            h, line = h[keep], line[keep]
         # words stand by line already, so the order moves them within their lines
         h = h[_line_order(line, h, None if rarity is None else rarity[slots(h)])]
         new = np.ones(len(h), dtype=bool)
@@ -180,42 +190,58 @@ def _postings(rows: DataFrame, ranks, threshold: float, buckets: int, words=None
     least = int(np.floor(1 / (1 / threshold - 1) + EPS)) if threshold < 1 else 2**31
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = Lines(unpacked(batch.column(2)), np.frombuffer(ranks.value, dtype=np.uint8), only=batch.column(3))
+        wanted = None
+        if words is not None:
+            wanted = np.unpackbits(np.frombuffer(words.value, dtype=np.uint8), bitorder="little").view(bool)
+        rank = np.frombuffer(ranks.value, dtype=np.uint8)
+        lines = Lines(unpacked(batch.column(2)), rank, only=batch.column(3), having=wanted)
         prefix = np.where(lines.n >= least, lines.prefix(threshold), 0)
         line = np.repeat(np.arange(len(prefix)), prefix)
         at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         word = lines.words[lines.first[line] + at]
-        if words is not None:
-            has = np.unpackbits(np.frombuffer(words.value, dtype=np.uint8), bitorder="little")[_bit(word)].astype(bool)
+        if wanted is not None:
+            has = wanted[_bit(word)]
             line, at, word = line[has], at[has], word[has]
         if not len(line):
             return None
-        place = mixed(lines.words ^ MIX[0])
-        bit = np.uint64(1) << (place & np.uint64(63))
-        upper = (place >> np.uint64(6)) & np.uint64(1)
-        th = batch.column(1).to_numpy(zero_copy_only=False)
-        out = np.empty(len(line), dtype=SHARED if th.any() else POSTING)
-        out["word"] = word >> np.uint64(32)
-        out["key"] = batch.column(0).to_numpy(zero_copy_only=False)[lines.text[line]]
-        if out.dtype == SHARED:
-            out["th"] = th[lines.text[line]]
-        out["number"] = lines.number[line]
-        out["low"] = np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line]
-        out["high"] = np.bitwise_xor.reduceat(bit * upper, lines.first)[line]
-        out["n"], out["at"] = lines.n[line], at
-        bucket = (mixed(word) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | out["word"])
-        have, first = np.unique(bucket[order], return_index=True)
-        parts = _packed(np.split(out[order], first[1:]))
-        return pa.record_batch([pa.array(have.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "data"])
+        bucket = mixed(word) % np.uint64(buckets)
+        place = (bucket << np.uint64(32)) | (word >> np.uint64(32))
+        order = np.argsort(place)
+        place, line, at = place[order], line[order], at[order]
+        spread = mixed(lines.words ^ MIX[0])
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        upper = (spread >> np.uint64(6)) & np.uint64(1)
+        keys, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        columns = {
+            "word": place & np.uint64(2**32 - 1),
+            "key": keys[lines.text][line],
+            "number": lines.number[line],
+            "low": np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), lines.first)[line],
+            "high": np.bitwise_xor.reduceat(bit * upper, lines.first)[line],
+            "n": lines.n[line],
+            "at": at,
+        }
+        kind = POSTING
+        if th.any():
+            kind, columns["th"] = SHARED, th[lines.text][line]
+        bucket = (place >> np.uint64(32)).astype(np.int32)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = _packed(columns, kind, first)
+        return pa.record_batch([pa.array(bucket[first]), pa.array(parts, pa.binary())], names=["bucket", "data"])
 
     return arrow_pass(rows.select("key", "th", "data", "numbers"), "bucket int, data binary", work, 1024)
 
 
-def _packed(parts: list[np.ndarray]) -> list[bytes]:
-    """Postings by byte columns, compressed; the first byte is the size of one."""
+def _packed(columns: dict[str, np.ndarray], kind: np.dtype, first: np.ndarray) -> list[bytes]:
+    """Postings from each ``first`` to the next, by byte columns, compressed; the first byte is the size of one."""
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-    return [bytes([p.itemsize]) + pack(p.view(np.uint8).reshape(len(p), -1).T.tobytes()) for p in parts]
+    size = len(columns["word"])
+    table = np.empty((kind.itemsize, size), dtype=np.uint8)
+    for name, (of, at) in kind.fields.items():
+        table[at : at + of.itemsize] = columns[name].astype(of).view(np.uint8).reshape(size, -1).T
+    ends = np.append(first[1:], size)
+    parts = (np.ascontiguousarray(table[:, a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True))
+    return [bytes([kind.itemsize]) + pack(part) for part in parts]
 
 
 def _postings_of(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -226,8 +252,8 @@ def _postings_of(data: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
 
 def _together(parts: list[np.ndarray]) -> np.ndarray:
     """All postings in one array, with hashes if any part has them."""
-    if all(p.dtype == POSTING for p in parts):
-        return np.concatenate(parts)
+    if len({p.dtype.itemsize for p in parts}) == 1:
+        return np.concatenate([p.view(np.uint8) for p in parts]).view(parts[0].dtype)
     out = np.zeros(sum(map(len, parts)), dtype=SHARED)
     at = 0
     for p in parts:
@@ -241,14 +267,50 @@ def _hash(p: np.ndarray) -> np.ndarray:
     return p["th"] if p.dtype == SHARED else np.zeros(len(p), dtype=np.int64)
 
 
+def _by_size(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number that orders postings by word and size."""
+    return (word.astype(np.uint64) << np.uint64(32)) | n
+
+
+def _longest(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Size of the longest line that can be as similar as ``threshold`` to one of ``n`` words."""
+    return np.floor(n / threshold + EPS).astype(np.uint64)
+
+
+def _with_partners(p: np.ndarray, threshold: float) -> np.ndarray:
+    """Of postings sorted by word and size those that share a word with one of a fitting size."""
+    near = _by_size(p["word"][1:], p["n"][1:]) <= _by_size(p["word"][:-1], _longest(p["n"][:-1], threshold))
+    keep = np.zeros(len(p), dtype=bool)
+    keep[1:] = near
+    keep[:-1] |= near
+    return p[keep]
+
+
+def _line_numbers(p: np.ndarray) -> np.ndarray:
+    """For each posting the number of its line, lines counted by place."""
+    if not len(p):
+        return np.zeros(0, dtype=np.int64)
+    key, number = p["key"], p["number"]
+    low, bits = int(key.min()), int(number.max()).bit_length()
+    if p.dtype == POSTING and (int(key.max()) - low).bit_length() + bits <= 64:
+        place = [((key - low).astype(np.uint64) << np.uint64(bits)) | number]
+        order = np.argsort(place[0])
+    else:
+        place = [key, number, _hash(p)]
+        order = np.lexsort(place[::-1])
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in place])
+    line = np.empty(len(p), dtype=np.int64)
+    line[order] = np.cumsum(new)
+    return line
+
+
 def candidates(p: np.ndarray, age: np.ndarray, threshold: float):
     """Yield index pairs (earlier, later) of the postings of some words, sorted by word and size, that pass the filters.
 
     ``age`` numbers lines by place.
     """
-    place = (p["word"].astype(np.uint64) << np.uint64(32)) | p["n"]
-    longest = np.floor(p["n"] / threshold + EPS).astype(np.uint64)
-    stop = np.searchsorted(place, (p["word"].astype(np.uint64) << np.uint64(32)) | longest, side="right")
+    stop = np.searchsorted(_by_size(p["word"], p["n"]), _by_size(p["word"], _longest(p["n"], threshold)), side="right")
     partners = stop - np.arange(len(p)) - 1
     ends = np.cumsum(partners)
     begin = 0
@@ -315,15 +377,9 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
         if not parts:
             return
         p = _together(parts)
-        # ``age`` orders lines by place, ``line`` numbers them likewise
-        place = [p["key"], p["number"], *([p["th"]] if p.dtype == SHARED else [])]
-        order = np.lexsort(place[::-1])
-        p, place = p[order], [x[order] for x in place]
-        new = np.ones(len(p), dtype=bool)
-        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in place])
-        line = np.cumsum(new)
-        order = np.lexsort((line, p["n"], p["word"]))
-        p, line = p[order], line[order]
+        p = _with_partners(p[np.argsort(_by_size(p["word"], p["n"]))], threshold)
+        # numbers lines by place
+        line = _line_numbers(p)
         late = None
         if wanted:
             w = _together(wanted)
@@ -383,8 +439,13 @@ def _word_sets(rows: DataFrame) -> DataFrame:
     return arrow_pass(rows.select("key", "th", "data", "numbers"), "xkey long, xnumber int, xth long, words binary", work, 512)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``key, number, th`` of the later lines of ``pairs`` of which a candidate is as similar as ``threshold``."""
+def _verified(texts: DataFrame, pairs: DataFrame, threshold: float, late: DataFrame | None = None) -> DataFrame:
+    """``key, number, th`` of the later lines of ``pairs`` of which a candidate is as similar as ``threshold``.
+
+    ``late``: the texts of the later lines, if they are at hand.
+    """
+    texts = texts.select(*TEXT, "data")
+    late = texts if late is None else late.select(*TEXT, "data")
     wanted = pairs.select(F.col("xkey").alias("key"), F.col("xnumber").alias("number"), F.col("xth").alias("th")).distinct()
     sets = _word_sets(texts.join(_numbers(wanted).hint("shuffle_hash"), TEXT))
     later = pairs.join(sets, ["xkey", "xnumber", "xth"]).groupBy(*TEXT).agg(
@@ -412,7 +473,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
         keys, th = (batch.column(i).take(pa.array(texts, pa.int64())) for i in (0, 1))
         return pa.record_batch([keys, pa.array(numbers, pa.int32()), th], names=PLACE)
 
-    rows = texts.join(later.hint("shuffle_hash"), TEXT).select("key", "th", "data", "numbers", "words")
+    rows = late.join(later.hint("shuffle_hash"), TEXT).select("key", "th", "data", "numbers", "words")
     return arrow_pass(rows, "key long, number int, th long", work, 512).distinct()
 
 
@@ -429,20 +490,15 @@ def _bitmap(rows: DataFrame, ranks, threshold: float) -> bytes:
                 line = np.repeat(np.arange(len(prefix)), prefix)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 bits[_bit(lines.words[lines.first[line] + place])] = True
-        parts = [np.packbits(p, bitorder="little").tobytes() for p in bits.reshape(PIECES, -1)]
-        yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["part", "bits"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) | np.frombuffer(bits, dtype=np.uint8)
-        data = [s.tobytes() for s in sums.values()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], names=["part", "bits"])
+        some = np.flatnonzero(bits.reshape(-1, PIECE).any(axis=1))
+        parts = [np.packbits(p, bitorder="little").tobytes() for p in bits.reshape(-1, PIECE)[some]]
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], names=["part", "bits"])
 
     marked = rows.select("key", "th", "data", "numbers").mapInArrow(mark, "part int, bits binary")
-    found = marked.repartition(PIECES, "part").mapInArrow(add, "part int, bits binary").collect()  # BITMAP bits
-    return b"".join(bytes(r[1]) for r in sorted(found))
+    out = bytearray(BITMAP // 8)
+    for part, bits in marked.groupBy("part").agg(F.bitmap_or_agg("bits")).collect():  # BITMAP bits
+        out[part * PIECE // 8 : (part + 1) * PIECE // 8] = bits
+    return bytes(out)
 
 
 def _named(rows: DataFrame, shared: DataFrame) -> DataFrame:
@@ -451,18 +507,20 @@ def _named(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return out.withColumn("th", F.when(F.col("several"), F.col("th")).otherwise(F.lit(0).cast("long"))).select(*rows.columns)
 
 
-def kept_lines(scan: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``key, th, numbers``: the lines with words that stay, for every text that keeps one; and the shared keys."""
+def _judged(scan: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Dealt texts with ``numbers``, the lines that are the first of their class; these ``numbers`` by text; ``gone``, those
+    of them that have an earlier partner, by text; and the shared keys."""
     spark: SparkSession = scan.sparkSession
     buckets = 4 * partitions(spark)
     scanned = saved(_scanned(scan), "line-scan")
     lines = scanned.where("part is null")
     shared = saved(lines.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("key"), "line-shared")
-    texts = dealt(_named(scan, shared), *TEXT)
     first = lines.groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("p")).select("p.*")
-    first = saved(_named(first, shared), "line-classes")
-    firsts = texts.join(_numbers(first).hint("shuffle_hash"), TEXT)
+    first = saved(_numbers(_named(first, shared)), "line-classes")
+    texts = dealt(_named(scan, shared), *TEXT, more=first)
+    firsts = texts.where("numbers is not null")
     ranks = spark.sparkContext.broadcast(rarity(scanned).tobytes())
+    released(spark)  # the shuffle of the texts, if the job that dealt them was still known when it ended
     found = _join(_postings(firsts, ranks, threshold, buckets), threshold, FIRST)
     earlier = F.array_sort(F.collect_set(F.struct("xkey", "xnumber", "xth")))
     found = found.groupBy(*PLACE).agg(F.slice(earlier, 1, FIRST).alias("x"))
@@ -472,36 +530,41 @@ def kept_lines(scan: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     more = found.where(F.size("x") >= FIRST).join(gone, PLACE, "left_anti").select(*PLACE)
     more = saved(more, "line-open")
     if not more.isEmpty():
-        late = texts.join(_numbers(more).hint("shuffle_hash"), TEXT)
+        late = saved(texts.select(*TEXT, "data").join(_numbers(more).hint("shuffle_hash"), TEXT), "line-open-texts")
         words = spark.sparkContext.broadcast(_bitmap(late, ranks, threshold))
         rest = _join(
             _postings(firsts, ranks, threshold, buckets, words), threshold, None, _postings(late, ranks, threshold, buckets)
         )
         rest = saved(rest.distinct().join(pairs, [*PLACE, "xkey", "xnumber", "xth"], "left_anti"), "line-rest")
-        gone = gone.union(saved(_verified(texts, rest, threshold), "line-matches"))
-    return _numbers(first.join(gone, PLACE, "left_anti")), shared
+        gone = gone.union(saved(_verified(texts, rest, threshold, late), "line-matches"))
+    return texts, first, _numbers(gone).withColumnRenamed("numbers", "gone"), shared
 
 
-def _split(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """Each text's remaining lines; ``rows`` is ``text, numbers`` and the columns to carry."""
+def _split(rows: DataFrame, carry: list[str], unpack: Callable = lambda x: x) -> DataFrame:
+    """Each text's remaining lines; ``rows`` is the text, ``numbers, gone`` and the columns to carry.
+
+    ``unpack`` gives the bytes of a text that is not null.
+    """
     made = {"n_lines": "int", "removed_lines": "array<int>", "kept": "string"}
     schema = rows.select(*carry, *[F.lit(None).cast(kind).alias(name) for name, kind in made.items()]).schema
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, removed, kept = [], [], []
-        for text, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parts = [] if text is None else text.split("\n")
-            stay = set(numbers or ())
-            out = [i for i, x in enumerate(parts) if i not in stay and x.encode().split()]
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        for text, numbers, gone in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            text = None if text is None else unpack(text)
+            parts = [] if text is None else text.split(b"\n")
+            stay = set(numbers or ()).difference(gone or ())
+            out = [i for i, x in enumerate(parts) if i not in stay and x.split()]
             drop = set(out)
             counts.append(len(parts))
             removed.append(out)
-            kept.append(None if text is None else "\n".join([x for i, x in enumerate(parts) if i not in drop]))
-        columns = [pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())]
+            kept.append(b"\n".join([x for i, x in enumerate(parts) if i not in drop]) if out else text)
+        columns = [pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string())]
         names = [*carry, "n_lines", "removed_lines", "kept"]
-        return pa.record_batch([*batch.columns[2:], *columns], names=names)
+        return pa.record_batch([*batch.columns[3:], *columns], names=names)
 
-    return arrow_pass(rows.select("text", "numbers", *carry), schema, work)
+    return arrow_pass(rows, schema, work)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -511,10 +574,9 @@ def _texts(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``id_col, n_lines, removed_lines, kept`` of each row; line numbers start at 0."""
-    texts = _texts(df, id_col, text_col)
-    lines, shared = kept_lines(texts, threshold)
-    rows = _named(texts, shared).join(lines.hint("shuffle_hash"), TEXT, "left")
-    out = _split(rows, ["key"])
+    texts, _, gone, _ = _judged(_texts(df, id_col, text_col), threshold)
+    rows = texts.join(gone.hint("shuffle_hash"), TEXT, "left").select("data", "numbers", "gone", "key")
+    out = _split(rows, ["key"], lambda data: zstandard.ZstdDecompressor().decompress(data))
     return out.select(id_of("key").alias(id_col), "n_lines", "removed_lines", "kept")
 
 
@@ -523,10 +585,11 @@ def distinct_line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows of which every line with words is removed, because it stands in earlier rows, go.
     """
-    lines, shared = kept_lines(_texts(docs, id_col, text_col), threshold)
+    _, first, gone, shared = _judged(_texts(docs, id_col, text_col), threshold)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")])
     rows = _named(_texts(docs, id_col, text_col, rest.alias("rest")), shared)
-    rows = rows.join(lines.hint("shuffle_hash"), TEXT, "left").select("text", "numbers", "rest")
+    lines = first.join(gone.hint("shuffle_hash"), TEXT, "left")
+    rows = rows.join(lines.hint("shuffle_hash"), TEXT, "left").select("text", "numbers", "gone", "rest")
     out = _split(rows, ["rest"])
     empty = (F.size("removed_lines") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(~empty | F.col("kept").isNull())

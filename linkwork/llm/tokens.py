@@ -6,6 +6,8 @@ functions of content only, so equal words and equal windows hash alike in every
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -21,18 +23,21 @@ class Words:
 
     def __init__(self, texts: list[bytes], breaks: np.ndarray = SPACE):
         self.buf = b"\n".join(texts) + b"\n" + b"\0" * 8
-        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         #: first byte of every text, and one past the last text
         self.text_at = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(self.buf, dtype=np.uint8)[:-8]
-        gap = breaks[data]
+        gap = np.frombuffer(self.buf.translate(breaks.tobytes()), dtype=bool)[:-8]
         edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if len(data) and not gap[0]:
             edges = np.concatenate([[0], edges])
         self.start, self.end = edges[0::2], edges[1::2]
         #: index of the first word of every text, and the number of words
         self.word_at = np.searchsorted(self.start, self.text_at)
-        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.word_at))
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.word_at) - 1), np.diff(self.word_at))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word, eight bytes at a time."""

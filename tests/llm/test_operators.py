@@ -155,6 +155,56 @@ def test_lines_that_are_named_are_read_alone():
     assert not len(none.words) and not len(none.first) and not len(none.prefix(0.8)) and not len(none.classes())
 
 
+def test_lines_without_a_wanted_word_are_not_read():
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    raw = ["\n".join(" ".join(r.choices(vocabulary, k=r.randint(0, 9))) for _ in range(r.randint(1, 6))).encode() for _ in range(40)]
+    wanted = {"w3", "w17", "w58"}
+    bits = np.zeros(lines.BITMAP, dtype=bool)
+    bits[lines._bit(lines.Words([w.encode() for w in wanted]).hashes())] = True
+    got = lines.Lines(raw, having=bits)
+    bodies = [x.decode().split("\n") for x in raw]
+    assert list(zip(got.text.tolist(), got.number.tolist(), strict=True)) == [
+        (t, n) for t, body in enumerate(bodies) for n, x in enumerate(body) if wanted & set(x.split())
+    ]
+    assert got.n.tolist() == [len(set(bodies[t][n].split())) for t, n in zip(got.text.tolist(), got.number.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("kind", [lines.POSTING, lines.SHARED])
+def test_postings_meet_as_in_a_comparison_of_all(kind):
+    r = np.random.default_rng(3)
+    for keys in ([5, 6, 7], [-(2**63), 4, 2**63 - 1]):
+        p = np.zeros(60, dtype=kind)
+        p["word"], p["n"] = r.integers(0, 12, 60) + 2**32 - 12, r.integers(4, 40, 60)
+        p["key"], p["number"] = r.choice(np.array(keys), 60), r.integers(0, 9, 60)
+        if kind == lines.SHARED:
+            p["th"] = r.choice(np.array([-9, 0, 8]), 60)
+        p = p[np.argsort(lines._by_size(p["word"], p["n"]))]
+        fit = (p["word"][:, None] == p["word"]) & (np.minimum(p["n"][:, None], p["n"]) >= 0.8 * np.maximum(p["n"][:, None], p["n"]) - 1e-9)
+        np.fill_diagonal(fit, False)
+        assert lines._with_partners(p, 0.8).tolist() == p[fit.any(axis=1)].tolist()
+        places = [(int(x["key"]), int(x["number"]), int(x["th"]) if kind == lines.SHARED else 0) for x in p]
+        rank = {x: i + 1 for i, x in enumerate(sorted(set(places)))}
+        assert lines._line_numbers(p).tolist() == [rank[x] for x in places]
+
+
+def test_lines_are_split_where_texts_were_dealt(spark, texts):
+    """The texts are hashed and shuffled once: what stays is read from the dealt table, also of null and empty texts."""
+    rows = [(1, "a b c d\n\nx"), (2, "x\na b c d"), (2, None), (3, None), (None, ""), (None, "x y\n")]
+    out = lines.line_dedup(texts(rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "packed_texts_" in plan and "xxhash64" not in plan
+    got = sorted((r.doc_id or 0, r.n_lines, r.removed_lines, r.kept or ("" if r.kept == "" else "null")) for r in out.collect())
+    assert got == [
+        (0, 1, [], ""),
+        (0, 2, [], "x y\n"),
+        (1, 3, [], "a b c d\n\nx"),
+        (2, 0, [], "null"),
+        (2, 2, [0, 1], ""),
+        (3, 0, [], "null"),
+    ]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_of_repeated_and_null_ids(spark, texts, seed):
     """Lines are known by id, number and text: rows that share an id keep what is theirs."""
