@@ -14,6 +14,8 @@ from linkwork.session import ensure_checkpoint_dir
 
 #: Stands for a null identifier inside an operator: nulls sort before every number.
 NULL_KEY = -(2**63)
+#: Rows in an Arrow batch, on both sides of a Python worker's socket: documents are large rows.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,14 @@ def id_of(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NULL_KEY))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session's Arrow batches hold ``BATCH_ROWS`` rows at most; Spark's own 10,000 texts take a worker, and the
+    executor's buffers outside the heap, tens of MB each time.  A smaller setting stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def released(spark: SparkSession) -> None:
     """Have the driver collect its garbage, upon which Spark removes the shuffle files of finished jobs."""
     spark.sparkContext._jvm.System.gc()

@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, released, saved, unpacked, utf8
+from linkwork.llm.common import arrow_pass, dealt, id_of, key_of, partitions, released, saved, small_batches, unpacked, utf8
 from linkwork.llm.sampling import flat
 from linkwork.llm.tokens import MIX, Words, hash_spans, mixed
 
 #: Counters of the word sketch, and pieces in which they are summed.
 SKETCH, PIECES = 1 << 20, 32
-#: Pairs that a task looks at in one go.
-PAIRS = 1 << 21
+#: Pairs that a task looks at in one go; each takes some 90 bytes meanwhile.
+PAIRS = 1 << 18
 #: Bits of the bitmap of open lines' words, and of a piece of it (Spark's bitmap functions fix that).
 BITMAP, PIECE = 1 << 23, 1 << 15
 #: Earliest candidates of a line that are verified first.
@@ -386,17 +386,20 @@ def _join(postings: DataFrame, threshold: float, most: int | None, only: DataFra
             late = np.isin(_places(p), np.unique(_places(w)))
         elif restricted:
             return
-        have = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        have, new, bound = [(np.zeros(0, np.int64),) * 2], 0, PAIRS
         for x, y in candidates(p, line, threshold):
             if late is not None:
                 x, y = x[late[y]], y[late[y]]
-            have = (np.append(have[0], x), np.append(have[1], y))
-            if len(have[0]) > PAIRS:
-                have = _earliest(*have, line, line, most or len(p))
+            have.append((x, y))
+            new += len(x)
+            if new > bound:
+                have, new = [_earliest(*map(np.concatenate, zip(*have, strict=True)), line, line, most or len(p))], 0
                 if most is None:
-                    yield _found(p, *have)
-                    have = (have[0][:0], have[1][:0])
-        yield _found(p, *_earliest(*have, line, line, most or len(p)))
+                    yield _found(p, *have.pop())
+                else:  # what is kept is sorted again only when as much has come
+                    bound = max(PAIRS, len(have[0][0]))
+        if have:
+            yield _found(p, *_earliest(*map(np.concatenate, zip(*have, strict=True)), line, line, most or len(p)))
 
     n = partitions(postings.sparkSession)
     rows = postings.withColumn("late", F.lit(False))
@@ -511,6 +514,7 @@ def _judged(scan: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, Da
     """Dealt texts with ``numbers``, the lines that are the first of their class; these ``numbers`` by text; ``gone``, those
     of them that have an earlier partner, by text; and the shared keys."""
     spark: SparkSession = scan.sparkSession
+    small_batches(spark)
     buckets = 4 * partitions(spark)
     scanned = saved(_scanned(scan), "line-scan")
     lines = scanned.where("part is null")

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwork.llm import benchmarks, lines, packing, quality, queries, simhash
-from linkwork.llm.common import key_of, saved, table
+from linkwork.llm.common import key_of, saved, small_batches, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
     # the text goes to the Python worker and back once, the other columns in a struct beside it
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
@@ -36,6 +37,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A row is known by its id and 128 bits of hash of its text, so rows that share an id, or have none, stand for
     themselves.  Copies of the chosen row are told apart by their further columns.
     """
+    small_batches(spark)
     text = F.col("text").cast("string")
     hashes = [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
     # the input's columns travel in a struct, so none of their names can clash
@@ -53,9 +55,11 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return benchmarks.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    small_batches(spark)
     return packing.pack(docs, queries.word_bpe())

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -124,6 +125,31 @@ def test_lines_equal_brute_force(spark, texts, monkeypatch, first):
         assert kept == "\n".join(x for n, x in enumerate(text[i].split("\n")) if n not in gone[i])
 
 
+def test_lines_joined_in_many_pieces_equal_those_joined_in_one(spark, texts, monkeypatch):
+    monkeypatch.setattr(lines, "FIRST", 1)
+    docs = texts(corpus(3, 60))
+    want = by_id(lines.line_dedup(docs), "removed_lines", "kept")
+    monkeypatch.setattr(lines, "PAIRS", 8)  # what a task holds is cut down again and again
+    assert any(r for r, _ in want.values()) and by_id(lines.line_dedup(docs), "removed_lines", "kept") == want
+
+
+def test_pairs_of_a_common_word_take_bounded_memory():
+    r, size = np.random.default_rng(5), 2500
+    p = np.zeros(size, dtype=lines.POSTING)
+    p["key"], p["n"], p["low"] = r.permutation(size), 5, r.integers(0, 400, size)
+    tracemalloc.start()
+    try:
+        got = [(x, y) for part in lines.candidates(p, p["key"], 0.8) for x, y in zip(*(i.tolist() for i in part), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6  # 3.1 million pairs
+    low, key = p["low"].tolist(), p["key"].tolist()
+    of = {v: [i for i in range(size) if low[i] == v] for v in set(low)}  # words of five agree in all bits or are no candidates
+    want = {(i, j) for same in of.values() for i in same for j in same if key[i] < key[j]}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_lines_with_a_first_candidate_that_fails(spark, texts, monkeypatch):
     """Words whose bits cancel let a pair pass the bitmap; the line is then joined with all candidates."""
     monkeypatch.setattr(lines, "FIRST", 1)

@@ -78,3 +78,32 @@ def test_quality_stage_sends_a_text_once(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     assert stages.good_quality(spark, docs, SF).columns == docs.columns
     assert "text" not in asked[0]["row"].dataType.names
+
+
+def test_stages_hand_python_small_batches(spark):
+    from linkwork.llm.common import BATCH_ROWS
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int32())], names=["n"])
+
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+        for name, stage in corpus_pipeline.STAGES:
+            for given, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("100", 100)):
+                spark.conf.set(rows, given)
+                if name in ("line_dedup", "simhash_near_dedup", "quality_classifier") and given != "10000":
+                    continue  # these run jobs
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(rows)) == most, name
+        spark.conf.set(rows, "10000")
+        corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        got = [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n int").collect()]
+        assert sum(got) == 5000 and max(got) <= BATCH_ROWS
+    finally:
+        spark.conf.set(rows, before)
